@@ -1,0 +1 @@
+"""Every stage this library covers is a batch job, so there are no streaming operators."""
