@@ -24,7 +24,7 @@ def number_or_null(col: Column) -> Column:
     """
     text = F.trim(col.cast("string"))
     value = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def event_flag(status: Column, event_value: str = fv.DEAD) -> Column:

@@ -24,19 +24,16 @@ _BUCKET = "__bucket"
 def cut_points(df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
     """Cut points on ``order`` so that no bucket holds much more than ``rows_per_bucket`` rows.
 
-    One aggregation pass; the driver receives at most ``MAX_BUCKETS`` numbers. An empty
-    list means one window is enough.
+    A count decides first; only a large table pays for the quantile sketch. The driver
+    receives at most ``MAX_BUCKETS`` numbers. An empty list means one window is enough.
     """
-    grid = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    n, points = df.agg(
-        F.count(F.lit(1)), F.percentile_approx(F.col(order).cast("double"), grid, 4 * MAX_BUCKETS)
-    ).first()
+    n = df.count()
     if n <= rows_per_bucket:
         return []
     buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
-    step = MAX_BUCKETS / buckets
-    chosen = [points[min(len(points), int(i * step)) - 1] for i in range(1, buckets)]
-    return sorted(set(chosen))
+    probs = [i / buckets for i in range(1, buckets)]
+    numbers = df.select(F.col(order).cast("double").alias("__order"))
+    return sorted(set(numbers.approxQuantile("__order", probs, 0.25 / buckets)))
 
 
 def with_bucket(df: DataFrame, order: str, cuts: Sequence[float], out: str = _BUCKET) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import scalars as sc
 from ..operators import cleaning as cl
 from ..operators import concordance as cc
 from ..operators import eda, encoding, joining, km, risk, sampling
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import files
 from . import cohort
 
@@ -33,8 +33,13 @@ def fixed_score() -> Column:
     return F.round(F.lit(0.03) * (F.col(AGE) - 60) + weight, 8)
 
 
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature table written once, for queries that pass over it several times."""
+    return materialize(cohort.features(spark, sf_dir), "features")
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.features(spark, sf_dir).withColumn("risk", fixed_score())
+    return stored_features(spark, sf_dir).withColumn("risk", fixed_score())
 
 
 # ---- sources, sinks, cleaning ------------------------------------------------------------
@@ -189,15 +194,15 @@ def status_share(spark, sf_dir):
 
 
 def histogram_age(spark, sf_dir):
-    return rounded(eda.histogram(cohort.features(spark, sf_dir), AGE), "bin_lo", "bin_hi")
+    return rounded(eda.histogram(stored_features(spark, sf_dir), AGE), "bin_lo", "bin_hi")
 
 
 def histogram_time_by_event(spark, sf_dir):
-    return rounded(eda.histogram(cohort.features(spark, sf_dir), TIME, by=[EVENT]), "bin_lo", "bin_hi")
+    return rounded(eda.histogram(stored_features(spark, sf_dir), TIME, by=[EVENT]), "bin_lo", "bin_hi")
 
 
 def kde_age(spark, sf_dir):
-    return rounded(eda.density(cohort.features(spark, sf_dir), AGE), "x", "density")
+    return rounded(eda.density(stored_features(spark, sf_dir), AGE), "x", "density")
 
 
 def median_time_by_event(spark, sf_dir):
@@ -244,7 +249,7 @@ def risk_terciles(spark, sf_dir):
 
 
 def _encoded(spark, sf_dir, keep=("row_id", EVENT, TIME, "split")):
-    split = sampling.stratified_holdout(cohort.features(spark, sf_dir, ()))
+    split = sampling.stratified_holdout(stored_features(spark, sf_dir).drop("age_group"))
     encoder = encoding.fit_encoder(split.filter("split = 'train'"), encoding.feature_roles(split))
     return encoder, encoder.transform(split, keep)
 
@@ -268,7 +273,7 @@ def signed_label(spark, sf_dir):
 
 
 def stratified_holdout(spark, sf_dir):
-    return sampling.stratified_holdout(cohort.features(spark, sf_dir)).select("row_id", "split")
+    return sampling.stratified_holdout(stored_features(spark, sf_dir)).select("row_id", "split")
 
 
 def kfold_assign(spark, sf_dir):
@@ -276,11 +281,11 @@ def kfold_assign(spark, sf_dir):
 
 
 def subset_fraction(spark, sf_dir):
-    return sampling.subset(cohort.features(spark, sf_dir), 0.3).select("row_id")
+    return sampling.subset(stored_features(spark, sf_dir), 0.3).select("row_id")
 
 
 def permute_labels(spark, sf_dir):
-    df = cohort.features(spark, sf_dir).select("row_id", EVENT, TIME)
+    df = stored_features(spark, sf_dir).select("row_id", EVENT, TIME)
     return rounded(sampling.permute(df, [EVENT, TIME], 0), TIME)
 
 
