@@ -333,6 +333,17 @@ def fit_cox(
     )
 
 
+def score_at_zero(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Gradient of the Efron partial likelihood at zero coefficients, original scale."""
+    problem = _Problem(df, features, None)
+    sets = problem.risk_sets({0: np.zeros(problem.p)})
+    _, expected, _ = problem.first_order(sets)[0]
+    gradient = (problem.death_x[0] - expected) * problem.scale
+    return df.sparkSession.createDataFrame(
+        [(f, float(g)) for f, g in zip(features, gradient)], "feature string, gradient double"
+    )
+
+
 def hazard_ratios(table: DataFrame, top: int = 20) -> DataFrame:
     """Largest effects first, with display name and direction of the effect."""
     size = F.abs("coef")

@@ -112,9 +112,13 @@ def exact_quantiles(
     probs: Mapping[str, float],
     by: Sequence[str] = (),
     cuts: Sequence[float] | None = None,
+    plotting: float | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles per group, one column per probability.
 
+    The default interpolates at position ``(n - 1) p``; with ``plotting`` = a the
+    plotting-position rule ``n p + a + p (1 - 2 a) - 1``, kept inside the data.
+
     Values are reduced to (group, value, count) and located through running counts, so a
     group of any size is spread over the buckets of its values; the built-in exact
     percentile would hold all distinct values of a group in one buffer.
@@ -132,6 +136,9 @@ def exact_quantiles(
     picks = []
     for name, p in probs.items():
         position = (F.col("__n") - 1) * F.lit(float(p))
+        if plotting is not None:
+            spot = F.col("__n") * float(p) + (plotting + p * (1 - 2 * plotting) - 1)
+            position = F.least(F.greatest(spot, F.lit(0.0)), (F.col("__n") - 1).cast("double"))
         base = F.floor(position)
         above = F.least(base + 1, F.col("__n") - 1)
         covers = lambda k: (k >= low) & (k < F.col("__hi"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.scalars import hash32
+from ..functions.scalars import hash32, quoted
 
 _RANGE_BITS = 12
 
@@ -48,7 +48,7 @@ def hash_rank(
         hashed.withColumn("__pos", F.row_number().over(inside))
         .join(offsets, [*by, "__range"])
         .withColumn(out, F.col("__before") + F.col("__pos"))
-        .select(*df.columns, out)
+        .select(*[quoted(c) for c in df.columns], out)
     )
 
 
@@ -79,7 +79,7 @@ def _smallest(df: DataFrame, row_id: str, seed: int, wanted: Column, by: Sequenc
         .withColumn("__pos", F.row_number().over(inside))
         .withColumn(out, F.col("__pos") <= F.col("__short"))
     )
-    columns = [*df.columns, out]
+    columns = [quoted(c) for c in df.columns] + [F.col(out)]
     return clear.select(*columns).unionByName(cut.select(*columns))
 
 
@@ -121,17 +121,24 @@ def subset(df: DataFrame, share: float, seed: int = fv.SEED, row_id: str = "row_
 
 
 def permute(
-    df: DataFrame, columns: Sequence[str], seed: int | str, row_id: str = "row_id", suffix: str = ""
+    df: DataFrame, columns: Sequence[str], seed: int | str, row_id: str = "row_id", suffix: str = "",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Shuffle ``columns`` (together) over the rows.
+    """Shuffle ``columns`` (together) over the rows, separately in each ``by`` group.
 
     The row at position k of one hash order receives the values at position k of another;
-    an equi-join on the position, evenly spread by construction.
+    an equi-join on the position, evenly spread by construction. With ``suffix`` the
+    shuffled values come next to the original columns.
     """
-    donors = hash_rank(df.select(row_id, *columns), row_id, f"{seed}:donor", "__k").select(
-        "__k", *[F.col(c).alias(f"__d_{c}") for c in columns]
+    by = list(by)
+
+    def order(role: str) -> Column:
+        return F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.lit(role))
+
+    donors = hash_rank(df.select(*by, row_id, *map(quoted, columns)), row_id, order("donor"), "__k", by).select(
+        *by, "__k", *[quoted(c).alias(f"__d_{c}") for c in columns]
     )
-    takers = hash_rank(df, row_id, f"{seed}:taker", "__k")
-    joined = takers.join(donors, "__k")
-    keep = [c for c in df.columns if suffix or c not in columns]
-    return joined.select(*keep, *[F.col(f"__d_{c}").alias(f"{c}{suffix}") for c in columns])
+    takers = hash_rank(df, row_id, order("taker"), "__k", by)
+    joined = takers.join(donors, [*by, "__k"])
+    keep = [quoted(c) for c in df.columns if suffix or c not in columns]
+    return joined.select(*keep, *[quoted(f"__d_{c}").alias(f"{c}{suffix}") for c in columns])

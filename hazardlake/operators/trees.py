@@ -105,9 +105,8 @@ def nodes_from_table(table: DataFrame) -> list[Node]:
     return [Node(**r.asDict()) for r in table.collect()]
 
 
-def _splits(assigned: DataFrame, level: int, p: int, reg_lambda: float, gamma: float,
-            min_child_weight: float, mtry: int | None, seed: int) -> DataFrame:
-    """Best split of every node of the level, plus the node totals.
+def candidates(assigned: DataFrame, level: int, p: int, reg_lambda: float, min_child_weight: float) -> DataFrame:
+    """Every possible split of every node of the level with its gain (-1 if not allowed).
 
     Only non-zero bins are emitted: a 0/1 feature costs one record where it is 1 and none
     where it is 0, the zero side being node total minus right side.
@@ -138,7 +137,7 @@ def _splits(assigned: DataFrame, level: int, p: int, reg_lambda: float, gamma: f
         " array(struct(bin as split_bin, false as missing_right, rg as g, rh as h),"
         " struct(bin as split_bin, true as missing_right, rg + mg as g, rh + mh as h))))) as s" % p,
     )
-    scored = sided.selectExpr(
+    return sided.selectExpr(
         "fit", "tree", "node", "feature", "tg", "th", "s.*",
     ).selectExpr(
         "*",
@@ -146,7 +145,14 @@ def _splits(assigned: DataFrame, level: int, p: int, reg_lambda: float, gamma: f
         f" g * g / (h + {reg_lambda!r}D) + (tg - g) * (tg - g) / (th - h + {reg_lambda!r}D)"
         f" - tg * tg / (th + {reg_lambda!r}D), -1D) as gain",
     )
+
+
+def _splits(assigned: DataFrame, level: int, p: int, reg_lambda: float, gamma: float,
+            min_child_weight: float, mtry: int | None, seed: int) -> DataFrame:
+    """Best split of every node of the level, plus the node totals."""
+    scored = candidates(assigned, level, p, reg_lambda, min_child_weight)
     if mtry is not None:
+        node_w = "partition by fit, tree, node"
         draw = f"if(gain > 0, xxhash64({seed}, tree, node, feature), null)"
         scored = scored.selectExpr(
             "*", f"dense_rank() over ({node_w} order by {draw} nulls last) as drawn"
@@ -233,6 +239,19 @@ def importance(nodes: DataFrame, features: Sequence[str], kind: str = "weight",
     )
 
 
+def split_gains(df: DataFrame, features: Sequence[str], reg_lambda: float, bins: int = 2) -> DataFrame:
+    """Best root gain of each feature for rows with ``gradient`` and ``curvature``."""
+    binner = fit_binner(df, features, bins)
+    stats = binner.transform(df).selectExpr(
+        "0 as fit", "0 as tree", "bins", "gradient as g", "curvature as h"
+    ).groupBy("fit", "tree", "bins").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    scored = candidates(stats.withColumn("node", F.lit(0)), 0, len(features), reg_lambda, 0.0)
+    names = df.sparkSession.createDataFrame(list(enumerate(features)), "feature int, name string")
+    return scored.filter("gain >= 0").groupBy("feature").agg(F.max("gain").alias("gain")).join(
+        F.broadcast(names), "feature"
+    ).select(F.col("name").alias("feature"), "gain")
+
+
 class Ensemble:
     """Packed trees for vectorised scoring inside tasks; size grows with the model only."""
 

@@ -9,10 +9,10 @@ from ..functions import fixed_values as fv
 from ..functions import scalars as sc
 from ..operators import cleaning as cl
 from ..operators import concordance as cc
-from ..operators import eda, encoding, joining, km, risk, sampling
+from ..operators import boosted, cox, eda, encoding, explain, forest, joining, km, risk, sampling, trees
 from ..session import materialize, scratch_path
 from ..sources import files
-from . import cohort
+from . import cohort, compare, diagnostics
 
 DIGITS = 6
 STAGE, SITE, AGE = cl.STAGE, cl.SITE, cl.AGE
@@ -303,6 +303,183 @@ def fold_score_summary(spark, sf_dir):
     scores = cc.concordance(folds, ["fold"]).withColumn("model_name", F.lit("fixed"))
     return rounded(eda.fold_summary(scores, ["model_name"]), "mean_c_index", "std_c_index")
 
+# ---- models ------------------------------------------------------------------------------
+
+QUICK = {
+    fv.FOREST: {"trees": 5, "max_depth": 3},
+    fv.BOOSTED: {"rounds": 3, "max_depth": 2},
+}
+
+
+def _train_rows(spark, sf_dir):
+    encoder, table = _encoded(spark, sf_dir)
+    table = materialize(table, "encoded")
+    return encoder, table, table.filter("split = 'train'")
+
+
+def cox_score_at_zero(spark, sf_dir):
+    """Gradient of the Efron partial likelihood at coefficients 0, per feature."""
+    encoder, table = _encoded(spark, sf_dir)
+    return rounded(cox.score_at_zero(table, encoder.columns), "gradient")
+
+
+def cox_coefficients(spark, sf_dir):
+    encoder, _, train = _train_rows(spark, sf_dir)
+    return cox.fit_cox(train, encoder.columns).table(spark)
+
+
+def cox_risk(spark, sf_dir):
+    encoder, table, train = _train_rows(spark, sf_dir)
+    model = cox.fit_cox(train, encoder.columns)
+    return table.select("row_id", "split", model.risk().alias("risk"))
+
+
+def hazard_ratios(spark, sf_dir):
+    encoder, _, train = _train_rows(spark, sf_dir)
+    return cox.hazard_ratios(cox.fit_cox(train, encoder.columns).table(spark))
+
+
+def boosted_grad_round1(spark, sf_dir):
+    start = stored_features(spark, sf_dir).withColumn("margin", F.lit(0.0))
+    return rounded(
+        boosted.gradients(start).select("row_id", "gradient", "curvature"), "gradient", "curvature"
+    )
+
+
+def boosted_root_gain(spark, sf_dir):
+    """Gain of the first tree's root split on each 0/1 feature, all rows, L2 0.1."""
+    encoder, table = _encoded(spark, sf_dir)
+    dummies = [c for c in encoder.columns if c != AGE]
+    start = boosted.gradients(table.withColumn("margin", F.lit(0.0)))
+    return rounded(trees.split_gains(start, dummies, reg_lambda=0.1), "gain")
+
+
+def boosted_scores(spark, sf_dir):
+    encoder, table, train = _train_rows(spark, sf_dir)
+    model = boosted.fit_boosted(train, encoder.columns, **QUICK[fv.BOOSTED])
+    return model.score(table).select("row_id", "split", "risk")
+
+
+def importance_split_count(spark, sf_dir):
+    encoder, _, train = _train_rows(spark, sf_dir)
+    return boosted.fit_boosted(train, encoder.columns, **QUICK[fv.BOOSTED]).importance(spark, "weight")
+
+
+def importance_gain(spark, sf_dir):
+    encoder, _, train = _train_rows(spark, sf_dir)
+    return boosted.fit_boosted(train, encoder.columns, **QUICK[fv.BOOSTED]).importance(spark, "gain")
+
+
+def logrank_score(spark, sf_dir):
+    df = stored_features(spark, sf_dir)
+    hazard = km.nelson_aalen(df, cuts=None).select(F.col("t").alias(TIME), "cumulative_hazard")
+    scores = df.join(hazard, TIME).select("row_id", (F.col(EVENT) - F.col("cumulative_hazard")).alias("score"))
+    return rounded(scores, "score")
+
+
+def _forest(spark, sf_dir):
+    encoder, table, train = _train_rows(spark, sf_dir)
+    return table, forest.fit_forest(train, encoder.columns, **QUICK[fv.FOREST])
+
+
+def forest_risk(spark, sf_dir):
+    table, model = _forest(spark, sf_dir)
+    return model.score(table).select("row_id", "split", "risk")
+
+
+def forest_curves(spark, sf_dir):
+    table, model = _forest(spark, sf_dir)
+    return model.curves(table)[1]
+
+
+def predicted_median(spark, sf_dir):
+    table, model = _forest(spark, sf_dir)
+    return model.median_time(table).select("row_id", "predicted_survival_time")
+
+
+# ---- explanation, comparison, diagnostics ------------------------------------------------
+
+_SCORED_FEATURES = [AGE, STAGE]
+
+
+def _fixed_scorer(df: DataFrame, replace: dict) -> DataFrame:
+    shown = df
+    for f, source in replace.items():
+        shown = shown.drop(f).withColumnRenamed(source, f)
+    return shown.withColumn("risk", fixed_score())
+
+
+def pdp_linear(spark, sf_dir):
+    df = stored_features(spark, sf_dir)
+    table = explain.partial_dependence(df, _fixed_scorer, _SCORED_FEATURES, [AGE])
+    return rounded(table, "value", "mean_prediction")
+
+
+def ice_linear(spark, sf_dir):
+    df = stored_features(spark, sf_dir)
+    table = explain.individual_curves(df, _fixed_scorer, _SCORED_FEATURES, [AGE], points=20)
+    return rounded(table, "value", "prediction")
+
+
+def permutation_importance_linear(spark, sf_dir):
+    df = stored_features(spark, sf_dir)
+    table = explain.permutation_importance(df, _fixed_scorer, _SCORED_FEATURES, repeats=3)
+    return rounded(table, "importance_mean", "importance_std")
+
+
+def permutation_importance_forest(spark, sf_dir):
+    table, model = _forest(spark, sf_dir)
+    test = table.filter("split = 'test'")
+    return explain.permutation_importance(
+        test, lambda d, replace: model.score(d, replace=replace), model.binner.features, repeats=3
+    )
+
+
+def _boosted(spark, sf_dir):
+    encoder, _, train = _train_rows(spark, sf_dir)
+    model = boosted.fit_boosted(train, encoder.columns, **QUICK[fv.BOOSTED])
+    return train, encoder.columns, lambda d, replace: model.margin(d, "risk", replace=replace)
+
+
+def pdp_boosted(spark, sf_dir):
+    train, columns, scorer = _boosted(spark, sf_dir)
+    return explain.partial_dependence(train, scorer, columns, [AGE, f"{STAGE}_Stage IV"], points=20)
+
+
+def ice_boosted(spark, sf_dir):
+    train, columns, scorer = _boosted(spark, sf_dir)
+    return explain.individual_curves(train, scorer, columns, [AGE], points=20)
+
+
+def _split(spark, sf_dir, *drop):
+    split = sampling.stratified_holdout(stored_features(spark, sf_dir).drop("case_id", *drop))
+    return materialize(split, "split")
+
+
+def model_comparison(spark, sf_dir):
+    return compare.compare_models(_split(spark, sf_dir, "age_group"), settings=QUICK).report
+
+
+def diag_gap(spark, sf_dir):
+    return diagnostics.train_test_gap(_split(spark, sf_dir, "age_group"), settings=QUICK)
+
+
+def diag_redundancy(spark, sf_dir):
+    return diagnostics.feature_redundancy(_split(spark, sf_dir), models=[fv.COX], settings=QUICK)
+
+
+def diag_complexity(spark, sf_dir):
+    settings = {fv.BOOSTED: {"rounds": 1}}
+    return diagnostics.complexity(_split(spark, sf_dir, "age_group"), depths=[1, 3], settings=settings)
+
+
+def diag_learning_curve(spark, sf_dir):
+    return diagnostics.learning_curves(_split(spark, sf_dir, "age_group"), settings=QUICK)
+
+
+def diag_permutation(spark, sf_dir):
+    return diagnostics.permutation_test(_split(spark, sf_dir, "age_group"), repeats=3, settings=QUICK)
+
 
 QUERIES = {
     f.__name__: f
@@ -317,5 +494,11 @@ QUERIES = {
         nelson_aalen, risk_terciles,
         onehot_encode, align_columns, signed_label, stratified_holdout, kfold_assign,
         subset_fraction, permute_labels, cindex_fixed_score, cindex_by_fold, fold_score_summary,
+        cox_score_at_zero, cox_coefficients, cox_risk, hazard_ratios,
+        boosted_grad_round1, boosted_root_gain, boosted_scores, importance_split_count, importance_gain,
+        logrank_score, forest_risk, forest_curves, predicted_median,
+        pdp_linear, ice_linear, permutation_importance_linear, permutation_importance_forest,
+        pdp_boosted, ice_boosted, model_comparison,
+        diag_gap, diag_redundancy, diag_complexity, diag_learning_curve, diag_permutation,
     )
 }

@@ -159,6 +159,81 @@ _TEXTS = """row_id, case when ev = 1 then 'Dead' else 'Alive' end as vital_statu
  case when ev = 1 then raw_days::varchar else '''--' end as days_to_death,
  age as age_at_index, substage as ajcc_pathologic_stage, site as tissue_or_organ_of_origin"""
 
+_DUMMIES = [(f"ajcc_pathologic_stage_{s}", f"ajcc_pathologic_stage = '{s}'") for s in _STAGES[1:]] + [
+    (f"tissue_or_organ_of_origin_NATION_{i}", f"tissue_or_organ_of_origin = 'NATION_{i}'") for i in range(1, 7)
+]
+_LONG = "long as (select row_id, event_occurred as e, observed_time as t, unnest(f) as f from (select *, [" + ", ".join(
+    ["{'name': 'age_at_index', 'x': age_at_index}"]
+    + [f"{{'name': '{n}', 'x': (case when {c} then 1.0 else 0.0 end)::double}}" for n, c in _DUMMIES]
+) + "] as f from cohort))"
+
+
+def _cox_gradient() -> str:
+    return of_cohort(
+        "select feature, round(sum(dx) - sum(expected), 6) as gradient from terms group by 1",
+        f"""{_LONG},
+    pt as (select f.name as feature, t, sum(e) as d, count(*) as m, sum(f.x) as sx, sum(f.x * e) as dx from long group by 1, 2),
+    rs as (select *, sum(m) over w as n, sum(sx) over w as big from pt window w as (partition by feature order by t desc)),
+    terms as (select feature, dx, coalesce((select sum((big - l * 1.0 / d * dx) / (n - l)) from unnest(range(d::bigint)) u(l)), 0) as expected from rs)""",
+    )
+
+
+_BRESLOW = """
+    pt as (select observed_time as t, sum(event_occurred) as d, count(*) as m from cohort group by 1),
+    rs as (select *, sum(m) over (order by t desc) as n from pt),
+    ab as (select t, sum(d / n) over (order by t) as a, sum(d / (n * 1.0 * n)) over (order by t) as b from rs),
+    gh as (select cohort.*, a, a - event_occurred as g, a - b as h from cohort join ab on t = observed_time)"""
+
+
+def _root_gain() -> str:
+    each = " union all ".join(
+        f"""select '{name}' as feature, sum(case when {cond} then g else 0 end) as gr, sum(case when {cond} then h else 0 end) as hr,
+        sum(g) as gt, sum(h) as ht from gh""" for name, cond in _DUMMIES
+    )
+    return of_cohort(
+        """select feature, round(gr * gr / (hr + 0.1) + (gt - gr) * (gt - gr) / (ht - hr + 0.1) - gt * gt / (ht + 0.1), 6) as gain
+        from (select * from sums) where hr > 0""",
+        f"{_BRESLOW}, sums as ({each})",
+    )
+
+
+def _age_grid(points: int) -> str:
+    def edge(p: float, name: str) -> str:
+        return f"(select least(greatest(n * {p} + 0.4 + 0.2 * {p} - 1, 0), n - 1) as pos from cnt) {name}"
+
+    return f"""
+    cnt as (select count(*) as n from cohort),
+    sorted as (select age_at_index as v, row_number() over (order by age_at_index) - 1 as k from cohort),
+    ends as (select p, max(case when k = floor(pos) then v end) as a, max(case when k = least(floor(pos) + 1, n - 1) then v end) as b,
+        max(pos - floor(pos)) as f from sorted, cnt, (select 0 as p, pos from {edge(0.05, 'x')} union all select 1, pos from {edge(0.95, 'y')}) group by p),
+    lim as (select max(case when p = 0 then a + (b - a) * f end) as lo, max(case when p = 1 then a + (b - a) * f end) as hi from ends),
+    grid as (select lo + (hi - lo) * i / {points - 1} as v from lim, unnest(range({points})) u(i))"""
+
+
+_WEIGHT = "case ajcc_pathologic_stage when 'Stage II' then 0.5 when 'Stage III' then 1.0 when 'Stage IV' then 1.8 else 0.0 end"
+
+
+def _permutation() -> str:
+    body = f"""
+    reps as (select cohort.*, r::int as repeat from cohort, unnest(range(3)) u(r)),
+    don as (select repeat, age_at_index as age_d, ajcc_pathologic_stage as stage_d,
+        row_number() over (partition by repeat order by {hashed("'42'", "repeat", "'donor'", "row_id")}, row_id) as k from reps),
+    tak as (select *, row_number() over (partition by repeat order by {hashed("'42'", "repeat", "'taker'", "row_id")}, row_id) as k from reps),
+    both_ as (select * from tak join don using (repeat, k)),
+    wide as (select 'age_at_index' as feature, repeat, event_occurred, observed_time, round(0.03 * (age_d - 60) + {_WEIGHT}, 8) as risk from both_
+      union all select 'ajcc_pathologic_stage', repeat, event_occurred, observed_time,
+        round(0.03 * (age_at_index - 60) + {_WEIGHT.replace('ajcc_pathologic_stage', 'stage_d')}, 8) from both_
+      union all select 'real', 0, event_occurred, observed_time, round(0.03 * (age_at_index - 60) + {_WEIGHT}, 8) from cohort),
+    ci as (select a.feature, a.repeat, sum(case when a.risk > b.risk then 1.0 when a.risk = b.risk then 0.5 else 0 end) / count(*) as c
+       from wide a join wide b on a.feature = b.feature and a.repeat = b.repeat and a.event_occurred = 1 and
+       (a.observed_time < b.observed_time or (a.observed_time = b.observed_time and b.event_occurred = 0)) group by all)"""
+    return of_cohort(
+        """select feature, round(avg(r.c - ci.c), 6) as importance_mean, round(stddev_pop(r.c - ci.c), 6) as importance_std
+        from ci, (select c from ci where feature = 'real') r where feature <> 'real' group by 1""",
+        body,
+    )
+
+
 ORACLE = {
     "ingest_tsv_roundtrip": raw(f"select {_TEXTS} from raw"),
     "csv_roundtrip": of_cohort(f"select {_FEATURES}, age_group from cohort"),
@@ -241,4 +316,14 @@ ORACLE = {
     "cindex_by_fold": _cindex_folds(),
     "fold_score_summary": _cindex_folds("""select 'fixed' as model_name, round(avg(c_index), 6) as mean_c_index,
         round(stddev_pop(c_index), 6) as std_c_index from ci where c_index > 0"""),
+    "cox_score_at_zero": _cox_gradient(),
+    "boosted_grad_round1": of_cohort("select row_id, round(g, 6) as gradient, round(h, 6) as curvature from gh", _BRESLOW),
+    "boosted_root_gain": _root_gain(),
+    "logrank_score": of_cohort("select row_id, round(event_occurred - a, 6) as score from gh", _BRESLOW),
+    "pdp_linear": of_cohort(f"""select 'age_at_index' as feature, round(v, 6) as value,
+        round(avg(round(0.03 * (v - 60) + {_WEIGHT}, 8)), 6) as mean_prediction from grid, cohort group by v""", _age_grid(100)),
+    "ice_linear": of_cohort(f"""select row_id, 'age_at_index' as feature, round(v, 6) as value,
+        round(0.03 * (v - 60) + {_WEIGHT}, 6) as prediction
+        from (select * from cohort order by {hashed("'42'", "row_id")}, row_id limit 100), grid""", _age_grid(20)),
+    "permutation_importance_linear": _permutation(),
 }
