@@ -13,6 +13,7 @@ levels (about 6 for day counts), and every step is an aggregation or a bucketed
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,7 @@ from .prefix import cut_points, running
 RADIX_BITS = 2
 _DIGITS = range(1 << RADIX_BITS)
 RISK_DECIMALS = 8
+BROADCAST_TIMES = 500_000
 
 
 def _checked(risk: Column) -> Column:
@@ -71,7 +73,10 @@ def pair_counts(
     # dense rank of the distinct times over all groups: ranks only have to keep the order
     times = collapsed.select("__t").distinct().withColumn("__one", F.lit(1))
     ranks = running(times, [], "__t", sums={"__rank": "__one"}, cuts=time_cuts).select("__t", "__rank")
-    ranked = collapsed.join(ranks, "__t")
+    ranks = materialize(ranks, "ranks")
+    n_times = ranks.count()
+    levels = max(1, math.ceil((2 * n_times + 1).bit_length() / RADIX_BITS))
+    ranked = collapsed.join(F.broadcast(ranks) if n_times <= BROADCAST_TIMES else ranks, "__t")
 
     side = F.explode(F.array(
         F.struct((2 * F.col("__rank")).alias("r"), F.col("__e").alias("e"), F.col("__e").alias("m")),
@@ -80,13 +85,9 @@ def pair_counts(
     )).alias("s")
     sides = ranked.select(*by, "__risk", side).select(*by, "__risk", "s.*").filter("m > 0")
 
-    # one copy per level the largest rank needs, the level count being a scalar subquery
-    top = times.agg((2 * F.count(F.lit(1)) + 1).alias("top"))
-    levels = top.select(
-        F.greatest(F.lit(1), F.ceil(F.length(F.bin("top")) / RADIX_BITS)).cast("int")
-    ).scalar()
+    # one copy per digit level
     copies = sides.select(
-        *by, "__risk", "r", "e", "m", F.explode(F.sequence(F.lit(0), levels - 1)).alias("level")
+        *by, "__risk", "r", "e", "m", F.explode(F.lit(list(range(levels)))).alias("level")
     )
     digit = F.expr(f"cast(shiftright(r, {RADIX_BITS} * level) & {len(_DIGITS) - 1} as int)")
     prefix = F.expr(f"shiftright(r, {RADIX_BITS} * (level + 1))")
@@ -95,8 +96,8 @@ def pair_counts(
         copies.select(*by, "__risk", "e", "m", "level", prefix.alias("prefix"), digit.alias("digit"))
         .groupBy(*block, "__risk")
         .agg(
-            *[F.sum(F.when(F.col("digit") == k, F.col("e")).otherwise(0)).alias(f"e{k}") for k in _DIGITS],
-            *[F.sum(F.when(F.col("digit") == k, F.col("m")).otherwise(0)).alias(f"n{k}") for k in _DIGITS],
+            *[F.expr(f"sum(if(digit = {k}, e, 0)) as e{k}") for k in _DIGITS],
+            *[F.expr(f"sum(if(digit = {k}, m, 0)) as n{k}") for k in _DIGITS],
         )
     )
     # running totals over ascending risk; events above a risk = all events - events up to it

@@ -51,6 +51,11 @@ def test_train_score_interpret(spark, prepared):
     assert {"OS", "OS_time", "predicted_survival_time"} <= set(predicted.columns)
     assert predicted.filter("predicted_survival_time is null").count() == 0
 
+    # terciles need a score with many values, so take the Cox model as the best one
+    spark.createDataFrame([(fv.COX,)], "model_name string").write.mode("overwrite").parquet(f"{folder}/models/best")
+    curves = pipeline.curves_by_risk(spark, features, folder)
+    assert {r[0] for r in curves.select("risk_group").distinct().collect()} == set(fv.RISK_LABELS)
+
     tables = pipeline.interpret(spark, result, folder, repeats=2)
     assert tables["hazard_ratios"].count() == len(encoder.columns)
 
