@@ -207,7 +207,9 @@ def _age_grid(points: int) -> str:
     ends as (select p, max(case when k = floor(pos) then v end) as a, max(case when k = least(floor(pos) + 1, n - 1) then v end) as b,
         max(pos - floor(pos)) as f from sorted, cnt, (select 0 as p, pos from {edge(0.05, 'x')} union all select 1, pos from {edge(0.95, 'y')}) group by p),
     lim as (select max(case when p = 0 then a + (b - a) * f end) as lo, max(case when p = 1 then a + (b - a) * f end) as hi from ends),
-    grid as (select lo + (hi - lo) * i / {points - 1} as v from lim, unnest(range({points})) u(i))"""
+    few as (select count(distinct age_at_index) <= {points} as few from cohort),
+    grid as (select lo + (hi - lo) * i / {points - 1} as v from lim, few, unnest(range({points})) u(i) where not few
+        union all select distinct age_at_index from cohort, few where few)"""
 
 
 _WEIGHT = "case ajcc_pathologic_stage when 'Stage II' then 0.5 when 'Stage III' then 1.0 when 'Stage IV' then 1.8 else 0.0 end"
@@ -274,7 +276,8 @@ ORACLE = {
         from cohort where substr(tissue_or_organ_of_origin, 8)::int < 5 group by 1"""),
     "counts_sorted_by_stage": of_cohort("select ajcc_pathologic_stage, count(*) as n from cohort group by 1"),
     "distinct_stages": of_cohort("select distinct ajcc_pathologic_stage from cohort"),
-    "mortality_by_age_band": of_cohort("""select (dense_rank() over (order by age_group) - 1)::int as band_order,
+    "mortality_by_age_band": of_cohort("""select case age_group when 'age_0_40' then 0 when 'age_40_50' then 1 when 'age_50_60' then 2
+        when 'age_60_70' then 3 when 'age_70_80' then 4 else 5 end as band_order,
         replace(substr(age_group, 5), '_', '-') as band, count(*) as total, sum(event_occurred)::bigint as deaths,
         round(sum(event_occurred) * 100.0 / count(*), 6) as death_rate_pct
         from cohort where age_group is not null group by age_group"""),
