@@ -23,7 +23,7 @@ from ..functions import fixed_values as fv
 from ..session import materialize
 from .boosted import BROADCAST_CELLS, collapse
 from .km import at_risk, nelson_aalen
-from .prefix import running
+from .prefix import cut_points, running
 from .trees import Binner, Ensemble, Node, add_leaves, add_total, fit_binner, grow, node_table, nodes_from_table
 
 HALF = 0.5 + 1e-12
@@ -189,9 +189,10 @@ def fit_forest(
 
     # curves of the leaves from the same draws
     in_leaf = bag.join(assigned.select("fit", "tree", "bins", "node"), ["fit", "tree", "bins"])
-    table, cuts = at_risk(in_leaf, ["fit", "tree", "node"], "t", "e", None, "w")
+    cuts = cut_points(hazard, "t")  # empty for bounded times
+    table, _ = at_risk(in_leaf, ["fit", "tree", "node"], "t", "e", cuts, "w")
     steps = table.filter("d > 0").withColumn("factor", 1 - F.col("d") / F.col("n"))
-    curve = running(steps, ["fit", "tree", "node"], "t", products={"s": "factor"})
+    curve = running(steps, ["fit", "tree", "node"], "t", products={"s": "factor"}, cuts=cuts)
     # S drops by S(t-) - S(t); with S(t-) = S(t) / factor that is S(t-) * d / n
     before = F.expr(
         "coalesce(lag(s) over (partition by fit, tree, node order by t), 1D)"
@@ -207,7 +208,8 @@ def fit_forest(
     event_times = hazard.filter("events > 0").select("fit", "t", (-F.col("t")).alias("back")).withColumn(
         "one", F.lit(1)
     )
-    later = running(event_times, ["fit"], "back", sums={"later": "one"}).select("fit", "t", "later")
+    back_cuts = [-c for c in reversed(cuts)]
+    later = running(event_times, ["fit"], "back", sums={"later": "one"}, cuts=back_cuts).select("fit", "t", "later")
     later = F.broadcast(later) if n_times <= BROADCAST_CELLS else later
     risks = drops.join(later, ["fit", "t"]).groupBy("fit", "tree", "node").agg(
         F.expr("sum(hazard_step * later) as risk")

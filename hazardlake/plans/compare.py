@@ -22,6 +22,7 @@ from ..session import materialize
 
 log = logging.getLogger(__name__)
 MODELS = [fv.COX, fv.FOREST, fv.BOOSTED]
+MAX_CATEGORIES = 10_000
 Model = CoxModel | ForestModel | BoostedModel
 
 
@@ -57,7 +58,9 @@ def _fold_encoders(train: DataFrame, roles: Roles, folds: int) -> dict[int, Enco
         F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").alias("v")) for c in roles.categorical
     ]))
     seen = train.select("fold", pairs.alias("p")).select("fold", "p.c", "p.v").filter("v is not null").distinct()
-    rows = seen.collect()
+    rows = seen.limit(folds * MAX_CATEGORIES + 1).collect()
+    if len(rows) > folds * MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories to one-hot encode")
     out = {}
     for k in range(folds):
         categories = {
