@@ -233,3 +233,31 @@ def test_importance_and_dependence(spark, encoded, boosted_model):
     assert ice.count() == 14
     lost = explain.permutation_importance(table, scorer, columns, repeats=2).collect()
     assert lost[0].importance_mean > 0.02 and {r.feature for r in lost} == set(columns)
+
+
+def test_bucketed_windows_change_no_model(monkeypatch, encoded, cox_model, forest_model, boosted_model):
+    """Force the path for unbounded times and cells: cut points everywhere, no broadcasts."""
+    from hazardlake.operators import concordance as cc
+    from hazardlake.operators import km, prefix
+
+    def small(df, order, rows_per_bucket=None):
+        return prefix.cut_points(df, order, 40)
+
+    for module in (cox, boosted, forest, km, cc):
+        monkeypatch.setattr(module, "cut_points", small)
+    for module in (boosted, forest):
+        monkeypatch.setattr(module, "BROADCAST_CELLS", 10)
+    monkeypatch.setattr(cox, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(cc, "BROADCAST_TIMES", 10)
+    columns, table = encoded
+    again = cox.fit_cox(table, columns)
+    assert np.allclose(again.coef[None], cox_model.coef[None], atol=1e-9)
+    grown = boosted.fit_boosted(table, columns, **(QUICK_BOOST | {"rounds": 2}))
+    first = [n for n in boosted_model.nodes if n.tree < 2]
+    key = lambda n: (n.tree, n.node)
+    for a, b in zip(sorted(grown.nodes, key=key), sorted(first, key=key), strict=True):
+        assert (a.feature, a.split_bin) == (b.feature, b.split_bin) and abs(a.value - b.value) < 1e-9
+    trees_again = forest.fit_forest(table, columns, **QUICK_FOREST)
+    for a, b in zip(sorted(trees_again.nodes, key=key), sorted(forest_model.nodes, key=key), strict=True):
+        assert (a.feature, a.split_bin) == (b.feature, b.split_bin) and abs(a.value - b.value) < 1e-8
+    assert abs(c_index(trees_again.score(table)) - c_index(forest_model.score(table))) < 1e-9
