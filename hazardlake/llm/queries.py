@@ -4,20 +4,91 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazardlake.llm import ngram_join
+from hazardlake.llm import merkle, ngram_join, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_vocabulary() -> str:
+    """The word-level vocabulary file of the installed package, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every token piece of every document."""
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), word_vocabulary()))
+
+
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and its edited text."""
+    return merkle.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""
     return ngram_join.near_components(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
 }
 
-ORACLE: dict[str, str] = {}
+_PIECE = r"[^.,;:!?|\n]{0,80}[.,;:!?|\n]|[^.,;:!?|\n]{1,80}"
+
+
+def _tree_sql(text: str) -> str:
+    """Root hash of the paragraph and section tree."""
+    paragraphs = f"list_transform(string_split({text}, chr(10)), p -> {{'h': sha256(p), 'e': p = ''}})"
+    marked = f"list_transform({paragraphs}, x -> x.h || case when x.e or x.h[1] in ('0', '1') then ';' else ',' end)"
+    sections = f"string_split(rtrim(array_to_string({marked}, ''), ',;'), ';')"
+    return f"sha256(array_to_string(list_transform({sections}, s -> sha256(s)), ','))"
+
+
+def _near_sql(a: str, b: str) -> str:
+    total = lambda x: f"coalesce(list_sum(list_transform({x}, s -> length(s))), 0)"
+    both = f"({total(a)} + {total(b)})"
+    return f"case when {both} = 0 then 1.0 else 2 * {total(f'list_intersect({a}, {b})')} / {both} end::double"
+
+
+ORACLE: dict[str, str] = {
+    "op2_document_fingerprints": f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+n as (select doc_id, text, length(text) as n_chars,
+        coalesce(lead(text) over (order by doc_id nulls first, text),
+                 first_value(text) over (order by doc_id nulls first, text)) as after
+      from d),
+e as (select *, substr(text, 1, n_chars - n_chars // 2) || substr(after, 1, n_chars // 2) as edited from n),
+l as (select *, list_distinct(regexp_extract_all(text, '{_PIECE}')) as own,
+        list_distinct(regexp_extract_all(edited, '{_PIECE}')) as new,
+        list_distinct(regexp_extract_all(after, '{_PIECE}')) as follow from e)
+select doc_id, n_chars, sha256(edited) as edited_sha256, {_tree_sql('text')} as fingerprint,
+       {_tree_sql('edited')} as edited_fingerprint, {_near_sql('own', 'new')} as near_edited,
+       {_near_sql('own', 'follow')} as near_next
+from l""",
+    "op4_ngram_jaccard_join": r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), x -> x <> '') as words
+  from documents),
+s as (
+  select distinct doc_id, unnest(case when len(words) >= 5
+      then list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' '))
+      when len(words) > 0 then [array_to_string(words, ' ')] else [] end) as gram,
+    len(words) < 5 as short from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as both
+      from s a join s b on a.gram = b.gram and a.short = b.short and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b
+          where 100 * both >= 75 * (x.n + y.n - both)),
+edges as (select a, b from links union select b, a from links),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, e.b from reach r join edges e on r.b = e.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
+from documents d left join n using (doc_id)
+join (select a, min(b) as component_id from reach group by a) c on c.a = d.doc_id""",
+}
