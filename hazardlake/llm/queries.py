@@ -44,14 +44,14 @@ _PIECE = r"[^.,;:!?|\n]{0,80}[.,;:!?|\n]|[^.,;:!?|\n]{1,80}"
 
 def _tree_sql(text: str) -> str:
     """Root hash of the paragraph and section tree."""
-    paragraphs = f"list_transform(string_split({text}, chr(10)), p -> {{'h': sha256(p), 'e': p = ''}})"
-    marked = f"list_transform({paragraphs}, x -> x.h || case when x.e or x.h[1] in ('0', '1') then ';' else ',' end)"
+    paragraphs = f"list_transform(string_split({text}, chr(10)), lambda p: {{'h': sha256(p), 'e': p = ''}})"
+    marked = f"list_transform({paragraphs}, lambda x: x.h || case when x.e or x.h[1] in ('0', '1') then ';' else ',' end)"
     sections = f"string_split(rtrim(array_to_string({marked}, ''), ',;'), ';')"
-    return f"sha256(array_to_string(list_transform({sections}, s -> sha256(s)), ','))"
+    return f"sha256(array_to_string(list_transform({sections}, lambda s: sha256(s)), ','))"
 
 
 def _near_sql(a: str, b: str) -> str:
-    total = lambda x: f"coalesce(list_sum(list_transform({x}, s -> length(s))), 0)"
+    total = lambda x: f"coalesce(list_sum(list_transform({x}, lambda s: length(s))), 0)"
     both = f"({total(a)} + {total(b)})"
     return f"case when {both} = 0 then 1.0 else 2 * {total(f'list_intersect({a}, {b})')} / {both} end::double"
 
@@ -74,18 +74,18 @@ from l""",
     "op4_ngram_jaccard_join": r"""
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), x -> x <> '') as words
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
   from documents),
 s as (
   select distinct doc_id, unnest(case when len(words) >= 5
-      then list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' '))
+      then list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
       when len(words) > 0 then [array_to_string(words, ' ')] else [] end) as gram,
     len(words) < 5 as short from w),
 n as (select doc_id, count(*) as n from s group by doc_id),
-o as (select a.doc_id as a, b.doc_id as b, count(*) as both
+o as (select a.doc_id as a, b.doc_id as b, count(*) as common
       from s a join s b on a.gram = b.gram and a.short = b.short and a.doc_id < b.doc_id group by 1, 2),
 links as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b
-          where 100 * both >= 75 * (x.n + y.n - both)),
+          where 100 * common >= 75 * (x.n + y.n - common)),
 edges as (select a, b from links union select b, a from links),
 reach as (select doc_id as a, doc_id as b from documents union select r.a, e.b from reach r join edges e on r.b = e.a)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
