@@ -7,6 +7,9 @@ or a round no longer merges anything.
 
 from __future__ import annotations
 
+import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -16,38 +19,83 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazardlake.llm.words import batches, find_words
 from hazardlake.session import materialize
 
 #: Items that one task packs at a time.
 GROUP_ITEMS = 200_000
-#: Distinct words whose ids a task remembers.
-CACHE_WORDS = 400_000
-#: Characters tokenised at a time.
-BATCH_CHARS = 1 << 20
+#: Distinct words whose ids a worker remembers.
+CACHE_WORDS = 1_000_000
 
 
-def tokenizer_ids(path: str, end: int):
-    """A function from texts to the little-endian 32-bit ids of each, ``end`` last.
+def kept(name: str, make):
+    """What ``make`` returns, made once per worker process; functions themselves arrive with every task."""
+    store = sys.modules.setdefault("_hazardlake_kept", types.ModuleType("_hazardlake_kept"))
+    if name not in vars(store):
+        setattr(store, name, make())
+    return getattr(store, name)
 
-    No token of this kind of vocabulary crosses white space, so ids are looked up per run of
-    characters between spaces and line ends, and only runs not seen before are tokenised.
+
+def tokenizer_ids(path: str):
+    """A function from UTF-8 texts to (all ids in order, number of ids of each text).
+
+    No token of this kind of vocabulary crosses white space and letters are lower-cased, so ids
+    are looked up by the hash of a word and only words not seen before are tokenised. Words of
+    plain letters, with at most one full stop or comma behind, skip the normaliser.
     """
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    cache: dict[str, bytes] = {}
-    last = np.array([end], dtype="<u4").tobytes()
-
-    def encode(texts: list[str]) -> Iterator[bytes]:
-        runs = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list({r for run in runs for r in run} - cache.keys())
-        for word, found in zip(new, model.encode_batch(new, add_special_tokens=False)):
-            cache[word] = np.array(found.ids, dtype="<u4").tobytes()
-        for run in runs:
-            yield b"".join(map(cache.__getitem__, run)) + last
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    letters_only = Tokenizer(whole.model)
+    letters_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    plain = re.compile("([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
+
+    def ids_of(model, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in model.encode_batch(texts, add_special_tokens=False)]
+
+    marks = dict(zip(["", ".", ","], [[], *ids_of(whole, [".", ","])]))
+
+    def tokenise(words: list[str]) -> list[list[int]]:
+        found: dict[str, list[int]] = {}
+        simple = [(w, m[1].lower(), m[2]) for w in words if (m := plain(w))]
+        bare = list({letters for _, letters, _ in simple})
+        known = dict(zip(bare, ids_of(letters_only, bare)))
+        for word, letters, mark in simple:
+            found[word] = known[letters] + marks[mark]
+        others = [w for w in words if w not in found]
+        found.update(zip(others, ids_of(whole, others)))
+        return [found[w] for w in words]
+
+    def nothing() -> dict:
+        return {"key": np.zeros(0, np.uint64), "at": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "pool": np.zeros(0, "<u4")}
+
+    table = kept("ids " + path, nothing)
+
+    def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(table["key"]) > CACHE_WORDS:
+            table.update(nothing())
+        words = find_words(texts)
+        unique, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(table["key"], unique)
+        new = np.ones(len(unique), dtype=bool)
+        inside = at < len(table["key"])
+        new[inside] = table["key"][at[inside]] != unique[inside]
+        if new.any():
+            data = words.buffer.tobytes()
+            found = tokenise(
+                [data[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())]
+            )
+            sizes = np.array([len(x) for x in found], dtype=np.int64)
+            begin = len(table["pool"]) + np.cumsum(sizes) - sizes
+            table["pool"] = np.concatenate([table["pool"], np.array([i for x in found for i in x], dtype="<u4")])
+            for name, values in (("key", unique[new]), ("at", begin), ("size", sizes)):
+                table[name] = np.insert(table[name], at[new], values)
+            at = np.searchsorted(table["key"], unique)
+        size, begin = table["size"][at][which], table["at"][at][which]
+        after = np.cumsum(size)
+        flat = table["pool"][np.repeat(begin - after + size, size) + np.arange(after[-1] if len(after) else 0)]
+        return flat, np.bincount(words.text, weights=size, minlength=len(texts)).astype(np.int64)
 
     return encode
 
@@ -65,17 +113,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer_ids(tokenizer_path, end)
+        encode = tokenizer_ids(tokenizer_path)
+        last = np.array([end], dtype="<u4").tobytes()
         for batch in parts:
-            texts = batch.column("text").to_pylist()
             rows, out = [], {n: [] for n in names[1:]}
-            first = 0
-            while first < len(texts):
-                stop, size = first, 0
-                while stop < len(texts) and (stop == first or size < BATCH_CHARS):
-                    size += len(texts[stop] or "")
-                    stop += 1
-                for row, ids in zip(range(first, stop), encode([t or "" for t in texts[first:stop]])):
+            for first, texts in batches(batch.column("text")):
+                flat, counts = encode(texts)
+                data, begin = flat.tobytes(), 0
+                for row, count in enumerate(counts.tolist(), first):
+                    ids = data[begin : begin + 4 * count] + last
+                    begin += 4 * count
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         rows.append(row)
@@ -85,7 +132,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int
                         out["ids_crc32"].append(zlib.crc32(part))
                         if with_ids:
                             out["ids"].append(part)
-                first = stop
             kinds = {"piece": pa.int32(), "ids": pa.binary()}
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(out[n], kinds.get(n, pa.int64())) for n in names[1:])],

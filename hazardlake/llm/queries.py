@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlake.llm import ann, merkle, ngram_join, packing
+from hazardlake.llm import ann, merkle, ngram_join, packing, quality, secret_scan, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +39,39 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_components(_table(spark, sf_dir, "documents"))
 
 
+def rank_vocabulary() -> dict[str, str]:
+    """The byte-pair ranks of the installed package and their splitting rule."""
+    import public_tokenizers
+
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), **rank_vocabulary())
+    listed = F.transform("spans", lambda s: F.concat_ws(":", s.kind, s.start, s.end))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(listed, ",").alias("spans"))
+
+
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its archive holds it."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document and whether it is kept."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return quality.resample(docs, labels).select("doc_id", "log_weight", "key", "kept")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_secret_scans": op5_secret_scans,
+    "op6_warc_round_trip": op6_warc_round_trip,
+    "op10_quality_resampling": op10_quality_resampling,
 }
 
 _PIECE = r"[^.,;:!?|\n]{0,80}[.,;:!?|\n]|[^.,;:!?|\n]{1,80}"
@@ -64,6 +92,14 @@ def _near_sql(a: str, b: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op6_warc_round_trip": """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, octet_length(encode(html))::bigint as payload_bytes, sha256(html) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by 1)
+select d.page_id, payload_bytes, payload_digest,
+       case when first <> d.page_id then 'revisit' else 'response' end as record_type,
+       case when first <> d.page_id then first end as refers_to
+from d left join f using (payload_digest)""",
     "op2_document_fingerprints": f"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 n as (select doc_id, text, length(text) as n_chars,

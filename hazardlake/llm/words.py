@@ -7,8 +7,10 @@ of a polynomial over that buffer, so the cost is a few array passes and no loop
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text hashed at once; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
@@ -17,8 +19,14 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ORDER = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_SEPARATOR = np.zeros(256, dtype=bool)
-_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+_GAPS = [0x20, *range(0x09, 0x0E)]
+
+#: Byte classes: words are runs of one class; 0 lies between words.
+SPACED = np.ones(256, dtype=np.uint8)
+SPACED[_GAPS] = 0
+#: Letters, digits and bytes of longer characters on one side, other marks on the other.
+PUNCTUATED = np.array([1 if b >= 0x80 or chr(b).isalnum() else 2 for b in range(256)], dtype=np.uint8)
+PUNCTUATED[_GAPS] = 0
 
 
 def powers(base: np.uint64, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
@@ -41,38 +49,55 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def batches(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(Number of the first text, UTF-8 texts) in runs of about ``BATCH_BYTES``."""
+def batches(texts: pa.Array, rows: int = 256) -> Iterator[tuple[int, list[bytes]]]:
+    """(Number of the first text, UTF-8 texts) in runs of about ``BATCH_BYTES``; null is empty."""
     first, size, run = 0, 0, []
-    for i, text in enumerate(texts):
-        data = (text or "").encode("utf-8", "surrogatepass")
-        if run and size + len(data) > BATCH_BYTES:
-            yield first, run
-            first, size, run = i, 0, []
-        run.append(data)
-        size += len(data) + 1
+    for at in range(0, len(texts), rows):
+        for i, text in enumerate(texts.slice(at, rows).cast(pa.binary()).to_pylist(), at):
+            data = text or b""
+            if run and size + len(data) > BATCH_BYTES:
+                yield first, run
+                first, size, run = i, 0, []
+            run.append(data)
+            size += len(data) + 1
     if run:
         yield first, run
 
 
-def word_hashes(run: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and the number of the text of each.
+class Words(NamedTuple):
+    """Words of a run of texts: hash, number of the text, and place in the buffer."""
+
+    hashes: np.ndarray
+    text: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    buffer: np.ndarray
+
 
-    Letters A-Z are lower-cased; words are maximal runs of bytes outside 0x20, 0x09-0x0D.
+def find_words(run: Sequence[bytes], classes: np.ndarray = SPACED, lower: bool = True) -> Words:
+    """The words of all texts in order: maximal runs of bytes of one class other than 0.
+
+    By default words are runs outside 0x20 and 0x09-0x0D, and letters A-Z are lower-cased.
     """
-    buffer = np.frombuffer((b" ".join(run) + b" ").translate(_LOWER), dtype=np.uint8)
+    data = b" ".join(run) + b" "
+    buffer = np.frombuffer(data.translate(_LOWER) if lower else data, dtype=np.uint8)
     ends_of_text = np.cumsum([len(x) + 1 for x in run])
-    gap = _SEPARATOR[buffer]
-    inside = ~gap
-    starts = np.flatnonzero(inside & np.concatenate(([True], gap[:-1])))
-    ends = np.flatnonzero(gap & np.concatenate(([False], inside[:-1])))
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    kind = classes[buffer]
+    bounds = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1], [True])))
+    inside = kind[bounds[:-1]] != 0
+    starts, ends = bounds[:-1][inside], bounds[1:][inside]
     n = len(buffer)
     running = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=running[1:])
     raw = (running[ends] - running[starts]) * powers(_BASE_INVERSE, n)[starts]
-    return mix(raw + (ends - starts).astype(np.uint64)), np.searchsorted(ends_of_text, starts, side="right")
+    text = np.searchsorted(ends_of_text, starts, side="right")
+    return Words(mix(raw + (ends - starts).astype(np.uint64)), text, starts, ends, buffer)
+
+
+def word_hashes(run: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and the number of the text of each."""
+    found = find_words(run)
+    return found.hashes, found.text
 
 
 def shingles(run: Sequence[bytes], n: int) -> Iterator[np.ndarray]:
