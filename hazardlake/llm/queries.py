@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlake.llm import ann, merkle, ngram_join, packing, quality, secret_scan, warc
+from hazardlake.llm import ann, merkle, ngram_join, packing, quality, secret_scan, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.classify(docs, labels)
+
+
 def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weight of every document and whether it is kept."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -71,6 +77,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_secret_scans": op5_secret_scans,
     "op6_warc_round_trip": op6_warc_round_trip,
+    "op8_toxicity": op8_toxicity,
     "op10_quality_resampling": op10_quality_resampling,
 }
 
