@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlake.llm import ann, merkle, ngram_join, packing, quality, secret_scan, toxicity, warc
+from hazardlake.llm import ann, chat_format, merkle, mixing, ngram_join, packing, quality, secret_scan, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +58,28 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of a document that the mixture draws, no source repeated more than twice."""
+    drawn = mixing.mix(_table(spark, sf_dir, "documents"), repetition=2.0)
+    return drawn.select("doc_id", "source", "pass", "place")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return toxicity.classify(docs, labels)
 
 
+def op9_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt and two masked completions from every conversation with a reply."""
+    formatted = chat_format.format_pairs(chat_format.swapped_replies(_table(spark, sf_dir, "conversations")))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.start, s.end)), ",")
+    return formatted.select(
+        F.col("pair_id").alias("conv_id"), "prefix_turns", "prompt", "chosen", "rejected",
+        joined("chosen_mask").alias("chosen_mask"), joined("rejected_mask").alias("rejected_mask"),
+    )
+
+
 def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weight of every document and whether it is kept."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -77,7 +93,9 @@ QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_secret_scans": op5_secret_scans,
     "op6_warc_round_trip": op6_warc_round_trip,
+    "op7_source_mixing": op7_source_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_preference_formatting": op9_preference_formatting,
     "op10_quality_resampling": op10_quality_resampling,
 }
 
@@ -99,6 +117,19 @@ def _near_sql(a: str, b: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op7_source_mixing": r"""
+with d as (select doc_id, source,
+        len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as tokens from documents),
+s as (select source, sum(tokens)::double as tokens from d group by source),
+a as (select 1 - least(1.0, ln(2.0) / ln(max(tokens) / min(tokens))) as alpha, sum(tokens) as n, max(tokens) as most from s),
+q as (select source, tokens, pow(tokens / most, alpha - 1) as repeats from s, a),
+p as (select source, floor(repeats + 1e-7)::int as passes,
+        case when repeats - floor(repeats + 1e-7) > 1e-7 then (repeats - floor(repeats + 1e-7)) * tokens else 0 end as rest from q),
+k as (select d.*, passes, rest, ('0x' || substr(md5('23:' || passes || ':' || doc_id), 1, 15))::bigint as key
+      from d join p on d.source is not distinct from p.source),
+r as (select *, sum(tokens) over (partition by source order by key) - tokens / 2 <= rest and rest > 0 as more from k),
+c as (select doc_id, source, unnest(range(0, passes + more::int)) as pass from r)
+select doc_id, source, pass::int as pass, ('0x' || substr(md5('23:' || pass || ':' || doc_id), 1, 15))::bigint as place from c""",
     "op6_warc_round_trip": """
 with p as (select page_id, coalesce(html, '') as html from pages),
 d as (select page_id, octet_length(encode(html))::bigint as payload_bytes, sha256(html) as payload_digest from p),
