@@ -6,8 +6,10 @@ of a polynomial over that buffer, so the cost is a few array passes and no loop
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from typing import NamedTuple
+import sys
+import types
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +31,28 @@ PUNCTUATED = np.array([1 if b >= 0x80 or chr(b).isalnum() else 2 for b in range(
 PUNCTUATED[_GAPS] = 0
 
 
-def powers(base: np.uint64, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
-    """``base ** 0 .. n-1`` modulo 2^64, kept for the longest batch seen."""
-    known = cache.get(int(base))
-    if known is None or len(known) < n:
-        known = np.full(max(n, 2 * BATCH_BYTES), base, dtype=np.uint64)
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once per worker process.
+
+    Functions arrive anew with every task, and what they hold is freed only when Python looks
+    for cycles; large tables are kept here instead of piling up.
+    """
+    store = sys.modules.setdefault("_hazardlake_kept", types.ModuleType("_hazardlake_kept"))
+    if name not in vars(store):
+        setattr(store, name, make())
+    return getattr(store, name)
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """``base ** 0 .. n-1`` modulo 2^64, kept for texts of usual length."""
+
+    def table(size: int) -> np.ndarray:
+        known = np.full(size, base, dtype=np.uint64)
         known[0] = 1
-        np.multiply.accumulate(known, out=known)
-        cache[int(base)] = known
-    return known[:n]
+        return np.multiply.accumulate(known, out=known)
+
+    usual = 2 * BATCH_BYTES
+    return kept(f"powers {int(base)}", lambda: table(usual))[:n] if n <= usual else table(n)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
