@@ -134,9 +134,11 @@ def _parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int] | None:
     headers = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
-        if not colon:
+        name = name.strip().lower()
+        # A header that was cut runs on into the next record's: its fields come twice.
+        if not colon or name in headers and name in ("warc-type", "warc-record-id", "content-length"):
             return None
-        headers[name.strip().lower()] = value.strip()
+        headers[name] = value.strip()
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         return None

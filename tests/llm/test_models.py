@@ -1,0 +1,123 @@
+"""Held-out accuracy of the two text classifiers, and their awkward rows."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+
+from hazardlake.llm import quality, queries, toxicity
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def toxic(spark):
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(900):
+        text = words(rng, rng.randint(3, 120)).split()
+        bad = i % 3 == 0
+        if bad:
+            for _ in range(rng.randint(1, 3)):
+                text.insert(rng.randrange(len(text) + 1), rng.choice(["idiot", "Moron!", "scum,"]))
+        rows.append((i, " ".join(text), rng.choice(["en", "de", None])))
+        labels.append((i, int(bad)))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_held_out(toxic):
+    docs, labels = toxic
+    rows = toxicity.classify(docs, labels).join(labels, "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert len(rows) == 900 and 120 < len(held) < 240
+    assert np.mean([r.predicted == r.toxic for r in held]) >= 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.flagged == (r.score >= r.threshold) for r in rows)
+
+
+def test_toxicity_scores_from_text_alone(toxic, odd_docs):
+    docs, labels = toxic
+    net = toxicity.fit(docs, labels)
+    rows = toxicity.score(odd_docs, net).collect()
+    assert len(rows) == odd_docs.count() and all(0 <= r.score <= 1 for r in rows)
+    # The same text scores alike wherever it stands in a batch, and without words as an empty one.
+    texts = ["a idiot", "b c", "", None, " \n", "b c", "idiot", "a"]
+    spark = docs.sparkSession
+    for order in (texts, texts[::-1]):
+        frame = spark.createDataFrame(list(enumerate(order)), "doc_id long, text string").coalesce(1)
+        got = {}
+        for r in toxicity.score(frame, net).collect():
+            got.setdefault(order[r.doc_id] or "", set()).add(round(r.score, 9))
+        assert all(len(v) == 1 for v in got.values()) and got[""] == got[" \n"]
+
+
+def test_toxicity_without_labels(spark, odd_docs):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r.predicted for r in toxicity.classify(odd_docs, none).collect()} == {0}
+    assert toxicity.classify(odd_docs.limit(0), none).count() == 0
+
+
+def test_network_gradient_learns_word_order():
+    """Two-word filters tell 'a b' from 'b a'."""
+    rng = np.random.default_rng(0)
+    texts, y = [], []
+    for i in range(600):
+        t = rng.integers(10, 40, 12).astype(np.uint64)
+        at = rng.integers(0, 11)
+        t[at : at + 2] = [1, 2] if i % 2 else [2, 1]
+        texts.append(t)
+        y.append(i % 2)
+    y = np.array(y)
+    net = toxicity.train(texts, y)
+    z = toxicity.logits(net, toxicity._tables(net), np.concatenate(texts), np.repeat(np.arange(600), 12), 600)
+    assert ((z > 0) == (y == 1)).mean() > 0.9
+
+
+def test_quality_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows = queries.op10_quality_resampling(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left").collect()
+    assert len(rows) == 1000
+    known = [r for r in rows if r.quality is not None]
+    assert np.mean([r.kept for r in known if r.quality == 1]) >= 0.99
+    assert np.mean([r.kept for r in known if r.quality == 0]) <= 0.1
+
+
+def test_quality_weights_by_hand(spark):
+    """Weights equal the log ratio of add-one bucket shares, counted one by one."""
+    texts = {1: "good good, day", 2: "bad!! bad!! bad!!", 3: "good day", 4: "", 5: None, 6: "Bad!! day"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 1), (2, 0)], "doc_id long, quality int")
+    n = 64
+    grams = {}
+    for i, t in texts.items():
+        bucket, _ = quality.buckets([(t or "").encode()], n)
+        grams[i] = bucket.tolist()
+    assert grams[1].count(grams[1][0]) >= 2 and len(grams[2]) == 6 + 5
+    raw = [b for g in grams.values() for b in g]
+    aim = grams[1] + grams[3]
+    ratio = [math.log((aim.count(b) + 1) / (len(aim) + n)) - math.log((raw.count(b) + 1) / (len(raw) + n)) for b in range(n)]
+    got = {r.doc_id: r for r in quality.resample(docs, labels, n_buckets=n).collect()}
+    for i, g in grams.items():
+        assert got[i].log_weight == pytest.approx(sum(ratio[b] for b in g), abs=1e-9)
+
+
+@pytest.mark.parametrize("band", [5, 1000])
+def test_kth_largest(spark, band):
+    values = [random.Random(i).choice([random.Random(i).random(), 0.5]) for i in range(400)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (1, 17, 200, 399, 400):
+        assert quality.kth_largest(frame, "v", k, band) == sorted(values, reverse=True)[k - 1]
+
+
+def test_quality_odd_rows(spark, odd_docs):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rows = quality.resample(odd_docs, none).collect()
+    assert len(rows) == odd_docs.count() and all(r.kept and r.log_weight == 0 for r in rows)
+    some = spark.createDataFrame([(4, 1), (5, 1), (8, 0), (8, None), (None, 1)], "doc_id long, quality int")
+    out = quality.resample(odd_docs, some, keep=3)
+    assert out.columns == [*odd_docs.columns, "log_weight", "key", "kept"]
+    keys = sorted((r.key for r in out.collect()), reverse=True)
+    assert sum(r.kept for r in out.collect()) == sum(k >= keys[2] for k in keys)
+    assert quality.resample(odd_docs.limit(0), some).count() == 0
