@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of every token piece in sequences of at most 2048 tokens."""
-    return packing.pack(packing.pieces(docs, queries.word_vocabulary()))
+    return packing.pack(materialize(packing.pieces(docs, queries.word_vocabulary()), "pieces"))
 
 
 STAGES = [

@@ -8,8 +8,6 @@ or a round no longer merges anything.
 from __future__ import annotations
 
 import re
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -19,21 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardlake.llm.words import batches, find_words
+from hazardlake.llm.words import batches, find_words, kept
 from hazardlake.session import materialize
 
 #: Items that one task packs at a time.
 GROUP_ITEMS = 200_000
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
-
-
-def kept(name: str, make):
-    """What ``make`` returns, made once per worker process; functions themselves arrive with every task."""
-    store = sys.modules.setdefault("_hazardlake_kept", types.ModuleType("_hazardlake_kept"))
-    if name not in vars(store):
-        setattr(store, name, make())
-    return getattr(store, name)
+CACHE_WORDS = 800_000
 
 
 def tokenizer_ids(path: str):
@@ -43,12 +33,16 @@ def tokenizer_ids(path: str):
     are looked up by the hash of a word and only words not seen before are tokenised. Words of
     plain letters, with at most one full stop or comma behind, skip the normaliser.
     """
-    from tokenizers import Tokenizer, pre_tokenizers
+    def models() -> tuple:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+        letters_only = Tokenizer(whole.model)
+        letters_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return whole, letters_only
 
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    letters_only = Tokenizer(whole.model)
-    letters_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    whole, letters_only = kept("models " + path, models)
     plain = re.compile("([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
 
     def ids_of(model, texts: list[str]) -> list[list[int]]:
@@ -67,35 +61,40 @@ def tokenizer_ids(path: str):
         found.update(zip(others, ids_of(whole, others)))
         return [found[w] for w in words]
 
-    def nothing() -> dict:
-        return {"key": np.zeros(0, np.uint64), "at": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "pool": np.zeros(0, "<u4")}
-
-    table = kept("ids " + path, nothing)
+    small = np.uint16 if whole.get_vocab_size() <= 1 << 16 else np.uint32
+    table = kept(
+        "ids " + path,
+        lambda: {"key": np.zeros(0, np.uint64), "at": np.zeros(0, np.uint32), "size": np.zeros(0, np.uint16), "pool": np.zeros(0, small)},
+    )
 
     def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(table["key"]) > CACHE_WORDS:
-            table.update(nothing())
         words = find_words(texts)
         unique, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(table["key"], unique)
+        place = np.searchsorted(table["key"], unique)
         new = np.ones(len(unique), dtype=bool)
-        inside = at < len(table["key"])
-        new[inside] = table["key"][at[inside]] != unique[inside]
+        inside = place < len(table["key"])
+        new[inside] = table["key"][place[inside]] != unique[inside]
+        old = ~new
+        size, begin = np.zeros(len(unique), dtype=np.int64), np.zeros(len(unique), dtype=np.int64)
+        size[old], begin[old] = table["size"][place[old]], table["at"][place[old]]
+        pool = table["pool"]
         if new.any():
             data = words.buffer.tobytes()
             found = tokenise(
                 [data[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())]
             )
-            sizes = np.array([len(x) for x in found], dtype=np.int64)
-            begin = len(table["pool"]) + np.cumsum(sizes) - sizes
-            table["pool"] = np.concatenate([table["pool"], np.array([i for x in found for i in x], dtype="<u4")])
-            for name, values in (("key", unique[new]), ("at", begin), ("size", sizes)):
-                table[name] = np.insert(table[name], at[new], values)
-            at = np.searchsorted(table["key"], unique)
-        size, begin = table["size"][at][which], table["at"][at][which]
+            size[new] = [len(x) for x in found]
+            begin[new] = len(pool) + np.cumsum(size[new]) - size[new]
+            pool = np.concatenate([pool, np.array([i for x in found for i in x], dtype=small)])
+            # Words met early are the frequent ones; once the table is full, others are tokenised each time.
+            if len(table["key"]) < CACHE_WORDS and size.max() <= 0xFFFF and len(pool) < 1 << 32:
+                table["pool"] = pool
+                for name, values in (("key", unique), ("at", begin), ("size", size)):
+                    table[name] = np.insert(table[name], place[new], values[new].astype(table[name].dtype))
+        size, begin = size[which], begin[which]
         after = np.cumsum(size)
-        flat = table["pool"][np.repeat(begin - after + size, size) + np.arange(after[-1] if len(after) else 0)]
-        return flat, np.bincount(words.text, weights=size, minlength=len(texts)).astype(np.int64)
+        flat = pool[np.repeat(begin - after + size, size) + np.arange(after[-1] if len(after) else 0)]
+        return flat.astype("<u4"), np.bincount(words.text, weights=size, minlength=len(texts)).astype(np.int64)
 
     return encode
 
@@ -105,7 +104,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int
 
     A document is its whole text's ids and then ``end``; only one of more than ``capacity`` ids
     is cut, every ``capacity`` ids. A null or empty text is the piece [``end``]. Rows are taken
-    as they come: repeated rows and rows without doc_id give pieces like any other.
+    as they come: repeated rows and rows without doc_id give pieces like any other. Write the
+    result before packing it, so that no task holds two Python workers.
     ``tokenizer_path`` is a file of the installed vocabulary package, which every worker has.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardlake.llm import ann, chat_format, merkle, mixing, ngram_join, packing, quality, secret_scan, toxicity, warc
+from hazardlake.session import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,8 @@ def word_vocabulary() -> str:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every token piece of every document."""
-    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), word_vocabulary()))
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), word_vocabulary())
+    return packing.pack(materialize(cut, "pieces"))
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
