@@ -117,6 +117,11 @@ def hash32(*parts) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
+def uniform_sql(seed: int, salt: int, *columns: str) -> str:
+    """SQL for a uniform number strictly inside (0, 1) from the hash of the columns."""
+    return f"((xxhash64({seed}, {salt}, {', '.join(columns)}) & 9007199254740991) + 0.5D) / 9007199254740992D"
+
+
 def hash_uniform(*parts) -> Column:
     """Uniform number strictly inside (0, 1)."""
     return (hash32(*parts) + F.lit(0.5)) / F.lit(float(2**32))

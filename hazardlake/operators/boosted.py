@@ -3,24 +3,23 @@
 With w = exp(margin), S0(t) the sum of w over rows at risk, A(t) = sum d/S0 and
 B(t) = sum d/S0**2 over event times up to t: gradient g = w A - event and curvature
 h = w A - w**2 B. Rows with the same bins share one margin, so rows are collapsed once to
-(bins, time, event, slot) counts; rounds then work on counts and on one margin per cell.
+(bins, time, event) counts; rounds then work on counts and on one margin per cell. A round's
+row sample is one binomial draw per count, which is what drawing every row alone gives.
 
 Declared differences to other libraries: margins start at 0 (risks are relative anyway);
-each round uses a fresh share of 20 hash slots of rows instead of independent row draws;
 tied times share the whole risk set.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.scalars import hash32
+from ..functions.scalars import uniform_sql
 from ..session import materialize
 from .encoding import EVENT, TIME
 from .prefix import cut_points, running
@@ -28,7 +27,6 @@ from .trees import (
     Binner, Ensemble, Node, add_total, fit_binner, grow, importance, node_table, nodes_from_table,
 )
 
-SLOTS = 20
 BROADCAST_CELLS = 500_000
 MIN_HESSIAN = 1e-16
 
@@ -56,7 +54,7 @@ class BoostedModel:
     def margin(self, df: DataFrame, out: str = "margin", fit_col: str | None = None,
                replace: dict[str, str] | None = None) -> DataFrame:
         """Log-risk of each row; ``replace`` takes features from other columns."""
-        binned = self.binner.transform(df, "__bins", replace)
+        binned = self.binner.transform(df, "__bins", replace, fit_col)
         return add_total(binned, self.ensemble, out, "__bins", fit_col).drop("__bins")
 
     def score(self, df: DataFrame, out: str = "risk", fit_col: str | None = None,
@@ -67,16 +65,26 @@ class BoostedModel:
         return importance(self.node_table(spark), self.binner.features, kind, top)
 
 
-def collapse(df: DataFrame, binner: Binner, fit_col: str | None, row_id: str | None) -> DataFrame:
-    """(fit, bins, t, e, slot) -> count: the only pass over the training rows."""
+def collapse(df: DataFrame, binner: Binner, fit_col: str | None) -> DataFrame:
+    """(fit, bins, t, e) -> count: the only pass over the training rows."""
     fit = F.col(fit_col) if fit_col else F.lit(0)
-    slot: Column = F.lit(0)
-    if row_id:
-        slot = F.pmod(hash32("slot", F.col(row_id)), F.lit(SLOTS)).cast("int")
-    binned = binner.transform(df)
+    binned = binner.transform(df, fit_col=fit_col)
     return binned.select(
-        fit.alias("fit"), "bins", F.col(TIME).alias("t"), F.col(EVENT).cast("int").alias("e"), slot.alias("slot")
-    ).groupBy("fit", "bins", "t", "e", "slot").agg(F.count(F.lit(1)).alias("m"))
+        fit.alias("fit"), "bins", F.col(TIME).alias("t"), F.col(EVENT).cast("int").alias("e")
+    ).groupBy("fit", "bins", "t", "e").agg(F.count(F.lit(1)).alias("m"))
+
+
+def binomial_draw(count: str, share: float, seed: int, salt: int, *columns: str) -> str:
+    """SQL for a Binomial(count, share) draw; the draw depends on the columns' values only.
+
+    One uniform per row of the count up to 100 rows, rounded normal quantile (Box-Muller) beyond.
+    """
+    u, v = uniform_sql(seed, 2 * salt, *columns), uniform_sql(seed, 2 * salt + 1, *columns)
+    each = uniform_sql(seed, 2 * salt, "i", *columns)
+    few = f"aggregate(sequence(1, cast({count} as int)), 0, (a, i) -> a + if({each} < {share!r}D, 1, 0))"
+    normal = f"sqrt(-2 * ln({u})) * cos(2 * pi() * {v})"
+    many = f"least({count}, greatest(0, round({count} * {share!r}D + sqrt({count} * {share * (1 - share)!r}D) * {normal})))"
+    return f"cast(if({count} <= 100, {few}, {many}) as bigint)"
 
 
 def breslow_terms(weighted: DataFrame, cuts: Sequence[float] = ()) -> DataFrame:
@@ -109,7 +117,6 @@ def fit_boosted(
     df: DataFrame,
     features: Sequence[str],
     fit_col: str | None = None,
-    row_id: str = "row_id",
     rounds: int = fv.BOOSTED_SETTINGS["rounds"],
     max_depth: int = fv.BOOSTED_SETTINGS["max_depth"],
     learning_rate: float = fv.BOOSTED_SETTINGS["learning_rate"],
@@ -122,24 +129,22 @@ def fit_boosted(
     binner: Binner | None = None,
 ) -> BoostedModel:
     """Fit one boosted model, or one per value of ``fit_col`` in the same jobs."""
-    binner = binner or fit_binner(df, features, max_bins)
-    sampled = subsample < 1.0
-    counts = materialize(collapse(df, binner, fit_col, row_id if sampled else None), "boosted")
+    binner = binner or fit_binner(df, features, max_bins, fit_col)
+    counts = materialize(collapse(df, binner, fit_col), "boosted")
     kind = counts.schema["fit"].dataType.simpleString()
     cells = materialize(counts.select("fit", "bins").distinct().withColumn("margin", F.lit(0.0)), "cells")
     n_cells = cells.count()
     times = counts.select("fit", "t").distinct()
     n_times = times.count()
     cuts = cut_points(times, "t") if n_times > BROADCAST_CELLS else []
-    draw = random.Random(seed)
     nodes: list[Node] = []
     for i in range(rounds):
         weighted = counts.join(_small(cells, n_cells), ["fit", "bins"]).withColumn("w", F.exp("margin"))
         terms = _small(breslow_terms(weighted, cuts), n_times)
         taken = counts
-        if sampled:
-            chosen = draw.sample(range(SLOTS), round(subsample * SLOTS))
-            taken = counts.filter(F.col("slot").isin(chosen))
+        if subsample < 1.0:
+            draw = binomial_draw("m", subsample, seed, i, "bins", "t", "e")
+            taken = counts.selectExpr("fit", "bins", "t", "e", f"{draw} as m").filter("m > 0")
         exposure = taken.join(terms, ["fit", "t"]).groupBy("fit", "bins").agg(
             F.expr("sum(m * A) as a"), F.expr("sum(m * B) as b"), F.expr("sum(m * e) as d")
         )

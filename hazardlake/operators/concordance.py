@@ -25,6 +25,7 @@ from .prefix import cut_points, running
 RADIX_BITS = 2
 _DIGITS = range(1 << RADIX_BITS)
 RISK_DECIMALS = 8
+#: Two numbers a row, about 16 MB at most.
 BROADCAST_TIMES = 500_000
 
 
@@ -49,12 +50,12 @@ def pair_counts(
     event: str = "event_occurred",
     risk: str = "risk",
     risk_cuts: Sequence[float] | None = None,
-    time_cuts: Sequence[float] = (),
+    time_cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Comparable, concordant and risk-tied pairs per group.
 
     Risks are compared after rounding to 1e-8. ``risk_cuts`` / ``time_cuts`` bucket the
-    windows over distinct risks / times; ``None`` measures the risks first. Pair counts
+    windows over distinct risks / times; ``None`` measures them first. Pair counts
     are DOUBLE: they pass 2**63 long before the rows do.
     """
     by = list(by)
@@ -71,7 +72,9 @@ def pair_counts(
         risk_cuts = cut_points(collapsed, "__risk")
 
     # dense rank of the distinct times over all groups: ranks only have to keep the order
-    times = collapsed.select("__t").distinct().withColumn("__one", F.lit(1))
+    times = materialize(collapsed.select("__t").distinct().withColumn("__one", F.lit(1)), "times")
+    if time_cuts is None:
+        time_cuts = cut_points(times, "__t")
     ranks = running(times, [], "__t", sums={"__rank": "__one"}, cuts=time_cuts).select("__t", "__rank")
     ranks = materialize(ranks, "ranks")
     n_times = ranks.count()
@@ -125,7 +128,7 @@ def concordance(
     event: str = "event_occurred",
     risk: str = "risk",
     risk_cuts: Sequence[float] | None = None,
-    time_cuts: Sequence[float] = (),
+    time_cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Concordance index per group; NULL without a comparable pair."""
     pairs = pair_counts(df, by, time, event, risk, risk_cuts, time_cuts)

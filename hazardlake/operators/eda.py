@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import scalars as sc
 from .cleaning import AGE, SITE, STAGE
-from .prefix import exact_quantiles
+from .prefix import exact_quantiles, same
 
 
-# A chart has few groups: their ranges are broadcast up to this many, joined beyond it.
-BROADCAST_GROUPS = 10_000
 
 
 def counts_descending(df: DataFrame, column: str) -> DataFrame:
@@ -83,10 +81,7 @@ def _binned(df: DataFrame, column: str, bins: int, by: Sequence[str]) -> DataFra
     values = df.filter(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("__x"))
     if by:
         ranges = values.groupBy(*by).agg(F.min("__x").alias("__min"), F.max("__x").alias("__max"))
-        few = ranges.limit(BROADCAST_GROUPS + 1).collect()
-        if len(few) <= BROADCAST_GROUPS:
-            ranges = F.broadcast(df.sparkSession.createDataFrame(few, ranges.schema))
-        values = values.join(ranges, by)
+        values = same(values, ranges, by)
         lo, hi = F.col("__min"), F.col("__max")
     else:
         lo = values.select(F.min("__x")).scalar()

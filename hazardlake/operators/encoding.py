@@ -82,22 +82,20 @@ class Encoder:
         return Encoder([r.source for r in rows if not r.block], categories)
 
 
-def fit_encoder(train: DataFrame, roles: Roles, max_categories: int = 10_000) -> Encoder:
+def fit_encoder(train: DataFrame, roles: Roles, max_categories: int | None = None) -> Encoder:
     """Sorted distinct categories of the training rows, from one pass over them.
 
-    Categories are column names of the result, so their number must be small; beyond
-    ``max_categories`` the fit stops with an error instead of losing any.
+    Categories become columns, so the driver holds as many names as the result has columns.
+    With ``max_categories`` the fit stops with an error beyond so many.
     """
     if not roles.categorical:
         return Encoder(list(roles.numeric))
     pairs = F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), quoted(c).alias("v")) for i, c in enumerate(roles.categorical)
     ]))
-    found = (
-        train.select(pairs.alias("p")).select("p.i", "p.v").filter(F.col("v").isNotNull()).distinct()
-        .limit(max_categories + 1).collect()
-    )
-    if len(found) > max_categories:
+    distinct = train.select(pairs.alias("p")).select("p.i", "p.v").filter(F.col("v").isNotNull()).distinct()
+    found = (distinct if max_categories is None else distinct.limit(max_categories + 1)).collect()
+    if max_categories is not None and len(found) > max_categories:
         raise ValueError(f"more than {max_categories} categories to one-hot encode")
     categories = {c: [] for c in roles.categorical}
     for r in sorted(found):

@@ -66,10 +66,10 @@ def permutation_importance(
 
 
 def grid_of(df: DataFrame, feature: str, points: int = 100, low: float = 0.05, high: float = 0.95) -> list[float]:
-    """All values when they are few, else an even grid between the two percentiles."""
+    """All values when they are fewer than ``points``, else an even grid between the two percentiles."""
     values = df.select(quoted(feature).cast("double").alias("v")).filter("v is not null")
-    distinct = sorted(r.v for r in values.distinct().limit(points + 1).collect())
-    if len(distinct) <= points:
+    distinct = sorted(r.v for r in values.distinct().limit(points).collect())
+    if len(distinct) < points:
         return distinct
     lo, hi = exact_quantiles(values, "v", {"lo": low, "hi": high}, plotting=0.4).first()
     return [lo + (hi - lo) * i / (points - 1) for i in range(points)]

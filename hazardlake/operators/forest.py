@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.scalars import uniform_sql
 from ..session import materialize
 from .boosted import BROADCAST_CELLS, collapse
 from .km import at_risk, nelson_aalen
@@ -50,10 +51,6 @@ def poisson_draw(count: str, u: str, v: str) -> str:
     return f"case when {count} = 1 then {one} when {count} < 30 then {some} else {many} end"
 
 
-def _uniform(seed: int, salt: int, *columns: str) -> str:
-    return f"((xxhash64({seed}, {salt}, {', '.join(columns)}) & 9007199254740991) + 0.5D) / 9007199254740992D"
-
-
 @dataclass
 class ForestModel:
     """Trees with leaf risk as value, plus the leaf survival drops as a table."""
@@ -89,13 +86,13 @@ class ForestModel:
     def score(self, df: DataFrame, out: str = "risk", fit_col: str | None = None,
               replace: dict[str, str] | None = None) -> DataFrame:
         """Ensemble cumulative hazard summed over the training event times."""
-        binned = self.binner.transform(df, "__bins", replace)
+        binned = self.binner.transform(df, "__bins", replace, fit_col)
         scored = add_total(binned, self.ensemble, out, "__bins", fit_col).drop("__bins")
         return scored.withColumn(out, F.col(out) / self.trees)
 
     def _placed(self, df: DataFrame, key) -> tuple[DataFrame, DataFrame]:
         """Rows with a ``curve_id``, and (curve_id, tree, node) once per distinct bins."""
-        rows = self.binner.transform(df, "__bins").withColumn("curve_id", F.array_join("__bins", ","))
+        rows = self.binner.of(key).transform(df, "__bins").withColumn("curve_id", F.array_join("__bins", ","))
         cells = rows.select("curve_id", "__bins").distinct()
         placed = add_leaves(cells, self.ensemble, "__leaves", "__bins", key).select(
             "curve_id", F.posexplode("__leaves").alias("tree", "node")
@@ -126,8 +123,8 @@ class ForestModel:
         rows, placed = self._placed(df, key)
         placed = materialize(placed, "placed")
         drops = self.drops.filter(F.col("fit") == F.lit(key))
-        times = drops.select("t").distinct().withColumn("one", F.lit(1))
-        ranked = running(times, [], "t", sums={"rank": "one"}, totals={"all": "one"})
+        times = materialize(drops.select("t").distinct().withColumn("one", F.lit(1)), "times")
+        ranked = running(times, [], "t", sums={"rank": "one"}, totals={"all": "one"}, cuts=cut_points(times, "t"))
         blocks = ranked.selectExpr("t", "cast(floor((rank - 1) / ceil(sqrt(double(all)))) as int) as block")
         blocked = drops.join(blocks, "t")
         coarse = blocked.groupBy("tree", "node", "block").agg(F.sum("drop").alias("drop"))
@@ -164,14 +161,15 @@ def fit_forest(
 ) -> ForestModel:
     """Fit one forest, or one per value of ``fit_col`` in the same jobs."""
     spark = df.sparkSession
-    binner = binner or fit_binner(df, features, max_bins)
-    counts = materialize(collapse(df, binner, fit_col, None).drop("slot"), "forest")
+    binner = binner or fit_binner(df, features, max_bins, fit_col)
+    counts = materialize(collapse(df, binner, fit_col), "forest")
     kind = counts.schema["fit"].dataType.simpleString()
     hazard = materialize(nelson_aalen(counts, ["fit"], "t", "e", "auto", "m"), "hazard")
     n_times = hazard.count()
     small = F.broadcast(hazard) if n_times <= BROADCAST_CELLS else hazard
     keys = ["fit", "bins", "t", "e"]
-    draw = poisson_draw("m", _uniform(seed, 1, "tree", *keys), _uniform(seed, 2, "tree", *keys))
+    # drawn from the values alone, so that a fit gets the same bag in whatever company it runs
+    draw = poisson_draw("m", *(uniform_sql(seed, salt, "tree", "bins", "t", "e") for salt in (1, 2)))
     bag = (
         counts.join(small.select("fit", "t", "cumulative_hazard"), ["fit", "t"])
         .selectExpr(*keys, "m", "e - cumulative_hazard as score", f"explode(sequence(0, {trees - 1})) as tree")
@@ -191,12 +189,11 @@ def fit_forest(
     in_leaf = bag.join(assigned.select("fit", "tree", "bins", "node"), ["fit", "tree", "bins"])
     cuts = cut_points(hazard, "t")  # empty for bounded times
     table, _ = at_risk(in_leaf, ["fit", "tree", "node"], "t", "e", cuts, "w")
-    steps = table.filter("d > 0").withColumn("factor", 1 - F.col("d") / F.col("n"))
+    # a step that ends the curve (all at risk die) has no row after it, so 1 can stand for its factor 0
+    steps = table.filter("d > 0").withColumn("factor", F.expr("if(d = n, 1D, 1 - d / n)"))
     curve = running(steps, ["fit", "tree", "node"], "t", products={"s": "factor"}, cuts=cuts)
-    # S drops by S(t-) - S(t); with S(t-) = S(t) / factor that is S(t-) * d / n
-    before = F.expr(
-        "coalesce(lag(s) over (partition by fit, tree, node order by t), 1D)"
-    )
+    # S drops by S(t-) - S(t) = S(t-) * d / n, with S(t-) the product before this row
+    before = F.col("s") / F.col("factor")
     drops = materialize(
         curve.withColumn("drop", before * F.col("d") / F.col("n")).selectExpr(
             "fit", "tree", "node", "t", "drop", "d / n as hazard_step"

@@ -16,34 +16,50 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import quoted
+
 ROWS_PER_BUCKET = 500_000
-MAX_BUCKETS = 4096
 _BUCKET = "__bucket"
 
 
 def cut_points(df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
     """Cut points on ``order`` so that no bucket holds much more than ``rows_per_bucket`` rows.
 
-    A count decides first; only a large table pays for the quantile sketch. The driver
-    receives at most ``MAX_BUCKETS`` numbers. An empty list means one window is enough.
+    A count decides first; only a large table pays for the quantile sketch. The number of
+    cut points, which the driver receives, is the row count over ``rows_per_bucket``. An
+    empty list means one window is enough.
     """
     n = df.count()
     if n <= rows_per_bucket:
         return []
-    buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
+    buckets = math.ceil(n / rows_per_bucket)
     probs = [i / buckets for i in range(1, buckets)]
     numbers = df.select(F.col(order).cast("double").alias("__order"))
     return sorted(set(numbers.approxQuantile("__order", probs, 0.25 / buckets)))
 
 
 def with_bucket(df: DataFrame, order: str, cuts: Sequence[float], out: str = _BUCKET) -> DataFrame:
-    """Bucket number by binary search over the cut points; NULLs are not expected."""
+    """Bucket number by binary search over the cut points.
+
+    NULL comes before all numbers and NaN after them, as in a plain ascending window.
+    """
     if not cuts:
         return df.withColumn(out, F.lit(0))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     as_double = df.withColumn("__order", F.col(order).cast("double"))
     bucketizer = Bucketizer(splits=splits, inputCol="__order", outputCol=out, handleInvalid="keep")
-    return bucketizer.transform(as_double).drop("__order").withColumn(out, F.col(out).cast("int"))
+    number = F.when(F.col("__order").isNull(), -1).otherwise(F.col(out)).cast("int")
+    return bucketizer.transform(as_double).withColumn(out, number).drop("__order")
+
+
+def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL being equal to NULL; the key columns are the left ones."""
+    keys = list(keys)
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match = match & quoted(k).eqNullSafe(quoted(f"__right_{k}"))
+    return left.join(renamed, match, how).drop(*[f"__right_{k}" for k in keys])
 
 
 def running(
@@ -80,16 +96,13 @@ def running(
     before = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     offsets = per_bucket.select(
-        *[F.col(c).alias(f"__by_{c}") for c in by],
-        F.col(_BUCKET).alias("__offset_bucket"),
+        *by,
+        _BUCKET,
         *[F.coalesce(F.sum(f"__s_{o}").over(before), F.lit(0)).alias(f"__s_{o}") for o in sums],
         *[F.coalesce(F.product(F.col(f"__p_{o}")).over(before), F.lit(1.0)).alias(f"__p_{o}")
           for o in products],
         *[F.sum(f"__t_{o}").over(whole).alias(f"__t_{o}") for o in totals],
     )
-    match = F.col(_BUCKET) == F.col("__offset_bucket")
-    for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
     inside = (
         Window.partitionBy(*by, _BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -97,7 +110,7 @@ def running(
         {f"__l_{o}": F.sum(c).over(inside) for o, c in sums.items()}
         | {f"__l_{o}": F.product(F.col(c)).over(inside) for o, c in products.items()}
     )
-    joined = local.join(offsets, match)
+    joined = same(local, offsets, [*by, _BUCKET])
     return joined.select(
         *df.columns,
         *[(F.col(f"__l_{o}") + F.col(f"__s_{o}")).alias(o) for o in sums],
@@ -171,5 +184,5 @@ def next_value(
     following = firsts.withColumn(
         "__following", F.lead("__first").over(Window.partitionBy(*by).orderBy(_BUCKET))
     ).drop("__first")
-    joined = local.join(following, [*by, _BUCKET])
+    joined = same(local, following, [*by, _BUCKET])
     return joined.select(*df.columns, F.coalesce("__next", "__following").alias(out))

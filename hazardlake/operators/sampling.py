@@ -1,12 +1,14 @@
 """Hold-outs, folds, subsets and permutations that depend on row ids only.
 
-Global ranks by hash never use one global window: the 32-bit hash is cut into 4096 equal
-ranges, the range counts are prefix-summed, and rows are ranked inside their range. md5
-spreads ids evenly, so ranges are even whatever the data looks like.
+Global ranks by hash never use one global window: the 32-bit hash is cut into equal ranges,
+as many as the row count asks for, the range counts are prefix-summed, and rows are ranked
+inside their range. md5 spreads ids evenly, so ranges are even whatever the data looks like.
+A NULL group is a group like any other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,17 +16,23 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.scalars import hash32, quoted
+from .prefix import same
 
-_RANGE_BITS = 12
+ROWS_PER_RANGE = 100_000
 
 
-def _with_hash(df: DataFrame, row_id: str, seed: int | str | Column) -> DataFrame:
+def _range_bits(df: DataFrame) -> int:
+    """Bits of the hash that number the ranges, for ``ROWS_PER_RANGE`` rows in each."""
+    return min(32, max(0, math.ceil(math.log2(max(1, df.count()) / ROWS_PER_RANGE))))
+
+
+def _with_hash(df: DataFrame, row_id: str, seed: int | str | Column, bits: int) -> DataFrame:
     h = hash32(seed, F.col(row_id))
-    return df.withColumn("__h", h).withColumn("__range", F.shiftright("__h", 32 - _RANGE_BITS))
+    return df.withColumn("__h", h).withColumn("__range", F.shiftright("__h", 32 - bits))
 
 
 def _range_offsets(hashed: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, range) -> rows before the range, rows in it, rows in all; at most 4096 per group."""
+    """(by, range) -> rows before the range, rows in it, rows in all."""
     counts = hashed.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__in"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(
@@ -41,12 +49,11 @@ def hash_rank(
 ) -> DataFrame:
     """Dense position 1..n by (hash, id), per group."""
     by = list(by)
-    hashed = _with_hash(df, row_id, seed)
+    hashed = _with_hash(df, row_id, seed, _range_bits(df))
     offsets = _range_offsets(hashed, by)
     inside = Window.partitionBy(*by, "__range").orderBy("__h", row_id)
     return (
-        hashed.withColumn("__pos", F.row_number().over(inside))
-        .join(offsets, [*by, "__range"])
+        same(hashed.withColumn("__pos", F.row_number().over(inside)), offsets, [*by, "__range"])
         .withColumn(out, F.col("__before") + F.col("__pos"))
         .select(*[quoted(c) for c in df.columns], out)
     )
@@ -56,21 +63,22 @@ def _smallest(df: DataFrame, row_id: str, seed: int, wanted: Column, by: Sequenc
     """Flag the ``wanted`` smallest rows by (hash, id) per group (``wanted`` may use ``__all``).
 
     Only the one hash range per group that holds the threshold is sorted; every other row
-    is decided by its range alone. The broadcast table has one row per group (stratum).
+    is decided by its range alone. The joined table has one row per group (stratum).
     """
     by = list(by) or ["__g"]
-    hashed = _with_hash(df.withColumn("__g", F.lit(0)), row_id, seed)
+    bits = _range_bits(df)
+    hashed = _with_hash(df.withColumn("__g", F.lit(0)), row_id, seed, bits)
     offsets = _range_offsets(hashed, by).withColumn("__want", wanted)
     straddles = (F.col("__before") < F.col("__want")) & (F.col("__before") + F.col("__in") > F.col("__want"))
     edges = offsets.groupBy(*by).agg(
         # ranges below this one are in; the straddling one (if any) is ranked
         F.coalesce(
             F.min(F.when(F.col("__before") + F.col("__in") > F.col("__want"), F.col("__range"))),
-            F.lit(1 << _RANGE_BITS),
+            F.lit(1 << bits),
         ).alias("__edge"),
         F.max(F.when(straddles, F.col("__want") - F.col("__before"))).alias("__short"),
     )
-    placed = hashed.join(F.broadcast(edges), by)
+    placed = same(hashed, edges, by)
     on_edge = (F.col("__range") == F.col("__edge")) & F.col("__short").isNotNull()
     clear = placed.filter(~on_edge).withColumn(out, F.col("__range") < F.col("__edge"))
     inside = Window.partitionBy(*by, "__range").orderBy("__h", row_id)
@@ -139,6 +147,6 @@ def permute(
         *by, "__k", *[quoted(c).alias(f"__d_{c}") for c in columns]
     )
     takers = hash_rank(df, row_id, order("taker"), "__k", by)
-    joined = takers.join(donors, [*by, "__k"])
+    joined = same(takers, donors, [*by, "__k"])
     keep = [quoted(c) for c in df.columns if suffix or c not in columns]
     return joined.select(*keep, *[quoted(f"__d_{c}").alias(f"{c}{suffix}") for c in columns])

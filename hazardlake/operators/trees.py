@@ -9,7 +9,7 @@ reduced to one winning split per node, which is what the driver receives.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -17,36 +17,59 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 MIN_GAIN = 1e-6
 
 
 @dataclass
 class Binner:
-    """Cut points per encoded feature; ``x >= cut`` belongs to the bin right of the cut."""
+    """Cut points per encoded feature; ``x >= cut`` belongs to the bin right of the cut.
+
+    Fits that run together keep their own cut points in ``by_fit``, each taken from its own
+    training rows, so that a joint fit equals the single ones.
+    """
 
     features: list[str]
     cuts: list[list[float]]
+    by_fit: dict = field(default_factory=dict)
+
+    def of(self, fit) -> Binner:
+        """The binner of one fit."""
+        return Binner(self.features, self.by_fit.get(fit, self.cuts))
 
-    def transform(self, df: DataFrame, out: str = "bins", replace: dict[str, str] | None = None) -> DataFrame:
+    def transform(self, df: DataFrame, out: str = "bins", replace: dict[str, str] | None = None,
+                  fit_col: str | None = None) -> DataFrame:
         """Add the array of bin numbers; a missing value has bin -1.
 
-        ``replace`` takes the values of some features from other columns.
+        ``replace`` takes the values of some features from other columns; with ``fit_col``
+        every row is binned by the cut points of the fit it names.
         """
-        parts, wide, extra = [], df, []
-        for j, (name, cuts) in enumerate(zip(self.features, self.cuts)):
-            source = f"`{(replace or {}).get(name, name)}`"
-            if len(cuts) <= 2:
-                code = " + ".join(f"if({source} >= {c!r}D, 1, 0)" for c in cuts) or "0"
-            else:
-                splits = [float("-inf"), *cuts, float("inf")]
-                wide = wide.withColumn(f"__v{j}", F.expr(f"cast({source} as double)"))
-                wide = Bucketizer(
-                    splits=splits, inputCol=f"__v{j}", outputCol=f"__b{j}", handleInvalid="keep"
-                ).transform(wide)
-                extra += [f"__v{j}", f"__b{j}"]
-                code = f"cast(__b{j} as int)"
-            parts.append(f"if({source} is null or isnan({source}), -1, {code})")
-        return wide.withColumn(out, F.expr(f"array({', '.join(parts)})")).drop(*extra)
+        wide, extra = df, []
+        several = self.by_fit if fit_col and self.by_fit else {None: self.cuts}
+        arrays = {}
+        for k, (fit, cut_lists) in enumerate(several.items()):
+            parts = []
+            for j, (name, cuts) in enumerate(zip(self.features, cut_lists)):
+                source = f"`{(replace or {}).get(name, name)}`"
+                if len(cuts) <= 2:
+                    code = " + ".join(f"if({source} >= {c!r}D, 1, 0)" for c in cuts) or "0"
+                else:
+                    splits = [float("-inf"), *cuts, float("inf")]
+                    value, number = f"__v{j}_{k}", f"__b{j}_{k}"
+                    wide = wide.withColumn(value, F.expr(f"cast({source} as double)"))
+                    wide = Bucketizer(splits=splits, inputCol=value, outputCol=number, handleInvalid="keep").transform(wide)
+                    extra += [value, number]
+                    code = f"cast({number} as int)"
+                parts.append(f"if({source} is null or isnan({source}), -1, {code})")
+            arrays[fit] = F.expr(f"array({', '.join(parts)})")
+        if None in arrays:
+            chosen = arrays[None]
+        else:
+            chosen = F.lit(None)
+            for fit, bins in arrays.items():
+                chosen = F.when(F.col(fit_col) == F.lit(fit), bins).otherwise(chosen)
+        return wide.withColumn(out, chosen).drop(*extra)
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(j, f, [float(c) for c in cuts]) for j, (f, cuts) in enumerate(zip(self.features, self.cuts))]
@@ -58,9 +81,13 @@ class Binner:
         return Binner([r.feature for r in rows], [list(r.cuts) for r in rows])
 
 
-def fit_binner(df: DataFrame, features: Sequence[str], max_bins: int = 256) -> Binner:
-    """Quantile cut points from one sketch pass; 0/1 columns get the single cut 0.5."""
+def fit_binner(df: DataFrame, features: Sequence[str], max_bins: int = 256, fit_col: str | None = None) -> Binner:
+    """Quantile cut points from one sketch pass per fit; 0/1 columns get the single cut 0.5."""
     features = list(features)
+    if fit_col:
+        keys = sorted(r[0] for r in df.select(fit_col).distinct().collect())
+        own = {k: fit_binner(df.filter(F.col(fit_col) == F.lit(k)), features, max_bins).cuts for k in keys}
+        return Binner(features, next(iter(own.values()), [[] for _ in features]), own)
     probs = [i / max_bins for i in range(max_bins + 1)]
     found = df.select([F.expr(f"cast(`{f}` as double) as f{j}") for j, f in enumerate(features)])
     points = found.approxQuantile([f"f{j}" for j in range(len(features))], probs, 0.1 / max_bins)
@@ -214,6 +241,8 @@ def grow(
         splits = spark.createDataFrame(
             split_rows, f"fit {kind}, tree int, node int, feature int, split_bin int, missing_right boolean"
         )
+        if level % 3 == 2:  # deep trees start again from a table instead of redoing every join above
+            assigned = materialize(assigned, "assigned")
         assigned = assigned.join(F.broadcast(splits), ["fit", "tree", "node"], "left").selectExpr(
             *[c for c in stats.columns],
             "case when feature is null then node"
@@ -276,33 +305,33 @@ class Ensemble:
                 ))
             self.fits[fit] = packed
 
-    @staticmethod
-    def _leaf(tree, x: np.ndarray) -> np.ndarray:
-        feature, split_bin, missing_right, left, right, _, _ = tree
-        at = np.zeros(len(x), dtype=np.int64)
-        rows = np.arange(len(x))
-        while True:
-            f = feature[at]
-            inner = f >= 0
-            if not inner.any():
-                return at
-            b = x[rows, np.maximum(f, 0)]
-            goes = np.where(b == -1, missing_right[at], b >= split_bin[at])
-            at = np.where(inner, np.where(goes, right[at], left[at]), at)
-
-    def total(self, fit, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
-        for tree in self.fits.get(fit, []):
-            out += tree[5][self._leaf(tree, x)]
-        return out
-
-    def leaves(self, fit, x: np.ndarray) -> np.ndarray:
-        return np.stack([t[6][self._leaf(t, x)] for t in self.fits[fit]], axis=1)
+
+def leaf_of(tree: tuple, x: np.ndarray) -> np.ndarray:
+    """Place of the leaf of each row of bins in one packed tree."""
+    feature, split_bin, missing_right, left, right, _, _ = tree
+    at = np.zeros(len(x), dtype=np.int64)
+    rows = np.arange(len(x))
+    while True:
+        f = feature[at]
+        inner = f >= 0
+        if not inner.any():
+            return at
+        b = x[rows, np.maximum(f, 0)]
+        goes = np.where(b == -1, missing_right[at], b >= split_bin[at])
+        at = np.where(inner, np.where(goes, right[at], left[at]), at)
+
+
+def total_of(trees: Sequence[tuple], x: np.ndarray) -> np.ndarray:
+    """Sum of the leaf values of all trees."""
+    out = np.zeros(len(x))
+    for tree in trees:
+        out += tree[5][leaf_of(tree, x)]
+    return out
 
 
 def add_total(df: DataFrame, ensemble: Ensemble, out: str, bins: str = "bins", fit_col: str | None = None) -> DataFrame:
     """Sum of leaf values over all trees; a narrow Arrow-batched projection."""
-    shared = df.sparkSession.sparkContext.broadcast(ensemble)
+    shared = df.sparkSession.sparkContext.broadcast(ensemble.fits)  # plain arrays: workers need no package
     only = next(iter(ensemble.fits))
 
     @F.pandas_udf("double")
@@ -311,7 +340,7 @@ def add_total(df: DataFrame, ensemble: Ensemble, out: str, bins: str = "bins", f
         values = np.zeros(len(x))
         for key in fit.unique():
             pick = (fit == key).to_numpy()
-            values[pick] = shared.value.total(key, x[pick])
+            values[pick] = total_of(shared.value.get(key, []), x[pick])
         return pd.Series(values)
 
     return df.withColumn(out, total(F.col(bins), F.col(fit_col) if fit_col else F.lit(only)))
@@ -319,13 +348,14 @@ def add_total(df: DataFrame, ensemble: Ensemble, out: str, bins: str = "bins", f
 
 def add_leaves(df: DataFrame, ensemble: Ensemble, out: str = "leaves", bins: str = "bins", fit=None) -> DataFrame:
     """Leaf node of every tree, in tree order."""
-    shared = df.sparkSession.sparkContext.broadcast(ensemble)
+    shared = df.sparkSession.sparkContext.broadcast(ensemble.fits)
     key = next(iter(ensemble.fits)) if fit is None else fit
 
     @F.pandas_udf("array<int>")
     def leaves(b: pd.Series) -> pd.Series:
         if not len(b):
             return pd.Series([], dtype=object)
-        return pd.Series(list(shared.value.leaves(key, np.stack(b.to_numpy())).astype(np.int32)))
+        x = np.stack(b.to_numpy())
+        return pd.Series(list(np.stack([t[6][leaf_of(t, x)] for t in shared.value[key]], axis=1).astype(np.int32)))
 
     return df.withColumn(out, leaves(F.col(bins)))

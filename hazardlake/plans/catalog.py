@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..operators import concordance as cc
 from ..operators import boosted, cox, eda, encoding, explain, forest, joining, km, risk, sampling, trees
 from ..session import materialize, scratch_path
 from ..sources import files
-from . import cohort, compare, diagnostics
+from . import cohort, compare, diagnostics, pipeline
 
 DIGITS = 6
 STAGE, SITE, AGE = cl.STAGE, cl.SITE, cl.AGE
@@ -392,6 +394,33 @@ def forest_curves(spark, sf_dir):
     return model.curves(table)[1]
 
 
+def pdp_forest(spark, sf_dir):
+    """Partial dependence of the forest on the three features that matter most to it."""
+    table, model = _forest(spark, sf_dir)
+    scorer, best = _forest_view(model, table)
+    return explain.partial_dependence(table.filter("split = 'train'"), scorer, model.binner.features, best, points=20)
+
+
+def ice_forest(spark, sf_dir):
+    table, model = _forest(spark, sf_dir)
+    scorer, best = _forest_view(model, table)
+    return explain.individual_curves(table.filter("split = 'train'"), scorer, model.binner.features, best, points=20)
+
+
+def _forest_view(model, table):
+    scorer = lambda d, replace: model.score(d, replace=replace)
+    shuffled = explain.permutation_importance(table.filter("split = 'test'"), scorer, model.binner.features, repeats=3)
+    return scorer, explain.top_features(materialize(shuffled, "importance"))
+
+
+def top_features(spark, sf_dir):
+    """The three features with the largest mean gain of the boosted model, in order."""
+    encoder, _, train = _train_rows(spark, sf_dir)
+    gains = boosted.fit_boosted(train, encoder.columns, **QUICK[fv.BOOSTED]).importance(spark, "gain")
+    best = explain.top_features(gains)
+    return spark.createDataFrame([(i + 1, f) for i, f in enumerate(best)], "position int, feature string")
+
+
 def predicted_median(spark, sf_dir):
     table, model = _forest(spark, sf_dir)
     return model.median_time(table).select("row_id", "predicted_survival_time")
@@ -460,6 +489,56 @@ def model_comparison(spark, sf_dir):
     return compare.compare_models(_split(spark, sf_dir, "age_group"), settings=QUICK).report
 
 
+def km_by_best_model(spark, sf_dir):
+    """Curves of the risk terciles under the model that scores best on the hold-out."""
+    result = compare.compare_models(_split(spark, sf_dir, "age_group"), settings=QUICK)
+    scored_rows = compare.score_model(result.models[result.best], result.train.unionByName(result.test))
+    grouped = risk.risk_groups(materialize(scored_rows, "scored"))
+    return rounded(km.kaplan_meier(grouped, ["risk_group"], cuts=None), *_CURVE, *_BAND)
+
+
+def split_snapshot(spark, sf_dir):
+    """Encoded training and test rows, written by split and read back."""
+    _, table = _encoded(spark, sf_dir)
+    path = files.write_table(table, f"{scratch_path(spark, 'snapshot')}.parquet", partition_by=["split"])
+    return rounded(files.read_table(spark, path).select(*table.columns), AGE, TIME)
+
+
+def model_roundtrip(spark, sf_dir):
+    """Largest difference between the risks of a saved and loaded model and the original, per model."""
+    encoder, table, train = _train_rows(spark, sf_dir)
+    folder = scratch_path(spark, "models")
+    parts = []
+    for name in compare.MODELS:
+        model = compare.fit_model(name, train, encoder.columns, None, QUICK)
+        pipeline.save_model(spark, name, model, folder)
+        loaded = pipeline.load_model(spark, name, folder)
+        both = compare.score_model(model, table).select("row_id", F.col("risk").alias("before")).join(
+            compare.score_model(loaded, table).select("row_id", "risk"), "row_id"
+        )
+        parts.append(both.agg(F.max(F.abs(F.col("before") - F.col("risk"))).alias("difference"), F.count(F.lit(1)).alias("n_rows"))
+                     .select(F.lit(name).alias("model_name"), "difference", "n_rows"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def report_roundtrip(spark, sf_dir):
+    """The comparison report as it comes back from its CSV file."""
+    report = compare.compare_models(_split(spark, sf_dir, "age_group"), settings=QUICK).report
+    path = files.write_table(report, f"{scratch_path(spark, 'report')}/model_comparison_results.csv")
+    return spark.read.csv(path, header=True, schema=report.schema)
+
+
+def prediction_roundtrip(spark, sf_dir):
+    """Predicted median times with their features, as they come back from the CSV file."""
+    folder = scratch_path(spark, "predictions")
+    encoder, _, train = _train_rows(spark, sf_dir)
+    model = forest.fit_forest(train, encoder.columns, **QUICK[fv.FOREST])
+    pipeline.save_model(spark, fv.FOREST, model, folder)
+    files.save_model_tables({"encoder": encoder.table(spark)}, f"{folder}/models")
+    features = files.write_table(stored_features(spark, sf_dir), f"{folder}/features.parquet")
+    return spark.read.csv(pipeline.predict_times(spark, features, folder), header=True, inferSchema=True)
+
+
 def diag_gap(spark, sf_dir):
     return diagnostics.train_test_gap(_split(spark, sf_dir, "age_group"), settings=QUICK)
 
@@ -498,7 +577,8 @@ QUERIES = {
         boosted_grad_round1, boosted_root_gain, boosted_scores, importance_split_count, importance_gain,
         logrank_score, forest_risk, forest_curves, predicted_median,
         pdp_linear, ice_linear, permutation_importance_linear, permutation_importance_forest,
-        pdp_boosted, ice_boosted, model_comparison,
+        pdp_boosted, ice_boosted, pdp_forest, ice_forest, top_features, model_comparison,
+        km_by_best_model, split_snapshot, model_roundtrip, report_roundtrip, prediction_roundtrip,
         diag_gap, diag_redundancy, diag_complexity, diag_learning_curve, diag_permutation,
     )
 }

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,16 @@ from ..session import materialize
 
 log = logging.getLogger(__name__)
 MODELS = [fv.COX, fv.FOREST, fv.BOOSTED]
-MAX_CATEGORIES = 10_000
 Model = CoxModel | ForestModel | BoostedModel
 
 
+def is_fit_error(error: Exception) -> bool:
+    """Whether a fit failed on its numbers; a lost executor, say, is no such failure."""
+    if isinstance(error, PySparkException):
+        return error.getCondition() == "USER_RAISED_EXCEPTION"
+    return isinstance(error, (ArithmeticError, ValueError, np.linalg.LinAlgError))
+
+
 def fit_model(
     name: str, df: DataFrame, features: Sequence[str], fit_col: str | None = None, settings: dict | None = None
 ) -> Model:
@@ -58,9 +66,7 @@ def _fold_encoders(train: DataFrame, roles: Roles, folds: int) -> dict[int, Enco
         F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").alias("v")) for c in roles.categorical
     ]))
     seen = train.select("fold", pairs.alias("p")).select("fold", "p.c", "p.v").filter("v is not null").distinct()
-    rows = seen.limit(folds * MAX_CATEGORIES + 1).collect()
-    if len(rows) > folds * MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories to one-hot encode")
+    rows = seen.collect()  # names of result columns, per fold
     out = {}
     for k in range(folds):
         categories = {
@@ -77,9 +83,10 @@ def cross_validate(
     """(model_name, fold, c_index) over out-of-fold scores.
 
     All folds of a model are fitted in the same jobs: each row is copied to the training
-    sets it belongs to, under that fold's number. If the folds do not share their
-    categories, folds are fitted one by one with their own encoding. A failed fit is
-    logged and scores 0.
+    sets it belongs to, under that fold's number, and every fold has its own cut points. If
+    the folds do not share their categories, folds are fitted one by one with their own
+    encoding; the fits are the same either way. A fit that fails on its numbers is logged
+    and scores 0.
     """
     folded = materialize(assign_folds(train, folds, row_id=row_id, group_col=group_col), "folds")
     roles = roles or feature_roles(train)
@@ -105,6 +112,8 @@ def cross_validate(
             try:
                 run(name, members)
             except Exception as joint:  # a failing fold must not take the others along
+                if not is_fit_error(joint):
+                    raise
                 if len(members) == 1:
                     log.error("fit of %s on fold %s failed: %s", name, members, joint)
                     failed.append((name, members[0], 0.0))
@@ -113,6 +122,8 @@ def cross_validate(
                     try:
                         run(name, [k])
                     except Exception as single:
+                        if not is_fit_error(single):
+                            raise
                         log.error("fit of %s on fold %s failed: %s", name, k, single)
                         failed.append((name, k, 0.0))
     schema = "model_name string, fold int, c_index double"
@@ -135,17 +146,18 @@ class Comparison:
 
 def compare_models(
     split: DataFrame, folds: int = 5, models: Sequence[str] = MODELS, settings: dict | None = None,
-    row_id: str = "row_id",
+    row_id: str = "row_id", group_col: str | None = None,
 ) -> Comparison:
     """Cross-validation on the training rows, final fits, hold-out scores, best model.
 
     ``split`` is the feature table with a ``split`` column. The report has one row per
-    model: ``model_name, cv_mean_c_index, cv_std_c_index, test_c_index``.
+    model: ``model_name, cv_mean_c_index, cv_std_c_index, test_c_index``. With ``group_col``,
+    which is no feature, all rows of a group fall into one fold.
     """
     spark = split.sparkSession
     train = split.filter("split = 'train'").drop("split")
-    roles = feature_roles(train)
-    cv = fold_summary(cross_validate(train, roles, folds, models, settings, row_id), ["model_name"])
+    roles = feature_roles(train, [group_col] if group_col else [])
+    cv = fold_summary(cross_validate(train, roles, folds, models, settings, row_id, group_col), ["model_name"])
     encoder = fit_encoder(train, roles)
     encoded = materialize(encoder.transform(split, [row_id, EVENT, TIME, "split"]), "encoded")
     encoded_train, encoded_test = encoded.filter("split = 'train'"), encoded.filter("split = 'test'")

@@ -207,7 +207,7 @@ def _age_grid(points: int) -> str:
     ends as (select p, max(case when k = floor(pos) then v end) as a, max(case when k = least(floor(pos) + 1, n - 1) then v end) as b,
         max(pos - floor(pos)) as f from sorted, cnt, (select 0 as p, pos from {edge(0.05, 'x')} union all select 1, pos from {edge(0.95, 'y')}) group by p),
     lim as (select max(case when p = 0 then a + (b - a) * f end) as lo, max(case when p = 1 then a + (b - a) * f end) as hi from ends),
-    few as (select count(distinct age_at_index) <= {points} as few from cohort),
+    few as (select count(distinct age_at_index) < {points} as few from cohort),
     grid as (select lo + (hi - lo) * i / {points - 1} as v from lim, few, unnest(range({points})) u(i) where not few
         union all select distinct age_at_index from cohort, few where few)"""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -24,6 +24,22 @@ _PARTS = {
 }
 
 
+def with_row_id(df: DataFrame) -> DataFrame:
+    """Add an id made of a 40-bit hash of the row's values and its number among rows of that hash.
+
+    Equal rows get consecutive ids, so which of them has which does not matter. More than 4
+    million rows of one hash are an error.
+    """
+    values = F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]))
+    hashed = df.withColumn("__digest", F.md5(values.cast("binary"))).withColumn(
+        "__hash", F.conv(F.left("__digest", F.lit(10)), 16, 10).cast("bigint")
+    )
+    number = F.row_number().over(Window.partitionBy("__hash").orderBy("__digest"))
+    numbered = hashed.withColumn("__number", number)
+    fits = F.when(F.col("__number") < 1 << 22, F.col("__number")).otherwise(F.raise_error(F.lit("too many equal rows")))
+    return numbered.withColumn(ROW_ID, F.shiftleft("__hash", 22) + fits).drop("__digest", "__hash", "__number")
+
+
 def prepare(
     spark: SparkSession, clinical: str, samples: str, folder: str,
     sites: Sequence[str] = fv.COLON_SITES, sparse_sites: Sequence[str] = fv.SPARSE_SITES,
@@ -31,17 +47,16 @@ def prepare(
 ) -> str:
     """Raw tables -> Parquet -> consolidated table -> feature table and step audit.
 
-    The feature table gets a ``row_id`` when the raw table has none; it is written once, so
-    later stages all see the same ids.
+    The feature table gets a ``row_id`` from the values of its row and a count among equal
+    rows, so that splits and folds do not depend on partitioning.
     """
     clinical_table = files.convert_to_parquet(spark, clinical, f"{folder}/interim/clinical.parquet")
     sample_table = files.convert_to_parquet(spark, samples, f"{folder}/interim/samples.parquet")
     joined = joining.consolidate(clinical_table, sample_table, fv.CASE_KEY)
     consolidated = spark.read.parquet(files.write_table(joined, f"{folder}/interim/consolidated.parquet"))
     features = cleaning.survival_features(consolidated, [fv.CASE_KEY], sites, sparse_sites, extra)
-    numbered = features.withColumnRenamed(fv.CASE_KEY, "case_id").withColumn(
-        ROW_ID, F.monotonically_increasing_id()
-    )
+    named = features.withColumnRenamed(fv.CASE_KEY, "case_id")
+    numbered = with_row_id(named)
     audit = cleaning.step_audit(consolidated, sites, sparse_sites)
     files.write_table(audit, f"{folder}/reports/step_audit.csv")
     return files.write_table(numbered, f"{folder}/processed/features.parquet")
@@ -67,7 +82,7 @@ def explore(df: DataFrame, folder: str, site_labels: dict[str, str] = fv.SITE_LA
     return tables
 
 
-def _save(spark: SparkSession, name: str, model: compare.Model, folder: str) -> None:
+def save_model(spark: SparkSession, name: str, model: compare.Model, folder: str) -> None:
     tables = {"coefficients": model.table(spark)} if name == fv.COX else model.tables(spark)
     files.save_model_tables(tables, f"{folder}/models/{name}")
 
@@ -85,17 +100,25 @@ def load_best(spark: SparkSession, folder: str) -> tuple[str, compare.Model, Enc
     return name, load_model(spark, name, folder), encoder
 
 
-def train(spark: SparkSession, features: str, folder: str, settings: dict | None = None, folds: int = 5) -> compare.Comparison:
-    """Hold-out, cross-validation, final fits; writes snapshots, models and the report."""
-    table = files.read_table(spark, features).drop("case_id")
+def train(
+    spark: SparkSession, features: str, folder: str, settings: dict | None = None, folds: int = 5,
+    group_col: str | None = None,
+) -> compare.Comparison:
+    """Hold-out, cross-validation, final fits; writes snapshots, models and the report.
+
+    With ``group_col`` (``case_id``, say) all rows of a group are on the same side of the
+    hold-out and in the same fold.
+    """
+    table = files.read_table(spark, features)
+    table = table.drop(*[c for c in ("case_id",) if c != group_col])
     split = spark.read.parquet(
-        files.write_table(sampling.stratified_holdout(table), f"{folder}/processed/split.parquet")
+        files.write_table(sampling.stratified_holdout(table, group_col=group_col), f"{folder}/processed/split.parquet")
     )
-    result = compare.compare_models(split, folds, settings=settings)
+    result = compare.compare_models(split, folds, settings=settings, group_col=group_col)
     snapshot = result.train.unionByName(result.test)
     files.write_table(snapshot, f"{folder}/processed/encoded.parquet", partition_by=["split"])
     for name, model in result.models.items():
-        _save(spark, name, model, folder)
+        save_model(spark, name, model, folder)
     files.save_model_tables(
         {
             "encoder": result.encoder.table(spark),

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazardlake.functions.scalars import hash_uniform
+from hazardlake.functions.scalars import hash_uniform, uniform_sql
 from hazardlake.operators import boosted, cox, encoding, explain, forest, trees
 from hazardlake.operators.concordance import concordance
 from hazardlake.operators.sampling import permute
@@ -160,7 +160,7 @@ def test_tree_takes_the_best_split(spark):
     assert abs(by[2].gain - best(sub)[0]) < 1e-9
     ensemble = trees.Ensemble(nodes)
     placed = assigned.collect()
-    assert [int(v) for v in ensemble.leaves(0, np.array([r.bins for r in placed]))[:, 0]] == [r.node for r in placed]
+    assert [int(v) for v in ensemble.fits[0][0][6][trees.leaf_of(ensemble.fits[0][0], np.array([r.bins for r in placed]))]] == [r.node for r in placed]
 
 
 def test_models_find_the_signal(encoded, forest_model, boosted_model):
@@ -200,7 +200,7 @@ def test_forest_leaf_risk_is_summed_hazard(encoded, forest_model):
 
 
 def test_poisson_draws_have_the_right_moments(spark):
-    expr = forest.poisson_draw("m", forest._uniform(1, 1, "id"), forest._uniform(1, 2, "id"))
+    expr = forest.poisson_draw("m", uniform_sql(1, 1, "id"), uniform_sql(1, 2, "id"))
     for m in (1, 7, 80):
         r = spark.range(20_000).selectExpr("id", f"{m} as m").selectExpr(f"{expr} as w").selectExpr(
             "avg(w) as a", "var_samp(w) as v").first()
@@ -261,3 +261,41 @@ def test_bucketed_windows_change_no_model(monkeypatch, encoded, cox_model, fores
     for a, b in zip(sorted(trees_again.nodes, key=key), sorted(forest_model.nodes, key=key), strict=True):
         assert (a.feature, a.split_bin) == (b.feature, b.split_bin) and abs(a.value - b.value) < 1e-8
     assert abs(c_index(trees_again.score(table)) - c_index(forest_model.score(table))) < 1e-9
+
+
+def _biased(table):
+    """Two training sets whose ages lie far apart, so that shared cut points would show."""
+    copies = table.withColumn("fit", F.explode(F.lit([0, 1]))).filter("fit = 0 or age_at_index > 60")
+    return copies, table.filter("age_at_index > 60")
+
+
+def test_joint_boosted_equals_single_fit(spark, encoded):
+    columns, table = encoded
+    copies, alone = _biased(table)
+    options = {"rounds": 2, "max_depth": 2, "max_bins": 16, "subsample": 0.7}
+    joint = boosted.fit_boosted(copies, columns, "fit", **options)
+    single = boosted.fit_boosted(alone, columns, **options)
+    a = joint.score(alone.withColumn("fit", F.lit(1)), "a", "fit").select("row_id", "a")
+    b = single.score(alone, "b").select("row_id", "b")
+    assert a.join(b, "row_id").filter("abs(a - b) > 1e-8").count() == 0
+
+
+def test_joint_forest_equals_single_fit(spark, encoded):
+    columns, table = encoded
+    copies, alone = _biased(table)
+    options = {"trees": 3, "max_depth": 2, "max_bins": 16}
+    joint = forest.fit_forest(copies, columns, "fit", **options)
+    single = forest.fit_forest(alone, columns, **options)
+    a = joint.score(alone.withColumn("fit", F.lit(1)), "a", "fit").select("row_id", "a")
+    b = single.score(alone, "b").select("row_id", "b")
+    assert a.join(b, "row_id").filter("abs(a - b) > 1e-6").count() == 0
+
+
+def test_binomial_draws(spark):
+    """Draws have the share's mean and variance, for single rows and large counts alike."""
+    for m, share in ((1, 0.02), (1, 0.99), (60, 0.3), (5000, 0.25)):
+        draw = boosted.binomial_draw("m", share, 3, 1, "id")
+        got = spark.range(20000).selectExpr("id", f"{m} as m").selectExpr(f"{draw} as k").agg(F.avg("k"), F.var_pop("k"), F.min("k"), F.max("k")).first()
+        spread = m * share * (1 - share)
+        assert abs(got[0] - m * share) < 5 * (spread / 20000) ** 0.5 + 1e-9
+        assert abs(got[1] / spread - 1) < 0.12 and got[2] >= 0 and got[3] <= m
