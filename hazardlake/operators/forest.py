@@ -4,10 +4,12 @@ All trees of all fits grow together. Training rows are collapsed to (bins, time,
 counts; a bootstrap draw is one Poisson weight per (tree, count row), which for a count m
 has the same distribution as m separate Poisson(1) row weights.
 
-Splits maximise the variance between children of the log-rank score
-``event - H(time)``, H being the Nelson-Aalen estimate of the training set (declared
-difference: scores are taken at the root, not recomputed in every node). Leaves hold
-Kaplan-Meier and Nelson-Aalen curves of their in-bag rows.
+Splits maximise the log-rank statistic between the children, worked out anew in every node from
+sums per (node, feature, bin, time bin); event times are cut at quantiles into at most
+``time_bins`` bins, within which times count as tied. The older rule ``score`` maximises the
+variance of the root's log-rank scores ``event - H(time)`` instead, H being the Nelson-Aalen
+estimate of the training set. Leaves hold Kaplan-Meier and Nelson-Aalen curves of their in-bag
+rows, at the exact times.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,6 +152,101 @@ class ForestModel:
         )
 
 
+def _best_split(p: int, min_leaf: float, mtry: int, seed: int):
+    """A function from the sums of one node to its best split by the log-rank statistic.
+
+    Sums come as rows (feature, bin, tb, m, d): weight and deaths; feature ``p`` has the whole
+    node. Bin 0 is what a feature's other bins leave of it, bin -1 holds missing values, which
+    take the better side.
+    """
+
+    def statistic(m: np.ndarray, d: np.ndarray, whole_m: np.ndarray, whole_d: np.ndarray) -> np.ndarray:
+        """Log-rank statistics of right sides (one a row) against the rest of the node."""
+        n = np.cumsum(whole_m[::-1])[::-1]
+        right = np.cumsum(m[:, ::-1], axis=1)[:, ::-1]
+        dead = (whole_d > 0) & (n > 1)
+        share = right[:, dead] / n[dead]
+        u = (d[:, dead] - whole_d[dead] * share).sum(1)
+        v = (whole_d[dead] * share * (1 - share) * (n[dead] - whole_d[dead]) / (n[dead] - 1)).sum(1)
+        return np.where(v > 1e-12, u * u / np.maximum(v, 1e-12), -1.0)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        size = int(rows.tb.max()) + 1
+        whole = rows[rows.feature == p]
+        whole_m = np.bincount(whole.tb, weights=whole.m, minlength=size)
+        whole_d = np.bincount(whole.tb, weights=whole.d, minlength=size)
+        total = whole_m.sum()
+        options = {}
+        for feature, mine in rows[rows.feature < p].groupby("feature"):
+            bins = np.sort(mine.bin[mine.bin > 0].unique())
+            at = np.searchsorted(bins, mine.bin)
+            shown, missing = (mine.bin > 0).to_numpy(), (mine.bin == -1).to_numpy()
+
+            def grid(column: str) -> tuple[np.ndarray, np.ndarray]:
+                table = np.zeros((len(bins), size))
+                np.add.at(table, (at[shown], mine.tb.to_numpy()[shown]), mine[column].to_numpy()[shown])
+                lost = np.bincount(mine.tb[missing], weights=mine[column][missing], minlength=size)
+                return np.cumsum(table[::-1], axis=0)[::-1], lost
+
+            (m, lost_m), (d, lost_d) = grid("m"), grid("d")
+            sides = [(m, d, bins, False)]
+            if lost_m.sum():
+                sides += [(m + lost_m, d + lost_d, bins, True), (lost_m[None], lost_d[None], np.array([1000000]), True)]
+            for side_m, side_d, cut, missing_right in sides:
+                weight = side_m.sum(1)
+                fine = (weight >= min_leaf) & (total - weight >= min_leaf) & (weight > 0) & (weight < total)
+                if fine.any():
+                    value = np.where(fine, statistic(side_m, side_d, whole_m, whole_d), -1.0)
+                    k = int(value.argmax())
+                    if value[k] > options.get(feature, (1e-9,))[0]:
+                        options[feature] = (float(value[k]), int(cut[k]), missing_right, float(weight[k]))
+        able = sorted(options)
+        draw = np.random.default_rng([seed, int(first.tree), int(first.node)])
+        looked = [able[i] for i in sorted(draw.permutation(len(able))[:mtry])]
+        best = max(looked, key=lambda f: (options[f][0], -f), default=None)
+        gain, cut, missing_right, weight = options[best] if best is not None else (-1.0, 0, False, 0.0)
+        return pd.DataFrame({
+            "fit": [first.fit], "tree": [first.tree], "node": [first.node], "gain": [gain], "feature": [-1 if best is None else best],
+            "split_bin": [cut], "missing_right": [missing_right], "rg": [0.0], "rh": [weight], "tg": [0.0], "th": [total],
+        })
+
+    return run
+
+
+def logrank_splits(assigned: DataFrame, level: int, p: int, min_leaf: float, mtry: int, seed: int) -> DataFrame:
+    """Best log-rank split of every node of the level, from rows (fit, tree, node, bins, tb, e, w).
+
+    Only bins other than 0 are emitted; a group holds the sums of one node, at most features x
+    bins x time bins rows.
+    """
+    kind = assigned.schema["fit"].dataType.simpleString()
+    sums = assigned.filter(F.col("node") >= (1 << level) - 1).selectExpr(
+        "fit", "tree", "node", "tb", "w", "w * e as dead", "posexplode(array_append(bins, 1)) as (feature, bin)"
+    ).filter("bin != 0").groupBy("fit", "tree", "node", "feature", "bin", "tb").agg(
+        F.expr("cast(sum(w) as double) as m"), F.expr("cast(sum(dead) as double) as d")
+    )
+    schema = (
+        f"fit {kind}, tree int, node int, gain double, feature int, split_bin int, missing_right boolean, "
+        "rg double, rh double, tg double, th double"
+    )
+    return sums.groupBy("fit", "tree", "node").applyInPandas(_best_split(p, min_leaf, mtry, seed), schema)
+
+
+def _time_bins(counts: DataFrame, time_bins: int) -> Binner:
+    """Cut points of the event times of every fit: all times where they are few, else quantiles."""
+    dead = counts.filter("e = 1").select("fit", "t")
+    counted = dead.distinct().groupBy("fit").agg(F.count(F.lit(1)).alias("n")).collect()
+    few = [r.fit for r in counted if r.n <= time_bins]
+    short: dict = {k: [] for k in few}
+    for r in dead.filter(F.col("fit").isin(few)).distinct().orderBy("t").collect() if few else []:
+        short[r.fit].append(r.t)
+    short = {k: times[1:] for k, times in short.items()}
+    long = dead.filter(~F.col("fit").isin(few)) if few else dead
+    cuts = fit_binner(long, ["t"], time_bins, "fit").by_fit
+    return Binner(["t"], [[]], cuts | {k: [v] for k, v in short.items()})
+
+
 def fit_forest(
     df: DataFrame,
     features: Sequence[str],
@@ -158,8 +257,12 @@ def fit_forest(
     seed: int = fv.FOREST_SETTINGS["seed"],
     max_bins: int = 256,
     binner: Binner | None = None,
+    rule: str = "logrank",
+    time_bins: int = 64,
 ) -> ForestModel:
     """Fit one forest, or one per value of ``fit_col`` in the same jobs."""
+    if rule not in ("logrank", "score"):
+        raise ValueError(f"unknown rule: {rule}")
     spark = df.sparkSession
     binner = binner or fit_binner(df, features, max_bins, fit_col)
     counts = materialize(collapse(df, binner, fit_col), "forest")
@@ -170,23 +273,33 @@ def fit_forest(
     keys = ["fit", "bins", "t", "e"]
     # drawn from the values alone, so that a fit gets the same bag in whatever company it runs
     draw = poisson_draw("m", *(uniform_sql(seed, salt, "tree", "bins", "t", "e") for salt in (1, 2)))
-    bag = (
+    drawn = (
         counts.join(small.select("fit", "t", "cumulative_hazard"), ["fit", "t"])
         .selectExpr(*keys, "m", "e - cumulative_hazard as score", f"explode(sequence(0, {trees - 1})) as tree")
         .selectExpr(*keys, "tree", "score", f"{draw} as w")
         .filter("w > 0")
     )
-    stats = materialize(
-        bag.groupBy("fit", "tree", "bins").agg(
-            F.expr("-sum(w * score) as g"), F.expr("cast(sum(w) as double) as h")
-        ),
-        "bag",
-    )
     mtry = max(1, int(math.sqrt(len(features))))
-    nodes, assigned = grow(stats, len(features), max_depth, 0.0, 0.0, float(min_leaf), mtry, seed)
+    p, least = len(features), float(min_leaf)
+    if rule == "logrank":
+        placed = _time_bins(counts, time_bins).transform(drawn, "tb", fit_col="fit")
+        bag = materialize(placed.selectExpr(*keys, "tree", "w", "coalesce(tb[0], 0) as tb"), "bag")
+        nodes, in_leaf = grow(
+            bag, p, max_depth, 0.0, 0.0, least, find=lambda rows, level: logrank_splits(rows, level, p, least, mtry, seed)
+        )
+    else:
+        bag = materialize(drawn, "bag")
+        stats = materialize(
+            bag.groupBy("fit", "tree", "bins").agg(
+                F.expr("-sum(w * score) as g"), F.expr("cast(sum(w) as double) as h")
+            ),
+            "stats",
+        )
+        nodes, assigned = grow(stats, p, max_depth, 0.0, 0.0, least, mtry, seed)
+        in_leaf = bag.join(assigned.select("fit", "tree", "bins", "node"), ["fit", "tree", "bins"])
 
     # curves of the leaves from the same draws
-    in_leaf = bag.join(assigned.select("fit", "tree", "bins", "node"), ["fit", "tree", "bins"])
+    in_leaf = materialize(in_leaf.select("fit", "tree", "node", "t", "e", "w"), "leaves")
     cuts = cut_points(hazard, "t")  # empty for bounded times
     table, _ = at_risk(in_leaf, ["fit", "tree", "node"], "t", "e", cuts, "w")
     # a step that ends the curve (all at risk die) has no row after it, so 1 can stand for its factor 0

@@ -8,7 +8,7 @@ reduced to one winning split per node, which is what the driver receives.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -207,9 +207,13 @@ def grow(
     min_child_weight: float,
     mtry: int | None = None,
     seed: int = 0,
+    find: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> tuple[list[Node], DataFrame]:
     """Grow one tree per (fit, tree) of ``stats`` (fit, tree, bins, g, h), level by level.
 
+    ``find`` may replace the search for the best split of every node of a level; it gets the
+    rows with their node and returns the columns of ``_splits``.
+
     Gain of a split is ``G_l^2/(H_l+lambda) + G_r^2/(H_r+lambda) - G^2/(H+lambda)`` and must
     exceed ``gamma``; both sides need ``min_child_weight`` of H. Missing values take the side
     with the larger gain. With ``mtry`` each node looks at that many of the features that
@@ -222,7 +226,10 @@ def grow(
     for level in range(max_depth + 1):
         if level == max_depth and level > 0:
             break
-        found = _splits(assigned, level, p, reg_lambda, gamma, min_child_weight, mtry, seed).collect()
+        if find:
+            found = find(assigned, level).collect()
+        else:
+            found = _splits(assigned, level, p, reg_lambda, gamma, min_child_weight, mtry, seed).collect()
         split_rows = []
         for r in found:
             key = (r.fit, r.tree, r.node)
