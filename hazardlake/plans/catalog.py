@@ -398,18 +398,18 @@ def pdp_forest(spark, sf_dir):
     """Partial dependence of the forest on the three features that matter most to it."""
     table, model = _forest(spark, sf_dir)
     scorer, best = _forest_view(model, table)
-    return explain.partial_dependence(table.filter("split = 'train'"), scorer, model.binner.features, best, points=20)
+    return explain.partial_dependence(table.filter("split = 'train'"), scorer, model.binner.features, best)
 
 
 def ice_forest(spark, sf_dir):
     table, model = _forest(spark, sf_dir)
     scorer, best = _forest_view(model, table)
-    return explain.individual_curves(table.filter("split = 'train'"), scorer, model.binner.features, best, points=20)
+    return explain.individual_curves(table.filter("split = 'train'"), scorer, model.binner.features, best)
 
 
 def _forest_view(model, table):
     scorer = lambda d, replace: model.score(d, replace=replace)
-    shuffled = explain.permutation_importance(table.filter("split = 'test'"), scorer, model.binner.features, repeats=3)
+    shuffled = explain.permutation_importance(table.filter("split = 'test'"), scorer, model.binner.features)
     return scorer, explain.top_features(materialize(shuffled, "importance"))
 
 
@@ -446,13 +446,13 @@ def pdp_linear(spark, sf_dir):
 
 def ice_linear(spark, sf_dir):
     df = stored_features(spark, sf_dir)
-    table = explain.individual_curves(df, _fixed_scorer, _SCORED_FEATURES, [AGE], points=20)
+    table = explain.individual_curves(df, _fixed_scorer, _SCORED_FEATURES, [AGE])
     return rounded(table, "value", "prediction")
 
 
 def permutation_importance_linear(spark, sf_dir):
     df = stored_features(spark, sf_dir)
-    table = explain.permutation_importance(df, _fixed_scorer, _SCORED_FEATURES, repeats=3)
+    table = explain.permutation_importance(df, _fixed_scorer, _SCORED_FEATURES)
     return rounded(table, "importance_mean", "importance_std")
 
 
@@ -460,24 +460,25 @@ def permutation_importance_forest(spark, sf_dir):
     table, model = _forest(spark, sf_dir)
     test = table.filter("split = 'test'")
     return explain.permutation_importance(
-        test, lambda d, replace: model.score(d, replace=replace), model.binner.features, repeats=3
+        test, lambda d, replace: model.score(d, replace=replace), model.binner.features
     )
 
 
 def _boosted(spark, sf_dir):
     encoder, _, train = _train_rows(spark, sf_dir)
     model = boosted.fit_boosted(train, encoder.columns, **QUICK[fv.BOOSTED])
-    return train, encoder.columns, lambda d, replace: model.margin(d, "risk", replace=replace)
+    best = explain.top_features(model.importance(spark, "gain"))
+    return train, encoder.columns, lambda d, replace: model.margin(d, "risk", replace=replace), best
 
 
 def pdp_boosted(spark, sf_dir):
-    train, columns, scorer = _boosted(spark, sf_dir)
-    return explain.partial_dependence(train, scorer, columns, [AGE, f"{STAGE}_Stage IV"], points=20)
+    train, columns, scorer, best = _boosted(spark, sf_dir)
+    return explain.partial_dependence(train, scorer, columns, best)
 
 
 def ice_boosted(spark, sf_dir):
-    train, columns, scorer = _boosted(spark, sf_dir)
-    return explain.individual_curves(train, scorer, columns, [AGE], points=20)
+    train, columns, scorer, best = _boosted(spark, sf_dir)
+    return explain.individual_curves(train, scorer, columns, best)
 
 
 def _split(spark, sf_dir, *drop):
@@ -516,7 +517,7 @@ def model_roundtrip(spark, sf_dir):
         both = compare.score_model(model, table).select("row_id", F.col("risk").alias("before")).join(
             compare.score_model(loaded, table).select("row_id", "risk"), "row_id"
         )
-        parts.append(both.agg(F.max(F.abs(F.col("before") - F.col("risk"))).alias("difference"), F.count(F.lit(1)).alias("n_rows"))
+        parts.append(both.agg(F.round(F.max(F.abs(F.col("before") - F.col("risk"))), DIGITS).alias("difference"), F.count(F.lit(1)).alias("n_rows"))
                      .select(F.lit(name).alias("model_name"), "difference", "n_rows"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -544,7 +545,7 @@ def diag_gap(spark, sf_dir):
 
 
 def diag_redundancy(spark, sf_dir):
-    return diagnostics.feature_redundancy(_split(spark, sf_dir), models=[fv.COX], settings=QUICK)
+    return diagnostics.feature_redundancy(_split(spark, sf_dir), settings=QUICK)
 
 
 def diag_complexity(spark, sf_dir):
@@ -557,7 +558,7 @@ def diag_learning_curve(spark, sf_dir):
 
 
 def diag_permutation(spark, sf_dir):
-    return diagnostics.permutation_test(_split(spark, sf_dir, "age_group"), repeats=3, settings=QUICK)
+    return diagnostics.permutation_test(_split(spark, sf_dir, "age_group"), settings=QUICK)
 
 
 QUERIES = {

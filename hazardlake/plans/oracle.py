@@ -117,10 +117,10 @@ def _cindex_folds(last: str = "") -> str:
     return of_cohort(select, f"{_FOLDED}, {body}")
 
 
-def _onehot() -> str:
+def _onehot(keep: str = "row_id, split") -> str:
     cols = [f"(case when ajcc_pathologic_stage = '{s}' then 1.0 else 0.0 end)::double as \"ajcc_pathologic_stage_{s}\"" for s in _STAGES[1:]]
     cols += [f"(case when tissue_or_organ_of_origin = 'NATION_{i}' then 1.0 else 0.0 end)::double as \"tissue_or_organ_of_origin_NATION_{i}\"" for i in range(1, 7)]
-    return of_cohort(f"select row_id, split, round(age_at_index, 6) as age_at_index, {', '.join(cols)} from split", _SPLIT)
+    return of_cohort(f"select {keep}, round(age_at_index, 6) as age_at_index, {', '.join(cols)} from split", _SPLIT)
 
 
 def _kde() -> str:
@@ -217,7 +217,7 @@ _WEIGHT = "case ajcc_pathologic_stage when 'Stage II' then 0.5 when 'Stage III'
 
 def _permutation() -> str:
     body = f"""
-    reps as (select cohort.*, r::int as repeat from cohort, unnest(range(3)) u(r)),
+    reps as (select cohort.*, r::int as repeat from cohort, unnest(range(10)) u(r)),
     don as (select repeat, age_at_index as age_d, ajcc_pathologic_stage as stage_d,
         row_number() over (partition by repeat order by {hashed("'42'", "repeat", "'donor'", "row_id")}, row_id) as k from reps),
     tak as (select *, row_number() over (partition by repeat order by {hashed("'42'", "repeat", "'taker'", "row_id")}, row_id) as k from reps),
@@ -303,6 +303,11 @@ ORACLE = {
         select observed_time as t, cast(sum(event_occurred) as bigint) as d, count(*) as m from cohort group by 1))"""),
     "risk_terciles": of_cohort("select row_id, risk_group from grouped", _TERCILES),
     "onehot_encode": _onehot(),
+    "split_snapshot": _onehot("row_id, event_occurred, round(observed_time, 6) as observed_time, split"),
+    "model_roundtrip": of_cohort(
+        "select model_name, 0.0::double as difference, (select count(*) from cohort) as n_rows "
+        "from (values ('CoxPH'), ('RandomSurvivalForest'), ('XGBoostSurvival')) m(model_name)"
+    ),
     "align_columns": of_cohort("""select row_id, round(age_at_index, 6) as age_at_index,
         (case when ajcc_pathologic_stage = 'Stage IV' then 1 else 0 end)::double as "ajcc_pathologic_stage_Stage IV",
         0::double as "ajcc_pathologic_stage_Stage V",
@@ -327,6 +332,6 @@ ORACLE = {
         round(avg(round(0.03 * (v - 60) + {_WEIGHT}, 8)), 6) as mean_prediction from grid, cohort group by v""", _age_grid(100)),
     "ice_linear": of_cohort(f"""select row_id, 'age_at_index' as feature, round(v, 6) as value,
         round(0.03 * (v - 60) + {_WEIGHT}, 6) as prediction
-        from (select * from cohort order by {hashed("'42'", "row_id")}, row_id limit 100), grid""", _age_grid(20)),
+        from (select * from cohort order by {hashed("'42'", "row_id")}, row_id limit 100), grid""", _age_grid(100)),
     "permutation_importance_linear": _permutation(),
 }
