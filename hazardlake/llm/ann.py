@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from hazardlake.session import materialize
 
 #: Distinct vectors that the centroids are fitted on.
-SAMPLE = 50_000
+SAMPLE = 30_000
 #: Sample vectors that the ratio is calibrated with.
 CALIBRATION = 400
 #: Distinct vectors in a list before replication.
@@ -31,6 +31,8 @@ LIST_SIZE = 48
 REPLICAS, REPLICA_RATIO = 6, 1.3
 #: Lists that every query reads first.
 FIRST_LISTS = 6
+#: Queries whose hits one task ranks.
+QUERIES_PER_TASK = 1000
 #: Rows of a block of a list.
 BLOCK = 4096
 
@@ -177,9 +179,14 @@ def fit(sample: np.ndarray, n_vectors: int, largest_norm: float, recall: float,
         return index
     # Relative to the distance of its k-th neighbour, how far a query must look for each neighbour.
     probe = np.arange(0, len(sample), max(1, len(sample) // CALIBRATION))
-    scores = sample[probe] @ sample.T
-    scores[np.arange(len(probe)), probe] = -np.inf
-    top = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    take, tops = min(k, len(sample) - 1), []
+    for at in range(0, len(probe), 32):
+        scores = sample[probe[at : at + 32]] @ sample.T
+        here = np.arange(len(scores))[:, None]
+        scores[here[:, 0], probe[at : at + 32]] = -np.inf
+        near = np.argpartition(-scores, take - 1, axis=1)[:, :take]
+        tops.append(np.take_along_axis(near, np.argsort(-scores[here, near], axis=1, kind="stable"), 1))
+    top = np.concatenate(tops)
     members = np.unique(top)
     rows, lists_ = lists_of_vectors(index, sample[members])
     joined = np.full((len(sample), REPLICAS), -1)
@@ -231,11 +238,11 @@ def nearest(vectors: DataFrame, queries, k: int = 20, recall: float = 0.97, samp
     )
     n, largest = distinct.agg(F.count(F.lit(1)), F.max(norm)).first()
     drawn = distinct.orderBy(F.xxhash64("h"), "rep").limit(sample).select("embedding").toArrow()["embedding"]
-    fitted = np.stack([np.asarray(v, dtype=np.float64) for v in drawn.to_numpy(zero_copy_only=False)])
+    fitted = drawn.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width.w)
     # Bounded by the sample: centroids and graph.
     index = spark.sparkContext.broadcast(tuple(fit(fitted, n, largest, recall, k)))
 
-    def assign(choose, reach: bool = False):
+    def assign(choose, carried: list[str] = [], reach: bool = False):  # noqa: B006
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Index(*index.value)
             for batch in parts:
@@ -247,8 +254,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, recall: float = 0.97, samp
                     r, lists = choose(known, x[a : a + 2048], *more)
                     taken = part.take(pa.array(r.astype(np.int64)))
                     yield pa.RecordBatch.from_arrays(
-                        [taken.column("rep"), taken.column("embedding"), pa.array(lists.astype(np.int32))],
-                        ["rep", "embedding", "list"],
+                        [taken.column("rep"), taken.column("embedding"), pa.array(lists.astype(np.int32)), *(taken.column(c) for c in carried)],
+                        ["rep", "embedding", "list", *carried],
                     )
 
         return run
@@ -262,48 +269,68 @@ def nearest(vectors: DataFrame, queries, k: int = 20, recall: float = 0.97, samp
     # Of equal vectors only the k + 1 smallest ids can matter.
     most = k + 1
 
+    parts = max(1, -(-probes.count() // QUERIES_PER_TASK))
+
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, found, scores = [], [], []
+        """The best hits of one block for all queries that read it, packed by the part that ranks them."""
+        asks, found, scores = [], [], []
         if left.num_rows and right.num_rows:
             grid = lambda t: t.combine_chunks()["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
             x, q = grid(right), grid(left)
-            rep, asks = right["rep"].to_numpy(), left["rep"].to_numpy()
+            rep, query, least = right["rep"].to_numpy(), left["rep"].to_numpy(), left["least"].to_numpy()
             order = np.argsort(rep, kind="stable")
             x, rep = x[order], rep[order]
             take = min(most + 11, len(x))
             for a in range(0, len(q), 256):
                 part = q[a : a + 256]
-                rough = part @ x.T
-                near = np.sort(np.argpartition(-rough, take - 1, axis=1)[:, :take], axis=1)
+                near = np.sort(np.argpartition(-(part @ x.T), take - 1, axis=1)[:, :take], axis=1)
                 exact = (part[:, None, :] * x[near]).sum(-1)
                 best = np.argsort(-exact, axis=1, kind="stable")[:, :most]
-                ids.append(np.repeat(asks[a : a + 256], best.shape[1]))
-                found.append(rep[np.take_along_axis(near, best, 1)].ravel())
-                scores.append(np.take_along_axis(exact, best, 1).ravel())
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pa.table({"query": join(ids, np.int64), "rep": join(found, np.int64), "score": join(scores, np.float64)})
-
-    keep = ["list", "block", "rep", "embedding"]
+                score = np.take_along_axis(exact, best, 1)
+                good = score >= least[a : a + 256, None]
+                asks.append(np.broadcast_to(query[a : a + 256, None], score.shape)[good])
+                found.append(rep[np.take_along_axis(near, best, 1)][good])
+                scores.append(score[good])
+        columns = [np.concatenate(c) if c else np.zeros(0) for c in (asks, found, scores)]
+        part = np.mod(columns[0], parts)
+        each = [np.flatnonzero(part == i) for i in np.unique(part)]
+        packed = [pa.array([c[i].tobytes() for i in each], pa.binary()) for c in columns]
+        return pa.table([pa.array([int(part[i[0]]) for i in each], pa.int32()), *packed], ["part", "query", "rep", "score"])
+
+    def rank(group: pa.Table) -> pa.Table:
+        """The first hits of each query by score and then id; a hit found in several lists counts once."""
+        join = lambda c, kind: np.concatenate([np.frombuffer(v, kind) for v in group[c].to_pylist()])
+        query, rep, score = join("query", np.int64), join("rep", np.int64), join("score", np.float64)
+        order = np.lexsort((rep, -score, query))
+        query, rep, score = query[order], rep[order], score[order]
+        new = np.concatenate(([True], (query[1:] != query[:-1]) | (rep[1:] != rep[:-1])))
+        query, rep, score = query[new], rep[new], score[new]
+        first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+        r = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) + 1
+        top = r <= most
+        return pa.table({"query": query[top], "rep": rep[top], "score": score[top], "r": r[top].astype(np.int32)})
+
+    ranked = "query long, rep long, score double, r int"
 
     def read_lists(probing: DataFrame) -> DataFrame:
         placed = probing.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        left, right = (t.select(*keep).groupBy("list", "block") for t in (placed, dealt))
-        return left.cogroup(right).applyInArrow(scan, "query long, rep long, score double")
-
-    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-
-    def first_ranks(hits: DataFrame) -> DataFrame:
-        once = hits.groupBy("query", "rep").agg(F.max("score").alias("score"))
-        return once.withColumn("r", F.row_number().over(by_score)).filter(F.col("r") <= most)
-
-    near = materialize(first_ranks(read_lists(probes.mapInArrow(assign(lists_of_queries), out))), "near")
-    # Distance of the k-th neighbour so far; without one, every list is read.
-    squared = 2 * float(largest) ** 2 - 2 * float(largest) * F.col("score") / norm
-    reach = probes.join(near.filter(F.col("r") == most).select(F.col("query").alias("rep"), "score"), "rep", "left").select(
-        "rep", "embedding", F.coalesce(F.sqrt(F.greatest(squared, F.lit(0.0))), F.lit(float("inf"))).alias("reach")
+        left = placed.select("list", "block", "rep", "embedding", "least").groupBy("list", "block")
+        right = dealt.select("list", "block", "rep", "embedding").groupBy("list", "block")
+        return left.cogroup(right).applyInArrow(scan, packed)
+
+    packed = "part int, query binary, rep binary, score binary"
+    start = probes.withColumn("least", F.lit(float("-inf")))
+    first_hits = materialize(read_lists(start.mapInArrow(assign(lists_of_queries, ["least"]), f"{out}, least double")), "hits")
+    near = materialize(first_hits.groupBy("part").applyInArrow(rank, ranked), "near")
+    # Distance of the k-th neighbour so far, which later hits must match; without one, every list is read.
+    squared = 2 * float(largest) ** 2 - 2 * float(largest) * F.col("least") / norm
+    known = near.filter(F.col("r") == most).select(F.col("query").alias("rep"), F.col("score").alias("least"))
+    reach = probes.join(known, "rep", "left").select(
+        "rep", "embedding", F.coalesce("least", F.lit(float("-inf"))).alias("least"),
+        F.coalesce(F.sqrt(F.greatest(squared, F.lit(0.0))), F.lit(float("inf"))).alias("reach"),
     )
-    wider = read_lists(reach.mapInArrow(assign(lists_of_queries, True), out))
-    best = first_ranks(near.select("query", "rep", "score").union(wider))
+    wider = read_lists(reach.mapInArrow(assign(lists_of_queries, ["least"], True), f"{out}, least double"))
+    best = first_hits.union(wider).groupBy("part").applyInArrow(rank, ranked)
     copies = keyed.withColumn("r", F.row_number().over(Window.partitionBy("h", "g").orderBy("vec_id"))).filter(F.col("r") <= most)
     members = copies.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
     by_row = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
