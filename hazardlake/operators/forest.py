@@ -259,8 +259,14 @@ def fit_forest(
     binner: Binner | None = None,
     rule: str = "logrank",
     time_bins: int = 64,
+    mtry: int | None = None,
+    bootstrap: bool = True,
 ) -> ForestModel:
-    """Fit one forest, or one per value of ``fit_col`` in the same jobs."""
+    """Fit one forest, or one per value of ``fit_col`` in the same jobs.
+
+    A node looks at ``mtry`` features, the root of their number by default; without
+    ``bootstrap`` every tree has all rows once.
+    """
     if rule not in ("logrank", "score"):
         raise ValueError(f"unknown rule: {rule}")
     spark = df.sparkSession
@@ -276,10 +282,10 @@ def fit_forest(
     drawn = (
         counts.join(small.select("fit", "t", "cumulative_hazard"), ["fit", "t"])
         .selectExpr(*keys, "m", "e - cumulative_hazard as score", f"explode(sequence(0, {trees - 1})) as tree")
-        .selectExpr(*keys, "tree", "score", f"{draw} as w")
+        .selectExpr(*keys, "tree", "score", f"{draw} as w" if bootstrap else "cast(m as int) as w")
         .filter("w > 0")
     )
-    mtry = max(1, int(math.sqrt(len(features))))
+    mtry = mtry or max(1, int(math.sqrt(len(features))))
     p, least = len(features), float(min_leaf)
     if rule == "logrank":
         placed = _time_bins(counts, time_bins).transform(drawn, "tb", fit_col="fit")

@@ -481,6 +481,99 @@ def ice_boosted(spark, sf_dir):
     return explain.individual_curves(train, scorer, columns, best)
 
 
+# ---- models on few features, which have SQL twins -----------------------------------------
+
+
+def _age_split(spark, sf_dir):
+    split = sampling.stratified_holdout(stored_features(spark, sf_dir).select("row_id", EVENT, TIME, AGE))
+    return materialize(split, "age")
+
+
+def _cox_age(spark, sf_dir):
+    split = _age_split(spark, sf_dir)
+    return split, cox.fit_cox(split.filter("split = 'train'"), [AGE])
+
+
+def cox_age_table(spark, sf_dir):
+    table = _cox_age(spark, sf_dir)[1].table(spark).drop("position", "p")
+    return rounded(table, *[c for c in table.columns if c not in ("feature", "z")]).withColumn("z", F.round("z", 4))
+
+
+def cox_age_risk(spark, sf_dir):
+    split, model = _cox_age(spark, sf_dir)
+    return rounded(split.select("row_id", "split", model.risk().alias("risk")), "risk")
+
+
+def cox_age_effect(spark, sf_dir):
+    effects = cox.hazard_ratios(_cox_age(spark, sf_dir)[1].table(spark)).drop("se", "z", "p")
+    return rounded(effects, "coef", "hazard_ratio", "hr_lower", "hr_upper")
+
+
+def diag_gap_age(spark, sf_dir):
+    table = diagnostics.train_test_gap(_age_split(spark, sf_dir), [fv.COX])
+    return rounded(table, "c_index_train", "c_index_test", "gap")
+
+
+def comparison_age(spark, sf_dir):
+    report = compare.compare_models(_age_split(spark, sf_dir), models=[fv.COX]).report
+    return rounded(report, "cv_mean_c_index", "cv_std_c_index", "test_c_index")
+
+
+def diag_learning_age(spark, sf_dir):
+    table = diagnostics.learning_curves(_age_split(spark, sf_dir), models=[fv.COX])
+    return rounded(table, "c_index_train", "c_index_test")
+
+
+def diag_permutation_age(spark, sf_dir):
+    table = diagnostics.permutation_test(_age_split(spark, sf_dir), models=[fv.COX])
+    return rounded(table, "c_index_real", "c_index_random_mean", "difference")
+
+
+def _dummies(spark, sf_dir):
+    """All rows with the 0/1 features, times and events."""
+    encoder, table = _encoded(spark, sf_dir)
+    names = [c for c in encoder.columns if c != AGE]
+    return names, materialize(table.select("row_id", EVENT, TIME, *[F.col(f"`{c}`") for c in names]), "dummies")
+
+
+def _boosted_stump(spark, sf_dir):
+    names, table = _dummies(spark, sf_dir)
+    return table, boosted.fit_boosted(table, names, rounds=1, max_depth=1, subsample=1.0, gamma=0.0, min_child_weight=0.0)
+
+
+def boosted_stump_risk(spark, sf_dir):
+    table, model = _boosted_stump(spark, sf_dir)
+    return rounded(model.score(table).select("row_id", "risk"), "risk")
+
+
+def boosted_stump_importance(spark, sf_dir):
+    model = _boosted_stump(spark, sf_dir)[1]
+    weight = model.importance(spark, "weight").withColumnRenamed("importance", "weight")
+    gain = model.importance(spark, "gain").withColumnRenamed("importance", "gain")
+    return rounded(weight.join(gain, "feature"), "gain")
+
+
+def _forest_stump(spark, sf_dir):
+    names, table = _dummies(spark, sf_dir)
+    model = forest.fit_forest(table, names, trees=1, max_depth=1, mtry=len(names), bootstrap=False, time_bins=100_000)
+    return table, model
+
+
+def forest_stump_risk(spark, sf_dir):
+    table, model = _forest_stump(spark, sf_dir)
+    return rounded(model.score(table).select("row_id", "risk"), "risk")
+
+
+def forest_stump_median(spark, sf_dir):
+    table, model = _forest_stump(spark, sf_dir)
+    return rounded(model.median_time(table).select("row_id", "predicted_survival_time"), "predicted_survival_time")
+
+
+def forest_stump_curves(spark, sf_dir):
+    table, model = _forest_stump(spark, sf_dir)
+    return rounded(model.curves(table)[1], "t", "survival")
+
+
 def _split(spark, sf_dir, *drop):
     split = sampling.stratified_holdout(stored_features(spark, sf_dir).drop("case_id", *drop))
     return materialize(split, "split")
@@ -581,5 +674,8 @@ QUERIES = {
         pdp_boosted, ice_boosted, pdp_forest, ice_forest, top_features, model_comparison,
         km_by_best_model, split_snapshot, model_roundtrip, report_roundtrip, prediction_roundtrip,
         diag_gap, diag_redundancy, diag_complexity, diag_learning_curve, diag_permutation,
+        cox_age_table, cox_age_risk, cox_age_effect, diag_gap_age, comparison_age, diag_learning_age,
+        diag_permutation_age, boosted_stump_risk, boosted_stump_importance, forest_stump_risk,
+        forest_stump_median, forest_stump_curves,
     )
 }
