@@ -13,10 +13,14 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text hashed at once; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 19
 
+#: Rows of a batch that travels between Spark and Python.
+BATCH_ROWS = 2000
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ORDER = np.uint64(0xD6E8FEB86659FD93)
@@ -43,6 +47,13 @@ def kept(name: str, make: Callable[[], Any]) -> Any:
     return getattr(store, name)
 
 
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Arrow batches of this session hold at most ``rows`` rows; texts make rows wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """``base ** 0 .. n-1`` modulo 2^64, kept for texts of usual length."""
 
