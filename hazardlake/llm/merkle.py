@@ -18,6 +18,8 @@ PHRASE = r"[^.,;:!?|\n]{0,80}[.,;:!?|\n]|[^.,;:!?|\n]{1,80}"
 SECTION_ENDS = "01"
 #: Rows that one window sorts.
 ROWS_PER_BUCKET = 8192
+#: Largest table of bucket borders that is broadcast (two numbers a row).
+BROADCAST_IDS = 1_000_000
 
 
 def tree(text: Column) -> Column:
@@ -106,8 +108,11 @@ def with_next(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[
     firsts = sorted((r.bucket, r.first) for r in dealt.groupBy("bucket").agg(F.min("doc_id").alias("first")).collect())
     schema = f"to int, {docs.select('doc_id').schema.simpleString()[7:-1].replace(':', ' ', 1)}"
     moves = [(firsts[i - 1][0], first) for i, (_, first) in enumerate(firsts)]
+    ids = docs.sparkSession.createDataFrame(moves, schema).withColumnRenamed("doc_id", "__id")
+    if len(moves) <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     edges = (
-        docs.join(docs.sparkSession.createDataFrame(moves, schema).withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
+        docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")))
         .groupBy("to", "doc_id").agg(F.min("text").alias("text"))
     )
     both = dealt.select("bucket", F.lit(False).alias("edge"), "doc_id", "text").union(
