@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.scalars import uniform_sql
-from ..session import materialize
+from ..session import discard, materialize
 from .encoding import EVENT, TIME
 from .prefix import cut_points, running
 from .trees import (
@@ -164,6 +164,7 @@ def fit_boosted(
         updated = assigned.join(values, ["fit", "node"]).selectExpr("fit", "bins", "margin + value as margin")
         if i + 1 < rounds:
             # written every round: the next round's plan starts from a table, not from this one
-            cells = materialize(updated, "cells")
+            cells, replaced = materialize(updated, "cells"), cells
+            discard(replaced)
         stats.unpersist()
     return BoostedModel(binner, nodes, kind)

@@ -104,3 +104,15 @@ print("sum", sum(r.risk for r in trees.add_total(df, trees.Ensemble(nodes), "ris
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code.format(repo=repo)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "sum 1.0" in done.stdout, done.stderr[-2000:]
+
+
+def test_replaced_tables_are_deleted(spark):
+    from hazardlake.session import discard, materialize
+
+    table = materialize(spark.range(5), "gone")
+    files = table.inputFiles()
+    discard(spark.range(3))  # not a scratch table: nothing happens
+    discard(table)
+    import os
+
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
