@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardlake.llm.words import batches, find_words, kept
+from hazardlake.llm.words import batches, bound_batches, find_words, kept
 from hazardlake.session import materialize
 
 #: Items that one task packs at a time.
@@ -108,6 +108,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int
     result before packing it, so that no task holds two Python workers.
     ``tokenizer_path`` is a file of the installed vocabulary package, which every worker has.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
@@ -191,7 +192,7 @@ def _packed(lengths: np.ndarray, members: pa.ListArray, capacity: int, slack: in
 
 def _tag(round_: int, group: int) -> int:
     """First sequence number of a task; numbers of different tasks and rounds never meet."""
-    return (round_ << 56) | (group << 20)
+    return (round_ << 56) | (group << 32)
 
 
 def pack(items: DataFrame, capacity: int = 2048, length: str = "length", slack: int = 4, group_items: int = GROUP_ITEMS) -> DataFrame:
