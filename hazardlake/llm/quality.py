@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardlake.llm.words import PUNCTUATED, batches, find_words, mix
+from hazardlake.llm.words import PUNCTUATED, batches, bound_batches, find_words, mix
 from hazardlake.session import materialize
 
 #: Hash buckets of the n-gram models.
@@ -105,6 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", n_buckets: i
     1. The cut halves the way between the labels where it errs least, a lost document of label 1
     weighing ten times a kept one of label 0. Without documents of both labels nothing is cut.
     """
+    bound_batches(docs.sparkSession)
     drawn = labelled_sample(labels, label, sample)
     target, raw = _counts(docs, drawn, n_buckets)
     ratio = np.log((target + 1) / (target.sum() + n_buckets)) - np.log((raw + 1) / (raw.sum() + n_buckets))

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hazardlake.llm.words import bound_batches, kept
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -46,9 +48,12 @@ def token_counter(path: str, pattern: str):
     """A function giving the number of tokens of a run under a byte-pair vocabulary of ranks."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def load() -> tiktoken.Encoding:
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    model = kept(f"ranks {path} {pattern}", load)
     return lambda run: sum(len(model.encode_ordinary(run[i : i + WINDOW])) for i in range(0, len(run), WINDOW))
 
 
@@ -98,6 +103,7 @@ def scan(docs: DataFrame, vocabulary: str, pattern: str, ratio: float = RATIO) -
     doc_id too; extra columns are ignored. ``vocabulary`` is a file of ranks that every worker
     has, ``pattern`` its splitting rule.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +135,7 @@ def redact(docs: DataFrame, vocabulary: str, pattern: str, ratio: float = RATIO,
     All columns and rows stay; ``n_chars``, where it is a column, is counted anew in texts that
     changed. Null texts stay null.
     """
+    bound_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     names = list(docs.columns)
 
