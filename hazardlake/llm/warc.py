@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazardlake.llm.words import bound_batches
 from hazardlake.session import materialize, scratch_path
 
 #: Bytes at which a writer starts the next file.
@@ -69,7 +70,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return VERSION + "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def member(data: bytes, level: int = 6) -> bytes:
+def member(data: bytes, level: int = 3) -> bytes:
     """One gzip member; its bytes depend on the data alone."""
     made = zlib.compressobj(level, zlib.DEFLATED, 31)
     return made.compress(data) + made.flush()
@@ -81,6 +82,7 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, least: in
     Null html is an empty payload. Repeated rows are written as often as they come. ``folder`` is
     a path or URI that every executor can open. The returned table is already written.
     """
+    bound_batches(pages.sparkSession)
     has_url = "url" in pages.columns
     rows = pages.select("page_id", (F.col("url") if has_url else F.lit(None)).cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     role = roles(pages, least).withColumnsRenamed({"page_id": "__page", "digest": "__digest"})
