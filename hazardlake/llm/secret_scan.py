@@ -1,8 +1,8 @@
 """Secrets in texts: fixed patterns, and random strings found by their token efficiency.
 
 A vocabulary trained on natural text needs few tokens for words and names, but about one for
-every one or two characters of a random string. Long runs of mixed characters with few characters
-per token are reported, unless they are known digests or identifiers.
+every one or two characters of a random string. Long runs with few characters per token are reported, unless
+they are known digests or numbers; letters alone are words where they take few tokens.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ HEX = r"[0-9a-f]+"
 #: Least lengths: group 2 of an assignment, an access key, a hex run.
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 #: Runs that may be random strings, and the greatest characters per token of one.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+RANDOM_LENGTH = 20
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RANDOM_LENGTH},}}"
 RATIO = 2.1
 #: Lengths of hexadecimal digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
@@ -33,15 +34,39 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 WINDOW = 4096
 
 
+#: Words and short numbers joined by marks.
+WORDS = r"([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})([+/_=-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*"
+
+
 def _known(run: str) -> bool:
-    """Digests and identifiers: hex of a digest's length, UUIDs, numbers, words joined by marks."""
+    """Digests and identifiers: hex of a digest's length, UUIDs, numbers."""
     if re.fullmatch(r"[0-9a-fA-F]+", run) and len(run) in DIGEST_LENGTHS:
         return True
-    if re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run) or re.fullmatch(r"[0-9+/_=-]+", run):
-        return True
-    if re.fullmatch(r"([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})([+/_=-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*", run):
-        return True
-    return not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) and not re.search("[a-z][A-Z].*[a-z][A-Z].*[a-z][A-Z]", run)
+    return bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run) or re.fullmatch(r"[0-9+/_=-]+", run))
+
+
+def _random(run: str, ratio: float, tokens) -> bool:
+    """Few characters per token.
+
+    Of words joined by marks the marks don't count, nor do single characters, and a number counts
+    as one token.
+    """
+    if not re.fullmatch(WORDS, run):
+        return len(run) < ratio * tokens(run)
+    words = [w for w in re.findall(r"[A-Za-z]+|[0-9]+", run) if len(w) > 1]
+    return sum(map(len, words)) < ratio * sum(1 if w.isdigit() else tokens(w) for w in words)
+
+
+def _outside(a: int, b: int, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a..b that no span covers."""
+    for _, start, end in sorted(spans, key=lambda s: s[1]):
+        if start >= b:
+            break
+        if a < min(start, b):
+            yield a, start
+        a = max(a, end)
+    if a < b:
+        yield a, b
 
 
 def token_counter(path: str, pattern: str):
@@ -73,11 +98,13 @@ def finder(path: str, pattern: str, ratio: float = RATIO):
         spans += [("hex", *m.span()) for m in hexes.finditer(text)]
         base = list(spans)
         for m in candidate.finditer(text):
-            a, b = m.span()
-            if any(a < end and start < b for _, start, end in base) or _known(m[0]):
-                continue
-            if b - a < ratio * tokens(m[0]):
-                spans.append(("random", a, b))
+            touching = [s for s in base if m.start() < s[2] and s[1] < m.end()]
+            for a, b in _outside(*m.span(), touching):
+                if a > m.start():
+                    # What joins it to the span before it is no part of it.
+                    a = b - len(text[a:b].lstrip("+/_=-"))
+                if b - a >= RANDOM_LENGTH and not _known(text[a:b]) and _random(text[a:b], ratio, tokens):
+                    spans.append(("random", a, b))
         return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
     return find
@@ -97,7 +124,8 @@ def scan(docs: DataFrame, vocabulary: str, pattern: str, ratio: float = RATIO) -
 
     ``spans`` is an array of (kind, start, end, secret), by start and then kind; offsets count
     code points, end exclusive. The base kinds are matched leftmost and without overlap per
-    kind; of the keywords only A-Z count in either case. A ``random`` span overlaps no base span.
+    kind; of the keywords only A-Z count in either case. A ``random`` span overlaps no base span;
+    the rest of a run beside a base span is tested on its own.
     Null and empty texts have none. ``base_sha256`` is the digest of the base spans as
     kind:start:end, comma-joined. Every row comes back once, repeated rows and rows without
     doc_id too; extra columns are ignored. ``vocabulary`` is a file of ranks that every worker
