@@ -160,7 +160,8 @@ def lists_of_queries(index: Index, q: np.ndarray, reach: np.ndarray | None = Non
     left, wide = np.arange(len(q)), index
     while len(left):
         found, away = search_graph(wide, lifted[left])
-        inside = away <= index.ratio * reach[left, None] + 1e-6
+        # The ratio may be 0, and 0 * inf is no bound.
+        inside = np.isinf(reach[left, None]) | (away <= index.ratio * np.where(np.isinf(reach), 0, reach)[left, None] + 1e-6)
         whole = ~inside[:, -1] | (found.shape[1] == len(index.centroids))
         r, place = np.nonzero(inside[whole][:, FIRST_LISTS:])
         rows.append(left[whole][r])

@@ -68,6 +68,19 @@ def test_few_and_none(spark):
     assert ann.nearest(frame(spark, [(1, None)]), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_few_first_hits_read_every_list():
+    rng = np.random.default_rng(5)
+    c = rng.normal(size=(40, 6)).astype(np.float32)
+    index = ann.Index(c, ann.neighbour_graph(c), 10.0, 0.0, 8)
+    q = rng.normal(size=(3, 5))
+    with np.errstate(invalid="raise"):
+        rows, lists = ann.lists_of_queries(index, q, np.array([np.inf, 2.0, np.inf]))
+    first = ann.search_graph(index._replace(beam=40), ann.lift_query(q, 10.0))[0][:, : ann.FIRST_LISTS]
+    for i in (0, 2):
+        assert sorted([*lists[rows == i], *first[i]]) == list(range(40))
+    assert not (rows == 1).any()
+
+
 def test_graph_search_finds_nearest():
     rng = np.random.default_rng(0)
     c = rng.normal(size=(700, 16)).astype(np.float32)
