@@ -5,7 +5,8 @@ tasks to a folder that all executors share; a task returns the list of its files
 files are read, so that a repeated task leaves nothing behind that counts.
 
 The reader checks every member and record. Where a check fails it searches for the next valid
-member or version line, goes on from there, and logs the bytes between as a quarantined gap.
+member or version line, goes on from there, and logs the bytes between as a quarantined gap. The
+same is done inside a member, over what it gives when inflated, up to its end or first error.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from hazardlake.session import materialize, scratch_path
 FILE_BYTES = 16 << 20
 #: Payloads that are shorter are never revisits.
 LEAST_REVISIT = 100
+#: Bytes of a damaged member that are inflated at a time.
+STEP = 4096
 VERSION = b"WARC/1.1\r\n"
 _ID = "urn:x-page:"
 _DATE = "2024-01-01T00:00:00Z"
@@ -154,8 +157,67 @@ def _parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int] | None:
     return headers, block, end + 4
 
 
-def _at(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int] | None:
-    """The records of the valid member or plain record at ``at``, and where it ends."""
+def _inner(data: bytes) -> Iterator[tuple[dict | None, bytes, int]]:
+    """(headers, block, end) of the whole records of inflated bytes; what lies between has no headers."""
+    at, gap = 0, None
+    while at < len(data):
+        one = _parse(data, at)
+        if one is None:
+            gap = at if gap is None else gap
+            at = data.find(b"WARC/", at + 1)
+            at = len(data) if at < 0 else at
+            continue
+        if gap is not None:
+            yield None, data[gap:at], at
+            gap = None
+        yield one
+        at = one[2]
+    if gap is not None:
+        yield None, data[gap:], len(data)
+
+
+def _feed(unpack, data: bytes, at: int, step: int, out: list[bytes], enough: float = float("inf")) -> int:
+    """Inflates from ``at`` on into ``out`` until an error, the end or enough bytes; returns where it stopped."""
+    size = sum(map(len, out))
+    while at < len(data) and size < enough and not unpack.eof:
+        held = unpack.copy() if step > 1 else None
+        try:
+            out.append(unpack.decompress(data[at : at + step]))
+        except zlib.error:
+            return at if step == 1 else _feed(held, data, at, 1, out, enough)
+        size += len(out[-1])
+        at += step
+    return min(at, len(data))
+
+
+def _damaged(data: bytes, at: int) -> tuple[list[tuple[dict | None, bytes]], int] | None:
+    """Records and gaps of the damaged or cut member at ``at``, and where its last whole record ends.
+
+    A lone record without a gap may be what is damaged and doesn't count.
+    """
+    out: list[bytes] = []
+    _feed(zlib.decompressobj(31), data, at, STEP, out)
+    found = list(_inner(b"".join(out)))
+    whole = [end for headers, _, end in found if headers is not None]
+    if not whole or len(found) == 1:
+        return None
+    # The next member may begin right behind it.
+    unpack, seen, place = zlib.decompressobj(31), 0, at
+    for part in out:
+        if seen + len(part) >= whole[-1] or place + STEP > len(data):
+            break
+        unpack.decompress(data[place : place + STEP])
+        seen, place = seen + len(part), place + STEP
+    items: list[tuple[dict | None, bytes]] = []
+    for headers, block, _ in found:
+        # A stored block that was cut runs on into the members behind it.
+        more = salvage(block) if headers is None else [("record", 0, 0, headers, block)]
+        items += [(h, block[a:b] if h is None and not inner else inner) for _, a, b, h, inner in more]
+    return items, _feed(unpack, data, place, 1, [], whole[-1] - seen)
+
+
+def _at(data: bytes, at: int) -> tuple[list[tuple[dict | None, bytes]], int] | None:
+    """The records (and gaps between them) of the valid member or plain record at ``at``, and where it ends."""
     if data[at : at + 3] == b"\x1f\x8b\x08":
         unpack = zlib.decompressobj(31)
         try:
@@ -164,23 +226,23 @@ def _at(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int] | None:
             return None
         if not unpack.eof:
             return None
-        found, place = [], 0
-        while place < len(inner):
-            one = _parse(inner, place)
-            if one is None:
-                return None
-            found.append(one[:2])
-            place = one[2]
-        return (found, len(data) - len(unpack.unused_data)) if found else None
+        found = [one[:2] for one in _inner(inner)]
+        return (found, len(data) - len(unpack.unused_data)) if any(headers is not None for headers, _ in found) else None
     one = _parse(data, at)
     return ([one[:2]], one[2]) if one else None
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | None, bytes]]:
-    """('record' or 'gap', start, end, headers, block) over the bytes of one archive, in order."""
+    """('record' or 'gap', start, end, headers, block) over the bytes of one archive, in order.
+
+    A gap inside a member has the place of the member and its inflated bytes as block. A damaged
+    or cut member that still holds whole records ends behind the last of them.
+    """
     at, gap = 0, None
     while at < len(data):
         found = _at(data, at)
+        if found is None and data[at : at + 3] == b"\x1f\x8b\x08":
+            found = _damaged(data, at)
         if found is None:
             gap = at if gap is None else gap
             places = [p for p in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/", at + 1)) if p >= 0]
@@ -190,7 +252,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | None, bytes]]:
             yield "gap", gap, at, None, b""
             gap = None
         for headers, block in found[0]:
-            yield "record", at, found[1], headers, block
+            yield "gap" if headers is None else "record", at, found[1], headers, block
         at = found[1]
     if gap is not None:
         yield "gap", gap, len(data), None, b""
@@ -201,7 +263,8 @@ def read(archives: DataFrame) -> DataFrame:
 
     Columns: path, start, end, kind ('record' or 'gap'), record_type, record_id, target_uri,
     refers_to, payload_digest, payload_bytes (of the full payload; null where a record doesn't
-    say), payload (null in revisits and gaps). A damaged, cut or empty file gives what can be
+    say), payload (null in revisits). Of a gap inside a member, start and end are the member's,
+    and payload its inflated bytes; other gaps have no payload. A damaged, cut or empty file gives what can be
     saved of it, and its gaps. A file that is missing is an error.
     """
     schema = (
@@ -215,7 +278,7 @@ def read(archives: DataFrame) -> DataFrame:
         bare = lambda x: x.strip("<>") if x else None
         for kind, start, end, headers, block in salvage(data):
             if kind == "gap":
-                yield (path, start, end, kind, *[None] * 7)
+                yield (path, start, end, kind, *[None] * 5, len(block) if block else None, block or None)
                 continue
             type_, payload, size = headers.get("warc-type"), block, None
             if headers.get("content-type", "").startswith("application/http"):

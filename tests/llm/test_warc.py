@@ -73,6 +73,34 @@ def test_salvage_damage():
     assert list(warc.salvage(b"")) == [] and kinds(b"nothing here") == [("gap", None)]
 
 
+def numbers(data):
+    return [i for k, i in kinds(data) if k == "record"]
+
+
+def test_salvage_inside_members():
+    plain = archive(30, packed=False)
+    assert numbers(gzip.compress(b"".join(plain))) == list(range(30))
+    hurt = list(plain)
+    hurt[4] = hurt[4].replace(b"<p>4 ", b"<p>5 ", 1)
+    # One bad record of a whole member; its bytes are logged.
+    one = list(warc.salvage(gzip.compress(b"".join(hurt))))
+    assert [k for k, *_ in one].count("gap") == 1 and one[4][0] == "gap" and one[4][4] == hurt[4]
+    assert numbers(gzip.compress(b"".join(hurt))) == [i for i in range(30) if i != 4]
+    for level in (0, 6):
+        # A member that lost its tail, with another right behind it.
+        packed = gzip.compress(b"".join(plain), level)
+        cut = packed[: len(packed) * 2 // 3]
+        got = numbers(cut)
+        assert 10 < len(got) < 30 and got == list(range(len(got)))
+        assert numbers(cut + gzip.compress(plain[7]) + plain[9]) == [*got, 7, 9]
+        spans = [(a, b) for _, a, b, _, _ in warc.salvage(cut + gzip.compress(plain[7]))]
+        assert all(x[1] == y[0] or x == y for x, y in zip(spans, spans[1:])) and spans[-1][1] == len(cut) + len(gzip.compress(plain[7]))
+    flipped = bytearray(gzip.compress(b"".join(plain), 0))
+    flipped[flipped.index(b"<p>12 ") + 3] ^= 1
+    assert numbers(bytes(flipped)) == [i for i in range(30) if i != 12]
+    assert numbers(gzip.compress(b"".join(plain))[:-8]) == list(range(30))
+
+
 def test_read_logs_gaps(spark):
     import os
 
