@@ -642,8 +642,7 @@ def diag_redundancy(spark, sf_dir):
 
 
 def diag_complexity(spark, sf_dir):
-    settings = {fv.BOOSTED: {"rounds": 1}}
-    return diagnostics.complexity(_split(spark, sf_dir, "age_group"), depths=[1, 3], settings=settings)
+    return diagnostics.complexity(_split(spark, sf_dir, "age_group"), settings=QUICK)
 
 
 def diag_learning_curve(spark, sf_dir):

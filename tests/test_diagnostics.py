@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from hazardlake.functions import fixed_values as fv
 from hazardlake.functions.scalars import hash_uniform, overfit_label
 from hazardlake.operators import sampling
-from hazardlake.plans import compare, diagnostics, pipeline
+from hazardlake.plans import catalog, compare, diagnostics, pipeline
 from hazardlake.session import materialize
 
 QUICK = {fv.FOREST: {"trees": 3, "max_depth": 2}, fv.BOOSTED: {"rounds": 2, "max_depth": 2, "subsample": 1.0}}
@@ -105,3 +105,16 @@ def test_report_files(split, tmp_path):
     for name, table in tables.items():
         back = split.sparkSession.read.csv(f"{tmp_path}/reports/diagnostics/{name}.csv", header=True)
         assert back.columns == table.columns and back.count() > 0
+
+
+def test_registered_complexity_has_every_depth(monkeypatch):
+    grown = []
+    monkeypatch.setattr(catalog, "_split", lambda *a: None)
+    monkeypatch.setattr(diagnostics, "_encode", lambda split: ([], type("T", (), {"filter": lambda self, c: self})()))
+    monkeypatch.setattr(diagnostics, "fit_model", lambda name, train, features, fit, settings: grown.append(settings[name]))
+    monkeypatch.setattr(diagnostics, "score_model", lambda *a: None)
+    monkeypatch.setattr(diagnostics, "_tagged", lambda *a, **k: None)
+    monkeypatch.setattr(diagnostics, "_union", lambda parts: None)
+    monkeypatch.setattr(diagnostics, "_train_test", lambda *a: None)
+    catalog.diag_complexity(None, "")
+    assert [s["max_depth"] for s in grown] == [3, 5, 7, 10] and {s["rounds"] for s in grown} == {catalog.QUICK[fv.BOOSTED]["rounds"]}
