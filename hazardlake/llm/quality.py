@@ -46,9 +46,14 @@ class Model(NamedTuple):
     cut: float
 
 
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of the documents labelled 0 or 1; the larger label of a doubled id counts."""
+    return labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
+
+
 def labelled_sample(labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """(doc_id, y) of at most ``sample`` documents per label, drawn by hash; the larger label of a doubled id counts."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    """(doc_id, y) of at most ``sample`` documents per label, drawn by hash."""
+    known = labelled(labels, label)
     drawn = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     return materialize(drawn[0].union(drawn[1]), "sample")
 
@@ -103,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", n_buckets: i
 
     The raw model counts every document; the target model at most ``sample`` documents labelled
     1. The cut halves the way between the labels where it errs least, a lost document of label 1
-    weighing ten times a kept one of label 0. Without documents of both labels nothing is cut.
+    weighing ten times a kept one of label 0 and the sample weighted back to the labels' counts in
+    the whole table. Without documents of both labels nothing is cut.
     """
     bound_batches(docs.sparkSession)
     drawn = labelled_sample(labels, label, sample)
@@ -117,9 +123,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", n_buckets: i
     y, w = known["y"].to_numpy(), known["log_weight"].to_numpy()
     if not len(y) or y.min() == y.max():
         return Model(ratio, float("-inf"))
+    counts = {r.y: r["count"] for r in labelled(labels, label).groupBy("y").count().collect()}
+    each = np.array([counts[v] / (y == v).sum() * (1, 10)[v] for v in (0, 1)])[y.astype(int)]
     order = np.argsort(w, kind="stable")
-    y, w = y[order], w[order]
-    errors = 10 * np.concatenate(([0], np.cumsum(y == 1))) + (y == 0).sum() - np.concatenate(([0], np.cumsum(y == 0)))
+    y, w, each = y[order], w[order], each[order]
+    lost, passed = np.cumsum(np.where(y == 1, each, 0)), np.cumsum(np.where(y == 0, each, 0))
+    # Rounded, as sums of weights that tie must stay ties.
+    errors = np.round(np.concatenate(([0], lost)) + passed[-1] - np.concatenate(([0], passed)), 6)
     best = int(np.flatnonzero(errors == errors.min()).mean())
     edges = np.concatenate(([w[0] - 1], (w[1:] + w[:-1]) / 2, [w[-1] + 1]))
     return Model(ratio, float(edges[best]))

@@ -103,6 +103,15 @@ def test_quality_weights_by_hand(spark):
         assert got[i].log_weight == pytest.approx(sum(ratio[b] for b in g), abs=1e-9)
 
 
+def test_quality_cut_does_not_depend_on_the_sample(spark):
+    """Rejected documents that look like wanted ones count by their number in the table, not in the sample."""
+    texts = ["good fine words"] * 30 + ["mixed other lines"] * 10 + ["mixed other lines"] * 200 + ["bad worse trash"] * 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(len(texts))], "doc_id long, quality int")
+    whole, thin = (quality.fit(docs, labels, n_buckets=1024, sample=n).cut for n in (1000, 40))
+    assert thin == pytest.approx(whole)
+
+
 @pytest.mark.parametrize("band", [5, 1000])
 def test_kth_largest(spark, band):
     values = [random.Random(i).choice([random.Random(i).random(), 0.5]) for i in range(400)]
