@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlake.llm import ann, chat_format, merkle, mixing, ngram_join, packing, quality, secret_scan, toxicity, warc
+from hazardlake.llm import ann, chat_format, crc_resampling, manifest, merkle, mixing, ngram_join, packing, quality
+from hazardlake.llm import secret_scan, simhash, toxicity, warc
 from hazardlake.session import materialize
 
 
@@ -88,6 +89,21 @@ def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(docs, labels).select("doc_id", "log_weight", "key", "kept")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and verification of every document."""
+    return manifest.verify(manifest.document_manifest(_table(spark, sf_dir, "documents")))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document towards the benchmark's texts."""
+    return crc_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -99,6 +115,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_preference_formatting": op9_preference_formatting,
     "op10_quality_resampling": op10_quality_resampling,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op13_target_resampling": op13_target_resampling,
 }
 
 _PIECE = r"[^.,;:!?|\n]{0,80}[.,;:!?|\n]|[^.,;:!?|\n]{1,80}"
@@ -118,6 +137,34 @@ def _near_sql(a: str, b: str) -> str:
     return f"case when {both} = 0 then 1.0 else 2 * {total(f'list_intersect({a}, {b})')} / {both} end::double"
 
 
+#: Bit-wise CRC-32 of one more byte.
+_CRC_STEP = "list_reduce([{state}, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, unsigned; ``crc_table`` holds the entry of every byte."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint"
+    every = f"list_transform(range(0, octet_length(encode({text}))), lambda i: {byte})"
+    step = "xor(c >> 8, entries[1 + (xor(c, b) & 255)])"
+    return f"xor(list_reduce({every}, lambda c, b: {step}, 4294967295::bigint), 4294967295::bigint)"
+
+
+_CRC_TABLE = f"""crc_table as (select list({_CRC_STEP.format(state='b')} order by b) as entries from range(0, 256) r(b))"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    text = lambda c: f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}::varchar, '-')"
+    return "sha256(" + " || ".join(map(text, ["doc_id", "source", "lang", n_chars, "text"])) + ")"
+
+
+def _features_sql(table: str, key: str) -> str:
+    """(row, feature) with repeats, and the number of words of every row."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""(select row, n, unnest(list_concat(w, list_transform(range(1, n), lambda i: w[i] || ' ' || w[i + 1]))) as feature
+      from (select row, w, len(w) as n from (select row_number() over (order by {key}, text) as row,
+        regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from {table})))"""
+
+
 ORACLE: dict[str, str] = {
     "op7_source_mixing": r"""
 with d as (select doc_id, source,
@@ -174,4 +221,61 @@ reach as (select doc_id as a, doc_id as b from documents union select r.a, e.b f
 select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
 from documents d left join n using (doc_id)
 join (select a, min(b) as component_id from reach group by a) c on c.a = d.doc_id""",
+    "op11_merkle_manifest": f"""
+with recursive {_CRC_TABLE},
+f as (select doc_id, coalesce('1' || lang, '0') as tree, {_leaf_sql('n_chars')} as leaf,
+        case when {_crc_sql('doc_id::varchar')} % 7 = 0 then {_leaf_sql('(n_chars + 1)')} end as changed
+      from documents, crc_table),
+p as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos,
+        count(*) over (partition by tree) as n from f),
+nodes as (
+  select tree, 0 as level, pos, n, leaf as h from p
+  union all
+  select tree, level + 1, pos // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' order by pos))
+  from nodes where n > 1 group by tree, level, pos // 2),
+subs as (select tree, h as subroot, row_number() over (order by tree) - 1 as pos, count(*) over () as n from nodes where n = 1),
+tops as (
+  select 0 as level, pos, n, subroot as h from subs
+  union all
+  select level + 1, pos // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' order by pos)) from tops where n > 1 group by level, pos // 2),
+-- A document's way up: its tree (part 0), then the tree of subroots (part 1).
+ways as (
+  select row_number() over (order by tree, pos) as row, tree, 0 as part, 0 as level, pos, n, coalesce(changed, leaf) as h, ''::varchar as proof from p
+  union all
+  select row, w.tree, case when w.n > 1 then w.part else 1 end, case when w.n > 1 then w.level + 1 else 0 end,
+    case when w.n > 1 then w.pos // 2 else u.pos end, case when w.n > 1 then (w.n + 1) // 2 else u.n end,
+    case when w.n > 1 then sha256(case when s.pos < w.pos then s.h else '' end || w.h || case when s.pos > w.pos then s.h else '' end)
+         else w.h end,
+    proof || case when w.n > 1 then coalesce(s.h, '') else '' end
+  from ways w
+  left join (select 0 as part, * from nodes union all select 1, '', level, pos, n, h from tops) s
+    on w.n > 1 and s.part = w.part and s.level = w.level and s.pos = xor(w.pos, 1) and (w.part = 1 or s.tree = w.tree)
+  join subs u on u.tree = w.tree
+  where w.n > 1 or w.part = 0),
+ends as (select row, h, proof from ways where part = 1 and n = 1),
+numbered as (select row_number() over (order by tree, pos) as row, * from p),
+root as (select h as root from tops where n = 1)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, e.h as folded_root, e.h = root as verified
+from numbered join ends e using (row) join subs using (tree), root""",
+    "op13_target_resampling": rf"""
+with {_CRC_TABLE},
+raw as {_features_sql('documents', 'doc_id')},
+aim as {_features_sql('benchmark', 'item_id')},
+hashed as (select feature, {_crc_sql('feature')} % 10000 as bucket
+           from (select feature from raw union select feature from aim), crc_table),
+s as (select bucket, count(*) as n from raw join hashed using (feature) group by bucket),
+t as (select bucket, count(*) as n from aim join hashed using (feature) group by bucket),
+sums as (select coalesce((select sum(n) from s), 0)::double as s_all, coalesce((select sum(n) from t), 0)::double as t_all),
+gain as (select s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * (s_all + 10000) / ((s.n + 1) * (t_all + 10000))))::bigint as gain
+         from s left join t using (bucket), sums),
+w as (select row, max(n) as words, count(*) as n_features, floor(sum(gain)::bigint / count(*))::bigint as weight
+      from raw join hashed using (feature) join gain using (bucket) group by row),
+d as (select row_number() over (order by doc_id, text) as row, doc_id,
+        ('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from documents),
+scored as (select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, coalesce(words, 0) >= 20 as enough,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint as score
+           from d left join w using (row)),
+ranked as (select *, row_number() over (partition by enough order by score desc, doc_id nulls last) as r,
+             count(*) over (partition by enough) as n from scored)
+select doc_id, n_features, weight, score, case when enough and r <= 25 * n // 100 then r end as rank from ranked""",
 }
