@@ -12,6 +12,7 @@ tied times share the whole risk set.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -29,6 +30,8 @@ from .trees import (
 
 BROADCAST_CELLS = 500_000
 MIN_HESSIAN = 1e-16
+#: Rounds after which the counts are written anew with their margins.
+WRITE_EVERY = 10
 
 
 @dataclass
@@ -39,7 +42,7 @@ class BoostedModel:
 
     @property
     def ensemble(self) -> Ensemble:
-        return Ensemble(self.nodes)
+        return Ensemble(self.nodes, self.binner)
 
     def node_table(self, spark: SparkSession) -> DataFrame:
         return node_table(spark, self.nodes, self.kind)
@@ -54,8 +57,8 @@ class BoostedModel:
     def margin(self, df: DataFrame, out: str = "margin", fit_col: str | None = None,
                replace: dict[str, str] | None = None) -> DataFrame:
         """Log-risk of each row; ``replace`` takes features from other columns."""
-        binned = self.binner.transform(df, "__bins", replace, fit_col)
-        return add_total(binned, self.ensemble, out, "__bins", fit_col).drop("__bins")
+        coded = self.binner.transform(df, "__codes", replace, fit_col)
+        return add_total(coded, self.ensemble, out, "__codes", fit_col).drop("__codes")
 
     def score(self, df: DataFrame, out: str = "risk", fit_col: str | None = None,
               replace: dict[str, str] | None = None) -> DataFrame:
@@ -66,25 +69,39 @@ class BoostedModel:
 
 
 def collapse(df: DataFrame, binner: Binner, fit_col: str | None) -> DataFrame:
-    """(fit, bins, t, e) -> count: the only pass over the training rows."""
+    """(fit, codes, t, e) -> count: the only pass over the training rows."""
     fit = F.col(fit_col) if fit_col else F.lit(0)
-    binned = binner.transform(df, fit_col=fit_col)
-    return binned.select(
-        fit.alias("fit"), "bins", F.col(TIME).alias("t"), F.col(EVENT).cast("int").alias("e")
-    ).groupBy("fit", "bins", "t", "e").agg(F.count(F.lit(1)).alias("m"))
+    coded = binner.transform(df, fit_col=fit_col)
+    return coded.select(
+        fit.alias("fit"), "codes", F.col(TIME).cast("double").alias("t"), F.col(EVENT).cast("int").alias("e")
+    ).groupBy("fit", "codes", "t", "e").agg(F.count(F.lit(1)).alias("m"))
 
 
-def binomial_draw(count: str, share: float, seed: int, salt: int, *columns: str) -> str:
+def code_totals(counts: DataFrame) -> dict:
+    """Codes of every fit's counts, each count adding one."""
+    return {r[0]: r[1] for r in counts.groupBy("fit").agg(F.sum(F.size("codes") + 1)).collect()}
+
+
+def binomial_draw(count: str, share: float, seed: int, salt: int, *columns: str, part: int = 64) -> str:
     """SQL for a Binomial(count, share) draw; the draw depends on the columns' values only.
 
-    One uniform per row of the count up to 100 rows, rounded normal quantile (Box-Muller) beyond.
+    Exact at all counts: the distribution function of ``part`` rows is inverted as often as the count
+    holds so many, and what is left takes one uniform per row.
     """
-    u, v = uniform_sql(seed, 2 * salt, *columns), uniform_sql(seed, 2 * salt + 1, *columns)
     each = uniform_sql(seed, 2 * salt, "i", *columns)
-    few = f"aggregate(sequence(1, cast({count} as int)), 0, (a, i) -> a + if({each} < {share!r}D, 1, 0))"
-    normal = f"sqrt(-2 * ln({u})) * cos(2 * pi() * {v})"
-    many = f"least({count}, greatest(0, round({count} * {share!r}D + sqrt({count} * {share * (1 - share)!r}D) * {normal})))"
-    return f"cast(if({count} <= 100, {few}, {many}) as bigint)"
+    single = f"aggregate(sequence(1, cast({{n}} as int)), 0L, (a, i) -> a + if({each} < {share!r}D, 1, 0))"
+    below, total = [], 0.0
+    for k in range(part):
+        total += math.comb(part, k) * share**k * (1 - share) ** (part - k)
+        below.append(f"{total!r}D")
+    whole = uniform_sql(seed, 2 * salt + 1, "i", *columns)
+    # Sharing the search over the cumulative shares: how many of them lie below the uniform.
+    many = (
+        f"aggregate(sequence(1, cast({count} div {part} as int)), 0L, (a, i) -> a +"
+        f" aggregate(array({', '.join(below)}), 0, (b, c) -> b + if(c <= {whole}, 1, 0)))"
+    )
+    rest = f"if({count} % {part} = 0, 0L, {single.format(n=f'{count} % {part}')})"
+    return f"if({count} < {part}, {single.format(n=count)}, {many} + {rest})"
 
 
 def breslow_terms(weighted: DataFrame, cuts: Sequence[float] = ()) -> DataFrame:
@@ -130,41 +147,37 @@ def fit_boosted(
 ) -> BoostedModel:
     """Fit one boosted model, or one per value of ``fit_col`` in the same jobs."""
     binner = binner or fit_binner(df, features, max_bins, fit_col)
-    counts = materialize(collapse(df, binner, fit_col), "boosted")
-    kind = counts.schema["fit"].dataType.simpleString()
-    cells = materialize(counts.select("fit", "bins").distinct().withColumn("margin", F.lit(0.0)), "cells")
-    n_cells = cells.count()
-    times = counts.select("fit", "t").distinct()
-    n_times = times.count()
-    cuts = cut_points(times, "t") if n_times > BROADCAST_CELLS else []
+    base = materialize(collapse(df, binner, fit_col).withColumn("margin", F.lit(0.0)), "boosted")
+    kind = base.schema["fit"].dataType.simpleString()
+    sizes = code_totals(base)
+    n_times = base.select("fit", "t").distinct().count()
+    cuts = cut_points(base.select("fit", "t").distinct(), "t") if n_times > BROADCAST_CELLS else []
     nodes: list[Node] = []
+    recent: list[Node] = []
     for i in range(rounds):
-        weighted = counts.join(_small(cells, n_cells), ["fit", "bins"]).withColumn("w", F.exp("margin"))
-        terms = _small(breslow_terms(weighted, cuts), n_times)
-        taken = counts
+        now = base
+        if recent:
+            now = add_total(base, Ensemble(recent, binner), "more", fit_col="fit")
+            now = now.select("fit", "codes", "t", "e", "m", (F.col("margin") + F.col("more")).alias("margin"))
+        if i and i % WRITE_EVERY == 0:
+            # the next rounds' plans start from this table, not from the rounds before
+            written = materialize(now, "boosted")
+            discard(base)
+            base, now, recent = written, written, []
+        terms = _small(breslow_terms(now.withColumn("w", F.exp("margin")), cuts), n_times)
+        taken = now
         if subsample < 1.0:
-            draw = binomial_draw("m", subsample, seed, i, "bins", "t", "e")
-            taken = counts.selectExpr("fit", "bins", "t", "e", f"{draw} as m").filter("m > 0")
-        exposure = taken.join(terms, ["fit", "t"]).groupBy("fit", "bins").agg(
-            F.expr("sum(m * A) as a"), F.expr("sum(m * B) as b"), F.expr("sum(m * e) as d")
+            draw = binomial_draw("m", subsample, seed, i, "codes", "t", "e")
+            taken = now.selectExpr("fit", "codes", "t", "e", "margin", f"{draw} as m").filter("m > 0")
+        rows = taken.join(terms, ["fit", "t"]).selectExpr(
+            "fit", "codes", "m * (exp(margin) * A - e) as g",
+            f"m * greatest(exp(margin) * A - exp(2 * margin) * B, {MIN_HESSIAN!r}D) as h",
         )
-        stats = cells.join(_small(exposure, n_cells), ["fit", "bins"], "left").selectExpr(
-            "fit", f"{i} as tree", "bins", "margin",
-            "coalesce(exp(margin) * a - d, 0D) as g",
-            f"if(a is null, 0D, greatest(exp(margin) * a - exp(2 * margin) * b, {MIN_HESSIAN!r}D)) as h",
-        ).persist()
-        grown, assigned = grow(stats, len(features), max_depth, reg_lambda, gamma, min_child_weight)
-        leaves = []
+        grown = grow(rows, binner, sizes, max_depth, reg_lambda, gamma, min_child_weight, i)
         for n in grown:
             if n.feature < 0:
                 n.value = -learning_rate * n.g / (n.h + reg_lambda)
-                leaves.append((n.fit, n.node, n.value))
         nodes += grown
-        values = F.broadcast(df.sparkSession.createDataFrame(leaves, f"fit {kind}, node int, value double"))
-        updated = assigned.join(values, ["fit", "node"]).selectExpr("fit", "bins", "margin + value as margin")
-        if i + 1 < rounds:
-            # written every round: the next round's plan starts from a table, not from this one
-            cells, replaced = materialize(updated, "cells"), cells
-            discard(replaced)
-        stats.unpersist()
+        recent += grown
+    discard(base)
     return BoostedModel(binner, nodes, kind)

@@ -1,58 +1,213 @@
 """Random survival forest.
 
-All trees of all fits grow together. Training rows are collapsed to (bins, time, event)
-counts; a bootstrap draw is one Poisson weight per (tree, count row), which for a count m
-has the same distribution as m separate Poisson(1) row weights.
-
-Splits maximise the log-rank statistic between the children, worked out anew in every node from
-sums per (node, feature, bin, time bin); event times are cut at quantiles into at most
-``time_bins`` bins, within which times count as tied. The older rule ``score`` maximises the
-variance of the root's log-rank scores ``event - H(time)`` instead, H being the Nelson-Aalen
-estimate of the training set. Leaves hold Kaplan-Meier and Nelson-Aalen curves of their in-bag
-rows, at the exact times.
+Training rows are collapsed to (codes, time, event) counts, the only table that is kept: a bootstrap
+weight is one Poisson draw per (tree, count), which for a count m has the same distribution as m
+separate Poisson(1) row weights, and it is a hash of the count's values, so every job draws it anew.
+
+Splits maximise the log-rank statistic between the children at exact event times. With Y the weight
+at risk, a right side's numerator is the sum of event - H(t) over its rows, H being the node's
+Nelson-Aalen estimate; its variance is a sum over rows less the sum over event times of
+q(t) Y_right(t)^2. Cut into blocks of time, that last sum is quadratic in the weight right of the cut
+in later blocks, with coefficients that each block works out for itself. So a node of any size is split
+exactly: blocks give masses, then hazards, then sums per code, and are combined per feature. Nodes
+with at most ``ENTRIES`` codes are one block and are finished in one task together with all that is below them.
+
+Leaves hold Kaplan-Meier and Nelson-Aalen curves of their in-bag rows, at the exact times.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.scalars import uniform_sql
-from ..session import materialize
-from .boosted import BROADCAST_CELLS, collapse
-from .km import at_risk, nelson_aalen
+from ..session import discard, materialize
+from . import trees as tr
+from .boosted import BROADCAST_CELLS, code_totals, collapse
 from .prefix import cut_points, running
-from .trees import Binner, Ensemble, Node, add_leaves, add_total, fit_binner, grow, node_table, nodes_from_table
+from .trees import (
+    Binner, Codes, Ensemble, Node, Split, add_leaves, add_total, fit_binner, node_table, nodes_from_table,
+    options, place, subtree,
+)
 
 HALF = 0.5 + 1e-12
+#: Counts in a block of time; one task works on one block.
+BLOCK_ROWS = 100_000
+#: Cells of the table of cuts by times that is worked on at once.
+CELLS = 1 << 20
+#: Trees that one task grows from the same counts.
+TREES_PER_TASK = 5
 
+_FEW = 16
 
-def poisson_draw(count: str, u: str, v: str) -> str:
-    """SQL for a Poisson(count) draw from two independent uniforms.
 
-    Table lookup for a single row, inverse distribution function for small counts, rounded
-    normal quantile (Box-Muller) from 30 up.
-    """
-    table, p, total = [], math.exp(-1.0), 0.0
-    for k in range(12):
+def _shares(mean: int) -> np.ndarray:
+    p, total, out = math.exp(-mean), 0.0, []
+    for k in range(8 * mean + 20):
         total += p
-        table.append(f"when {u} < {total!r}D then {k}")
-        p /= k + 1
-    one = f"case {' '.join(table)} else 12 end"
-    some = (
-        f"aggregate(sequence(1, 110), struct(exp(-double({count})) as p, exp(-double({count})) as c, 0 as k),"
-        f" (a, i) -> if(a.c > {u}, a, struct(a.p * {count} / i as p, a.c + a.p * {count} / i as c, i as k)), a -> a.k)"
-    )
-    normal = f"sqrt(-2 * ln({u})) * cos(2 * pi() * {v})"
-    many = f"cast(greatest(0D, round({count} + sqrt(double({count})) * {normal})) as int)"
-    return f"case when {count} = 1 then {one} when {count} < 30 then {some} else {many} end"
+        out.append(total)
+        p *= mean / (k + 1)
+    return np.array(out)
+
+
+_POISSON = [np.zeros(0), *(_shares(k) for k in range(1, _FEW + 1))]
+
+
+def _mix(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _moved(number: int) -> np.uint64:
+    return np.uint64(number * 0x9E3779B97F4A7C15 % (1 << 64))
+
+
+def poisson_draws(key: np.ndarray, count: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """One Poisson(count) draw per row from its 64-bit key, exact at all counts.
+
+    Small counts invert the distribution function; large ones have a generator of their own.
+    """
+    key = key.astype(np.int64).view(np.uint64)
+    z = _mix(_mix(key + _moved(seed)) + _moved(tree + 1))
+    u = ((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    out = np.zeros(len(key), dtype=np.int64)
+    for m in np.unique(count[count <= _FEW]).tolist():
+        mine = count == m
+        out[mine] = np.searchsorted(_POISSON[m], u[mine], side="right")
+    for i in np.flatnonzero(count > _FEW).tolist():
+        out[i] = np.random.Generator(np.random.PCG64([int(z[i]), seed & 0xFFFFFFFF])).poisson(int(count[i]))
+    return out
+
+
+# ---- the log-rank statistic ---------------------------------------------------------------------
+
+
+class Block(NamedTuple):
+    """What a block of time knows of a node: per code, and for the square of the weight at risk in all.
+
+    ``m`` weight, ``u`` share in the numerator, ``v`` linear share in the variance; ``line`` sums q Y over the block's own times,
+    ``square`` q Y^2 for the right side of the cut at this code (q being ``c / Y^2`` of the node) and ``cross`` q Y times
+    the weight of the feature's missing values.
+    """
+
+    code: np.ndarray
+    m: np.ndarray
+    u: np.ndarray
+    v: np.ndarray
+    line: np.ndarray
+    square: np.ndarray
+    cross: np.ndarray
+    q: float
+
+
+def life(t: np.ndarray, e: np.ndarray, w: np.ndarray, after: float = 0.0) -> tuple[np.ndarray, ...]:
+    """(place of each row's time, deaths, weight at risk) of rows in order of time; ``after`` is at risk later on."""
+    tau = np.cumsum(np.concatenate(([False], t[1:] != t[:-1])))
+    size = int(tau[-1]) + 1 if len(t) else 0
+    m = np.bincount(tau, weights=w, minlength=size)
+    d = np.bincount(tau, weights=w * e, minlength=size)
+    return tau, d, after + np.cumsum(m[::-1])[::-1]
+
+
+def spread_of(d: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hypergeometric factor of the variance at each time."""
+    return np.where(n > 1, d * (n - d) / np.maximum(n - 1, 1), 0.0)
+
+
+def block_of(codes: Codes, t: np.ndarray, e: np.ndarray, w: np.ndarray, bases: np.ndarray, after: float = 0.0,
+             hazard: float = 0.0, spread: float = 0.0) -> Block:
+    """Sums of a node's rows, in order of time, given what lies after the block and before it."""
+    tau, d, n = life(t, e, w, after)
+    c = spread_of(d, n)
+    q = c / (n * n)
+    rows = (w.astype(float), w * (e - (hazard + np.cumsum(d / n))[tau]), w * (spread + np.cumsum(c / n))[tau], w * np.cumsum(q)[tau])
+    code, m, u, v, line = codes.sums(*rows)
+    square, cross = _squares(codes, code, tau, w, q, bases)
+    return Block(code, m, u, v, line, square, cross, float(q.sum()))
+
+
+def _squares(codes: Codes, code: np.ndarray, tau: np.ndarray, w: np.ndarray, q: np.ndarray, bases: np.ndarray):
+    square, cross, carry = np.zeros(len(code)), np.zeros(len(code)), np.zeros(len(code))
+    times = np.flatnonzero(q > 0)
+    if not len(times) or not len(code):
+        return square, cross
+    last = (np.cumsum(q > 0) - 1)[tau][codes.row]  # the last such time at which the row is at risk
+    held = last >= 0
+    last, at, weight = last[held], np.searchsorted(code, codes.flat[held]), w[codes.row[held]]
+    feature = np.searchsorted(bases, code, side="right") - 1
+    missing = code == bases[feature]
+    end = np.searchsorted(feature, feature, side="right")
+    first = np.searchsorted(feature, feature, side="left")
+    lost = np.flatnonzero(missing[first] & ~missing)
+    width = max(1, CELLS // len(code))
+    for high in range(len(times), 0, -width):
+        low = max(0, high - width)
+        a, b = np.searchsorted(last, [low, high])
+        grid = np.bincount(at[a:b] * (high - low) + last[a:b] - low, weights=weight[a:b], minlength=len(code) * (high - low))
+        risk = np.cumsum(grid.reshape(len(code), -1)[:, ::-1], axis=1)[:, ::-1] + carry[:, None]
+        carry = risk[:, 0].copy()
+        upward = np.concatenate([np.cumsum(risk[::-1], axis=0)[::-1], np.zeros((1, high - low))])
+        right = np.where(missing[:, None], risk, upward[:-1] - upward[end])
+        square += (right * right) @ q[times[low:high]]
+        if len(lost):
+            cross[lost] += (right[lost] * risk[first[lost]]) @ q[times[low:high]]
+    return square, cross
+
+
+def squares_of(every: tr.Options, square: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """Sum of q Y_right^2 of every option from what its cut's and missing value's codes hold."""
+    both = (every.slot >= 0) & (every.lost >= 0)
+    shown = np.where(every.slot >= 0, square[every.slot], 0.0)
+    return shown + np.where(every.lost >= 0, square[every.lost], 0.0) + np.where(both, 2 * cross[every.slot], 0.0)
+
+
+def logrank(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.where(v > 1e-9, u * u / np.maximum(v, 1e-9), -1.0)
+
+
+def allowed(right: np.ndarray, total: float, min_leaf: float) -> np.ndarray:
+    return (right >= min_leaf) & (total - right >= min_leaf) & (right > 0) & (right < total)
+
+
+def looked_at(able: np.ndarray, mtry: int, seed: int, tree: int, node: int) -> np.ndarray:
+    """The features that a node looks at, of those that can split it."""
+    draw = np.random.default_rng([seed, tree, node])
+    return able[np.sort(draw.permutation(len(able))[:mtry])]
+
+
+def logrank_split(codes: Codes, t: np.ndarray, e: np.ndarray, w: np.ndarray, bases: np.ndarray, min_leaf: float,
+                  mtry: int, seed: int, tree: int, node: int) -> Split | None:
+    """Best split of a node whose rows are at hand, in order of time."""
+    total = float(w.sum())
+    code, m = codes.sums(w.astype(float))
+    coarse = options(code, bases, m)
+    able = np.unique(coarse.feature[allowed(coarse.sums[0], total, min_leaf)])
+    if not len(able):
+        return None
+    chosen = looked_at(able, mtry, seed, tree, node)
+    kept = np.isin(np.searchsorted(bases, codes.flat, side="right") - 1, chosen)
+    block = block_of(Codes(codes.flat[kept], codes.row[kept], codes.n), t, e, w, bases)
+    every = options(block.code, bases, block.m, block.u, block.v)
+    m, u, v = every.sums
+    value = logrank(u, v - squares_of(every, block.square, block.cross))
+    return every.best(np.where(allowed(m, total, min_leaf), value, -1.0), 1e-9)
+
+
+def leaf_curve(t: np.ndarray, e: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(event times, drops of the Kaplan-Meier curve, steps of the Nelson-Aalen curve) of rows in order of time."""
+    tau, d, n = life(t, e, w)
+    dead = d > 0
+    step = d[dead] / n[dead]
+    before = np.concatenate(([1.0], np.cumprod(1 - step)[:-1])) if len(step) else step
+    return t[np.searchsorted(tau, np.flatnonzero(dead))], before * step, step
 
 
 @dataclass
@@ -68,7 +223,7 @@ class ForestModel:
 
     @property
     def ensemble(self) -> Ensemble:
-        return Ensemble(self.nodes)
+        return Ensemble(self.nodes, self.binner)
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         last = spark.createDataFrame(list(self.last_time.items()), f"fit {self.kind}, last_time double")
@@ -90,18 +245,18 @@ class ForestModel:
     def score(self, df: DataFrame, out: str = "risk", fit_col: str | None = None,
               replace: dict[str, str] | None = None) -> DataFrame:
         """Ensemble cumulative hazard summed over the training event times."""
-        binned = self.binner.transform(df, "__bins", replace, fit_col)
-        scored = add_total(binned, self.ensemble, out, "__bins", fit_col).drop("__bins")
+        coded = self.binner.transform(df, "__codes", replace, fit_col)
+        scored = add_total(coded, self.ensemble, out, "__codes", fit_col).drop("__codes")
         return scored.withColumn(out, F.col(out) / self.trees)
 
     def _placed(self, df: DataFrame, key) -> tuple[DataFrame, DataFrame]:
-        """Rows with a ``curve_id``, and (curve_id, tree, node) once per distinct bins."""
-        rows = self.binner.of(key).transform(df, "__bins").withColumn("curve_id", F.array_join("__bins", ","))
-        cells = rows.select("curve_id", "__bins").distinct()
-        placed = add_leaves(cells, self.ensemble, "__leaves", "__bins", key).select(
+        """Rows with a ``curve_id``, and (curve_id, tree, node) once per distinct codes."""
+        rows = self.binner.of(key).transform(df, "__codes").withColumn("curve_id", F.array_join("__codes", ","))
+        cells = rows.select("curve_id", "__codes").distinct()
+        placed = add_leaves(cells, self.ensemble, "__leaves", "__codes", key).select(
             "curve_id", F.posexplode("__leaves").alias("tree", "node")
         )
-        return rows.drop("__bins"), placed
+        return rows.drop("__codes"), placed
 
     def curves(self, df: DataFrame, fit=None) -> tuple[DataFrame, DataFrame]:
         """Rows with their ``curve_id``, and the curve table (curve_id, t, survival).
@@ -152,99 +307,300 @@ class ForestModel:
         )
 
 
-def _best_split(p: int, min_leaf: float, mtry: int, seed: int):
-    """A function from the sums of one node to its best split by the log-rank statistic.
+# ---- nodes too large for one task ---------------------------------------------------------------
+
+
+def _in_blocks(counts: DataFrame) -> DataFrame:
+    """Counts with the ``block`` of their time, ascending, and ``part`` and ``parts`` of a block of a single time.
 
-    Sums come as rows (feature, bin, tb, m, d): weight and deaths; feature ``p`` has the whole
-    node. Bin 0 is what a feature's other bins leave of it, bin -1 holds missing values, which
-    take the better side.
+    Blocks hold about ``BLOCK_ROWS`` counts. A time that has more is a block of its own, dealt into parts.
     """
+    n = counts.count()
+    shares = [i / max(1, n // BLOCK_ROWS) for i in range(1, max(1, n // BLOCK_ROWS))]
+    points = counts.select("t").approxQuantile("t", shares, 0.25 / len(shares)) if shares else []
+    cuts = sorted({c for p in set(points) for c in ([p, float(np.nextafter(p, np.inf))] if points.count(p) > 1 else [p])})
+    blocked = Binner(["t"], [cuts]).transform(counts, "__at")
+    # one code: the number of the block, none for the first
+    blocked = blocked.withColumn("block", F.coalesce(F.try_element_at("__at", F.lit(1)), F.lit(0))).drop("__at")
+    sizes = blocked.groupBy("fit", "block").agg(F.count(F.lit(1)).alias("rows"), F.min("t").alias("a"), F.max("t").alias("b"))
+    parts = F.when(F.col("a") == F.col("b"), F.ceil(F.col("rows") / BLOCK_ROWS)).otherwise(1).cast("int").alias("parts")
+    # one row per fit and block, so a hundred-thousandth of the counts
+    return blocked.join(F.broadcast(sizes.select("fit", "block", parts)), ["fit", "block"]).withColumn(
+        "part", F.pmod("key", F.col("parts")).cast("int")
+    )
 
-    def statistic(m: np.ndarray, d: np.ndarray, whole_m: np.ndarray, whole_d: np.ndarray) -> np.ndarray:
-        """Log-rank statistics of right sides (one a row) against the rest of the node."""
-        n = np.cumsum(whole_m[::-1])[::-1]
-        right = np.cumsum(m[:, ::-1], axis=1)[:, ::-1]
-        dead = (whole_d > 0) & (n > 1)
-        share = right[:, dead] / n[dead]
-        u = (d[:, dead] - whole_d[dead] * share).sum(1)
-        v = (whole_d[dead] * share * (1 - share) * (n[dead] - whole_d[dead]) / (n[dead] - 1)).sum(1)
-        return np.where(v > 1e-12, u * u / np.maximum(v, 1e-12), -1.0)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        size = int(rows.tb.max()) + 1
-        whole = rows[rows.feature == p]
-        whole_m = np.bincount(whole.tb, weights=whole.m, minlength=size)
-        whole_d = np.bincount(whole.tb, weights=whole.d, minlength=size)
-        total = whole_m.sum()
-        options = {}
-        for feature, mine in rows[rows.feature < p].groupby("feature"):
-            bins = np.sort(mine.bin[mine.bin > 0].unique())
-            at = np.searchsorted(bins, mine.bin)
-            shown, missing = (mine.bin > 0).to_numpy(), (mine.bin == -1).to_numpy()
-
-            def grid(column: str) -> tuple[np.ndarray, np.ndarray]:
-                table = np.zeros((len(bins), size))
-                np.add.at(table, (at[shown], mine.tb.to_numpy()[shown]), mine[column].to_numpy()[shown])
-                lost = np.bincount(mine.tb[missing], weights=mine[column][missing], minlength=size)
-                return np.cumsum(table[::-1], axis=0)[::-1], lost
-
-            (m, lost_m), (d, lost_d) = grid("m"), grid("d")
-            sides = [(m, d, bins, False)]
-            if lost_m.sum():
-                sides += [(m + lost_m, d + lost_d, bins, True), (lost_m[None], lost_d[None], np.array([1000000]), True)]
-            for side_m, side_d, cut, missing_right in sides:
-                weight = side_m.sum(1)
-                fine = (weight >= min_leaf) & (total - weight >= min_leaf) & (weight > 0) & (weight < total)
-                if fine.any():
-                    value = np.where(fine, statistic(side_m, side_d, whole_m, whole_d), -1.0)
-                    k = int(value.argmax())
-                    if value[k] > options.get(feature, (1e-9,))[0]:
-                        options[feature] = (float(value[k]), int(cut[k]), missing_right, float(weight[k]))
-        able = sorted(options)
-        draw = np.random.default_rng([seed, int(first.tree), int(first.node)])
-        looked = [able[i] for i in sorted(draw.permutation(len(able))[:mtry])]
-        best = max(looked, key=lambda f: (options[f][0], -f), default=None)
-        gain, cut, missing_right, weight = options[best] if best is not None else (-1.0, 0, False, 0.0)
-        return pd.DataFrame({
-            "fit": [first.fit], "tree": [first.tree], "node": [first.node], "gain": [gain], "feature": [-1 if best is None else best],
-            "split_bin": [cut], "missing_right": [missing_right], "rg": [0.0], "rh": [weight], "tg": [0.0], "th": [total],
-        })
 
-    return run
+class _Wide(NamedTuple):
+    """What the passes over the blocks share."""
 
+    rows: DataFrame
+    binner: Binner
+    bootstrap: bool
+    seed: int
 
-def logrank_splits(assigned: DataFrame, level: int, p: int, min_leaf: float, mtry: int, seed: int) -> DataFrame:
-    """Best log-rank split of every node of the level, from rows (fit, tree, node, bins, tb, e, w).
+    def weights(self, key: np.ndarray, m: np.ndarray, tree: int) -> np.ndarray:
+        return poisson_draws(key, m, tree, self.seed) if self.bootstrap else m
 
-    Only bins other than 0 are emitted; a group holds the sums of one node, at most features x
-    bins x time bins rows.
-    """
-    kind = assigned.schema["fit"].dataType.simpleString()
-    sums = assigned.filter(F.col("node") >= (1 << level) - 1).selectExpr(
-        "fit", "tree", "node", "tb", "w", "w * e as dead", "posexplode(array_append(bins, 1)) as (feature, bin)"
-    ).filter("bin != 0").groupBy("fit", "tree", "node", "feature", "bin", "tb").agg(
-        F.expr("cast(sum(w) as double) as m"), F.expr("cast(sum(dead) as double) as d")
-    )
-    schema = (
-        f"fit {kind}, tree int, node int, gain double, feature int, split_bin int, missing_right boolean, "
-        "rg double, rh double, tg double, th double"
-    )
-    return sums.groupBy("fit", "tree", "node").applyInPandas(_best_split(p, min_leaf, mtry, seed), schema)
+    def passed(self, nodes: list[Node], wanted: dict, work, schema: str, given: DataFrame | None = None) -> DataFrame:
+        """``work(fit, tree, node, block, given row, codes, t, e, w)`` for every wanted node that a block meets.
+
+        ``given`` has a row per (fit, block, tree, node); its yields are tables of ``schema`` behind (fit, tree, node, block).
+        """
+        kind = self.rows.schema["fit"].dataType.simpleString()
+        shared = self.rows.sparkSession.sparkContext.broadcast((Ensemble(nodes, self.binner).fits, wanted))
+        weights = poisson_draws if self.bootstrap else None
+        seed = self.seed
+
+        def run(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
+            fits, asked = shared.value
+            left = left.sort_by("t").combine_chunks()
+            known = {} if right is None else {(r["tree"], r["node"]): r for r in right.to_pylist()}
+            out = []
+            batch = left.to_batches()[0] if left.num_rows else None
+            columns = [left[c].to_numpy() for c in ("t", "e", "m", "key")]
+            for fit, _, codes, tree, node in place(batch, fits) if batch is not None else ():
+                t, e, m, key = columns
+                w = weights(key, m, tree, seed) if weights else m
+                for n in np.intersect1d(node, asked.get((fit, tree), [])).tolist():
+                    mine = (node == n) & (w > 0)
+                    if mine.any() and (right is None or (tree, n) in known):
+                        part = work(fit, known.get((tree, n)), codes.take(mine), t[mine], e[mine], w[mine])
+                        size = len(next(iter(part.values())))
+                        out.append(pa.table({
+                            "fit": pa.array([fit] * size, left["fit"].type), "tree": pa.array([tree] * size, pa.int32()),
+                            "node": pa.array([n] * size, pa.int32()), "block": pa.array([left["block"][0].as_py()] * size, pa.int32()), **part,
+                        }))
+            return pa.concat_tables(out) if out else empty
+
+        fields = [f.split() for f in schema.split(", ")]
+        arrow = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+        empty = pa.schema([
+            ("fit", {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]), ("tree", pa.int32()), ("node", pa.int32()),
+            ("block", pa.int32()), *((n, arrow[k]) for n, k in fields),
+        ]).empty_table()
+        full = f"fit {kind}, tree int, node int, block int, {schema}"
+        grouped = self.rows.groupBy("fit", "block", "part")
+        if given is None:
+            return grouped.applyInArrow(lambda g: run(g), full)
+        parts = self.rows.select("fit", "block", "part").distinct()
+        beside = given.join(parts, ["fit", "block"])
+        beside = beside.toDF(*beside.columns).groupBy("fit", "block", "part")  # columns of their own
+        return grouped.cogroup(beside).applyInArrow(lambda a, b: run(a, b), full)
+
+
+def _wide_level(wide: _Wide, nodes: list[Node], frontier: list[tuple], min_leaf: float, mtry: int) -> list:
+    """Best exact log-rank split of every node of the frontier, one row a node at the driver."""
+    wanted: dict = {}
+    for fit, tree, node in frontier:
+        wanted.setdefault((fit, tree), []).append(node)
+    bases, seed = wide.binner.bases_by_fit(), wide.seed
+    ids = ["fit", "tree", "node"]
+
+    def masses(fit, given, codes, t, e, w):
+        k = len(codes.flat) + codes.n
+        return {"m": [float(w.sum())], "d": [float((w * e).sum())], "k": pa.array([k], pa.int64()), "a": [float(t[0])], "b": [float(t[-1])]}
+
+    mass = wide.passed(nodes, wanted, masses, "m double, d double, k long, a double, b double")
+    mass = mass.groupBy(*ids, "block").agg(*(F.sum(c).alias(c) for c in "mdk"), (F.min("a") == F.max("b")).alias("single"))
+    by_time = Window.partitionBy(*ids).orderBy("block")
+    later = by_time.rowsBetween(1, Window.unboundedFollowing)
+    before = by_time.rowsBetween(Window.unboundedPreceding, -1)
+    # a row per node and block of time
+    mass = materialize(mass.withColumn("after", F.coalesce(F.sum("m").over(later), F.lit(0.0))), "masses")
+
+    def hazards(fit, given, codes, t, e, w):
+        _, d, n = life(t, e, w, given["after"])
+        return {"hazard": [float((d / n).sum())], "spread": [float((spread_of(d, n) / n).sum())]}
+
+    several = wide.passed(nodes, wanted, hazards, "hazard double, spread double", mass.filter("not single").select(*ids, "block", "after"))
+    at_risk = F.col("after") + F.col("m")
+    factor = F.when(at_risk > 1, F.col("d") * (at_risk - F.col("d")) / (at_risk - 1)).otherwise(0.0)
+    single = mass.filter("single").select(*ids, "block", (F.col("d") / at_risk).alias("hazard"), (factor / at_risk).alias("spread"))
+    steps = mass.join(several.unionByName(single), [*ids, "block"])
+    steps = materialize(steps.withColumns({
+        "hazard_before": F.coalesce(F.sum("hazard").over(before), F.lit(0.0)),
+        "spread_before": F.coalesce(F.sum("spread").over(before), F.lit(0.0)),
+    }), "hazards")
+
+    def sums(fit, given, codes, t, e, w):
+        own = bases.get(fit, bases[None])
+        size = np.bincount(codes.row, minlength=codes.n) + 1.0
+        if given["single"]:  # the weight at risk is that of all parts; the square follows from m when blocks meet
+            n = given["after"] + given["m"]
+            c = float(spread_of(np.array([given["d"]]), np.array([n]))[0])
+            u = w * (e - given["hazard_before"] - given["d"] / n)
+            code, m, u, v = codes.sums(w.astype(float), u, w * (given["spread_before"] + c / n))
+            zero = np.zeros(len(code))
+            block = Block(code, m, u, v, zero, zero, zero, c / (n * n))
+        else:
+            block = block_of(codes, t, e, w, own, given["after"], given["hazard_before"], given["spread_before"])
+        _, k = codes.sums(size)
+        return {"code": block.code, "feature": np.searchsorted(own, block.code, side="right") - 1, "m": block.m, "u": block.u,
+                "v": block.v, "line": block.line, "square": block.square, "cross": block.cross, "k": k, "q": np.full(len(k), block.q)}
+
+    names = "code long, feature long, m double, u double, v double, line double, square double, cross double, k double, q double"
+    found = materialize(wide.passed(nodes, wanted, sums, names, steps), "sums")
+    # q of every block, also of those where a feature has no code
+    n_ = F.col("after") + F.col("m")
+    singles = steps.filter("single").select(*ids, "block", (F.col("spread") / n_).alias("q"), F.lit(True).alias("single"))
+    others = found.join(steps.filter("not single").select(*ids, "block"), [*ids, "block"]).groupBy(*ids, "block").agg(F.max("q").alias("q"))
+    q = materialize(singles.unionByName(others.withColumn("single", F.lit(False))), "q")
+    totals = steps.groupBy(*ids).agg(F.sum("m").alias("total"), F.sum("k").alias("size"))
+
+    def feature_best(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Best split of a node on one feature, its blocks put together."""
+        fit, total = left["fit"][0].as_py(), left["total"][0].as_py()
+        own = bases.get(fit, bases[None])
+        code, block = left["code"].to_numpy(), left["block"].to_numpy()
+        present, at = np.unique(code, return_inverse=True)
+        whole = lambda c: np.bincount(at, weights=left[c].to_numpy(), minlength=len(present))
+        every = options(present, own, whole("m"), whole("u"), whole("v"), whole("k"))
+        m, u, v, k = every.sums
+        square, later = np.zeros(len(m)), np.zeros(len(m))
+        given = {r["block"]: r for r in right.to_pylist()}
+        columns = {c: left[c].to_numpy() for c in ("m", "line", "square", "cross")}
+        for b in sorted(given, reverse=True):
+            here = np.flatnonzero(block == b)
+            here = here[np.argsort(code[here])]
+            mine = {c: v_[here] for c, v_ in columns.items()}
+            place_ = lambda c: np.bincount(np.searchsorted(present, code[here]), weights=mine[c], minlength=len(present))
+            m_here, line = options(present, own, place_("m"), place_("line")).sums
+            if given[b]["single"]:
+                square += given[b]["q"] * (later + m_here) ** 2
+            else:
+                # between its own codes a block's square is that of the next code above
+                up = np.searchsorted(code[here], present)
+                level = lambda c: np.where(up < len(here), np.append(mine[c], 0.0)[up], 0.0)
+                missing = present == own[every.feature[0]]
+                own_square = level("square")
+                if missing.any() and not (len(here) and code[here][0] == present[0]):
+                    own_square = np.where(missing, 0.0, own_square)
+                cross = np.where(missing, 0.0, level("cross"))
+                square += given[b]["q"] * later**2 + 2 * later * line + squares_of(every, own_square, cross)
+            later += m_here
+        fine = allowed(m, total, min_leaf)
+        value = np.where(fine, logrank(u, v - square), -1.0)
+        split = every.best(value, 1e-9)
+        i = None if split is None else int(np.flatnonzero((every.cut == split.cut) & (every.missing_right == split.missing_right))[0])
+        ids_ = {c: left[c].slice(0, 1) for c in ("fit", "tree", "node")}
+        return pa.table({
+            **ids_, "feature": pa.array([int(every.feature[0])], pa.int32()), "able": [bool(fine.any())],
+            "split_bin": pa.array([split.cut if split else 0], pa.int32()), "missing_right": [bool(split and split.missing_right)],
+            "gain": [split.gain if split else -1.0], "rh": [float(m[i]) if split else 0.0], "rk": [float(k[i]) if split else 0.0],
+            "th": [float(total)], "tk": pa.array([left["size"][0].as_py()], pa.int64()),
+        })
 
+    def pick(group: pa.Table) -> pa.Table:
+        """The best of the features that a node looks at."""
+        group = group.sort_by("feature")
+        able = np.flatnonzero(group["able"].to_numpy(zero_copy_only=False))
+        chosen = looked_at(able, mtry, seed, group["tree"][0].as_py(), group["node"][0].as_py()) if len(able) else able
+        gain = group["gain"].to_numpy()[chosen].astype(np.float32)
+        if not len(chosen) or gain.max() <= 1e-9:
+            return group.slice(0, 1).set_column(group.schema.get_field_index("gain"), "gain", pa.array([-1.0]))
+        return group.take([int(chosen[int(gain.argmax())])])
+
+    kind = wide.rows.schema["fit"].dataType.simpleString()
+    schema = (f"fit {kind}, tree int, node int, feature int, able boolean, split_bin int, missing_right boolean, gain double, "
+              "rh double, rk double, th double, tk long")
+    coded = found.join(totals, ids)
+    beside = found.select(*ids, "feature").distinct().join(q, ids)
+    per_feature = coded.groupBy(*ids, "feature").cogroup(beside.toDF(*beside.columns).groupBy(*ids, "feature")).applyInArrow(feature_best, schema)
+    best = per_feature.groupBy(*ids).applyInArrow(pick, schema).collect()
+    for table in (mass, steps, found, q):
+        discard(table)
+    return best
+
+
+def _wide_nodes(wide: _Wide, roots: list[tuple], max_depth: int, min_leaf: float, mtry: int) -> tuple[list[Node], dict, dict]:
+    """Split nodes above, small nodes to be finished, and leaves that are still large, from the roots (fit, tree)."""
+    nodes = {(fit, tree, 0): Node(fit, tree, 0) for fit, tree in roots}
+    frontier = list(nodes)
+    closing, broad = {}, {}
+    for level in range(max_depth):
+        if not frontier:
+            break
+        best = _wide_level(wide, list(nodes.values()), frontier, min_leaf, mtry)
+        seen, after = {(r.fit, r.tree, r.node) for r in best}, []
+        for fit, tree, node in frontier:  # rows without any code cannot be split
+            if (fit, tree, node) not in seen:
+                broad.setdefault((fit, tree), []).append(node)
+        for r in best:
+            n = nodes[(r.fit, r.tree, r.node)]
+            n.h = r.th
+            if r.gain < 0:
+                broad.setdefault((r.fit, r.tree), []).append(r.node)
+                continue
+            n.feature, n.split_bin, n.missing_right, n.gain = r.feature, r.split_bin, r.missing_right, r.gain
+            for child, h, k in ((2 * r.node + 1, r.th - r.rh, r.tk - r.rk), (2 * r.node + 2, r.rh, r.rk)):
+                nodes[(r.fit, r.tree, child)] = Node(r.fit, r.tree, child, h=h)
+                if k <= tr.ENTRIES:
+                    closing.setdefault((r.fit, r.tree), []).append(child)
+                else:
+                    after.append((r.fit, r.tree, child))
+        frontier = after
+    for fit, tree, node in frontier:
+        broad.setdefault((fit, tree), []).append(node)
+    return list(nodes.values()), closing, broad
+
+
+def _broad_curves(wide: _Wide, nodes: list[Node], broad: dict, kind: str) -> DataFrame:
+    """(fit, tree, node, t, drop, hazard_step) of leaves too large for a task, from sums per time."""
+    def per_time(fit, given, codes, t, e, w):
+        tau, d, n = life(t, e, w)
+        return {"t": t[np.searchsorted(tau, np.arange(len(d)))], "d": d, "m": n - np.append(n[1:], 0.0)}
+
+    table = wide.passed(nodes, broad, per_time, "t double, d double, m double")
+    table = materialize(table.groupBy("fit", "tree", "node", "t").agg(F.sum("d").alias("d"), F.sum("m").alias("m")), "broad")
+    cuts = cut_points(table, "t")
+    ids = ["fit", "tree", "node"]
+    counted = running(table, ids, "t", sums={"seen": "m"}, totals={"size": "m"}, cuts=cuts).withColumn("n", F.expr("size - seen + m"))
+    # a step that ends the curve (all at risk die) has no row after it, so 1 can stand for its factor 0
+    steps = counted.filter("d > 0").withColumn("factor", F.expr("if(d = n, 1D, 1 - d / n)"))
+    curve = running(steps, ids, "t", products={"s": "factor"}, cuts=cuts)
+    # S drops by S(t-) - S(t) = S(t-) * d / n, with S(t-) the product before this row
+    return curve.selectExpr(*ids, "t", "s / factor * d / n as drop", "d / n as hazard_step")
+
+
+# ---- the fit --------------------------------------------------------------------------------------
+
+_FINISHED = (
+    "fit {kind}, tree int, node int, feature int, split_bin int, missing_right boolean, gain double, h double,"
+    " t array<double>, drop array<double>, hazard_step array<double>"
+)
+
+
+def _finish(below: DataFrame, binner: Binner, max_depth: int, min_leaf: float, mtry: int, seed: int, bootstrap: bool) -> DataFrame:
+    """Nodes and leaf curves under the nodes of ``below`` (fit, first, last, node, codes, t, e, m, key), for trees first to last."""
+    kind = below.schema["fit"].dataType.simpleString()
+    bases = binner.bases_by_fit()
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("t").combine_chunks()
+        fit, start = group["fit"][0].as_py(), group["node"][0].as_py()
+        own = bases.get(fit, bases[None])
+        codes = Codes.of(group["codes"])
+        t, e, m, key = (group[c].to_numpy() for c in ("t", "e", "m", "key"))
+        rows, curves = [], []
+        for tree in range(group["first"][0].as_py(), group["last"][0].as_py() + 1):
+            w = poisson_draws(key, m, tree, seed) if bootstrap else m
+            held = w > 0
+
+            def find(node: int, c: Codes, *values: np.ndarray) -> Split | None:
+                return logrank_split(c, *values, own, min_leaf, mtry, seed, tree, node)
+
+            for node, split, values in subtree(codes.take(held), (t[held], e[held], w[held]), start, max_depth, own, find):
+                rows.append((tree, node, *(split or Split(-1, 0, False, 0.0)), float(values[2].sum())))
+                curves.append((None, None, None) if split else leaf_curve(*values))
+        columns, series = list(zip(*rows)), list(zip(*curves))
+        names = ["tree", "node", "feature", "split_bin", "missing_right", "gain", "h"]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.float64()]
+        return pa.table({
+            "fit": pa.array([fit] * len(rows), group["fit"].type), **{n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)},
+            **{n: pa.array(c, pa.list_(pa.float64())) for n, c in zip(("t", "drop", "hazard_step"), series)},
+        })
 
-def _time_bins(counts: DataFrame, time_bins: int) -> Binner:
-    """Cut points of the event times of every fit: all times where they are few, else quantiles."""
-    dead = counts.filter("e = 1").select("fit", "t")
-    counted = dead.distinct().groupBy("fit").agg(F.count(F.lit(1)).alias("n")).collect()
-    few = [r.fit for r in counted if r.n <= time_bins]
-    short: dict = {k: [] for k in few}
-    for r in dead.filter(F.col("fit").isin(few)).distinct().orderBy("t").collect() if few else []:
-        short[r.fit].append(r.t)
-    short = {k: times[1:] for k, times in short.items()}
-    long = dead.filter(~F.col("fit").isin(few)) if few else dead
-    cuts = fit_binner(long, ["t"], time_bins, "fit").by_fit
-    return Binner(["t"], [[]], cuts | {k: [v] for k, v in short.items()})
+    return below.groupBy("fit", "first", "last", "node").applyInArrow(run, _FINISHED.format(kind=kind))
 
 
 def fit_forest(
@@ -257,82 +613,81 @@ def fit_forest(
     seed: int = fv.FOREST_SETTINGS["seed"],
     max_bins: int = 256,
     binner: Binner | None = None,
-    rule: str = "logrank",
-    time_bins: int = 64,
     mtry: int | None = None,
     bootstrap: bool = True,
 ) -> ForestModel:
     """Fit one forest, or one per value of ``fit_col`` in the same jobs.
 
-    A node looks at ``mtry`` features, the root of their number by default; without
+    A node looks at ``mtry`` of the features that can split it, the root of their number by default; without
     ``bootstrap`` every tree has all rows once.
     """
-    if rule not in ("logrank", "score"):
-        raise ValueError(f"unknown rule: {rule}")
     spark = df.sparkSession
     binner = binner or fit_binner(df, features, max_bins, fit_col)
-    counts = materialize(collapse(df, binner, fit_col), "forest")
-    kind = counts.schema["fit"].dataType.simpleString()
-    hazard = materialize(nelson_aalen(counts, ["fit"], "t", "e", "auto", "m"), "hazard")
-    n_times = hazard.count()
-    small = F.broadcast(hazard) if n_times <= BROADCAST_CELLS else hazard
-    keys = ["fit", "bins", "t", "e"]
+    coded = collapse(df, binner, fit_col)
     # drawn from the values alone, so that a fit gets the same bag in whatever company it runs
-    draw = poisson_draw("m", *(uniform_sql(seed, salt, "tree", "bins", "t", "e") for salt in (1, 2)))
-    drawn = (
-        counts.join(small.select("fit", "t", "cumulative_hazard"), ["fit", "t"])
-        .selectExpr(*keys, "m", "e - cumulative_hazard as score", f"explode(sequence(0, {trees - 1})) as tree")
-        .selectExpr(*keys, "tree", "score", f"{draw} as w" if bootstrap else "cast(m as int) as w")
-        .filter("w > 0")
-    )
-    mtry = mtry or max(1, int(math.sqrt(len(features))))
-    p, least = len(features), float(min_leaf)
-    if rule == "logrank":
-        placed = _time_bins(counts, time_bins).transform(drawn, "tb", fit_col="fit")
-        bag = materialize(placed.selectExpr(*keys, "tree", "w", "coalesce(tb[0], 0) as tb"), "bag")
-        nodes, in_leaf = grow(
-            bag, p, max_depth, 0.0, 0.0, least, find=lambda rows, level: logrank_splits(rows, level, p, least, mtry, seed)
-        )
-    else:
-        bag = materialize(drawn, "bag")
-        stats = materialize(
-            bag.groupBy("fit", "tree", "bins").agg(
-                F.expr("-sum(w * score) as g"), F.expr("cast(sum(w) as double) as h")
-            ),
-            "stats",
-        )
-        nodes, assigned = grow(stats, p, max_depth, 0.0, 0.0, least, mtry, seed)
-        in_leaf = bag.join(assigned.select("fit", "tree", "bins", "node"), ["fit", "tree", "bins"])
-
-    # curves of the leaves from the same draws
-    in_leaf = materialize(in_leaf.select("fit", "tree", "node", "t", "e", "w"), "leaves")
-    cuts = cut_points(hazard, "t")  # empty for bounded times
-    table, _ = at_risk(in_leaf, ["fit", "tree", "node"], "t", "e", cuts, "w")
-    # a step that ends the curve (all at risk die) has no row after it, so 1 can stand for its factor 0
-    steps = table.filter("d > 0").withColumn("factor", F.expr("if(d = n, 1D, 1 - d / n)"))
-    curve = running(steps, ["fit", "tree", "node"], "t", products={"s": "factor"}, cuts=cuts)
-    # S drops by S(t-) - S(t) = S(t-) * d / n, with S(t-) the product before this row
-    before = F.col("s") / F.col("factor")
-    drops = materialize(
-        curve.withColumn("drop", before * F.col("d") / F.col("n")).selectExpr(
-            "fit", "tree", "node", "t", "drop", "d / n as hazard_step"
-        ),
-        "drops",
-    )
+    counts = materialize(coded.withColumn("key", F.xxhash64("codes", "t", "e")), "forest")
+    kind = counts.schema["fit"].dataType.simpleString()
+    mtry, least = mtry or max(1, int(math.sqrt(len(features)))), float(min_leaf)
+    large = [fit for fit, n in code_totals(counts).items() if n > tr.ENTRIES]
+    here = counts.filter(~F.col("fit").isin(large)) if large else counts
+    span = F.explode(F.sequence(F.lit(0), F.lit(trees - 1), F.lit(TREES_PER_TASK))).alias("first")
+    below = here.select("fit", "codes", "t", "e", "m", "key", span, F.lit(0).alias("node"))
+    below = below.withColumn("last", F.least(F.col("first") + TREES_PER_TASK - 1, F.lit(trees - 1)))
+    above: list[Node] = []
+    curves = None
+    if large:
+        blocked = materialize(_in_blocks(counts.filter(F.col("fit").isin(large))), "blocks")
+        wide = _Wide(blocked, binner, bootstrap, seed)
+        above, closing, broad = _wide_nodes(wide, [(fit, t) for fit in large for t in range(trees)], max_depth, least, mtry)
+        below = below.unionByName(_routed(wide, above, closing))
+        if broad:
+            curves = _broad_curves(wide, above, broad, kind)
+    finished = materialize(_finish(below, binner, max_depth, least, mtry, seed, bootstrap), "trees")
+    done = {(r.fit, r.tree, r.node): Node(**r.asDict()) for r in finished.drop("t", "drop", "hazard_step").collect()}
+    nodes = [n for n in above if (n.fit, n.tree, n.node) not in done] + list(done.values())
+    drops = finished.select(
+        "fit", "tree", "node", F.explode(F.arrays_zip("t", "drop", "hazard_step")).alias("s")
+    ).select("fit", "tree", "node", "s.t", "s.drop", "s.hazard_step")
+    if curves is not None:
+        drops = materialize(drops.unionByName(curves), "drops")
     # risk of a leaf: H summed over the training event times = each step times the number
     # of event times from it on
-    event_times = hazard.filter("events > 0").select("fit", "t", (-F.col("t")).alias("back")).withColumn(
-        "one", F.lit(1)
-    )
-    back_cuts = [-c for c in reversed(cuts)]
-    later = running(event_times, ["fit"], "back", sums={"later": "one"}, cuts=back_cuts).select("fit", "t", "later")
+    event_times = counts.filter("e = 1").select("fit", "t").distinct()
+    event_times = materialize(event_times.select("fit", "t", (-F.col("t")).alias("back"), F.lit(1).alias("one")), "times")
+    n_times = event_times.count()
+    cuts = cut_points(event_times, "back") if n_times > BROADCAST_CELLS else []
+    later = running(event_times, ["fit"], "back", sums={"later": "one"}, cuts=cuts).select("fit", "t", "later")
     later = F.broadcast(later) if n_times <= BROADCAST_CELLS else later
-    risks = drops.join(later, ["fit", "t"]).groupBy("fit", "tree", "node").agg(
-        F.expr("sum(hazard_step * later) as risk")
-    )
+    risks = drops.join(later, ["fit", "t"]).groupBy("fit", "tree", "node").agg(F.expr("sum(hazard_step * later) as risk"))
     value = {(r.fit, r.tree, r.node): r.risk for r in risks.collect()}
     for n in nodes:
         if n.feature < 0:
             n.value = value.get((n.fit, n.tree, n.node), 0.0)
-    last = {r.fit: r.t for r in hazard.groupBy("fit").agg(F.max("t").alias("t")).collect()}
+    last = {r.fit: r.t for r in counts.groupBy("fit").agg(F.max("t").alias("t")).collect()}
+    discard(counts)
     return ForestModel(binner, nodes, trees, drops, last, kind)
+
+
+def _routed(wide: _Wide, nodes: list[Node], closing: dict) -> DataFrame:
+    """The rows of the closing nodes, once per tree that holds them there."""
+    rows = wide.rows
+    kind = rows.schema["fit"].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast((Ensemble(nodes, wide.binner).fits, closing))
+    weights, seed = (poisson_draws if wide.bootstrap else None), wide.seed
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fits, ends = shared.value
+        for batch in parts:
+            key, m = batch.column("key").to_numpy(), batch.column("m").to_numpy()
+            for fit, mine, _, tree, node in place(batch, fits):
+                w = weights(key[mine], m[mine], tree, seed) if weights else m[mine]
+                inside = np.isin(node, ends.get((fit, tree), [])) & (w > 0)
+                taken = batch.filter(pa.array(mine)).filter(pa.array(inside))
+                number = pa.array(np.full(taken.num_rows, tree, np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*(taken.column(c) for c in ("fit", "codes", "t", "e", "m", "key")), number, pa.array(node[inside].astype(np.int32)), number],
+                    ["fit", "codes", "t", "e", "m", "key", "first", "node", "last"],
+                )
+
+    schema = f"fit {kind}, codes array<int>, t double, e int, m long, key long, first int, node int, last int"
+    return rows.select("fit", "codes", "t", "e", "m", "key").mapInArrow(run, schema)

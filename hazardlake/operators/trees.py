@@ -1,33 +1,42 @@
-"""Binned features, level-wise histogram trees and ensemble scoring.
-
-Features are cut once into at most ``max_bins`` bins. Everything a tree needs is then a
-sum per (node, feature, bin), so one level of *all* trees of *all* fits is one
-aggregation: map-side combined, shuffled by a key that has bins x nodes values, and
-reduced to one winning split per node, which is what the driver receives.
+"""Binned features as sparse codes, trees grown from sums, and ensemble scoring.
+
+Features are cut once. A row keeps one code for every feature whose bin is not 0, so a row of
+many 0/1 columns is as long as it has ones. What a split needs are sums per (node, code). While a node has
+more codes than ``ENTRIES``, these sums are one aggregation for all nodes of a level, made of the smaller
+child of every split node only: its sibling's sums are the parent's less its own. Below that
+bound the rows of a node go to one task, which grows the rest of the tree under it. Both ways
+use the same sums and the same choice between splits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 MIN_GAIN = 1e-6
+#: Codes of a node's rows up to which one task grows the subtree under it.
+ENTRIES = 2_000_000
+#: The cut that parts missing values from all others.
+ONLY_MISSING = 1_000_000
 
 
 @dataclass
 class Binner:
     """Cut points per encoded feature; ``x >= cut`` belongs to the bin right of the cut.
 
-    Fits that run together keep their own cut points in ``by_fit``, each taken from its own
-    training rows, so that a joint fit equals the single ones.
+    A feature with n cuts owns n + 1 consecutive codes: the first stands for a missing value, the
+    next for bins 1 to n; bin 0 has none. Fits that run together keep their own cut points in
+    ``by_fit``, each taken from its own training rows, so that a joint fit equals the single ones.
     """
 
     features: list[str]
@@ -38,9 +47,18 @@ class Binner:
         """The binner of one fit."""
         return Binner(self.features, self.by_fit.get(fit, self.cuts))
 
-    def transform(self, df: DataFrame, out: str = "bins", replace: dict[str, str] | None = None,
+    @property
+    def bases(self) -> np.ndarray:
+        """First code of every feature, and the number of codes at the end."""
+        return np.concatenate(([0], np.cumsum([len(c) + 1 for c in self.cuts]))).astype(np.int64)
+
+    def bases_by_fit(self) -> dict:
+        """Bases of every fit that has its own cuts; ``None`` is any other fit."""
+        return {None: self.bases, **{k: self.of(k).bases for k in self.by_fit}}
+
+    def transform(self, df: DataFrame, out: str = "codes", replace: dict[str, str] | None = None,
                   fit_col: str | None = None) -> DataFrame:
-        """Add the array of bin numbers; a missing value has bin -1.
+        """Add the ascending array of codes.
 
         ``replace`` takes the values of some features from other columns; with ``fit_col``
         every row is binned by the cut points of the fit it names.
@@ -49,26 +67,28 @@ class Binner:
         several = self.by_fit if fit_col and self.by_fit else {None: self.cuts}
         arrays = {}
         for k, (fit, cut_lists) in enumerate(several.items()):
-            parts = []
+            parts, base = [], 0
             for j, (name, cuts) in enumerate(zip(self.features, cut_lists)):
                 source = f"`{(replace or {}).get(name, name)}`"
                 if len(cuts) <= 2:
-                    code = " + ".join(f"if({source} >= {c!r}D, 1, 0)" for c in cuts) or "0"
+                    steps = [f"when {source} >= {c!r}D then {base + i + 1}" for i, c in enumerate(cuts)]
+                    shown = " ".join(reversed(steps))
                 else:
                     splits = [float("-inf"), *cuts, float("inf")]
                     value, number = f"__v{j}_{k}", f"__b{j}_{k}"
                     wide = wide.withColumn(value, F.expr(f"cast({source} as double)"))
                     wide = Bucketizer(splits=splits, inputCol=value, outputCol=number, handleInvalid="keep").transform(wide)
                     extra += [value, number]
-                    code = f"cast({number} as int)"
-                parts.append(f"if({source} is null or isnan({source}), -1, {code})")
-            arrays[fit] = F.expr(f"array({', '.join(parts)})")
+                    shown = f"when {number} > 0 then {base} + cast({number} as int)"
+                parts.append(f"case when {source} is null or isnan({source}) then {base} {shown} end")
+                base += len(cuts) + 1
+            arrays[fit] = F.expr(f"array_compact(cast(array({', '.join(parts)}) as array<int>))")
         if None in arrays:
             chosen = arrays[None]
         else:
             chosen = F.lit(None)
-            for fit, bins in arrays.items():
-                chosen = F.when(F.col(fit_col) == F.lit(fit), bins).otherwise(chosen)
+            for fit, codes in arrays.items():
+                chosen = F.when(F.col(fit_col) == F.lit(fit), codes).otherwise(chosen)
         return wide.withColumn(out, chosen).drop(*extra)
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -132,237 +152,450 @@ def nodes_from_table(table: DataFrame) -> list[Node]:
     return [Node(**r.asDict()) for r in table.collect()]
 
 
-def candidates(assigned: DataFrame, level: int, p: int, reg_lambda: float, min_child_weight: float) -> DataFrame:
-    """Every possible split of every node of the level with its gain (-1 if not allowed).
-
-    Only non-zero bins are emitted: a 0/1 feature costs one record where it is 1 and none
-    where it is 0, the zero side being node total minus right side.
-    """
-    first = (1 << level) - 1
-    emitted = assigned.filter(F.col("node") >= first).selectExpr(
-        "fit", "tree", "node", "g", "h", "posexplode(array_append(bins, 1)) as (feature, bin)"
-    ).filter("bin != 0")
-    hist = emitted.groupBy("fit", "tree", "node", "feature", "bin").agg(
-        F.sum("g").alias("g"), F.sum("h").alias("h")
-    )
-    # every window below holds at most features x bins rows of one node
-    node_w = "partition by fit, tree, node"
-    feature_w = f"{node_w}, feature"
-    placed = hist.selectExpr(
-        "fit", "tree", "node", "feature", "bin",
-        f"max(if(feature = {p}, g, null)) over ({node_w}) as tg",
-        f"max(if(feature = {p}, h, null)) over ({node_w}) as th",
-        f"sum(if(bin > 0, g, 0D)) over ({feature_w} order by bin desc) as rg",
-        f"sum(if(bin > 0, h, 0D)) over ({feature_w} order by bin desc) as rh",
-        f"coalesce(max(if(bin = -1, g, null)) over ({feature_w}), 0D) as mg",
-        f"coalesce(max(if(bin = -1, h, null)) over ({feature_w}), 0D) as mh",
-    )
-    sided = placed.selectExpr(
-        "fit", "tree", "node", "feature", "tg", "th",
-        "explode(if(feature = %d, array(struct(0 as split_bin, false as missing_right, 0D as g, 0D as h)),"
-        " if(bin = -1, array(struct(1000000 as split_bin, true as missing_right, mg as g, mh as h)),"
-        " array(struct(bin as split_bin, false as missing_right, rg as g, rh as h),"
-        " struct(bin as split_bin, true as missing_right, rg + mg as g, rh + mh as h))))) as s" % p,
-    )
-    return sided.selectExpr(
-        "fit", "tree", "node", "feature", "tg", "th", "s.*",
-    ).selectExpr(
-        "*",
-        f"if(feature < {p} and h >= {min_child_weight!r}D and th - h >= {min_child_weight!r}D and h > 0 and th > h,"
-        f" g * g / (h + {reg_lambda!r}D) + (tg - g) * (tg - g) / (th - h + {reg_lambda!r}D)"
-        f" - tg * tg / (th + {reg_lambda!r}D), -1D) as gain",
-    )
+# ---- codes and splits of rows in a task -------------------------------------------------------
 
 
-def _splits(assigned: DataFrame, level: int, p: int, reg_lambda: float, gamma: float,
-            min_child_weight: float, mtry: int | None, seed: int) -> DataFrame:
-    """Best split of every node of the level, plus the node totals."""
-    scored = candidates(assigned, level, p, reg_lambda, min_child_weight)
-    if mtry is not None:
-        node_w = "partition by fit, tree, node"
-        draw = f"if(gain > 0, xxhash64({seed}, tree, node, feature), null)"
-        scored = scored.selectExpr(
-            "*", f"dense_rank() over ({node_w} order by {draw} nulls last) as drawn"
-        ).selectExpr(
-            "fit", "tree", "node", "feature", "tg", "th", "split_bin", "missing_right", "g", "h",
-            f"if(drawn <= {mtry}, gain, -1D) as gain",
-        )
-    best = scored.groupBy("fit", "tree", "node").agg(F.max(F.struct(
-        F.when(F.col("gain") > max(gamma, MIN_GAIN), F.col("gain")).otherwise(-1.0).alias("gain"),
-        (-F.col("feature")).alias("nf"), (-F.col("split_bin")).alias("nb"),
-        (~F.col("missing_right")).alias("missing_left"), "g", "h", "tg", "th",
-    )).alias("b"))
-    return best.selectExpr(
-        "fit", "tree", "node", "b.gain", "-b.nf as feature", "-b.nb as split_bin",
-        "not b.missing_left as missing_right", "b.g as rg", "b.h as rh", "b.tg", "b.th",
-    )
+class Codes(NamedTuple):
+    """The codes of some rows: all codes in row order, the row of each, and the number of rows."""
 
+    flat: np.ndarray
+    row: np.ndarray
+    n: int
 
-def grow(
-    stats: DataFrame,
-    p: int,
-    max_depth: int,
-    reg_lambda: float,
-    gamma: float,
-    min_child_weight: float,
-    mtry: int | None = None,
-    seed: int = 0,
-    find: Callable[[DataFrame, int], DataFrame] | None = None,
-) -> tuple[list[Node], DataFrame]:
-    """Grow one tree per (fit, tree) of ``stats`` (fit, tree, bins, g, h), level by level.
-
-    ``find`` may replace the search for the best split of every node of a level; it gets the
-    rows with their node and returns the columns of ``_splits``.
-
-    Gain of a split is ``G_l^2/(H_l+lambda) + G_r^2/(H_r+lambda) - G^2/(H+lambda)`` and must
-    exceed ``gamma``; both sides need ``min_child_weight`` of H. Missing values take the side
-    with the larger gain. With ``mtry`` each node looks at that many of the features that
-    can split it. Returns the nodes and ``stats`` with the leaf of every row.
+    @staticmethod
+    def of(column: pa.Array) -> Codes:
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        return Codes(flat, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
+
+    def take(self, rows: np.ndarray) -> Codes:
+        """The codes of the rows that the mask picks."""
+        kept = rows[self.row]
+        number = np.cumsum(rows) - 1
+        return Codes(self.flat[kept], number[self.row[kept]], int(rows.sum()))
+
+    def right(self, split: Split, bases: np.ndarray) -> np.ndarray:
+        """Which rows go right."""
+        low, high = bases[split.feature], bases[split.feature + 1]
+        goes = (self.flat > low) & (self.flat >= low + split.cut) & (self.flat < high)
+        if split.missing_right:
+            goes |= self.flat == low
+        out = np.zeros(self.n, dtype=bool)
+        out[self.row[goes]] = True
+        return out
+
+    def sums(self, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The codes that occur, ascending, and for each the sum of every row value."""
+        code, at = np.unique(self.flat, return_inverse=True)
+        return code, *(np.bincount(at, weights=v[self.row], minlength=len(code)) for v in values)
+
+
+class Split(NamedTuple):
+    feature: int
+    cut: int
+    missing_right: bool
+    gain: float
+
+
+class Options(NamedTuple):
+    """All splits of a node; ``slot`` and ``lost`` are the places of cut and missing value among its codes, or -1."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    missing_right: np.ndarray
+    slot: np.ndarray
+    lost: np.ndarray
+    sums: list[np.ndarray]
+
+    def best(self, gain: np.ndarray, least: float) -> Split | None:
+        """The split of the largest gain above ``least``; of gains that agree in single precision the first."""
+        if not len(gain) or not (gain > least).any():
+            return None
+        at = np.lexsort((self.missing_right, self.cut, self.feature, -gain.astype(np.float32)))[0]
+        return Split(int(self.feature[at]), int(self.cut[at]), bool(self.missing_right[at]), float(gain[at]))
+
+
+def options(code: np.ndarray, bases: np.ndarray, *values: np.ndarray) -> Options:
+    """Every split between the codes that occur in a node, with the sums of its right side.
+
+    Missing values go left or right, or part from all others.
     """
-    spark = stats.sparkSession
-    kind = stats.schema["fit"].dataType.simpleString()
-    assigned = stats.withColumn("node", F.lit(0))
-    nodes: dict[tuple, Node] = {}
-    for level in range(max_depth + 1):
-        if level == max_depth and level > 0:
-            break
-        if find:
-            found = find(assigned, level).collect()
-        else:
-            found = _splits(assigned, level, p, reg_lambda, gamma, min_child_weight, mtry, seed).collect()
-        split_rows = []
-        for r in found:
-            key = (r.fit, r.tree, r.node)
-            nodes.setdefault(key, Node(r.fit, r.tree, r.node, g=r.tg, h=r.th))
-            if r.gain < 0 or max_depth == 0:
-                continue
-            n = nodes[key]
-            n.feature, n.split_bin, n.missing_right, n.gain = r.feature, r.split_bin, r.missing_right, r.gain
-            left, right = 2 * r.node + 1, 2 * r.node + 2
-            nodes[(r.fit, r.tree, left)] = Node(r.fit, r.tree, left, g=r.tg - r.rg, h=r.th - r.rh)
-            nodes[(r.fit, r.tree, right)] = Node(r.fit, r.tree, right, g=r.rg, h=r.rh)
-            split_rows.append((r.fit, r.tree, r.node, r.feature, r.split_bin, r.missing_right))
-        if not split_rows:
-            break
-        # driver-made and at most 2**level rows per tree, so safe to broadcast
-        splits = spark.createDataFrame(
-            split_rows, f"fit {kind}, tree int, node int, feature int, split_bin int, missing_right boolean"
-        )
-        if level % 3 == 2:  # deep trees start again from a table instead of redoing every join above
-            assigned = materialize(assigned, "assigned")
-        assigned = assigned.join(F.broadcast(splits), ["fit", "tree", "node"], "left").selectExpr(
-            *[c for c in stats.columns],
-            "case when feature is null then node"
-            " when if(bins[feature] = -1, missing_right, bins[feature] >= split_bin) then 2 * node + 2"
-            " else 2 * node + 1 end as node",
-        )
-    return list(nodes.values()), assigned
+    feature = np.searchsorted(bases, code, side="right") - 1
+    bins = code - bases[feature]
+    shown, lost = np.flatnonzero(bins > 0), np.flatnonzero(bins == 0)
+    f = feature[shown]
+    end = np.searchsorted(f, f, side="right")
+    lost_of = np.full(len(shown), -1)
+    if len(lost):
+        at = np.minimum(np.searchsorted(feature[lost], f), len(lost) - 1)
+        lost_of = np.where(feature[lost][at] == f, lost[at], -1)
+    both = np.flatnonzero(lost_of >= 0)
+    sums = []
+    for v in values:
+        run = np.append(np.cumsum(v[shown][::-1])[::-1], 0.0)
+        right = run[:-1] - run[end]
+        sums.append(np.concatenate([right, right[both] + v[lost_of[both]], v[lost]]))
+    join = lambda a, b, c: np.concatenate([a, b, c]).astype(np.int64)
+    none = lambda n: np.full(n, -1)
+    return Options(
+        join(f, f[both], feature[lost]), join(bins[shown], bins[shown][both], np.full(len(lost), ONLY_MISSING)),
+        join(np.zeros(len(shown)), np.ones(len(both)), np.ones(len(lost))).astype(bool),
+        join(shown, shown[both], none(len(lost))), join(none(len(shown)), lost_of[both], lost), sums,
+    )
 
 
-def importance(nodes: DataFrame, features: Sequence[str], kind: str = "weight", top: int = 20) -> DataFrame:
-    """Split count (``weight``) or mean gain (``gain``) per feature, largest first."""
-    spark = nodes.sparkSession
-    names = spark.createDataFrame(list(enumerate(features)), "feature int, name string")
-    value = F.count(F.lit(1)).cast("double") if kind == "weight" else F.avg("gain")
-    return (
-        nodes.filter("feature >= 0")
-        .groupBy("feature")
-        .agg(value.alias("importance"))
-        .join(F.broadcast(names), "feature")
-        .select(F.col("name").alias("feature"), "importance")
-        .orderBy(F.desc("importance"), "feature")
-        .limit(top)
-    )
+def subtree(codes: Codes, values: tuple, node: int, max_depth: int, bases: np.ndarray,
+            find: Callable[..., Split | None]) -> Iterator[tuple[int, Split | None, tuple]]:
+    """(node, its split or None in a leaf, its rows' values) of the tree under ``node``."""
+    waiting = [(node, codes, values)]
+    while waiting:
+        node, codes, values = waiting.pop()
+        split = find(node, codes, *values) if (node + 1).bit_length() - 1 < max_depth else None
+        yield node, split, values
+        if split:
+            right = codes.right(split, bases)
+            for child, side in ((2 * node + 1, ~right), (2 * node + 2, right)):
+                waiting.append((child, codes.take(side), tuple(v[side] for v in values)))
 
 
-def split_gains(df: DataFrame, features: Sequence[str], reg_lambda: float, bins: int = 2) -> DataFrame:
-    """Best root gain of each feature for rows with ``gradient`` and ``curvature``."""
-    binner = fit_binner(df, features, bins)
-    stats = binner.transform(df).selectExpr(
-        "0 as fit", "0 as tree", "bins", "gradient as g", "curvature as h"
-    ).groupBy("fit", "tree", "bins").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    scored = candidates(stats.withColumn("node", F.lit(0)), 0, len(features), reg_lambda, 0.0)
-    names = df.sparkSession.createDataFrame(list(enumerate(features)), "feature int, name string")
-    return scored.filter("gain >= 0").groupBy("feature").agg(F.max("gain").alias("gain")).join(
-        F.broadcast(names), "feature"
-    ).select(F.col("name").alias("feature"), "gain")
+# ---- scoring ------------------------------------------------------------------------------------
 
 
 class Ensemble:
     """Packed trees for vectorised scoring inside tasks; size grows with the model only."""
 
-    def __init__(self, nodes: Sequence[Node]):
+    def __init__(self, nodes: Sequence[Node], binner: Binner):
         self.fits: dict = {}
         by_tree: dict = {}
         for n in nodes:
             by_tree.setdefault(n.fit, {}).setdefault(n.tree, []).append(n)
+        known = binner.bases_by_fit()
         for fit, trees in by_tree.items():
+            used = np.unique([n.feature for members in trees.values() for n in members if n.feature >= 0]).astype(np.int64)
             packed = []
             for tree in sorted(trees):
                 members = sorted(trees[tree], key=lambda n: n.node)
                 at = {n.node: i for i, n in enumerate(members)}
+                feature = np.array([n.feature for n in members])
                 packed.append((
-                    np.array([n.feature for n in members]),
+                    np.where(feature >= 0, np.searchsorted(used, feature), -1),
                     np.array([n.split_bin for n in members]),
                     np.array([n.missing_right for n in members]),
                     np.array([at.get(2 * n.node + 1, 0) for n in members]),
                     np.array([at.get(2 * n.node + 2, 0) for n in members]),
                     np.array([n.value for n in members]),
                     np.array([n.node for n in members]),
+                    tree,
                 ))
-            self.fits[fit] = packed
+            self.fits[fit] = (known.get(fit, known[None]), used, packed)
+
+
+def dense(codes: Codes, bases: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Rows x used features of bin numbers; a missing value has bin -1."""
+    x = np.zeros((codes.n, max(1, len(used))), dtype=np.int32)
+    if len(used) and len(codes.flat):
+        feature = np.searchsorted(bases, codes.flat, side="right") - 1
+        column = np.minimum(np.searchsorted(used, feature), len(used) - 1)
+        mine = used[column] == feature
+        bins = codes.flat[mine] - bases[feature[mine]]
+        x[codes.row[mine], column[mine]] = np.where(bins == 0, -1, bins)
+    return x
 
 
 def leaf_of(tree: tuple, x: np.ndarray) -> np.ndarray:
     """Place of the leaf of each row of bins in one packed tree."""
-    feature, split_bin, missing_right, left, right, _, _ = tree
+    feature, split_bin, missing_right, left, right = tree[:5]
     at = np.zeros(len(x), dtype=np.int64)
-    rows = np.arange(len(x))
+    going = np.arange(len(x))
     while True:
-        f = feature[at]
-        inner = f >= 0
-        if not inner.any():
+        going = going[feature[at[going]] >= 0]
+        if not len(going):
             return at
-        b = x[rows, np.maximum(f, 0)]
-        goes = np.where(b == -1, missing_right[at], b >= split_bin[at])
-        at = np.where(inner, np.where(goes, right[at], left[at]), at)
+        here = at[going]
+        b = x[going, feature[here]]
+        goes = np.where(b == -1, missing_right[here], b >= split_bin[here])
+        at[going] = np.where(goes, right[here], left[here])
 
 
-def total_of(trees: Sequence[tuple], x: np.ndarray) -> np.ndarray:
-    """Sum of the leaf values of all trees."""
-    out = np.zeros(len(x))
-    for tree in trees:
-        out += tree[5][leaf_of(tree, x)]
-    return out
+def _listed(codes: pd.Series) -> Codes:
+    sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
+    flat = np.concatenate([*codes, np.zeros(0, np.int64)]).astype(np.int64)
+    return Codes(flat, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
 
 
-def add_total(df: DataFrame, ensemble: Ensemble, out: str, bins: str = "bins", fit_col: str | None = None) -> DataFrame:
+def add_total(df: DataFrame, ensemble: Ensemble, out: str, codes: str = "codes", fit_col: str | None = None) -> DataFrame:
     """Sum of leaf values over all trees; a narrow Arrow-batched projection."""
-    shared = df.sparkSession.sparkContext.broadcast(ensemble.fits)  # plain arrays: workers need no package
+    shared = df.sparkSession.sparkContext.broadcast(ensemble.fits)  # plain arrays, as large as the model
     only = next(iter(ensemble.fits))
 
     @F.pandas_udf("double")
-    def total(b: pd.Series, fit: pd.Series) -> pd.Series:
-        x = np.stack(b.to_numpy()) if len(b) else np.zeros((0, 1), dtype=int)
-        values = np.zeros(len(x))
+    def total(c: pd.Series, fit: pd.Series) -> pd.Series:
+        found, values = _listed(c), np.zeros(len(c))
         for key in fit.unique():
-            pick = (fit == key).to_numpy()
-            values[pick] = total_of(shared.value.get(key, []), x[pick])
+            mine = (fit == key).to_numpy()
+            if key in shared.value:
+                bases, used, trees = shared.value[key]
+                x = dense(found.take(mine), bases, used)
+                values[mine] = sum(tree[5][leaf_of(tree, x)] for tree in trees)
         return pd.Series(values)
 
-    return df.withColumn(out, total(F.col(bins), F.col(fit_col) if fit_col else F.lit(only)))
+    return df.withColumn(out, total(F.col(codes), F.col(fit_col) if fit_col else F.lit(only)))
 
 
-def add_leaves(df: DataFrame, ensemble: Ensemble, out: str = "leaves", bins: str = "bins", fit=None) -> DataFrame:
+def add_leaves(df: DataFrame, ensemble: Ensemble, out: str = "leaves", codes: str = "codes", fit=None) -> DataFrame:
     """Leaf node of every tree, in tree order."""
     shared = df.sparkSession.sparkContext.broadcast(ensemble.fits)
     key = next(iter(ensemble.fits)) if fit is None else fit
 
     @F.pandas_udf("array<int>")
-    def leaves(b: pd.Series) -> pd.Series:
-        if not len(b):
+    def leaves(c: pd.Series) -> pd.Series:
+        if not len(c):
             return pd.Series([], dtype=object)
-        x = np.stack(b.to_numpy())
-        return pd.Series(list(np.stack([t[6][leaf_of(t, x)] for t in shared.value[key]], axis=1).astype(np.int32)))
+        bases, used, trees = shared.value[key]
+        x = dense(_listed(c), bases, used)
+        return pd.Series(list(np.stack([t[6][leaf_of(t, x)] for t in trees], axis=1).astype(np.int32)))
+
+    return df.withColumn(out, leaves(F.col(codes)))
+
 
-    return df.withColumn(out, leaves(F.col(bins)))
+def place(batch: pa.RecordBatch, fits: dict) -> Iterator[tuple]:
+    """(fit, mask of its rows, codes, tree, node of each row) for every fit and tree that a batch meets."""
+    fit = np.array(batch.column("fit").to_pylist())
+    codes = Codes.of(batch.column("codes"))
+    for key in np.unique(fit):
+        mine = fit == key
+        own = codes.take(mine)
+        bases, used, trees = fits[key.item()]
+        x = dense(own, bases, used)
+        for tree in trees:
+            yield key.item(), mine, own, tree[7], tree[6][leaf_of(tree, x)]
+
+
+# ---- gradient trees -----------------------------------------------------------------------------
+
+
+def gradient_split(reg_lambda: float, gamma: float, min_child_weight: float):
+    """A function from a node's sums per code, and in all, to its best split.
+
+    The gain is ``G_l^2/(H_l+lambda) + G_r^2/(H_r+lambda) - G^2/(H+lambda)`` and must exceed
+    ``gamma``; both sides need ``min_child_weight`` of H.
+    """
+    def find(code: np.ndarray, g: np.ndarray, h: np.ndarray, bases: np.ndarray, tg: float, th: float, *more: np.ndarray):
+        every = options(code, bases, g, h, *more)
+        rg, rh = every.sums[:2]
+        lg, lh = tg - rg, th - rh
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = rg * rg / (rh + reg_lambda) + lg * lg / (lh + reg_lambda) - tg * tg / (th + reg_lambda)
+        fine = (rh >= min_child_weight) & (lh >= min_child_weight) & (rh > 0) & (lh > 0)
+        split = every.best(np.where(fine, gain, -1.0), max(gamma, MIN_GAIN))
+        return split, every
+
+    return find
+
+
+_GROWN = "fit {kind}, tree int, node int, feature int, split_bin int, missing_right boolean, gain double, g double, h double"
+
+
+def _histogram(rows: DataFrame, nodes: list[Node], wanted: dict, binner: Binner) -> DataFrame:
+    """(fit, node, code, g, h, k) of the wanted nodes; the code after the last holds the node's totals."""
+    kind = rows.schema["fit"].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast((Ensemble(nodes, binner).fits, wanted))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fits, asked = shared.value
+        for batch in parts:
+            g, h = batch.column("g").to_numpy(), batch.column("h").to_numpy()
+            for fit, mine, codes, _, node in place(batch, fits):
+                inside = np.isin(node, asked.get(fit, []))
+                if not inside.any():
+                    continue
+                own, node, top = codes.take(inside), node[inside], int(fits[fit][0][-1])
+                size = np.bincount(own.row, minlength=own.n) + 1.0
+                code = np.concatenate([own.flat, np.full(own.n, top)])
+                row = np.concatenate([own.row, np.arange(own.n)])
+                key, at = np.unique(node[row].astype(np.int64) * (top + 1) + code, return_inverse=True)
+                sums = [np.bincount(at, weights=v[row], minlength=len(key)) for v in (g[mine][inside], h[mine][inside], size)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([fit] * len(key), batch.schema.field("fit").type), pa.array((key // (top + 1)).astype(np.int32)),
+                     pa.array((key % (top + 1)).astype(np.int32)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))],
+                    ["fit", "node", "code", "g", "h", "k"],
+                )
+
+    return rows.mapInArrow(run, f"fit {kind}, node int, code int, g double, h double, k long").groupBy("fit", "node", "code").agg(
+        F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("k").alias("k")
+    )
+
+
+def _top_levels(rows: DataFrame, binner: Binner, sizes: dict, max_depth: int, find) -> tuple[list[Node], dict]:
+    """Split nodes down to where all children have at most ``ENTRIES`` codes, and the nodes to be finished there."""
+    spark, kind = rows.sparkSession, rows.schema["fit"].dataType.simpleString()
+    bases = binner.bases_by_fit()
+    nodes = {(fit, 0): Node(fit, 0, 0) for fit in sizes}
+    closing = {fit: [0] for fit, n in sizes.items() if n <= ENTRIES}
+    frontier = [(fit, 0) for fit, n in sizes.items() if n > ENTRIES]
+    halves: list[tuple] = []  # (fit, parent, smaller child, larger child)
+    above = None
+
+    def best(group: pa.Table) -> pa.Table:
+        fit = group["fit"][0].as_py()
+        own = bases.get(fit, bases[None])
+        code, g, h, k = (group[c].to_numpy() for c in ("code", "g", "h", "k"))
+        order = np.argsort(code)
+        code, g, h, k = code[order], g[order], h[order], k[order].astype(float)
+        tg, th = g[-1], h[-1]
+        split, every = find(code[:-1], g[:-1], h[:-1], own, tg, th, k[:-1])
+        at = None if split is None else int(np.flatnonzero(
+            (every.feature == split.feature) & (every.cut == split.cut) & (every.missing_right == split.missing_right))[0])
+        right = [0.0, 0.0, 0.0] if at is None else [float(s[at]) for s in every.sums]
+        one = split or Split(-1, 0, False, 0.0)
+        return pa.table({
+            "fit": group["fit"].slice(0, 1), "node": group["node"].slice(0, 1), "feature": pa.array([one.feature], pa.int32()),
+            "split_bin": pa.array([one.cut], pa.int32()), "missing_right": [one.missing_right], "gain": [one.gain],
+            "g": [float(tg)], "h": [float(th)], "rg": [right[0]], "rh": [right[1]],
+            "k": pa.array([int(k[-1])], pa.int64()), "rk": pa.array([int(right[2])], pa.int64()),
+        })
+
+    schema = _GROWN.format(kind=kind).replace(" tree int,", "") + ", rg double, rh double, k long, rk long"
+    while frontier:
+        wanted: dict = {}
+        for fit, node in ([(f, small) for f, _, small, _ in halves] if halves else frontier):
+            wanted.setdefault(fit, []).append(node)
+        part = materialize(_histogram(rows, list(nodes.values()), wanted, binner), "histogram")
+        sums = part
+        if halves:
+            pairs = F.broadcast(spark.createDataFrame(halves, f"fit {kind}, parent int, small int, large int"))
+            parent = above.alias("p").join(pairs.alias("q"), F.expr("p.node = q.parent and p.fit = q.fit"))
+            less = part.alias("p").join(pairs.alias("q"), F.expr("p.node = q.small and p.fit = q.fit"))
+            parent = parent.selectExpr("p.fit", "large", "code", "g", "h", "k")
+            less = less.selectExpr("p.fit", "large", "code", "-g as g", "-h as h", "-k as k")
+            rest = parent.union(less).groupBy("fit", F.col("large").alias("node"), "code").agg(
+                F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("k").alias("k")).filter("k > 0")
+            sums = materialize(part.unionByName(rest), "histogram")
+            for old in (above, part):
+                discard(old)
+        above = sums
+        listed = F.broadcast(spark.createDataFrame(frontier, f"fit {kind}, node int"))
+        found = sums.join(listed, ["fit", "node"]).groupBy("fit", "node").applyInArrow(best, schema).collect()
+        frontier, halves = [], []
+        for r in found:
+            n = nodes[(r.fit, r.node)]
+            n.g, n.h = r.g, r.h
+            if r.feature < 0:
+                continue
+            n.feature, n.split_bin, n.missing_right, n.gain = r.feature, r.split_bin, r.missing_right, r.gain
+            left, right = 2 * r.node + 1, 2 * r.node + 2
+            nodes[(r.fit, left)] = Node(r.fit, 0, left, g=r.g - r.rg, h=r.h - r.rh)
+            nodes[(r.fit, right)] = Node(r.fit, 0, right, g=r.rg, h=r.rh)
+            if (left + 1).bit_length() - 1 == max_depth:
+                continue
+            big = []
+            for child, k in ((left, r.k - r.rk), (right, r.rk)):
+                (big if k > ENTRIES else closing.setdefault(r.fit, [])).append(child)
+            if big:
+                small, large = (right, left) if r.rk <= r.k - r.rk else (left, right)
+                halves.append((r.fit, r.node, small, large))
+                frontier += [(r.fit, c) for c in big]
+    if above is not None:
+        discard(above)
+    return list(nodes.values()), closing
+
+
+def grow(rows: DataFrame, binner: Binner, sizes: dict, max_depth: int, reg_lambda: float, gamma: float,
+         min_child_weight: float, tree: int = 0) -> list[Node]:
+    """The nodes of one tree per fit of ``rows`` (fit, codes, g, h); ``sizes`` has each fit's number of codes, a row counting one more.
+
+    Missing values take the side with the larger gain. Nodes arrive at the driver, which holds the model anyway.
+    """
+    spark, kind = rows.sparkSession, rows.schema["fit"].dataType.simpleString()
+    find = gradient_split(reg_lambda, gamma, min_child_weight)
+    bases = binner.bases_by_fit()
+    nodes: list[Node] = []
+    if max_depth == 0:
+        sums = rows.groupBy("fit").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        return [Node(r.fit, tree, 0, g=r.g, h=r.h) for r in sums.collect()]
+    if all(n <= ENTRIES for n in sizes.values()):
+        below = rows.select("fit", F.lit(0).alias("node"), "codes", "g", "h")
+    else:
+        rows = materialize(rows, "gradients")
+        nodes, closing = _top_levels(rows, binner, sizes, max_depth, find)
+        shared = spark.sparkContext.broadcast((Ensemble(nodes, binner).fits, closing))
+
+        def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fits, ends = shared.value
+            for batch in parts:
+                for fit, mine, _, _, node in place(batch, fits):
+                    inside = np.isin(node, ends.get(fit, []))
+                    taken = batch.filter(pa.array(mine)).filter(pa.array(inside))
+                    yield taken.append_column("node", pa.array(node[inside].astype(np.int32))).select(["fit", "node", "codes", "g", "h"])
+
+        below = rows.select("fit", "codes", "g", "h").mapInArrow(route, f"fit {kind}, node int, codes array<int>, g double, h double")
+
+    def finish(group: pa.Table) -> pa.Table:
+        fit, start = group["fit"][0], group["node"][0].as_py()
+        own = bases.get(fit.as_py(), bases[None])
+        out = []
+
+        def best(node: int, codes: Codes, g: np.ndarray, h: np.ndarray) -> Split | None:
+            return find(*codes.sums(g, h), own, g.sum(), h.sum())[0]
+
+        values = (group["g"].to_numpy(), group["h"].to_numpy())
+        for node, split, (g, h) in subtree(Codes.of(group["codes"]), values, start, max_depth, own, best):
+            out.append((node, *(split or Split(-1, 0, False, 0.0)), g.sum(), h.sum()))
+        columns = list(zip(*out))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.float64(), pa.float64()]
+        names = ["node", "feature", "split_bin", "missing_right", "gain", "g", "h"]
+        return pa.table({
+            "fit": pa.repeat(fit, len(out)), "tree": pa.array([tree] * len(out), pa.int32()),
+            **{n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)},
+        })
+
+    found = below.groupBy("fit", "node").applyInArrow(finish, _GROWN.format(kind=kind)).collect()
+    done = {(r.fit, r.node): Node(**r.asDict()) for r in found}
+    rest = [Node(**(vars(n) | {"tree": tree})) for n in nodes if (n.fit, n.node) not in done]
+    if all(n <= ENTRIES for n in sizes.values()):
+        return list(done.values())
+    discard(rows)
+    return [*rest, *done.values()]
+
+
+def importance(nodes: DataFrame, features: Sequence[str], kind: str = "weight", top: int = 20) -> DataFrame:
+    """Split count (``weight``) or mean gain (``gain``) per feature, largest first."""
+    spark = nodes.sparkSession
+    names = spark.createDataFrame(list(enumerate(features)), "feature int, name string")
+    value = F.count(F.lit(1)).cast("double") if kind == "weight" else F.avg("gain")
+    return (
+        nodes.filter("feature >= 0")
+        .groupBy("feature")
+        .agg(value.alias("importance"))
+        .join(F.broadcast(names), "feature")
+        .select(F.col("name").alias("feature"), "importance")
+        .orderBy(F.desc("importance"), "feature")
+        .limit(top)
+    )
+
+
+def split_gains(df: DataFrame, features: Sequence[str], reg_lambda: float, bins: int = 2) -> DataFrame:
+    """Best root gain of each feature for rows with ``gradient`` and ``curvature``."""
+    binner = fit_binner(df, features, bins)
+    bases = binner.bases
+    coded = binner.transform(df).selectExpr("codes", "gradient as g", "curvature as h")
+    sums = coded.select("g", "h", F.explode("codes").alias("code")).groupBy("code").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    find = gradient_split(reg_lambda, 0.0, 0.0)
+    tg, th = coded.agg(F.sum("g"), F.sum("h")).first()
+
+    def each(group: pa.Table) -> pa.Table:
+        """Best gain of a feature from the sums of its own codes."""
+        code, g, h = (group[c].to_numpy() for c in ("code", "g", "h"))
+        order = np.argsort(code)
+        split, _ = find(code[order], g[order], h[order], bases, tg, th)
+        found = [split] if split else []
+        return pa.table({"feature": pa.array([s.feature for s in found], pa.int32()), "gain": pa.array([s.gain for s in found], pa.float64())})
+
+    owner = df.sparkSession.createDataFrame(
+        [(int(c), int(j)) for j in range(len(features)) for c in range(bases[j], bases[j + 1])], "code int, owner int"
+    )
+    gains = sums.join(F.broadcast(owner), "code").groupBy("owner").applyInArrow(each, "feature int, gain double")
+    names = df.sparkSession.createDataFrame(list(enumerate(features)), "feature int, name string")
+    return gains.join(F.broadcast(names), "feature").select(F.col("name").alias("feature"), "gain")

@@ -555,7 +555,7 @@ def boosted_stump_importance(spark, sf_dir):
 
 def _forest_stump(spark, sf_dir):
     names, table = _dummies(spark, sf_dir)
-    model = forest.fit_forest(table, names, trees=1, max_depth=1, mtry=len(names), bootstrap=False, time_bins=100_000)
+    model = forest.fit_forest(table, names, trees=1, max_depth=1, mtry=len(names), bootstrap=False)
     return table, model
 
 

@@ -104,7 +104,7 @@ def _shuffled() -> str:
 
 
 _SIDES = "sides as (select row_id, event_occurred as e, observed_time as t, unnest(f) as f from (select *, [" + ", ".join(
-    f"{{'name': '{n}', 'x': ({c})::int}}" for n, c in _DUMMIES
+    f"{{'name': '{n}', 'x': ({c})::int, 'code': {2 * i + 1}}}" for i, (n, c) in enumerate(_DUMMIES)
 ) + "] as f from cohort))"
 
 
@@ -145,6 +145,6 @@ ORACLE: dict[str, str] = {
     "forest_stump_risk": of_cohort("select row_id, round(risk, 6) as risk from placed join risks using (side)", _LOGRANK),
     "forest_stump_median": of_cohort("select row_id, round(median_, 6) as predicted_survival_time from placed join medians using (side)", _LOGRANK),
     "forest_stump_curves": of_cohort("""select curve_id, round(t, 6) as t, round(survival, 6) as survival
-        from (select distinct curve_id, side from (select row_id, string_agg(f.x::varchar, ',') as curve_id from sides group by 1) join placed using (row_id))
+        from (select distinct curve_id, side from (select row_id, coalesce(string_agg(f.code::varchar, ',' order by f.code) filter (where f.x = 1), '') as curve_id from sides group by 1) join placed using (row_id))
         join steps using (side)""", _LOGRANK),
 }

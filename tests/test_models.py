@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazardlake.functions.scalars import hash_uniform, uniform_sql
+from hazardlake.functions.scalars import hash_uniform
 from hazardlake.operators import boosted, cox, encoding, explain, forest, trees
 from hazardlake.operators.concordance import concordance
 from hazardlake.operators.sampling import permute
@@ -125,15 +125,21 @@ def test_boosted_gradients_match_finite_differences(spark):
         assert abs(r.curvature - (loss(f + step) - 2 * loss(f) + loss(f - step)) / 1e-8) < 1e-4
 
 
-def test_tree_takes_the_best_split(spark):
+def codes_of(binner, bins):
+    """Codes of a row of bins; -1 is a missing value."""
+    return [int(base + max(b, 0)) for base, b in zip(binner.bases, bins) if b]
+
+
+@pytest.mark.parametrize("entries", [10**9, 150])
+def test_tree_takes_the_best_split(spark, monkeypatch, entries):
     rng = np.random.default_rng(1)
     bins = np.column_stack([rng.integers(-1, 6, 400), rng.integers(0, 2, 400)])
     g, h = rng.normal(size=400) + (bins[:, 0] >= 3), rng.random(400) + 0.1
-    df = spark.createDataFrame(
-        [(0, 0, [int(x) for x in b], float(a), float(c)) for b, a, c in zip(bins, g, h)],
-        "fit int, tree int, bins array<int>, g double, h double",
-    )
-    nodes, assigned = trees.grow(df, 2, 2, 0.1, 0.0, 1.0)
+    binner = trees.Binner(["a", "b"], [[1.0] * 5, [1.0]])
+    rows = [(0, codes_of(binner, b), float(a), float(c)) for b, a, c in zip(bins, g, h)]
+    df = spark.createDataFrame(rows, "fit int, codes array<int>, g double, h double")
+    monkeypatch.setattr(trees, "ENTRIES", entries)
+    nodes = trees.grow(df, binner, {0: sum(len(r[1]) + 1 for r in rows)}, 2, 0.1, 0.0, 1.0)
 
     def best(mask):
         out = (-1, None)
@@ -158,9 +164,17 @@ def test_tree_takes_the_best_split(spark):
     sub = every.copy()
     sub[every] = right
     assert abs(by[2].gain - best(sub)[0]) < 1e-9
-    ensemble = trees.Ensemble(nodes)
-    placed = assigned.collect()
-    assert [int(v) for v in ensemble.fits[0][0][6][trees.leaf_of(ensemble.fits[0][0], np.array([r.bins for r in placed]))]] == [r.node for r in placed]
+    low = every.copy()
+    low[every] = ~right
+    assert abs(by[1].gain - best(low)[0]) < 1e-9
+    # the ensemble sends every row to the leaf whose sums it is part of
+    bases, used, packed = trees.Ensemble(nodes, binner).fits[0]
+    flat = [r[1] for r in rows]
+    codes = trees.Codes(np.concatenate(flat), np.repeat(np.arange(400), [len(c) for c in flat]), 400)
+    at = packed[0][6][trees.leaf_of(packed[0], trees.dense(codes, bases, used))]
+    for n in nodes:
+        if n.feature < 0:
+            assert abs(g[at == n.node].sum() - n.g) < 1e-9 and abs(h[at == n.node].sum() - n.h) < 1e-9
 
 
 def test_models_find_the_signal(encoded, forest_model, boosted_model):
@@ -199,12 +213,15 @@ def test_forest_leaf_risk_is_summed_hazard(encoded, forest_model):
     assert abs(leaf.value - want) < 1e-9 * max(1, want)
 
 
-def test_poisson_draws_have_the_right_moments(spark):
-    expr = forest.poisson_draw("m", uniform_sql(1, 1, "id"), uniform_sql(1, 2, "id"))
-    for m in (1, 7, 80):
-        r = spark.range(20_000).selectExpr("id", f"{m} as m").selectExpr(f"{expr} as w").selectExpr(
-            "avg(w) as a", "var_samp(w) as v").first()
-        assert abs(r.a - m) < 0.05 * m and abs(r.v - m) < 0.08 * m
+def test_poisson_draws_have_the_right_moments():
+    key = np.arange(20_000) * 7919
+    for m in (1, 7, 16, 17, 80, 5000):
+        w = forest.poisson_draws(key, np.full(len(key), m), 3, 42)
+        assert abs(w.mean() - m) < 5 * (m / len(key)) ** 0.5 and abs(w.var() - m) < 0.08 * m
+    mixed = forest.poisson_draws(key, np.where(key % 2, 1, 40), 3, 42)
+    assert (mixed[key % 2 == 1] == forest.poisson_draws(key, np.full(len(key), 1), 3, 42)[key % 2 == 1]).all()
+    one, other = (forest.poisson_draws(key, np.full(len(key), 1), t, 42) for t in (0, 1))
+    assert abs(np.corrcoef(one, other)[0, 1]) < 0.03
 
 
 def test_saved_models_score_the_same(spark, encoded, forest_model, boosted_model, cox_model, tmp_path):
@@ -301,7 +318,7 @@ def test_binomial_draws(spark):
         assert abs(got[1] / spread - 1) < 0.12 and got[2] >= 0 and got[3] <= m
 
 
-def test_logrank_split_of_a_node(spark):
+def test_logrank_split_of_a_node(monkeypatch):
     """The best split agrees with the log-rank test worked out over all cuts, time by time."""
     rng = np.random.default_rng(3)
     n = 300
@@ -327,22 +344,45 @@ def test_logrank_split_of_a_node(spark):
                 right = np.where(miss, missing_right, bins[:, j] >= cut)
                 if min(w[right].sum(), w[~right].sum()) >= 5:
                     best = max(best, (logrank(right), (j, cut, missing_right)), key=lambda x: x[0])
-    rank = {v: i for i, v in enumerate(np.unique(t))}
-    df = spark.createDataFrame(
-        [(0, 0, 0, [int(x) for x in b], rank[a], int(c), int(k)) for b, a, c, k in zip(bins, t, e, w)],
-        "fit int, tree int, node int, bins array<int>, tb int, e int, w int",
-    )
-    got = forest.logrank_splits(df, 0, 2, 5.0, 2, 1).first()
-    assert got.gain == pytest.approx(best[0]) and (got.feature, got.split_bin, got.missing_right) == best[1]
-    assert got.th == w.sum()
-
-
-def test_both_forest_rules_find_the_signal(spark, encoded):
-    from hazardlake.operators.concordance import concordance
-
+    binner = trees.Binner(["a", "b"], [[1.0] * 4, [1.0]])
+    order = np.argsort(t, kind="stable")
+    flat = [codes_of(binner, bins[i]) for i in order]
+    codes = trees.Codes(np.concatenate(flat).astype(int), np.repeat(np.arange(n), [len(c) for c in flat]), n)
+    for cells in (1 << 20, 8):
+        monkeypatch.setattr(forest, "CELLS", cells)
+        got = forest.logrank_split(codes, t[order], e[order], w[order], binner.bases, 5.0, 2, 1, 0, 0)
+        assert got.gain == pytest.approx(best[0]) and tuple(got[:3]) == best[1]
+
+
+def test_large_nodes_split_like_small_ones(monkeypatch, encoded):
+    """Trees grown from blocks of time, to different depths, equal those that one task grows."""
+    columns, table = encoded
+    missing = table.withColumn("age_at_index", F.when(F.col("row_id") % 9 > 0, F.col("age_at_index")))
+    # a third of all rows shares one time
+    table = missing.withColumn("observed_time", F.when(F.col("row_id") % 3 == 0, 2.0).otherwise(F.col("observed_time")))
+    options = {"trees": 3, "max_depth": 3, "max_bins": 24}
+    small = forest.fit_forest(table, columns, **options)
+    key = lambda n: (n.tree, n.node)
+    wanted = {r[:4]: r[4:] for r in map(tuple, small.drops.collect())}
+    for entries, block in ((2500, 400), (0, 150)):
+        monkeypatch.setattr(trees, "ENTRIES", entries)
+        monkeypatch.setattr(forest, "BLOCK_ROWS", block)
+        wide = forest.fit_forest(table, columns, **options)
+        for a, b in zip(sorted(wide.nodes, key=key), sorted(small.nodes, key=key), strict=True):
+            assert (a.feature, a.split_bin, a.missing_right, a.h) == (b.feature, b.split_bin, b.missing_right, b.h)
+            assert a.gain == pytest.approx(b.gain, rel=1e-6) and a.value == pytest.approx(b.value, rel=1e-9)
+        found = {r[:4]: r[4:] for r in map(tuple, wide.drops.collect())}
+        assert found.keys() == wanted.keys() and all(found[k] == pytest.approx(wanted[k]) for k in wanted)
+
+
+def test_large_boosted_nodes_split_like_small_ones(monkeypatch, encoded):
     columns, table = encoded
-    index = {}
-    for rule in ("logrank", "score"):
-        model = forest.fit_forest(table, columns, trees=8, max_depth=4, rule=rule)
-        index[rule] = concordance(model.score(table)).first().c_index
-    assert index["logrank"] > 0.6 and index["logrank"] >= index["score"] - 0.02
+    copies = table.withColumn("fit", F.explode(F.lit([0, 1]))).filter("fit = 0 or row_id % 3 = 0")
+    options = {"rounds": 2, "max_depth": 5, "max_bins": 32, "learning_rate": 0.3}
+    small = boosted.fit_boosted(copies, columns, "fit", **options)
+    monkeypatch.setattr(trees, "ENTRIES", 700)
+    wide = boosted.fit_boosted(copies, columns, "fit", **options)
+    key = lambda n: (n.fit, n.tree, n.node)
+    for a, b in zip(sorted(wide.nodes, key=key), sorted(small.nodes, key=key), strict=True):
+        assert (a.feature, a.split_bin, a.missing_right) == (b.feature, b.split_bin, b.missing_right)
+        assert a.value == pytest.approx(b.value, rel=1e-9) and a.gain == pytest.approx(b.gain, rel=1e-6)
