@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,7 +135,7 @@ def fit_boosted(
     features: Sequence[str],
     fit_col: str | None = None,
     rounds: int = fv.BOOSTED_SETTINGS["rounds"],
-    max_depth: int = fv.BOOSTED_SETTINGS["max_depth"],
+    max_depth: int | dict = fv.BOOSTED_SETTINGS["max_depth"],
     learning_rate: float = fv.BOOSTED_SETTINGS["learning_rate"],
     min_child_weight: float = fv.BOOSTED_SETTINGS["min_child_weight"],
     gamma: float = fv.BOOSTED_SETTINGS["gamma"],
@@ -144,9 +144,15 @@ def fit_boosted(
     seed: int = fv.BOOSTED_SETTINGS["seed"],
     max_bins: int = 256,
     binner: Binner | None = None,
+    only: dict | None = None,
 ) -> BoostedModel:
-    """Fit one boosted model, or one per value of ``fit_col`` in the same jobs."""
+    """Fit one boosted model, or one per value of ``fit_col`` in the same jobs, each with its own ``max_depth`` if that is a dict.
+
+    ``only`` names the features of fits that do not have them all.
+    """
     binner = binner or fit_binner(df, features, max_bins, fit_col)
+    if only:
+        binner = replace(binner, only=only)
     base = materialize(collapse(df, binner, fit_col).withColumn("margin", F.lit(0.0)), "boosted")
     kind = base.schema["fit"].dataType.simpleString()
     sizes = code_totals(base)

@@ -273,8 +273,17 @@ def fit_cox(
     penalizer: float = fv.COX_SETTINGS["penalizer"],
     tolerance: float = 1e-6,
     max_steps: int = 25,
+    only: dict | None = None,
 ) -> CoxModel:
-    """Fit one model, or one per value of ``fit_col``; missing feature values raise."""
+    """Fit one model, or one per value of ``fit_col``; missing feature values raise.
+
+    ``only`` names the features of fits that do not have them all; the others are constant there, with coefficient 0.
+    """
+    if only:
+        without = {f: [k for k, own in only.items() if f not in set(own)] for f in features}
+        df = df.withColumns({
+            f: F.when(F.col(fit_col).isin(gone), 0.0).otherwise(quoted(f)) for f, gone in without.items() if gone
+        })
     problem = _Problem(df, features, fit_col)
     p, keys = problem.p, list(problem.n)
     # coefficients refer to the scaled columns until the end
@@ -309,8 +318,10 @@ def fit_cox(
             _, expected, outer = firsts.get(k, none)
             gradient = problem.death_x[k] - expected - ridge[k] * beta[k]
             information = seconds.get(k, np.zeros((p, p))) - outer + np.diag(ridge[k])
-            flat = np.diag(information) <= 0  # constant column: no information, coefficient 0
+            flat = (problem.sd[k] <= 0) | (np.diag(information) <= 0)  # constant column: no information, coefficient 0
+            information[flat, :] = information[:, flat] = 0.0
             information[flat, flat] = 1.0
+            gradient[flat] = 0.0
             hessian[k] = information
             if k in done:
                 continue

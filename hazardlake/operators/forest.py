@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
 import numpy as np
@@ -34,7 +34,7 @@ from .boosted import BROADCAST_CELLS, code_totals, collapse
 from .prefix import cut_points, running
 from .trees import (
     Binner, Codes, Ensemble, Node, Split, add_leaves, add_total, fit_binner, node_table, nodes_from_table,
-    options, place, subtree,
+    options, place, spread, subtree,
 )
 
 HALF = 0.5 + 1e-12
@@ -44,6 +44,9 @@ BLOCK_ROWS = 100_000
 CELLS = 1 << 20
 #: Trees that one task grows from the same counts.
 TREES_PER_TASK = 5
+#: Curves in a part and leaf drops in a block of times; one task lays one part beside one block.
+CURVES_PER_TASK = 4_000
+DROPS_PER_BLOCK = 500_000
 
 _FEW = 16
 
@@ -249,59 +252,109 @@ class ForestModel:
         scored = add_total(coded, self.ensemble, out, "__codes", fit_col).drop("__codes")
         return scored.withColumn(out, F.col(out) / self.trees)
 
-    def _placed(self, df: DataFrame, key) -> tuple[DataFrame, DataFrame]:
-        """Rows with a ``curve_id``, and (curve_id, tree, node) once per distinct codes."""
+    def _cells(self, df: DataFrame, key) -> tuple[DataFrame, DataFrame]:
+        """Rows with a ``curve_id``, and (curve_id, leaves) once per distinct codes, dealt into ``part``s."""
         rows = self.binner.of(key).transform(df, "__codes").withColumn("curve_id", F.array_join("__codes", ","))
-        cells = rows.select("curve_id", "__codes").distinct()
-        placed = add_leaves(cells, self.ensemble, "__leaves", "__codes", key).select(
-            "curve_id", F.posexplode("__leaves").alias("tree", "node")
+        cells = materialize(rows.select("curve_id", "__codes").distinct(), "cells")
+        parts = max(1, -(-cells.count() // CURVES_PER_TASK))
+        placed = add_leaves(cells, self.ensemble, "leaves", "__codes", key)
+        part = F.pmod(F.xxhash64("curve_id"), F.lit(parts)).cast("int").alias("part")
+        return rows.drop("__codes"), materialize(placed.select("curve_id", "leaves", part), "leaves")
+
+    def _steps(self, key) -> tuple[DataFrame, int]:
+        """Leaf drops with the ``block`` of their time, and the number of blocks.
+
+        A block is a run of event times with about ``DROPS_PER_BLOCK`` drops.
+        """
+        drops = self.drops.filter(F.col("fit") == F.lit(key)).select("tree", "node", "t", "drop")
+        times = materialize(drops.groupBy("t").agg(F.count(F.lit(1)).alias("drops")), "times")
+        ranked = running(times, [], "t", sums={"seen": "drops"}, cuts=cut_points(times, "t"))
+        blocks = ranked.selectExpr("t", f"cast((seen - 1) div {DROPS_PER_BLOCK} as int) as block")
+        blocks = F.broadcast(blocks) if times.count() <= BROADCAST_CELLS else blocks
+        blocked = materialize(drops.join(blocks, "t"), "steps")
+        return blocked, (blocked.agg(F.max("block")).first()[0] or 0) + 1
+
+    def _falls(self, asked: DataFrame, steps: DataFrame) -> DataFrame:
+        """(curve_id, block, t, fallen, total) of every (curve_id, leaves, part, block) asked for.
+
+        A task lays the drops of one block of time beside the leaves of one part of the curves and adds them up; a curve has one row a
+        block, with the event times that its leaves know and what it has fallen there since the block began.
+        """
+        trees = self.trees
+        wide = 1 + max(n.node for n in self.nodes)
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out: dict[str, list] = {"t": [], "fallen": [], "total": []}
+            times, at = np.unique(right["t"].to_numpy(), return_inverse=True)
+            leaf = right["tree"].to_numpy().astype(np.int64) * wide + right["node"].to_numpy()
+            order = np.argsort(leaf, kind="stable")
+            leaf, at, drop = leaf[order], at[order], right["drop"].to_numpy()[order] / trees
+            listed = left["leaves"].combine_chunks()
+            grid = listed.flatten().to_numpy().reshape(len(listed), -1).astype(np.int64) + np.arange(trees) * wide
+            for a in range(0, len(grid), max(1, CELLS // max(1, len(times)))):
+                rows = grid[a : a + max(1, CELLS // max(1, len(times)))]
+                first, last = np.searchsorted(leaf, rows.ravel()), np.searchsorted(leaf, rows.ravel(), side="right")
+                size = last - first
+                after = np.cumsum(size)
+                place_ = np.arange(after[-1]) + np.repeat(first - after + size, size)
+                cell = np.repeat(np.repeat(np.arange(len(rows)), trees), size) * len(times) + at[place_]
+                shape = (len(rows), len(times))
+                fall = np.bincount(cell, weights=drop[place_], minlength=shape[0] * shape[1]).reshape(shape)
+                known = np.bincount(cell, minlength=shape[0] * shape[1]).reshape(shape) > 0
+                fallen = np.cumsum(fall, axis=1)
+                for i in range(len(rows)):
+                    out["t"].append(times[known[i]])
+                    out["fallen"].append(fallen[i, known[i]])
+                    out["total"].append(float(fallen[i, -1]) if len(times) else 0.0)
+            lists = {c: pa.array(out[c], pa.list_(pa.float64())) for c in ("t", "fallen")}
+            return pa.table({"curve_id": left["curve_id"], "block": left["block"], **lists, "total": pa.array(out["total"], pa.float64())})
+
+        parts = asked.select("part", "block").distinct()
+        beside = parts.join(steps, "block")
+        beside = beside.toDF(*beside.columns).groupBy("part", "block")
+        return asked.groupBy("part", "block").cogroup(beside).applyInArrow(
+            run, "curve_id string, block int, t array<double>, fallen array<double>, total double"
         )
-        return rows.drop("__codes"), placed
+
+    def _every_block(self, df: DataFrame, fit) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        key = next(iter(self.last_time)) if fit is None else fit
+        rows, cells = self._cells(df, key)
+        steps, blocks = self._steps(key)
+        asked = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return rows, cells, steps, self._falls(asked, steps)
 
     def curves(self, df: DataFrame, fit=None) -> tuple[DataFrame, DataFrame]:
         """Rows with their ``curve_id``, and the curve table (curve_id, t, survival).
 
-        The mean over trees is 1 minus the running sum of the mean leaf drops, on every
-        event time of the training set.
+        The mean over trees is 1 minus the running sum of the mean leaf drops, on every event
+        time that a leaf of the curve knows.
         """
-        key = next(iter(self.last_time)) if fit is None else fit
-        rows, placed = self._placed(df, key)
-        summed = placed.join(self.drops.filter(F.col("fit") == F.lit(key)), ["tree", "node"])
-        summed = summed.groupBy("curve_id", "t").agg((F.sum("drop") / self.trees).alias("step"))
-        # at most one row per curve and distinct event time
-        curve = running(summed, ["curve_id"], "t", sums={"fallen": "step"})
-        return rows, curve.select("curve_id", "t", F.greatest(1 - F.col("fallen"), F.lit(0.0)).alias("survival"))
+        rows, _, _, falls = self._every_block(df, fit)
+        # one row per curve and block of times
+        earlier = Window.partitionBy("curve_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        falls = falls.withColumn("before", F.coalesce(F.sum("total").over(earlier), F.lit(0.0)))
+        points = falls.select("curve_id", "before", F.explode(F.arrays_zip("t", "fallen")).alias("p"))
+        survival = F.greatest(1 - (F.col("before") + F.col("p.fallen")), F.lit(0.0))
+        return rows, points.select("curve_id", "p.t", survival.alias("survival"))
 
     def median_time(self, df: DataFrame, out: str = "predicted_survival_time", fit=None) -> DataFrame:
         """First time with ensemble S <= 0.5 per row, else the last training time.
 
-        The crossing is first located among about sqrt(T) time blocks, then only the event
-        times of that block are expanded, instead of all T per curve and tree.
+        The block of times in which a curve crosses is found from one total a block; only that
+        block's times are then worked out.
         """
         key = next(iter(self.last_time)) if fit is None else fit
-        rows, placed = self._placed(df, key)
-        placed = materialize(placed, "placed")
-        drops = self.drops.filter(F.col("fit") == F.lit(key))
-        times = materialize(drops.select("t").distinct().withColumn("one", F.lit(1)), "times")
-        ranked = running(times, [], "t", sums={"rank": "one"}, totals={"all": "one"}, cuts=cut_points(times, "t"))
-        blocks = ranked.selectExpr("t", "cast(floor((rank - 1) / ceil(sqrt(double(all)))) as int) as block")
-        blocked = drops.join(blocks, "t")
-        coarse = blocked.groupBy("tree", "node", "block").agg(F.sum("drop").alias("drop"))
-        summed = placed.join(coarse, ["tree", "node"]).groupBy("curve_id", "block").agg(
-            (F.sum("drop") / self.trees).alias("step")
-        )
-        reached = running(summed, ["curve_id"], "block", sums={"fallen": "step"}).filter(
-            1 - F.col("fallen") <= HALF
-        )
-        crossing = reached.groupBy("curve_id").agg(
-            F.min("block").alias("block"), F.min_by(F.col("fallen") - F.col("step"), "block").alias("before")
-        )
-        fine = placed.join(crossing, "curve_id").join(blocked, ["tree", "node", "block"])
-        steps = fine.groupBy("curve_id", "before", "t").agg((F.sum("drop") / self.trees).alias("step"))
-        last_steps = running(steps, ["curve_id"], "t", sums={"fallen": "step"})
-        medians = last_steps.filter(1 - F.col("before") - F.col("fallen") <= HALF).groupBy("curve_id").agg(
-            F.min("t").alias(out)
+        rows, cells, steps, falls = self._every_block(df, fit)
+        totals = materialize(falls.select("curve_id", "block", "total"), "totals")
+        reached = totals.withColumn("fallen", F.sum("total").over(Window.partitionBy("curve_id").orderBy("block")))
+        crossing = reached.filter(1 - F.col("fallen") <= HALF).groupBy("curve_id").agg(
+            F.min("block").alias("block"), F.min_by(F.col("fallen") - F.col("total"), "block").alias("before")
         )
+        crossing = materialize(crossing, "crossing")
+        inside = self._falls(cells.join(crossing.select("curve_id", "block"), "curve_id"), steps)
+        found = inside.select("curve_id", "t", "fallen").join(crossing.select("curve_id", "before"), "curve_id")
+        place_ = F.array_position(F.transform("fallen", lambda f: 1 - F.col("before") - f <= HALF), True)
+        medians = found.select("curve_id", F.try_element_at("t", place_.cast("int")).alias(out))
         return rows.join(medians, "curve_id", "left").drop("curve_id").withColumn(
             out, F.coalesce(out, F.lit(float(self.last_time[key])))
         )
@@ -388,7 +441,7 @@ class _Wide(NamedTuple):
         return grouped.cogroup(beside).applyInArrow(lambda a, b: run(a, b), full)
 
 
-def _wide_level(wide: _Wide, nodes: list[Node], frontier: list[tuple], min_leaf: float, mtry: int) -> list:
+def _wide_level(wide: _Wide, nodes: list[Node], frontier: list[tuple], min_leaf: float, mtry: dict) -> list:
     """Best exact log-rank split of every node of the frontier, one row a node at the driver."""
     wanted: dict = {}
     for fit, tree, node in frontier:
@@ -494,7 +547,7 @@ def _wide_level(wide: _Wide, nodes: list[Node], frontier: list[tuple], min_leaf:
         """The best of the features that a node looks at."""
         group = group.sort_by("feature")
         able = np.flatnonzero(group["able"].to_numpy(zero_copy_only=False))
-        chosen = looked_at(able, mtry, seed, group["tree"][0].as_py(), group["node"][0].as_py()) if len(able) else able
+        chosen = looked_at(able, mtry[group["fit"][0].as_py()], seed, group["tree"][0].as_py(), group["node"][0].as_py()) if len(able) else able
         gain = group["gain"].to_numpy()[chosen].astype(np.float32)
         if not len(chosen) or gain.max() <= 1e-9:
             return group.slice(0, 1).set_column(group.schema.get_field_index("gain"), "gain", pa.array([-1.0]))
@@ -512,7 +565,7 @@ def _wide_level(wide: _Wide, nodes: list[Node], frontier: list[tuple], min_leaf:
     return best
 
 
-def _wide_nodes(wide: _Wide, roots: list[tuple], max_depth: int, min_leaf: float, mtry: int) -> tuple[list[Node], dict, dict]:
+def _wide_nodes(wide: _Wide, roots: list[tuple], max_depth: int, min_leaf: float, mtry: dict) -> tuple[list[Node], dict, dict]:
     """Split nodes above, small nodes to be finished, and leaves that are still large, from the roots (fit, tree)."""
     nodes = {(fit, tree, 0): Node(fit, tree, 0) for fit, tree in roots}
     frontier = list(nodes)
@@ -570,7 +623,7 @@ _FINISHED = (
 )
 
 
-def _finish(below: DataFrame, binner: Binner, max_depth: int, min_leaf: float, mtry: int, seed: int, bootstrap: bool) -> DataFrame:
+def _finish(below: DataFrame, binner: Binner, max_depth: int, min_leaf: float, mtry: dict, seed: int, bootstrap: bool) -> DataFrame:
     """Nodes and leaf curves under the nodes of ``below`` (fit, first, last, node, codes, t, e, m, key), for trees first to last."""
     kind = below.schema["fit"].dataType.simpleString()
     bases = binner.bases_by_fit()
@@ -587,7 +640,7 @@ def _finish(below: DataFrame, binner: Binner, max_depth: int, min_leaf: float, m
             held = w > 0
 
             def find(node: int, c: Codes, *values: np.ndarray) -> Split | None:
-                return logrank_split(c, *values, own, min_leaf, mtry, seed, tree, node)
+                return logrank_split(c, *values, own, min_leaf, mtry[fit], seed, tree, node)
 
             for node, split, values in subtree(codes.take(held), (t[held], e[held], w[held]), start, max_depth, own, find):
                 rows.append((tree, node, *(split or Split(-1, 0, False, 0.0)), float(values[2].sum())))
@@ -613,22 +666,27 @@ def fit_forest(
     seed: int = fv.FOREST_SETTINGS["seed"],
     max_bins: int = 256,
     binner: Binner | None = None,
+    only: dict | None = None,
     mtry: int | None = None,
     bootstrap: bool = True,
 ) -> ForestModel:
-    """Fit one forest, or one per value of ``fit_col`` in the same jobs.
+    """Fit one forest, or one per value of ``fit_col`` in the same jobs; ``only`` names the features of fits that lack some.
 
     A node looks at ``mtry`` of the features that can split it, the root of their number by default; without
     ``bootstrap`` every tree has all rows once.
     """
     spark = df.sparkSession
     binner = binner or fit_binner(df, features, max_bins, fit_col)
+    if only:
+        binner = replace(binner, only=only)
     coded = collapse(df, binner, fit_col)
     # drawn from the values alone, so that a fit gets the same bag in whatever company it runs
     counts = materialize(coded.withColumn("key", F.xxhash64("codes", "t", "e")), "forest")
     kind = counts.schema["fit"].dataType.simpleString()
-    mtry, least = mtry or max(1, int(math.sqrt(len(features)))), float(min_leaf)
-    large = [fit for fit, n in code_totals(counts).items() if n > tr.ENTRIES]
+    sizes, least = code_totals(counts), float(min_leaf)
+    looks = {fit: mtry or max(1, int(math.sqrt(binner.width(fit)))) for fit in sizes}
+    large = [fit for fit, n in sizes.items() if n > tr.ENTRIES]
+    groups = (len(sizes) - len(large)) * -(-trees // TREES_PER_TASK)
     here = counts.filter(~F.col("fit").isin(large)) if large else counts
     span = F.explode(F.sequence(F.lit(0), F.lit(trees - 1), F.lit(TREES_PER_TASK))).alias("first")
     below = here.select("fit", "codes", "t", "e", "m", "key", span, F.lit(0).alias("node"))
@@ -638,11 +696,13 @@ def fit_forest(
     if large:
         blocked = materialize(_in_blocks(counts.filter(F.col("fit").isin(large))), "blocks")
         wide = _Wide(blocked, binner, bootstrap, seed)
-        above, closing, broad = _wide_nodes(wide, [(fit, t) for fit in large for t in range(trees)], max_depth, least, mtry)
+        above, closing, broad = _wide_nodes(wide, [(fit, t) for fit in large for t in range(trees)], max_depth, least, looks)
         below = below.unionByName(_routed(wide, above, closing))
+        groups += sum(map(len, closing.values()))
         if broad:
             curves = _broad_curves(wide, above, broad, kind)
-    finished = materialize(_finish(below, binner, max_depth, least, mtry, seed, bootstrap), "trees")
+    below = spread(below, 2 * groups, "fit", "first", "last", "node")
+    finished = materialize(_finish(below, binner, max_depth, least, looks, seed, bootstrap), "trees")
     done = {(r.fit, r.tree, r.node): Node(**r.asDict()) for r in finished.drop("t", "drop", "hazard_step").collect()}
     nodes = [n for n in above if (n.fit, n.tree, n.node) not in done] + list(done.values())
     drops = finished.select(

@@ -36,16 +36,25 @@ class Binner:
 
     A feature with n cuts owns n + 1 consecutive codes: the first stands for a missing value, the
     next for bins 1 to n; bin 0 has none. Fits that run together keep their own cut points in
-    ``by_fit``, each taken from its own training rows, so that a joint fit equals the single ones.
+    ``by_fit``, each taken from its own training rows, so that a joint fit equals the single ones; ``only`` names the
+    features of fits that do not have them all.
     """
 
     features: list[str]
     cuts: list[list[float]]
     by_fit: dict = field(default_factory=dict)
+    only: dict = field(default_factory=dict)
 
     def of(self, fit) -> Binner:
         """The binner of one fit."""
-        return Binner(self.features, self.by_fit.get(fit, self.cuts))
+        one = Binner(self.features, self.by_fit.get(fit, self.cuts))
+        if fit in self.only:
+            one.only = {None: self.only[fit]}
+        return one
+
+    def width(self, fit) -> int:
+        """Number of features of a fit."""
+        return len(self.only.get(fit, self.features))
 
     @property
     def bases(self) -> np.ndarray:
@@ -64,11 +73,16 @@ class Binner:
         every row is binned by the cut points of the fit it names.
         """
         wide, extra = df, []
-        several = self.by_fit if fit_col and self.by_fit else {None: self.cuts}
+        several = {None: self.cuts}
+        if fit_col and (self.by_fit or self.only):
+            several = {k: self.by_fit.get(k, self.cuts) for k in {**self.by_fit, **self.only}}
         arrays = {}
         for k, (fit, cut_lists) in enumerate(several.items()):
-            parts, base = [], 0
+            parts, base, own = [], 0, set(self.only.get(fit, self.features))
             for j, (name, cuts) in enumerate(zip(self.features, cut_lists)):
+                if name not in own:
+                    base += len(cuts) + 1
+                    continue
                 source = f"`{(replace or {}).get(name, name)}`"
                 if len(cuts) <= 2:
                     steps = [f"when {source} >= {c!r}D then {base + i + 1}" for i, c in enumerate(cuts)]
@@ -373,6 +387,11 @@ def place(batch: pa.RecordBatch, fits: dict) -> Iterator[tuple]:
             yield key.item(), mine, own, tree[7], tree[6][leaf_of(tree, x)]
 
 
+def spread(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Rows dealt by keys to a number of partitions that is kept, as their work is large for their bytes."""
+    return rows.repartition(min(parts, 4000), *keys)
+
+
 # ---- gradient trees -----------------------------------------------------------------------------
 
 
@@ -428,7 +447,7 @@ def _histogram(rows: DataFrame, nodes: list[Node], wanted: dict, binner: Binner)
     )
 
 
-def _top_levels(rows: DataFrame, binner: Binner, sizes: dict, max_depth: int, find) -> tuple[list[Node], dict]:
+def _top_levels(rows: DataFrame, binner: Binner, sizes: dict, depth: Callable, find) -> tuple[list[Node], dict]:
     """Split nodes down to where all children have at most ``ENTRIES`` codes, and the nodes to be finished there."""
     spark, kind = rows.sparkSession, rows.schema["fit"].dataType.simpleString()
     bases = binner.bases_by_fit()
@@ -488,7 +507,7 @@ def _top_levels(rows: DataFrame, binner: Binner, sizes: dict, max_depth: int, fi
             left, right = 2 * r.node + 1, 2 * r.node + 2
             nodes[(r.fit, left)] = Node(r.fit, 0, left, g=r.g - r.rg, h=r.h - r.rh)
             nodes[(r.fit, right)] = Node(r.fit, 0, right, g=r.rg, h=r.rh)
-            if (left + 1).bit_length() - 1 == max_depth:
+            if (left + 1).bit_length() - 1 == depth(r.fit):
                 continue
             big = []
             for child, k in ((left, r.k - r.rk), (right, r.rk)):
@@ -502,12 +521,14 @@ def _top_levels(rows: DataFrame, binner: Binner, sizes: dict, max_depth: int, fi
     return list(nodes.values()), closing
 
 
-def grow(rows: DataFrame, binner: Binner, sizes: dict, max_depth: int, reg_lambda: float, gamma: float,
+def grow(rows: DataFrame, binner: Binner, sizes: dict, max_depth: int | dict, reg_lambda: float, gamma: float,
          min_child_weight: float, tree: int = 0) -> list[Node]:
     """The nodes of one tree per fit of ``rows`` (fit, codes, g, h); ``sizes`` has each fit's number of codes, a row counting one more.
 
-    Missing values take the side with the larger gain. Nodes arrive at the driver, which holds the model anyway.
+    Missing values take the side with the larger gain. ``max_depth`` may differ between fits. Nodes arrive at the driver, which
+    holds the model anyway.
     """
+    depth = max_depth.get if isinstance(max_depth, dict) else lambda fit: max_depth
     spark, kind = rows.sparkSession, rows.schema["fit"].dataType.simpleString()
     find = gradient_split(reg_lambda, gamma, min_child_weight)
     bases = binner.bases_by_fit()
@@ -519,7 +540,7 @@ def grow(rows: DataFrame, binner: Binner, sizes: dict, max_depth: int, reg_lambd
         below = rows.select("fit", F.lit(0).alias("node"), "codes", "g", "h")
     else:
         rows = materialize(rows, "gradients")
-        nodes, closing = _top_levels(rows, binner, sizes, max_depth, find)
+        nodes, closing = _top_levels(rows, binner, sizes, depth, find)
         shared = spark.sparkContext.broadcast((Ensemble(nodes, binner).fits, closing))
 
         def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -541,7 +562,7 @@ def grow(rows: DataFrame, binner: Binner, sizes: dict, max_depth: int, reg_lambd
             return find(*codes.sums(g, h), own, g.sum(), h.sum())[0]
 
         values = (group["g"].to_numpy(), group["h"].to_numpy())
-        for node, split, (g, h) in subtree(Codes.of(group["codes"]), values, start, max_depth, own, best):
+        for node, split, (g, h) in subtree(Codes.of(group["codes"]), values, start, depth(fit.as_py()), own, best):
             out.append((node, *(split or Split(-1, 0, False, 0.0)), g.sum(), h.sum()))
         columns = list(zip(*out))
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.float64(), pa.float64()]
@@ -551,6 +572,8 @@ def grow(rows: DataFrame, binner: Binner, sizes: dict, max_depth: int, reg_lambd
             **{n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)},
         })
 
+    if len(sizes) > 1:
+        below = spread(below, 2 * len(sizes), "fit", "node")
     found = below.groupBy("fit", "node").applyInArrow(finish, _GROWN.format(kind=kind)).collect()
     done = {(r.fit, r.node): Node(**r.asDict()) for r in found}
     rest = [Node(**(vars(n) | {"tree": tree})) for n in nodes if (n.fit, n.node) not in done]

@@ -35,10 +35,11 @@ def is_fit_error(error: Exception) -> bool:
 
 
 def fit_model(
-    name: str, df: DataFrame, features: Sequence[str], fit_col: str | None = None, settings: dict | None = None
+    name: str, df: DataFrame, features: Sequence[str], fit_col: str | None = None, settings: dict | None = None,
+    only: dict | None = None,
 ) -> Model:
-    """Fit by name; ``settings`` holds per-model keyword arguments."""
-    options = (settings or {}).get(name, {})
+    """Fit by name; ``settings`` holds per-model keyword arguments, ``only`` the features of fits that lack some."""
+    options = (settings or {}).get(name, {}) | ({"only": only} if only else {})
     if name == fv.COX:
         return fit_cox(df, features, fit_col, **options)
     if name == fv.FOREST:
@@ -76,6 +77,20 @@ def _fold_encoders(train: DataFrame, roles: Roles, folds: int) -> dict[int, Enco
     return out
 
 
+def joint_encoding(encoders: dict) -> tuple[list[str], Encoder, dict]:
+    """Columns of all encoders together, an encoder that makes them, and the columns of each that lacks some.
+
+    Every encoder drops its own first category, so one's dropped column may be another's feature.
+    """
+    some = next(iter(encoders.values()))
+    union = {c: sorted({v for e in encoders.values() for v in e.categories[c]}) for c in some.categories}
+    # the placeholder in front stands where an encoder's own first category is dropped
+    every = Encoder(some.numeric, {c: ["", *values] for c, values in union.items()})
+    used = {c for e in encoders.values() for c in e.columns}
+    features = [c for c in every.columns if c in used]
+    return features, every, {k: e.columns for k, e in encoders.items() if len(e.columns) < len(features)}
+
+
 def cross_validate(
     train: DataFrame, roles: Roles | None = None, folds: int = 5, models: Sequence[str] = MODELS,
     settings: dict | None = None, row_id: str = "row_id", group_col: str | None = None,
@@ -83,30 +98,25 @@ def cross_validate(
     """(model_name, fold, c_index) over out-of-fold scores.
 
     All folds of a model are fitted in the same jobs: each row is copied to the training
-    sets it belongs to, under that fold's number, and every fold has its own cut points. If
-    the folds do not share their categories, folds are fitted one by one with their own
-    encoding; the fits are the same either way. A fit that fails on its numbers is logged
-    and scores 0.
+    sets it belongs to, under that fold's number, and every fold has its own cut points and the columns of its own
+    categories. A fit that fails on its numbers is logged and scores 0.
     """
     folded = materialize(assign_folds(train, folds, row_id=row_id, group_col=group_col), "folds")
     roles = roles or feature_roles(train)
     encoders = _fold_encoders(folded, roles, folds)
-    shared = len({tuple(e.columns) for e in encoders.values()}) == 1 and len(
-        {str(e.categories) for e in encoders.values()}
-    ) == 1
-    keep = [row_id, EVENT, TIME, "fold"]
-    groups = [list(range(folds))] if shared else [[k] for k in range(folds)]
+    features, every, only = joint_encoding(encoders)
+    encoded = materialize(every.transform(folded, [row_id, EVENT, TIME, "fold"]), "encoded")
     parts, failed = [], []
 
     def run(name: str, members: list[int]) -> None:
-        encoder = encoders[members[0]]
-        encoded = encoder.transform(folded, keep)
         copies = encoded.withColumn("fit", F.explode(F.lit(members))).filter("fit != fold")
-        model = fit_model(name, copies, encoder.columns, "fit", settings)
+        mine = {k: v for k, v in only.items() if k in members}
+        model = fit_model(name, copies, features, "fit", settings, mine)
         held_out = encoded.filter(F.col("fold").isin(members))
         scored = score_model(model, held_out.withColumn("fit", F.col("fold")), "fit")
         parts.append(scored.select(F.lit(name).alias("model_name"), "fold", EVENT, TIME, "risk"))
 
+    groups = [list(range(folds))]
     for name in models:
         for members in groups:
             try:
