@@ -31,7 +31,8 @@ def tokenizer_ids(path: str):
 
     No token of this kind of vocabulary crosses white space and letters are lower-cased, so ids
     are looked up by the hash of a word and only words not seen before are tokenised. Words of
-    plain letters, with at most one full stop or comma behind, skip the normaliser.
+    plain letters, with at most one full stop or comma behind, skip the normaliser. The vocabulary's
+    special tokens, as written, part a text before all that.
     """
     def models() -> tuple:
         from tokenizers import Tokenizer, pre_tokenizers
@@ -40,9 +41,10 @@ def tokenizer_ids(path: str):
         whole.encode_special_tokens = True
         letters_only = Tokenizer(whole.model)
         letters_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        return whole, letters_only
+        special = {t.content.encode(): i for i, t in whole.get_added_tokens_decoder().items() if t.special}
+        return whole, letters_only, special
 
-    whole, letters_only = kept("models " + path, models)
+    whole, letters_only, special = kept("packing", "models " + path, models)
     plain = re.compile("([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
 
     def ids_of(model, texts: list[str]) -> list[list[int]]:
@@ -63,11 +65,29 @@ def tokenizer_ids(path: str):
 
     small = np.uint16 if whole.get_vocab_size() <= 1 << 16 else np.uint32
     table = kept(
-        "ids " + path,
+        "packing", "ids " + path,
         lambda: {"key": np.zeros(0, np.uint64), "at": np.zeros(0, np.uint32), "size": np.zeros(0, np.uint16), "pool": np.zeros(0, small)},
     )
 
+    apart = re.compile(b"(" + b"|".join(map(re.escape, sorted(special))) + b")") if special else None
+
     def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if apart is None or not any(apart.search(t) for t in texts):
+            return ordinary(texts)
+        # Ordinary pieces and special tokens take turns; a token stands behind its piece.
+        pieces, owner, behind = [], [], []
+        for i, text in enumerate(texts):
+            split = apart.split(text)
+            pieces += split[::2]
+            owner += [i] * len(split[::2])
+            behind += [*map(special.get, split[1::2]), -1]
+        flat, counts = ordinary(pieces)
+        behind = np.array(behind)
+        marked = behind >= 0
+        flat = np.insert(flat, np.cumsum(counts)[marked], behind[marked])
+        return flat, np.bincount(owner, weights=counts + marked, minlength=len(texts)).astype(np.int64)
+
+    def ordinary(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         words = find_words(texts)
         unique, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(table["key"], unique)

@@ -78,7 +78,7 @@ def token_counter(path: str, pattern: str):
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    model = kept(f"ranks {path} {pattern}", load)
+    model = kept("secrets", f"{path} {pattern}", load)
     return lambda run: sum(len(model.encode_ordinary(run[i : i + WINDOW])) for i in range(0, len(run), WINDOW))
 
 

@@ -6,6 +6,8 @@ of a polynomial over that buffer, so the cost is a few array passes and no loop
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator, Sequence
@@ -35,16 +37,38 @@ PUNCTUATED = np.array([1 if b >= 0x80 or chr(b).isalnum() else 2 for b in range(
 PUNCTUATED[_GAPS] = 0
 
 
-def kept(name: str, make: Callable[[], Any]) -> Any:
-    """What ``make`` returns, made once per worker process.
+def _store() -> dict:
+    """Tables of this worker process by owner."""
+    module = sys.modules.setdefault("_hazardlake_kept", types.ModuleType("_hazardlake_kept"))
+    return vars(module).setdefault("tables", {})
+
+
+def claim(owner: str) -> None:
+    """Drop the tables that other operators have left in this worker process, and give their memory back."""
+    store = _store()
+    others = [k for k in store if k not in (owner, "shared")]
+    for name in others:
+        del store[name]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library
+
+
+def kept(owner: str, name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once per worker process and kept until another owner claims it.
 
     Functions arrive anew with every task, and what they hold is freed only when Python looks
     for cycles; large tables are kept here instead of piling up.
     """
-    store = sys.modules.setdefault("_hazardlake_kept", types.ModuleType("_hazardlake_kept"))
-    if name not in vars(store):
-        setattr(store, name, make())
-    return getattr(store, name)
+    claim(owner)
+    mine = _store().setdefault(owner, {})
+    if name not in mine:
+        mine[name] = make()
+    return mine[name]
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -63,7 +87,12 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         return np.multiply.accumulate(known, out=known)
 
     usual = 2 * BATCH_BYTES
-    return kept(f"powers {int(base)}", lambda: table(usual))[:n] if n <= usual else table(n)
+    if n > usual:
+        return table(n)
+    mine = _store().setdefault("shared", {})
+    if base not in mine:
+        mine[base] = table(usual)
+    return mine[base][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -13,7 +13,6 @@ PATH = queries.word_vocabulary()
 
 def expected(texts, capacity=2048):
     model = Tokenizer.from_file(PATH)
-    model.encode_special_tokens = True
     out = []
     for doc_id, text in texts:
         ids = model.encode(text or "", add_special_tokens=False).ids + [0]
@@ -47,7 +46,7 @@ def test_odd_rows(odd_docs):
 
 
 def test_white_space_and_marks(spark):
-    texts = ["a\x0bb\x0c\x1c c", "é é ́x", "it's we'll 'S", "<|endoftext|> <|STARTOFTEXT|>", "İstanbul ΣΑΣ Σ. ẞ", "  .", "　x\x85y", "1a2b,,.. ,"]
+    texts = ["a\x0bb\x0c\x1c c", "é é ́x", "it's we'll 'S", "<|endoftext|> <|STARTOFTEXT|>", "a<|startoftext|>b <|endoftext|><|endoftext|>", "<|endoftext|", "It<|ENDOFTEXT|>s x<|endoftext|>'s", "İstanbul ΣΑΣ Σ. ẞ", "  .", "　x\x85y", "1a2b,,.. ,"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, r.ids_crc32) for r in packing.pieces(docs, PATH).collect()}
     assert got == {(x[0], x[4]) for x in expected(enumerate(texts))}
