@@ -284,13 +284,22 @@ def nearest(vectors: DataFrame, queries, k: int = 20, recall: float = 0.97, samp
             take = min(most + 11, len(x))
             for a in range(0, len(q), 256):
                 part = q[a : a + 256]
-                near = np.sort(np.argpartition(-(part @ x.T), take - 1, axis=1)[:, :take], axis=1)
+                rough = part @ x.T
+                near = np.sort(np.argpartition(-rough, take - 1, axis=1)[:, :take], axis=1)
                 exact = (part[:, None, :] * x[near]).sum(-1)
                 best = np.argsort(-exact, axis=1, kind="stable")[:, :most]
                 score = np.take_along_axis(exact, best, 1)
+                hits = rep[np.take_along_axis(near, best, 1)]
+                # Where more than were taken may reach the last score, all of them are looked at, smaller ids first.
+                edge = score[:, -1:] - 1e-9 * np.maximum(1.0, np.abs(score[:, -1:]))
+                for i in np.flatnonzero((rough >= edge).sum(1) > take).tolist():
+                    tied = np.flatnonzero(rough[i] >= edge[i])
+                    exact_i = np.concatenate([(part[i] * x[tied[c : c + 4096]]).sum(-1) for c in range(0, len(tied), 4096)])
+                    first = np.argsort(-exact_i, kind="stable")[:most]
+                    score[i], hits[i] = exact_i[first], rep[tied[first]]
                 good = score >= least[a : a + 256, None]
                 asks.append(np.broadcast_to(query[a : a + 256, None], score.shape)[good])
-                found.append(rep[np.take_along_axis(near, best, 1)][good])
+                found.append(hits[good])
                 scores.append(score[good])
         columns = [np.concatenate(c) if c else np.zeros(0) for c in (asks, found, scores)]
         part = np.mod(columns[0], parts)

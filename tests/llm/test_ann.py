@@ -61,6 +61,15 @@ def test_copies_and_odd_vectors(spark):
     same(got, exact(rows, 5, lambda i: i % 20 == 0))
 
 
+def test_many_ties_go_to_the_smaller_ids(spark):
+    """Different vectors with one score for the query, far more than the answer holds."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0, float(a), float(b)]) for i, (a, b) in enumerate(rng.integers(-50, 50, size=(1500, 2)) * 0.25)]
+    rows[0] = (0, [1.0, 0.0, 0.0])
+    got = answers(ann.nearest(frame(spark, rows), F.col("vec_id") == 0, sample=12))
+    same(got, exact(rows, 20, lambda i: i == 0))
+
+
 def test_few_and_none(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 1.0]), (7, [2.0, 2.0])]
     same(answers(ann.nearest(frame(spark, rows), F.col("vec_id") % 20 == 0)), exact(rows, 20, lambda i: i % 20 == 0))
