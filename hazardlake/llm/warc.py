@@ -12,6 +12,7 @@ same is done inside a member, over what it gives when inflated, up to its end or
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -79,6 +80,13 @@ def member(data: bytes, level: int = 3) -> bytes:
     return made.compress(data) + made.flush()
 
 
+def _place(uri: str):
+    """Arrow's file system and path of a URI, Hadoop's names of S3 included."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, least: int = LEAST_REVISIT) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html); returns (path, records, bytes) per file.
 
@@ -94,9 +102,7 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, least: in
     ).select("page_id", "url", "html", "digest", "refers_to")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _place(folder)
         store.create_dir(root, recursive=True)
         task = TaskContext.get()
         base = f"{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
@@ -219,15 +225,18 @@ def _damaged(data: bytes, at: int) -> tuple[list[tuple[dict | None, bytes]], int
 def _at(data: bytes, at: int) -> tuple[list[tuple[dict | None, bytes]], int] | None:
     """The records (and gaps between them) of the valid member or plain record at ``at``, and where it ends."""
     if data[at : at + 3] == b"\x1f\x8b\x08":
-        unpack = zlib.decompressobj(31)
+        # In bounded steps, as what lies behind the member is copied by each.
+        unpack, out, place, step = zlib.decompressobj(31), [], at, STEP
         try:
-            inner = unpack.decompress(memoryview(data)[at:])
+            while not unpack.eof and place < len(data):
+                out.append(unpack.decompress(data[place : place + step]))
+                place, step = place + step, min(2 * step, 1 << 20)
         except zlib.error:
             return None
         if not unpack.eof:
             return None
-        found = [one[:2] for one in _inner(inner)]
-        return (found, len(data) - len(unpack.unused_data)) if any(headers is not None for headers, _ in found) else None
+        found = [one[:2] for one in _inner(b"".join(out))]
+        return (found, min(place, len(data)) - len(unpack.unused_data)) if any(headers is not None for headers, _ in found) else None
     one = _parse(data, at)
     return ([one[:2]], one[2]) if one else None
 
@@ -295,11 +304,9 @@ def read(archives: DataFrame) -> DataFrame:
             )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in parts:
             for path in batch.column("path").to_pylist():
-                store, place = fs.FileSystem.from_uri(path)
+                store, place = _place(path)
                 with store.open_input_file(place) as file:
                     data = file.read()
                 held, size = [], 0
@@ -318,9 +325,18 @@ def read(archives: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, from its archive."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, from its archive.
+
+    An archive that gives back other than what was written to it is an error.
+    """
     folder = folder or scratch_path(pages.sparkSession, "warc")
     page = lambda c: F.nullif(F.replace(F.col(c), F.lit(_ID), F.lit("")), F.lit("")).cast("long")
-    return read(write(pages, folder)).filter("kind = 'record'").select(
+    files = write(pages, folder)
+    found = materialize(read(files).select("kind", "record_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    written = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    gaps, records = found.agg(F.count_if(F.col("kind") == "gap"), F.count_if(F.col("kind") == "record")).first()
+    if gaps or records != written:
+        raise RuntimeError(f"{written} records written to {folder}, {records} read, {gaps} gaps")
+    return found.select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
     )

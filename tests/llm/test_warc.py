@@ -112,3 +112,28 @@ def test_read_logs_gaps(spark):
     rows = warc.read(spark.createDataFrame([(f"{folder}/a.warc.gz",)], "path string")).collect()
     gap = [r for r in rows if r.kind == "gap"]
     assert len(rows) == 13 and len(gap) == 1 and gap[0].end - gap[0].start == 77
+
+
+def test_reading_takes_time_in_proportion():
+    import time
+
+    def seconds(n):
+        data = b"".join(archive(12)) * n
+        start = time.process_time()
+        assert sum(1 for _ in warc.salvage(data)) == 12 * n
+        return time.process_time() - start
+
+    seconds(50)
+    assert seconds(4000) < 10 * seconds(1000)
+
+
+def test_round_trip_reports_damage(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(warc, "member", lambda data, level=3: gzip.compress(data)[:-9])
+    with pytest.raises(RuntimeError, match="written"):
+        warc.round_trip(pages(spark, [(i, f"<html>{i}" * 40) for i in range(5)]))
+
+
+def test_names_of_stores():
+    assert warc._place("file:/tmp/x")[1] == "/tmp/x" and warc._place("/tmp/x")[1] == "/tmp/x"
