@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlake.llm.merkle import with_next
+from hazardlake.session import materialize
 
 START, END = "<|im_start|>", "<|im_end|>"
 _TURN = "struct<turn:bigint,role:string,text:string>"
@@ -95,22 +96,21 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def swapped_replies(turns: DataFrame) -> DataFrame:
-    """Pairs from single conversations: the last reply against that of the next conversation.
+def paired_conversations(turns: DataFrame) -> DataFrame:
+    """Pairs of whole conversations: (pair_id, chosen, rejected).
 
-    Every conversation with an assistant's turn is chosen up to the last such turn; rejected is
-    the same with that turn's text taken from the conversation that follows by conv_id and has
-    one too (after the last: the first). Conversations without such a turn give no pair.
+    Every conversation is chosen as it is. Rejected has the same turns up to its first assistant's turn and
+    goes on like the conversation that follows by conv_id (after the last: the first), from that one's first assistant's turn to
+    its end. A conversation without such a turn is common as a whole, and one that follows without
+    adds nothing. Null roles and texts are empty; turns without conv_id are left out; equal turns stay as often as they occur.
     """
-    whole = conversations(turns)
-    last = F.array_max(F.transform("turns", lambda t, i: F.when(t.role == "assistant", i + 1)))
-    ended = whole.withColumn("n", last).filter(F.col("n").isNotNull()).select("conv_id", F.slice("turns", F.lit(1), F.col("n")).alias("turns"))
-    reply = F.element_at("turns", -1)
-    rows, window = with_next(ended.select(F.col("conv_id").alias("doc_id"), reply.text.alias("text")))
+    whole = materialize(conversations(turns), "conversations")
+    at = F.array_position(F.transform("turns", lambda t: t.role), "assistant")
+    head = F.when(at == 0, F.col("turns")).otherwise(F.slice("turns", F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")))
+    tail = F.when(at == 0, F.array().cast(f"array<{_TURN}>")).otherwise(F.slice("turns", F.greatest(at, F.lit(1)).cast("int"), F.size("turns")))
+    rows, window = with_next(whole.select(F.col("conv_id").alias("doc_id"), F.to_json(tail).alias("text")))
     follow = rows.withColumn("other", F.lead("text").over(window)).filter(~F.col("edge")).select(F.col("doc_id").alias("conv_id"), "other")
-    both = ended.join(follow, "conv_id")
-    swapped = F.struct(reply.turn.alias("turn"), reply.role.alias("role"), F.col("other").alias("text"))
-    kept = F.slice("turns", F.lit(1), F.size("turns") - 1)
-    return both.select(
-        F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.concat(kept, F.array(swapped)).alias("rejected")
+    return whole.join(follow, "conv_id").select(
+        F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"),
+        F.concat(head, F.from_json("other", f"array<{_TURN}>")).alias("rejected"),
     )

@@ -74,8 +74,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A prompt and two masked completions from every conversation with a reply."""
-    formatted = chat_format.format_pairs(chat_format.swapped_replies(_table(spark, sf_dir, "conversations")))
+    """A prompt and two masked completions from every conversation and the one after it."""
+    formatted = chat_format.format_pairs(chat_format.paired_conversations(_table(spark, sf_dir, "conversations")))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.start, s.end)), ",")
     return formatted.select(
         F.col("pair_id").alias("conv_id"), "prefix_turns", "prompt", "chosen", "rejected",
@@ -157,6 +157,28 @@ def _leaf_sql(n_chars: str) -> str:
     return "sha256(" + " || ".join(map(text, ["doc_id", "source", "lang", n_chars, "text"])) + ")"
 
 
+def _rendered_sql(turns: str) -> str:
+    """Turns in the chat template, the template's own marks in them broken up."""
+    return f"array_to_string(list_transform({turns}, lambda t: {_turn_sql('t')}), '')"
+
+
+def _plain_sql(text: str) -> str:
+    return f"replace(replace({text}, '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>')"
+
+
+def _turn_sql(t: str) -> str:
+    return f"'<|im_start|>' || {_plain_sql(t + '.role')} || chr(10) || {_plain_sql(t + '.text')} || '<|im_end|>' || chr(10)"
+
+
+def _mask_sql(turns: str) -> str:
+    """start:end of the assistant's words in the rendered turns."""
+    sizes = f"list_transform({turns}, lambda t: length({_turn_sql('t')}))"
+    start = f"coalesce(list_sum(({sizes})[1:i - 1]), 0)::bigint + length({_plain_sql(f'({turns})[i].role')}) + 13 - skip"
+    end = f"list_sum(({sizes})[1:i])::bigint - 1 - skip"
+    learnt = f"list_filter(range(1, len({turns}) + 1), lambda i: ({turns})[i].role = 'assistant')"
+    return f"array_to_string(list_transform({learnt}, lambda i: ({start}) || ':' || ({end})), ',')"
+
+
 def _features_sql(table: str, key: str) -> str:
     """(row, feature) with repeats, and the number of words of every row."""
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -221,6 +243,23 @@ reach as (select doc_id as a, doc_id as b from documents union select r.a, e.b f
 select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
 from documents d left join n using (doc_id)
 join (select a, min(b) as component_id from reach group by a) c on c.a = d.doc_id""",
+    "op9_preference_formatting": f"""
+with c as (
+  select conv_id, list({{'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+                       order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as ts
+  from conversations where conv_id is not null group by conv_id),
+h as (select *, coalesce(list_position(list_transform(ts, lambda t: t.role), 'assistant'), 0) as first from c),
+t as (select *, case when first = 0 then ts else ts[1:first - 1] end as head, case when first = 0 then [] else ts[first:] end as tail from h),
+p as (select conv_id, ts as a, list_concat(head, coalesce(lead(tail) over w, first_value(tail) over w)) as b
+      from t window w as (order by conv_id rows between unbounded preceding and unbounded following)),
+n as (select *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: len(list_filter(range(1, i + 1),
+        lambda j: a[j].role <> b[j].role or a[j].text <> b[j].text)) = 0))::int as prefix_turns from p),
+r as (select conv_id, prefix_turns, a[1:prefix_turns] as common, a[prefix_turns + 1:] as x, b[prefix_turns + 1:] as y,
+        coalesce(a[prefix_turns + 1].role = 'assistant' and b[prefix_turns + 1].role = 'assistant', false) as shared from n),
+s as (select *, case when shared then 22 else 0 end as skip from r)
+select conv_id, prefix_turns, {_rendered_sql('common')} || case when shared then '<|im_start|>assistant' || chr(10) else '' end as prompt,
+  substr({_rendered_sql('x')}, skip + 1) as chosen, substr({_rendered_sql('y')}, skip + 1) as rejected,
+  {_mask_sql('x')} as chosen_mask, {_mask_sql('y')} as rejected_mask from s""",
     "op11_merkle_manifest": f"""
 with recursive {_CRC_TABLE},
 f as (select doc_id, coalesce('1' || lang, '0') as tree, {_leaf_sql('n_chars')} as leaf,

@@ -63,27 +63,36 @@ def test_pairs(spark):
         assert all(r.chosen[s.start : s.end].endswith(E) for s in r.chosen_mask)
 
 
+def paired(talks):
+    """Pair id, chosen and rejected turns of every conversation, by a plain walk."""
+    first = lambda ts: next((k for k, t in enumerate(ts) if t[0] == "assistant"), None)
+    order, out = sorted(talks), {}
+    for k, i in enumerate(order):
+        mine, other = talks[i], talks[order[(k + 1) % len(order)]]
+        head = mine if first(mine) is None else mine[: first(mine)]
+        out[i] = (mine, head + ([] if first(other) is None else other[first(other) :]))
+    return out
+
+
 def test_whole_table(spark, small):
-    turns = spark.read.parquet(f"{small}/conversations.parquet").collect()
+    turns = spark.read.parquet(f"{small}/conversations.parquet")
     talks = {}
-    for t in sorted(turns, key=lambda t: (t.conv_id, t.turn, t.role, t.text)):
+    for t in sorted(turns.collect(), key=lambda t: (t.conv_id, t.turn, t.role, t.text)):
         talks.setdefault(t.conv_id, []).append((t.role, t.text))
-    ended = []
-    for i, ts in sorted(talks.items()):
-        last = max((k for k, t in enumerate(ts) if t[0] == "assistant"), default=None)
-        if last is not None:
-            ended.append((i, ts[: last + 1]))
-    want = {i: brute(ts, [*ts[:-1], ("assistant", ended[(k + 1) % len(ended)][1][-1][1])]) for k, (i, ts) in enumerate(ended)}
-    got = chat_format.format_pairs(chat_format.swapped_replies(spark.read.parquet(f"{small}/conversations.parquet"))).collect()
-    assert len(got) == len(want)
+    want = {i: brute(*pair) for i, pair in paired(talks).items()}
+    got = chat_format.format_pairs(chat_format.paired_conversations(turns)).collect()
+    assert len(got) == len(want) == len(talks)
     assert {r.pair_id: row for r, row in zip(got, rows_of(got))} == want
+    # longer tails and masked turns inside completions do occur
+    assert any(len(r.chosen_mask) > 1 for r in got) and any("<|im_start|>user" in r.chosen for r in got)
     assert queries.op9_preference_formatting(spark, small).count() == len(want)
 
 
 def test_odd_turns(spark):
-    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, None, None, "x"), (None, 0, "assistant", "y"), (3, 0, "assistant", "z")]
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, None, None, "x"), (None, 0, "assistant", "y"), (3, 0, "assistant", "z\\ \"é\n😀")]
     turns = spark.createDataFrame([(*r, "k") for r in rows], "conv_id long, turn long, role string, text string, other string")
-    got = chat_format.swapped_replies(turns).orderBy("pair_id").collect()
-    assert [r.pair_id for r in got] == [1, 3]
-    assert [t.text for t in got[0].chosen] == ["a", "", ""] and got[0].rejected[-1].text == "z" and got[1].rejected[-1].text == ""
-    assert chat_format.swapped_replies(turns.filter(F.lit(False))).count() == 0
+    got = {r.pair_id: ([tuple(t)[1:] for t in r.chosen], [tuple(t)[1:] for t in r.rejected]) for r in chat_format.paired_conversations(turns).collect()}
+    talks = {1: [("user", "a"), ("assistant", ""), ("assistant", "")], 2: [("", "x")], 3: [("assistant", "z\\ \"é\n😀")]}
+    assert got == paired(talks)
+    assert chat_format.paired_conversations(turns.filter(F.lit(False))).count() == 0
+    assert {r.pair_id: len(r.rejected) for r in chat_format.paired_conversations(turns.filter("conv_id = 2")).collect()} == {2: 1}
