@@ -136,31 +136,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", n_buckets: i
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, band: int = BAND) -> float:
-    """The ``k``-th largest value: quantiles narrow it down to at most ``band`` values, which are sorted.
+    """The ``k``-th largest value: values near it narrow it down to at most ``band`` ones, which are sorted.
 
-    Values that occur more often than ``band`` times need no sorting and are returned at once.
+    Every round counts exactly what lies above two of the values and goes on strictly between or
+    beside them, so it ends whatever values repeat.
     """
-    low, high = float("-inf"), float("inf")
+    low, high, above = float("-inf"), float("inf"), 0  # both excluded; ``above``: values from ``high`` up
     values = rows.select(F.col(column).alias("v"))
     while True:
         inside = values.filter((F.col("v") > low) & (F.col("v") < high))
-        above = values.filter(F.col("v") >= high).count() if high < float("inf") else 0
         n = inside.count()
-        if k <= above:
-            return high
-        if k > above + n:
-            return low
         if n <= band:
             found = np.sort(inside.toArrow()["v"].to_numpy())
             return float(found[n - (k - above)])
         p = 1 - (k - above) / n
         step = max(band / n / 8, 1e-7)
         a, b = inside.approxQuantile("v", [max(0.0, p - 2 * step), min(1.0, p + 2 * step)], step)
-        low, high = max(low, np.nextafter(a, -np.inf)), min(high, np.nextafter(b, np.inf))
-        if a == b:
-            at_least = values.filter(F.col("v") >= a).count()
-            if values.filter(F.col("v") > a).count() < k <= at_least:
-                return a
+        limits = [F.col("v") > b, F.col("v") >= b, F.col("v") > a, F.col("v") >= a]
+        beyond = [above + c for c in inside.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(limits)]).first()]
+        if k <= beyond[0]:
+            low = b
+        elif k <= beyond[1]:
+            return float(b)
+        elif k <= beyond[2]:
+            low, high, above = a, b, beyond[1]
+        elif k <= beyond[3]:
+            return float(a)
+        else:
+            high, above = a, beyond[3]
 
 
 def resample(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: int | None = None, seed: int = 17,

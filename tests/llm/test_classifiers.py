@@ -120,6 +120,14 @@ def test_kth_largest(spark, band):
         assert quality.kth_largest(frame, "v", k, band) == sorted(values, reverse=True)[k - 1]
 
 
+def test_kth_largest_of_few_values(spark):
+    """Two values that repeat far beyond the band end the search at once."""
+    frame = spark.createDataFrame([(float(i % 2),) for i in range(200)] + [(0.5,)] * 30, "v double")
+    ordered = sorted([float(i % 2) for i in range(200)] + [0.5] * 30, reverse=True)
+    for k in (1, 99, 100, 101, 115, 130, 131, 230):
+        assert quality.kth_largest(frame, "v", k, 10) == ordered[k - 1]
+
+
 def test_quality_odd_rows(spark, odd_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     rows = quality.resample(odd_docs, none).collect()
