@@ -118,7 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", n_buckets: i
     if not target.sum():
         ratio = np.zeros(n_buckets)
     ids = F.broadcast(drawn.select(F.col("doc_id").alias("__id"), "y"))
-    rows = weigh(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id")).select("text", "y"), ratio)
+    chosen = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"))
+    # Of rows that share a doc_id one is taken, so that the sample bounds what comes to the driver.
+    rows = weigh(chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y"), ratio)
     known = rows.select("y", "log_weight").toArrow()
     y, w = known["y"].to_numpy(), known["log_weight"].to_numpy()
     if not len(y) or y.min() == y.max():

@@ -2,11 +2,14 @@
 
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 
 from hazardlake.llm import quality, queries, toxicity
+from hazardlake.llm.words import find_words
 
 
 def words(rng, n):
@@ -59,6 +62,54 @@ def test_toxicity_without_labels(spark, odd_docs):
     assert toxicity.classify(odd_docs.limit(0), none).count() == 0
 
 
+def test_scores_by_plain_loops(spark, small):
+    """Every score again, word by word and filter by filter."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    net = toxicity.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    rows = docs.select("doc_id", "text").collect()
+    found = {r.doc_id: r.score for r in toxicity.score(docs, net).collect()}
+    place = {int(w): i for i, w in enumerate(net.words)}
+    blank = np.zeros(net.embeddings.shape[1], np.float32)
+    assert len(place) > 20 and len(found) == len(rows)
+    for r in sorted(rows, key=lambda r: len(r.text or ""))[::3]:
+        hashes = find_words([(r.text or "").encode()], toxicity.PUNCTUATED).hashes.tolist()
+        vectors = [net.embeddings[place[h]] if h in place else blank for h in hashes]
+        z = float(net.last[-1]) + net.offset
+        for k, (filters, bias) in enumerate(zip(net.filters, net.biases)):
+            for f in range(filters.shape[2]):
+                best = bias[f]
+                for at in range(len(vectors)):
+                    value = bias[f]
+                    for j in range(len(filters)):
+                        if at + j < len(vectors):
+                            value = value + vectors[at + j] @ filters[j][:, f]
+                    best = max(best, value)
+                z += max(float(best), 0.0) * float(net.last[k * filters.shape[2] + f])
+        assert found[r.doc_id] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+def test_vocabulary_bounds_are_parameters(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    assert len(toxicity.fit(docs, labels, kept_words=7).words) == 7
+    assert len(toxicity.fit(docs, labels, least_documents=1).words) > len(toxicity.fit(docs, labels, least_documents=20).words)
+
+
+def test_quality_keys_and_kept_set(spark, small):
+    """Key of every document from its weight and draw, and the kept set as the largest keys."""
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    rows = quality.resample(docs, labels, keep=77).collect()
+
+    def draw(doc_id):
+        inner = xxhash.xxh64_intdigest(struct.pack("<i", 17), 42)
+        signed = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), inner)
+        return (signed % (1 << 52) + 0.5) / (1 << 52)
+
+    for r in rows:
+        assert r.key == pytest.approx(r.log_weight - math.log(-math.log(draw(r.doc_id))), abs=1e-9)
+    kept = sorted(rows, key=lambda r: -r.key)[:77]
+    assert {r.doc_id for r in rows if r.kept} == {r.doc_id for r in kept}
+
+
 def test_network_gradient_learns_word_order():
     """Two-word filters tell 'a b' from 'b a'."""
     rng = np.random.default_rng(0)
