@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardlake.llm.words import batches, bound_batches, find_words, kept
+from hazardlake.llm.words import batches, bound_batches, find_words, give_back, kept
 from hazardlake.session import materialize
 
 #: Items that one task packs at a time.
@@ -158,6 +158,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(out[n], kinds.get(n, pa.int64())) for n in names[1:])],
                 names,
             )
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardlake.llm.words import PUNCTUATED, batches, bound_batches, find_words, mix
+from hazardlake.llm.words import PUNCTUATED, batches, bound_batches, claim, find_words, mix
 from hazardlake.session import materialize
 
 #: Hash buckets of the n-gram models.
@@ -64,6 +64,7 @@ def _counts(docs: DataFrame, drawn: DataFrame, n_buckets: int) -> tuple[np.ndarr
     marked = docs.select("doc_id", "text").join(F.broadcast(target), F.col("doc_id") == F.col("__id"), "left")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         totals = np.zeros((2, n_buckets), dtype=np.int64)
         for batch in parts:
             chosen = batch.column("target").fill_null(False).to_numpy(zero_copy_only=False)

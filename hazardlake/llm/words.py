@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of text hashed at once; a longer text is a batch of its own.
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 18
 
 #: Rows of a batch that travels between Spark and Python.
 BATCH_ROWS = 2000
@@ -43,6 +43,15 @@ def _store() -> dict:
     return vars(module).setdefault("tables", {})
 
 
+def give_back() -> None:
+    """Return memory that is free but held by the allocators of this worker process, which lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def claim(owner: str) -> None:
     """Drop the tables that other operators have left in this worker process, and give their memory back."""
     store = _store()
@@ -51,11 +60,7 @@ def claim(owner: str) -> None:
         del store[name]
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass  # another C library
+        give_back()
 
 
 def kept(owner: str, name: str, make: Callable[[], Any]) -> Any:
