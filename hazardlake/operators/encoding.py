@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import quoted, signed_time
+from ..session import materialize
 from .cleaning import text_columns
+from .numbering import numbered
 
+#: Categories up to which the vocabulary is broadcast.
+BROADCAST_CATEGORIES = 200_000
 EVENT, TIME = "event_occurred", "observed_time"
 _NOT_FEATURES = (EVENT, TIME, "row_id", "case_id", "split", "fold", "fit")
 
@@ -101,3 +105,55 @@ def fit_encoder(train: DataFrame, roles: Roles, max_categories: int | None = Non
     for r in sorted(found):
         categories[roles.categorical[r.i]].append(r.v)
     return Encoder(list(roles.numeric), categories)
+
+
+@dataclass
+class SparseEncoder:
+    """One-hot features as positions: numeric columns stay columns, all 0/1 features are one array of the ones' places.
+
+    The vocabulary is a table (source, category, place), so neither the driver nor a schema holds the categories; the driver knows
+    how many there are. As in ``Encoder`` the first category of every column has no place.
+    """
+
+    numeric: list[str]
+    categorical: list[str]
+    vocabulary: DataFrame
+    width: int
+
+    def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """``keep``, the numeric columns and ``flags``, the ascending places of a row's categories.
+
+        NULL, unseen and first categories have no place; columns the table lacks count as 0 or NULL.
+        """
+        have = set(df.columns)
+        out = df.select(
+            *[quoted(k) for k in keep],
+            *[(quoted(c) if c in have else F.lit(0.0)).cast("double").alias(c) for c in self.numeric],
+            *[(quoted(c) if c in have else F.lit(None)).cast("string").alias(f"__v{i}") for i, c in enumerate(self.categorical)],
+        )
+        small = self.width <= BROADCAST_CATEGORIES
+        for i in range(len(self.categorical)):
+            mine = self.vocabulary.filter(F.col("source") == i).select(F.col("category").alias(f"__v{i}"), F.col("place").alias(f"__p{i}"))
+            out = out.join(F.broadcast(mine) if small else mine, f"__v{i}", "left")
+        places = [F.col(f"__p{i}") for i in range(len(self.categorical))]
+        flags = F.array_sort(F.array_compact(F.array(*places))) if places else F.array()
+        return out.select(*[quoted(c) for c in (*keep, *self.numeric)], flags.cast("array<int>").alias("flags"))
+
+    def names(self) -> DataFrame:
+        """(place, feature) of the 0/1 features."""
+        source = F.element_at(F.lit(self.categorical), F.col("source") + 1) if self.categorical else F.lit("")
+        return self.vocabulary.select("place", F.concat_ws("_", source, F.col("category")).alias("feature"))
+
+
+def fit_sparse_encoder(train: DataFrame, roles: Roles) -> SparseEncoder:
+    """The categories of the training rows in sorted order, numbered as a table."""
+    pairs = [F.struct(F.lit(i).alias("source"), quoted(c).cast("string").alias("category")) for i, c in enumerate(roles.categorical)]
+    spark = train.sparkSession
+    if not pairs:
+        return SparseEncoder(list(roles.numeric), [], spark.createDataFrame([], "source int, category string, place int"), 0)
+    seen = train.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("category is not null").distinct()
+    first = seen.groupBy("source").agg(F.min("category").alias("first"))
+    later = seen.join(F.broadcast(first), "source").filter("category <> first").drop("first")
+    placed = numbered(later, [F.col("source").asc(), F.col("category").asc()])
+    table = materialize(placed.select("source", "category", F.col("place").cast("int").alias("place")), "vocabulary")
+    return SparseEncoder(list(roles.numeric), list(roles.categorical), table, table.count())

@@ -37,29 +37,32 @@ class Binner:
     A feature with n cuts owns n + 1 consecutive codes: the first stands for a missing value, the
     next for bins 1 to n; bin 0 has none. Fits that run together keep their own cut points in
     ``by_fit``, each taken from its own training rows, so that a joint fit equals the single ones; ``only`` names the
-    features of fits that do not have them all.
+    features of fits that do not have them all. ``flags`` more features are 0/1 and have no columns: their ones are places in
+    an array column ``flags``, and as features they are numbered after the others.
     """
 
     features: list[str]
     cuts: list[list[float]]
     by_fit: dict = field(default_factory=dict)
     only: dict = field(default_factory=dict)
+    flags: int = 0
 
     def of(self, fit) -> Binner:
         """The binner of one fit."""
-        one = Binner(self.features, self.by_fit.get(fit, self.cuts))
+        one = Binner(self.features, self.by_fit.get(fit, self.cuts), flags=self.flags)
         if fit in self.only:
             one.only = {None: self.only[fit]}
         return one
 
     def width(self, fit) -> int:
         """Number of features of a fit."""
-        return len(self.only.get(fit, self.features))
+        return len(self.only.get(fit, self.features)) + self.flags
 
     @property
     def bases(self) -> np.ndarray:
         """First code of every feature, and the number of codes at the end."""
-        return np.concatenate(([0], np.cumsum([len(c) + 1 for c in self.cuts]))).astype(np.int64)
+        own = np.cumsum([0, *(len(c) + 1 for c in self.cuts)])
+        return np.concatenate([own, own[-1] + 2 * np.arange(1, self.flags + 1)]).astype(np.int64)
 
     def bases_by_fit(self) -> dict:
         """Bases of every fit that has its own cuts; ``None`` is any other fit."""
@@ -96,7 +99,10 @@ class Binner:
                     shown = f"when {number} > 0 then {base} + cast({number} as int)"
                 parts.append(f"case when {source} is null or isnan({source}) then {base} {shown} end")
                 base += len(cuts) + 1
-            arrays[fit] = F.expr(f"array_compact(cast(array({', '.join(parts)}) as array<int>))")
+            codes = f"array_compact(cast(array({', '.join(parts)}) as array<int>))"
+            if self.flags:
+                codes = f"concat({codes}, transform(flags, i -> {base} + 2 * i + 1))"
+            arrays[fit] = F.expr(codes)
         if None in arrays:
             chosen = arrays[None]
         else:
@@ -106,22 +112,26 @@ class Binner:
         return wide.withColumn(out, chosen).drop(*extra)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(j, f, [float(c) for c in cuts]) for j, (f, cuts) in enumerate(zip(self.features, self.cuts))]
-        return spark.createDataFrame(rows, "position int, feature string, cuts array<double>")
+        rows = [(j, f, [float(c) for c in cuts], 0) for j, (f, cuts) in enumerate(zip(self.features, self.cuts))]
+        rows += [(len(rows), None, [], self.flags)] if self.flags else []
+        return spark.createDataFrame(rows, "position int, feature string, cuts array<double>, flags int")
 
     @staticmethod
     def from_table(table: DataFrame) -> Binner:
         rows = table.orderBy("position").collect()
-        return Binner([r.feature for r in rows], [list(r.cuts) for r in rows])
+        named = [r for r in rows if not r.flags]
+        return Binner([r.feature for r in named], [list(r.cuts) for r in named], flags=sum(r.flags for r in rows))
 
 
-def fit_binner(df: DataFrame, features: Sequence[str], max_bins: int = 256, fit_col: str | None = None) -> Binner:
+def fit_binner(df: DataFrame, features: Sequence[str], max_bins: int = 256, fit_col: str | None = None, flags: int = 0) -> Binner:
     """Quantile cut points from one sketch pass per fit; 0/1 columns get the single cut 0.5."""
     features = list(features)
+    if not features:
+        return Binner([], [], flags=flags)
     if fit_col:
         keys = sorted(r[0] for r in df.select(fit_col).distinct().collect())
         own = {k: fit_binner(df.filter(F.col(fit_col) == F.lit(k)), features, max_bins).cuts for k in keys}
-        return Binner(features, next(iter(own.values()), [[] for _ in features]), own)
+        return Binner(features, next(iter(own.values()), [[] for _ in features]), own, flags=flags)
     probs = [i / max_bins for i in range(max_bins + 1)]
     found = df.select([F.expr(f"cast(`{f}` as double) as f{j}") for j, f in enumerate(features)])
     points = found.approxQuantile([f"f{j}" for j in range(len(features))], probs, 0.1 / max_bins)
@@ -129,7 +139,7 @@ def fit_binner(df: DataFrame, features: Sequence[str], max_bins: int = 256, fit_
     for values in points:
         distinct = sorted(set(values))
         cuts.append([0.5] if distinct == [0.0, 1.0] else [float(v) for v in distinct[1:]])
-    return Binner(features, cuts)
+    return Binner(features, cuts, flags=flags)
 
 
 @dataclass
@@ -583,10 +593,14 @@ def grow(rows: DataFrame, binner: Binner, sizes: dict, max_depth: int | dict, re
     return [*rest, *done.values()]
 
 
-def importance(nodes: DataFrame, features: Sequence[str], kind: str = "weight", top: int = 20) -> DataFrame:
-    """Split count (``weight``) or mean gain (``gain``) per feature, largest first."""
+def importance(nodes: DataFrame, features: Sequence[str], kind: str = "weight", top: int = 20,
+               flags: DataFrame | None = None) -> DataFrame:
+    """Split count (``weight``) or mean gain (``gain``) per feature, largest first; ``flags`` (place, feature) names those without columns."""
     spark = nodes.sparkSession
     names = spark.createDataFrame(list(enumerate(features)), "feature int, name string")
+    if flags is not None:
+        names = names.union(flags.select((F.col("place") + len(features)).cast("int"), "feature"))
+        names = names.join(F.broadcast(nodes.select("feature").distinct()), "feature", "left_semi")
     value = F.count(F.lit(1)).cast("double") if kind == "weight" else F.avg("gain")
     return (
         nodes.filter("feature >= 0")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -13,6 +13,7 @@ from ..operators.boosted import BoostedModel
 from ..operators.cox import CoxModel
 from ..operators.encoding import EVENT, TIME, Encoder
 from ..operators.forest import ForestModel
+from ..operators.numbering import numbered
 from ..sources import files
 from . import compare, diagnostics
 
@@ -25,19 +26,17 @@ _PARTS = {
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """Add an id made of a 40-bit hash of the row's values and its number among rows of that hash.
+    """Add an id made of a 27-bit hash of the row's values and its number among rows of that hash, by digest.
 
-    Equal rows get consecutive ids, so which of them has which does not matter. More than 4
-    million rows of one hash are an error.
+    Equal rows get consecutive ids, so which of them has which does not matter, and they are numbered
+    over many tasks however many they are.
     """
     values = F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]))
     hashed = df.withColumn("__digest", F.md5(values.cast("binary"))).withColumn(
-        "__hash", F.conv(F.left("__digest", F.lit(10)), 16, 10).cast("bigint")
+        "__hash", F.shiftright(F.conv(F.left("__digest", F.lit(7)), 16, 10).cast("bigint"), 1)
     )
-    number = F.row_number().over(Window.partitionBy("__hash").orderBy("__digest"))
-    numbered = hashed.withColumn("__number", number)
-    fits = F.when(F.col("__number") < 1 << 22, F.col("__number")).otherwise(F.raise_error(F.lit("too many equal rows")))
-    return numbered.withColumn(ROW_ID, F.shiftleft("__hash", 22) + fits).drop("__digest", "__hash", "__number")
+    placed = numbered(hashed, [F.col("__digest").asc()], "__hash")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.shiftleft("__hash", 36) + F.col("place")).alias(ROW_ID))
 
 
 def prepare(

@@ -386,3 +386,47 @@ def test_large_boosted_nodes_split_like_small_ones(monkeypatch, encoded):
     for a, b in zip(sorted(wide.nodes, key=key), sorted(small.nodes, key=key), strict=True):
         assert (a.feature, a.split_bin, a.missing_right) == (b.feature, b.split_bin, b.missing_right)
         assert a.value == pytest.approx(b.value, rel=1e-9) and a.gain == pytest.approx(b.gain, rel=1e-6)
+
+
+def test_many_categories(spark):
+    """Tens of thousands of categories encode, fit and score, and equal the dense columns where both can be had."""
+    rows = spark.range(20_000).select(
+        F.col("id").alias("row_id"), (F.col("id") % 40).cast("double").alias("x"),
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("c"), F.pmod(F.xxhash64("id"), F.lit(100_000)))).alias("city"),
+        F.concat(F.lit("g"), F.pmod(F.hash("id"), F.lit(5))).alias("grade"),
+    )
+    risk = F.exp(F.when(F.col("grade") == "g3", 1.5).otherwise(0.0) + F.col("x") / 40)
+    table = materialize(rows.select(
+        "*", F.ceil(-F.ln(hash_uniform("t", F.col("row_id"))) / risk * 200).cast("double").alias("observed_time"),
+        (hash_uniform("e", F.col("row_id")) < 0.7).cast("int").alias("event_occurred"),
+    ), "many")
+    roles = encoding.Roles(["x"], ["city", "grade"])
+    encoder = encoding.fit_sparse_encoder(table, roles)
+    assert encoder.width > 15_000 and encoder.vocabulary.columns == ["source", "category", "place"]
+    coded = materialize(encoder.transform(table, ["row_id", "event_occurred", "observed_time"]), "coded")
+    assert coded.columns == ["row_id", "event_occurred", "observed_time", "x", "flags"]
+    binner = trees.fit_binner(coded, ["x"], flags=encoder.width)
+    model = boosted.fit_boosted(coded, ["x"], binner=binner, rounds=3, max_depth=3, learning_rate=0.5)
+    assert c_index(model.score(coded)) > 0.6
+    named = trees.importance(model.node_table(spark), ["x"], "gain", flags=encoder.names()).collect()
+    assert {r.feature for r in named[:2]} == {"grade_g3", "x"}
+    grown = forest.fit_forest(coded, ["x"], binner=binner, trees=3, max_depth=3)
+    assert grown.score(coded).filter("risk is null").count() == 0
+    few = encoding.Roles(["x"], ["grade"])
+    wide, narrow = encoding.fit_encoder(table, few), encoding.fit_sparse_encoder(table, few)
+    dense_rows = wide.transform(table, ["row_id", "event_occurred", "observed_time"])
+    sparse_rows = narrow.transform(table, ["row_id", "event_occurred", "observed_time"])
+    options = {"rounds": 2, "max_depth": 3}
+    a = boosted.fit_boosted(dense_rows, wide.columns, **options).score(dense_rows)
+    b = boosted.fit_boosted(sparse_rows, ["x"], binner=trees.fit_binner(sparse_rows, ["x"], flags=narrow.width), **options).score(sparse_rows)
+    both = a.select("row_id", F.col("risk").alias("a")).join(b.select("row_id", F.col("risk").alias("b")), "row_id")
+    assert both.count() == 20_000 and both.filter("abs(a - b) > 1e-9").count() == 0
+
+
+def test_sparse_encoding_of_odd_values(spark):
+    train = spark.createDataFrame([(1, "b", None), (2, "a", None), (3, "c", None), (4, None, None)], "id int, k string, none string")
+    encoder = encoding.fit_sparse_encoder(train, encoding.Roles([], ["k", "none"]))
+    other = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "zz"), (5, None)], "id int, k string")
+    got = {r.id: list(r.flags) for r in encoder.transform(other, ["id"]).collect()}
+    assert got == {1: [], 2: [0], 3: [1], 4: [], 5: []} and encoder.width == 2
+    assert {r.place: r.feature for r in encoder.names().collect()} == {0: "k_b", 1: "k_c"}

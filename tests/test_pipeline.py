@@ -68,3 +68,11 @@ def test_failed_fits_score_zero_and_are_left_out(spark, prepared):
     )
     scores = compare.cross_validate(holed, folds=2, models=[fv.COX]).collect()
     assert [(r.model_name, r.c_index) for r in scores] == [(fv.COX, 0.0)] * 2
+
+
+def test_row_ids_of_equal_rows(spark):
+    """A third of the rows are equal: ids are unique and the same values give the same set of ids in any order."""
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, -1, id) as a", "if(id % 3 = 0, null, 'x') as `b.c`")
+    one = sorted(tuple(r) for r in pipeline.with_row_id(rows).select("a", pipeline.ROW_ID).collect())
+    other = sorted(tuple(r) for r in pipeline.with_row_id(rows.orderBy(rows.a.desc()).repartition(7)).select("a", pipeline.ROW_ID).collect())
+    assert one == other and len({i for _, i in one}) == 3000 and all(i >= 0 for _, i in one)
