@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardlake.llm.ordering import numbered
 from hazardlake.llm.words import batches, bound_batches, find_words, spaced
+from hazardlake.operators.numbering import numbered
 
 #: Words are runs of digits, letters and bytes of longer characters.
 WORD_BYTES = np.zeros(256, dtype=np.uint8)

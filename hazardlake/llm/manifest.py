@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardlake.llm.ordering import numbered
+from hazardlake.operators.numbering import numbered
 from hazardlake.session import materialize
 
 #: Levels of a tree from one stored level to the next.
