@@ -31,7 +31,7 @@ from ..functions import fixed_values as fv
 from ..session import discard, materialize
 from . import trees as tr
 from .boosted import BROADCAST_CELLS, code_totals, collapse
-from .prefix import cut_points, running
+from .prefix import cut_points, running, time_blocks
 from .trees import (
     Binner, Codes, Ensemble, Node, Split, add_leaves, add_total, fit_binner, node_table, nodes_from_table,
     options, place, spread, subtree,
@@ -363,26 +363,6 @@ class ForestModel:
 # ---- nodes too large for one task ---------------------------------------------------------------
 
 
-def _in_blocks(counts: DataFrame) -> DataFrame:
-    """Counts with the ``block`` of their time, ascending, and ``part`` and ``parts`` of a block of a single time.
-
-    Blocks hold about ``BLOCK_ROWS`` counts. A time that has more is a block of its own, dealt into parts.
-    """
-    n = counts.count()
-    shares = [i / max(1, n // BLOCK_ROWS) for i in range(1, max(1, n // BLOCK_ROWS))]
-    points = counts.select("t").approxQuantile("t", shares, 0.25 / len(shares)) if shares else []
-    cuts = sorted({c for p in set(points) for c in ([p, float(np.nextafter(p, np.inf))] if points.count(p) > 1 else [p])})
-    blocked = Binner(["t"], [cuts]).transform(counts, "__at")
-    # one code: the number of the block, none for the first
-    blocked = blocked.withColumn("block", F.coalesce(F.try_element_at("__at", F.lit(1)), F.lit(0))).drop("__at")
-    sizes = blocked.groupBy("fit", "block").agg(F.count(F.lit(1)).alias("rows"), F.min("t").alias("a"), F.max("t").alias("b"))
-    parts = F.when(F.col("a") == F.col("b"), F.ceil(F.col("rows") / BLOCK_ROWS)).otherwise(1).cast("int").alias("parts")
-    # one row per fit and block, so a hundred-thousandth of the counts
-    return blocked.join(F.broadcast(sizes.select("fit", "block", parts)), ["fit", "block"]).withColumn(
-        "part", F.pmod("key", F.col("parts")).cast("int")
-    )
-
-
 class _Wide(NamedTuple):
     """What the passes over the blocks share."""
 
@@ -694,7 +674,7 @@ def fit_forest(
     above: list[Node] = []
     curves = None
     if large:
-        blocked = materialize(_in_blocks(counts.filter(F.col("fit").isin(large))), "blocks")
+        blocked = materialize(time_blocks(counts.filter(F.col("fit").isin(large)), "t", BLOCK_ROWS), "blocks")
         wide = _Wide(blocked, binner, bootstrap, seed)
         above, closing, broad = _wide_nodes(wide, [(fit, t) for fit in large for t in range(trees)], max_depth, least, looks)
         below = below.unionByName(_routed(wide, above, closing))

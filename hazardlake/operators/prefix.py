@@ -186,3 +186,22 @@ def next_value(
     ).drop("__first")
     joined = same(local, following, [*by, _BUCKET])
     return joined.select(*df.columns, F.coalesce("__next", "__following").alias(out))
+
+
+def time_blocks(rows: DataFrame, time: str, block_rows: int) -> DataFrame:
+    """``rows`` (fit, key, time, ...) with the ``block`` of their time, ascending, and ``part`` and ``parts`` of a block of a single time.
+
+    Blocks hold about ``block_rows`` rows. A time that has more is a block of its own, dealt into parts by ``key``.
+    """
+    n = rows.count()
+    count = max(1, n // block_rows)
+    shares = [i / count for i in range(1, count)]
+    points = rows.select(F.col(time).cast("double").alias("t")).approxQuantile("t", shares, 0.25 / count) if shares else []
+    cuts = sorted({c for p in set(points) for c in ([p, math.nextafter(p, math.inf)] if points.count(p) > 1 else [p])})
+    blocked = with_bucket(rows, time, cuts, "block")
+    sizes = blocked.groupBy("fit", "block").agg(F.count(F.lit(1)).alias("rows"), F.min(time).alias("a"), F.max(time).alias("b"))
+    parts = F.when(F.col("a") == F.col("b"), F.ceil(F.col("rows") / block_rows)).otherwise(1).cast("int").alias("parts")
+    # one row per fit and block, so a small share of the rows
+    return blocked.join(F.broadcast(sizes.select("fit", "block", parts)), ["fit", "block"]).withColumn(
+        "part", F.pmod("key", F.col("parts")).cast("int")
+    )

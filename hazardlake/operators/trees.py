@@ -399,7 +399,7 @@ def place(batch: pa.RecordBatch, fits: dict) -> Iterator[tuple]:
 
 def spread(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
     """Rows dealt by keys to a number of partitions that is kept, as their work is large for their bytes."""
-    return rows.repartition(min(parts, 4000), *keys)
+    return rows.repartition(max(1, min(parts, 4000)), *keys)
 
 
 # ---- gradient trees -----------------------------------------------------------------------------

@@ -90,6 +90,52 @@ def test_tie_sums(spark):
             assert abs(value - want) <= 1e-11 * max(1.0, abs(want))
 
 
+@pytest.mark.parametrize("cells, chunk, slab, fan", [(1 << 22, 32, 1 << 17, 64), (700, 2, 5, 2)])
+def test_blocked_cox_equals_dense_fit(monkeypatch, encoded, cells, chunk, slab, fan):
+    """Blocks of time and matrix products give the fit of the sums per column, also with a time in several parts."""
+    for name, value in (("WIDE", 0), ("BLOCK_CELLS", cells), ("CHUNK", chunk), ("SLAB_CELLS", slab), ("FAN_IN", fan)):
+        monkeypatch.setattr(cox, name, value)
+    columns, table = encoded
+    tied = table.withColumn("observed_time", F.when(F.col("row_id") % 4 == 0, 2.0).otherwise(F.ceil(F.col("observed_time") * 4) / 4))
+    model = cox.fit_cox(tied, columns)
+    pdf = tied.toPandas()
+    beta, se = dense.cox(pdf[columns].values, pdf.observed_time.values, pdf.event_occurred.values)
+    assert np.allclose(model.coef[None], beta, atol=1e-8) and np.allclose(model.se[None], se, atol=1e-7)
+    monkeypatch.setattr(cox, "WIDE", 50)
+    plain = cox.fit_cox(tied, columns)
+    assert model.log_likelihood[None] == pytest.approx(plain.log_likelihood[None], rel=1e-9)
+    scored = tied.select("row_id", model.risk().alias("a"), plain.risk().alias("b"))
+    assert scored.filter("abs(a - b) > 1e-6").count() == 0
+
+
+def test_cox_with_many_columns(spark):
+    """A thousand columns, two of them with an effect."""
+    x = [(hash_uniform(f"x{j}", F.col("id")) - 0.5).alias(f"x{j}") for j in range(1000)]
+    rows = materialize(spark.range(2000).select("id", *x), "wide")
+    time = -F.ln(hash_uniform("t", F.col("id"))) / F.exp(3 * F.col("x7") - 2 * F.col("x500"))
+    table = rows.withColumn("observed_time", time).withColumn("event_occurred", (hash_uniform("e", F.col("id")) < 0.8).cast("int"))
+    names = [f"x{j}" for j in range(1000)]
+    model = cox.fit_cox(table, names)
+    order = np.argsort(-np.abs(model.coef[None]))
+    assert set(order[:2].tolist()) == {7, 500} and model.coef[None][7] > 0 > model.coef[None][500]
+    assert np.isfinite(model.se[None]).all()
+    assert c_index(table.withColumn("risk", model.risk()).select("observed_time", "event_occurred", "risk")) > 0.7
+
+
+@pytest.mark.parametrize("wide", [0, 50])
+def test_cox_survives_large_predictors(spark, monkeypatch, wide):
+    """Predictors far outside the range of exp: a column with an outlier, which a Newton step overshoots."""
+    monkeypatch.setattr(cox, "WIDE", wide)
+    problem = (cox._WideProblem if wide == 0 else cox._Problem)(spark.createDataFrame(
+        [(float(i + 1), i % 2, float(i), float(i * i % 7)) for i in range(40)], "observed_time double, event_occurred int, a double, b double"
+    ), ["a", "b"], None)
+    for size in (1.0, 2000.0):
+        beta = {0: np.array([size, -size / 3])}
+        sets = problem.risk_sets(beta).persist()
+        logs, expected, outer = problem.first_order(sets)[0]
+        assert np.isfinite(logs) and np.isfinite(expected).all() and np.isfinite(outer).all()
+
+
 def test_cox_rejects_missing_values(spark, encoded):
     columns, table = encoded
     holed = table.withColumn("age_at_index", F.when(F.col("row_id") > 5, F.col("age_at_index")))
