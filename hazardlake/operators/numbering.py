@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import quoted
 from ..session import discard, materialize
 
 #: Totals a partition and group may be broadcast up to this many rows.
@@ -39,4 +40,4 @@ def numbered(table: DataFrame, order: Sequence[Column], group: str | None = None
     ), "totals")
     small = F.broadcast(totals) if totals.count() <= BROADCAST_TOTALS else totals
     placed = ranged.join(small, [*keys, "__part"])
-    return placed.select(*table.columns, (F.col("__at") + F.col("__add")).alias("place"), "of")
+    return placed.select(*map(quoted, table.columns), (F.col("__at") + F.col("__add")).alias("place"), "of")

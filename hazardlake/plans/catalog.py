@@ -572,6 +572,99 @@ def forest_stump_curves(spark, sf_dir):
     return rounded(model.curves(table)[1], "t", "survival")
 
 
+#: One tree of depth 1 over all rows and features.
+STUMP = {
+    fv.FOREST: {"trees": 1, "max_depth": 1, "mtry": 1000, "bootstrap": False},
+    fv.BOOSTED: {"rounds": 1, "subsample": 1.0, "gamma": 0.0, "min_child_weight": 0.0},
+}
+
+
+def _stump_split(spark, sf_dir):
+    """Training and test rows with the two categorical features."""
+    split = sampling.stratified_holdout(stored_features(spark, sf_dir).select("row_id", EVENT, TIME, STAGE, SITE))
+    return materialize(split, "stump")
+
+
+def comparison_stump(spark, sf_dir):
+    report = compare.compare_models(_stump_split(spark, sf_dir), models=[fv.FOREST], settings=STUMP).report
+    return rounded(report, "cv_mean_c_index", "cv_std_c_index", "test_c_index")
+
+
+def diag_redundancy_stump(spark, sf_dir):
+    """Concordance of a log-rank stump with and without the stage."""
+    table = diagnostics.feature_redundancy(_stump_split(spark, sf_dir), [STAGE], [fv.FOREST], STUMP)
+    return rounded(table, "c_index_train", "c_index_test", "gap")
+
+
+def diag_complexity_stump(spark, sf_dir):
+    table = diagnostics.complexity(_stump_split(spark, sf_dir), [1], STUMP)
+    return rounded(table, "c_index_train", "c_index_test", "gap")
+
+
+def diag_learning_stump(spark, sf_dir):
+    table = diagnostics.learning_curves(_stump_split(spark, sf_dir), models=[fv.FOREST], settings=STUMP)
+    return rounded(table, "c_index_train", "c_index_test")
+
+
+def diag_permutation_stump(spark, sf_dir):
+    table = diagnostics.permutation_test(_stump_split(spark, sf_dir), models=[fv.FOREST], settings=STUMP)
+    return rounded(table, "c_index_real", "c_index_random_mean", "difference")
+
+
+def diag_report_stump(spark, sf_dir):
+    """The five reports of log-rank and boosted stumps as their CSV files hold them, two indices a row."""
+    folder = scratch_path(spark, "diagnostics")
+    only = [fv.FOREST]
+    tables = pipeline.diagnose(_stump_split(spark, sf_dir), folder, STUMP, only, only, [STAGE], [1])
+    shown = {
+        "gap": ("model_name", "c_index_train", "c_index_test"), "redundancy": ("configuration", "c_index_train", "c_index_test"),
+        "complexity": ("max_depth", "c_index_train", "c_index_test"), "learning_curves": ("n_rows", "c_index_train", "c_index_test"),
+        "permutation": ("model_name", "c_index_real", "c_index_random_mean"),
+    }
+    parts = []
+    for name, (key, first, second) in shown.items():
+        back = spark.read.csv(f"{folder}/reports/diagnostics/{name}.csv", header=True, schema=tables[name].schema)
+        parts.append(back.select(F.lit(name).alias("report"), F.col(key).cast("string").alias("entry"), F.col(first).alias("first"), F.col(second).alias("second")))
+    return rounded(reduce(DataFrame.unionByName, parts), "first", "second")
+
+
+def report_roundtrip_age(spark, sf_dir):
+    """The comparison report of the age model as it comes back from its CSV file."""
+    report = compare.compare_models(_age_split(spark, sf_dir), models=[fv.COX]).report
+    path = files.write_table(report, f"{scratch_path(spark, 'report')}/model_comparison_results.csv")
+    back = spark.read.csv(path, header=True, schema=report.schema)
+    return rounded(back, "cv_mean_c_index", "cv_std_c_index", "test_c_index")
+
+
+def top_features_root(spark, sf_dir):
+    """The three 0/1 features with the largest gain at the first tree's root, in order."""
+    gains = boosted_root_gain(spark, sf_dir).withColumnRenamed("gain", "importance")
+    best = explain.top_features(materialize(gains, "gains"))
+    return spark.createDataFrame([(i + 1, f) for i, f in enumerate(best)], "position int, feature string")
+
+
+def km_by_best_model_age(spark, sf_dir):
+    """Curves of the risk terciles under the best model on age."""
+    result = compare.compare_models(_age_split(spark, sf_dir), models=[fv.COX])
+    scored_rows = compare.score_model(result.models[result.best], result.train.unionByName(result.test))
+    grouped = risk.risk_groups(materialize(scored_rows, "scored"))
+    return rounded(km.kaplan_meier(grouped, ["risk_group"], cuts=None), *_CURVE, *_BAND)
+
+
+def prediction_roundtrip_stump(spark, sf_dir):
+    """Median times of a log-rank stump with their features, as they come back from the CSV file."""
+    folder = scratch_path(spark, "predictions")
+    split = _stump_split(spark, sf_dir)
+    encoder = encoding.fit_encoder(split, encoding.feature_roles(split))
+    encoded = materialize(encoder.transform(split, ["row_id", EVENT, TIME]), "encoded")
+    pipeline.save_model(spark, fv.FOREST, forest.fit_forest(encoded, encoder.columns, **STUMP[fv.FOREST]), folder)
+    files.save_model_tables({"encoder": encoder.table(spark)}, f"{folder}/models")
+    features = files.write_table(split.drop("split"), f"{folder}/features.parquet")
+    schema = f"row_id long, {STAGE} string, {SITE} string, OS boolean, OS_time double, predicted_survival_time double"
+    back = spark.read.csv(pipeline.predict_times(spark, features, folder), header=True, schema=schema)
+    return rounded(back, "OS_time", "predicted_survival_time")
+
+
 def _split(spark, sf_dir, *drop):
     split = sampling.stratified_holdout(stored_features(spark, sf_dir).drop("case_id", *drop))
     return materialize(split, "split")
@@ -673,6 +766,8 @@ QUERIES = {
         diag_gap, diag_redundancy, diag_complexity, diag_learning_curve, diag_permutation,
         cox_age_table, cox_age_risk, cox_age_effect, diag_gap_age, comparison_age, diag_learning_age,
         diag_permutation_age, boosted_stump_risk, boosted_stump_importance, forest_stump_risk,
-        forest_stump_median, forest_stump_curves,
+        forest_stump_median, forest_stump_curves, comparison_stump, diag_redundancy_stump, diag_complexity_stump,
+        diag_learning_stump, diag_permutation_stump, report_roundtrip_age, top_features_root, km_by_best_model_age,
+        prediction_roundtrip_stump, diag_report_stump,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import _BRESLOW, _DUMMIES, _FOLD, _SPLIT, hashed, of_cohort
+from .oracle import _BRESLOW, _DUMMIES, _FOLD, _SPLIT, _TERCILES, ORACLE as TABLES, hashed, km, of_cohort
 
 _AGE = "age_at_index"
 _PENALTY = 0.1
@@ -131,7 +131,145 @@ _LOGRANK = f"""{_SIDES},
     risks as (select side, sum(step * later) as risk from steps join (select t, count(*) over (order by t desc) as later from times) using (t) group by 1),
     medians as (select side, coalesce(min(t) filter (where survival <= 0.5 + 1e-9), (select max(observed_time) from cohort)) as median_ from steps group by 1)"""
 
+_FEATURES = "feat as (select row_id, unnest(f) as f from (select row_id, [" + ", ".join(
+    f"{{'name': '{n}', 'x': ({c})::int}}" for n, c in _DUMMIES
+) + "] as f from cohort))"
+
+_TWO = "rows as (select row_id, split, event_occurred as e, observed_time as t from split)"
+
+
+def _stumps(allowed: str = "true") -> str:
+    """CTEs from tr (fit, row_id, e, t) to ``side_risk`` (fit, side, risk): the best log-rank split of every fit, at least 15 rows a side."""
+    return f"""{_FEATURES},
+    times as (select fit, t, count(*) as m, sum(e) as d from tr group by 1, 2),
+    whole as (select *, sum(m) over (partition by fit order by t desc) as n from times),
+    pf as (select fit, f.name as feature, t, count(*) as m, sum(e) as d from tr join feat using (row_id) where f.x = 1 and {allowed} group by all),
+    grid as (select w.fit, w.t, w.n, w.d, g.feature, coalesce(pf.m, 0) as mr, coalesce(pf.d, 0) as dr
+        from whole w join (select distinct fit, feature from pf) g using (fit) left join pf using (fit, feature, t)),
+    risked as (select *, sum(mr) over (partition by fit, feature order by t desc) as nr from grid),
+    ranked_ as (select fit, feature, pow(sum(dr - d * nr * 1.0 / n), 2) / sum(case when n > 1 then d * (nr * 1.0 / n) * (1 - nr * 1.0 / n) * (n - d) / (n - 1.0) else 0 end) as stat
+        from risked group by 1, 2 having max(nr) >= 15 and max(n) - max(nr) >= 15),
+    best as (select fit, arg_max(feature, stat) as feature from ranked_ group by fit),
+    placed as (select tr.*, f.x as side from tr join best using (fit) join feat on feat.row_id = tr.row_id and f.name = best.feature),
+    leaf as (select fit, side, t, count(*) as m, sum(e) as d from placed group by all),
+    steps as (select *, d * 1.0 / sum(m) over (partition by fit, side order by t desc) as step from leaf),
+    later as (select fit, t, count(*) over (partition by fit order by t desc) as later from (select distinct fit, t from tr where e = 1)),
+    side_risk as (select fit, side, round(sum(step * later), 8) as risk from steps join later using (fit, t) where d > 0 group by 1, 2)"""
+
+
+def _scored(source: str, fit: str = "fit") -> str:
+    """Rows of ``source`` with the risk that their fit gives them."""
+    return f"""(select s.*, risk from (select *, {fit} as fit_ from {source}) s join best on best.fit = fit_
+        join feat on feat.row_id = s.row_id and f.name = best.feature join side_risk r on r.fit = fit_ and r.side = f.x)"""
+
+
+_FOREST = "'RandomSurvivalForest' as model_name"
+
+
+def _comparison_stump() -> str:
+    fits = f"""folded as (select *, {_FOLD} as fold from rows where split = 'train'),
+    tr as (select k::int as fit, row_id, e, t from folded, unnest(range(5)) v(k) where fold <> k union all select 5, row_id, e, t from folded)"""
+    scored = f"""scored_ as (select fold as fit, e, t, risk from {_scored('folded', 'fold')}
+        union all select 5, e, t, risk from {_scored("(select * from rows where split = 'test')", '5')})"""
+    return of_cohort(
+        f"""select {_FOREST}, round(avg(c) filter (where fit < 5), 6) as cv_mean_c_index,
+        round(stddev_pop(c) filter (where fit < 5), 6) as cv_std_c_index, round(max(c) filter (where fit = 5), 6) as test_c_index from ci""",
+        f"{_SPLIT}, {_TWO}, {fits}, {_stumps()}, {scored}, {_pairs('scored_', 'fit')}")
+
+
+_GAPS = """round(max(case when split = 'train' then c end), 6) as c_index_train, round(max(case when split = 'test' then c end), 6) as c_index_test,
+        round(max(case when split = 'train' then c end) - max(case when split = 'test' then c end), 6) as gap"""
+
+
+def _redundancy_stump() -> str:
+    fits = "tr as (select k::int as fit, row_id, e, t from rows, unnest(range(2)) v(k) where split = 'train'), both_ as (select k::int as fit, rows.* from rows, unnest(range(2)) v(k))"
+    stage = "ajcc_pathologic_stage"
+    return of_cohort(
+        f"select case when fit = 0 then 'Com {stage}' else 'Sem {stage}' end as configuration, {_FOREST}, {_GAPS} from ci group by fit",
+        f"""{_SPLIT}, {_TWO}, {fits}, {_stumps(f"not (fit = 1 and f.name like '{stage}%')")},
+        scored_ as (select fit, split, e, t, risk from {_scored('both_')}), {_pairs('scored_', 'fit, split')}""")
+
+
+def _learning_stump() -> str:
+    fits = f"""ordered as (select *, row_number() over (order by {hashed("'42'", 'row_id')}, row_id) as place, count(*) over () as n_all from rows where split = 'train'),
+    shares as (select k::int as fit, [0.1, 0.2, 0.3, 0.5, 0.7, 1.0][k + 1]::double as fraction from unnest(range(6)) v(k)),
+    sizes as (select fit, fraction, floor(n_all * fraction)::bigint as n_rows from shares, (select max(n_all) as n_all from ordered) where floor(n_all * fraction) >= 50),
+    tr as (select fit, row_id, e, t from ordered join sizes on place <= n_rows),
+    held as (select fit, rows.* from rows, sizes where split = 'test')"""
+    scored = f"""scored_ as (select fit, 'train' as split, e, t, risk from {_scored('tr')} union all select fit, 'test', e, t, risk from {_scored('held')})"""
+    return of_cohort(
+        f"""select {_FOREST}, fraction, n_rows, round(max(case when split = 'train' then c end), 6) as c_index_train,
+        round(max(case when split = 'test' then c end), 6) as c_index_test from ci join sizes using (fit) group by all""",
+        f"{_SPLIT}, {_TWO}, {fits}, {_stumps()}, {scored}, {_pairs('scored_', 'fit, split')}")
+
+
+def _shuffled_stump() -> str:
+    fits = f"""learn as (select * from rows where split = 'train'),
+    don as (select s::int as s, e, t, row_number() over (partition by s order by {hashed("s || ':donor'", 'row_id')}, row_id) as k from learn, unnest(range(5)) v(s)),
+    tak as (select s::int as s, row_id, row_number() over (partition by s order by {hashed("s || ':taker'", 'row_id')}, row_id) as k from learn, unnest(range(5)) v(s)),
+    tr as (select 0 as fit, row_id, e, t from learn union all select s + 1, row_id, e, t from don join tak using (s, k)),
+    held as (select k::int as fit, rows.* from rows, unnest(range(6)) v(k) where split = 'test')"""
+    return of_cohort(
+        f"""select {_FOREST}, round(a, 6) as c_index_real, round(b, 6) as c_index_random_mean, round(a - b, 6) as difference
+        from (select max(c) filter (where fit = 0) as a, avg(c) filter (where fit > 0) as b from ci)""",
+        f"{_SPLIT}, {_TWO}, {fits}, {_stumps()}, scored_ as (select fit, e, t, risk from {_scored('held')}), {_pairs('scored_', 'fit')}")
+
+
+def _complexity_stump() -> str:
+    return of_cohort(
+        f"select 1 as max_depth, {_GAPS} from ci",
+        f"""{_SPLIT}, {_TWO}, {_FEATURES},
+    pt as (select t, sum(e) as d, count(*) as m from rows where split = 'train' group by 1),
+    rs as (select *, sum(m) over (order by t desc) as n from pt),
+    ab as (select t, sum(d * 1.0 / n) over (order by t) as a, sum(d / (n * 1.0 * n)) over (order by t) as b from rs),
+    gh as (select row_id, a - e as g, a - b as h from rows join ab using (t) where split = 'train'),
+    sums as (select f.name as feature, sum(case when f.x = 1 then g else 0 end) as gr, sum(case when f.x = 1 then h else 0 end) as hr, sum(g) as gt, sum(h) as ht
+        from feat join gh using (row_id) group by 1),
+    best as (select * from sums where hr > 0 and hr < ht
+        order by gr * gr / (hr + 0.1) + (gt - gr) * (gt - gr) / (ht - hr + 0.1) desc, feature limit 1),
+    scored_ as (select split, e, t, round(exp(case when f.x = 1 then -0.05 * gr / (hr + 0.1) else -0.05 * (gt - gr) / (ht - hr + 0.1) end), 8) as risk
+        from rows join feat using (row_id) join best on f.name = best.feature), {_pairs('scored_', 'split')}""")
+
+
+def _best_age_curves() -> str:
+    renamed = _TERCILES.replace("q as", "q_ as").replace("grouped as", "by_model as").replace("scored.", "modelled.")
+    renamed = renamed.replace("from scored, q)", "from modelled, q_)").replace("from scored)", "from modelled)")
+    scored = "modelled as (select cohort.*, exp((age_at_index - mean) * b) as risk from cohort, model)"
+    return km("by_model", "risk_group", ctes=f"{_ONE}, {scored}, {renamed}")
+
+
+def _predictions_stump() -> str:
+    return of_cohort(
+        """select row_id, ajcc_pathologic_stage, tissue_or_organ_of_origin, event_occurred = 1 as "OS", round(observed_time, 6) as "OS_time",
+        round(median_, 6) as predicted_survival_time from cohort join placed using (row_id) join medians using (side)""", _LOGRANK)
+
+
+def _report_stump() -> str:
+    def part(name: str, entry: str, first: str, second: str, sql: str, where: str = "true") -> str:
+        return f"select '{name}' as report, {entry}::varchar as entry, {first} as first, {second} as second from ({sql}) where {where}"
+
+    train, test = "c_index_train", "c_index_test"
+    return " union all ".join([
+        part("gap", "model_name", train, test, _redundancy_stump(), "configuration like 'Com%'"),
+        part("redundancy", "configuration", train, test, _redundancy_stump()),
+        part("complexity", "max_depth", train, test, _complexity_stump()),
+        part("learning_curves", "n_rows", train, test, _learning_stump()),
+        part("permutation", "model_name", "c_index_real", "c_index_random_mean", _shuffled_stump()),
+    ])
+
+
 ORACLE: dict[str, str] = {
+    "diag_report_stump": _report_stump(),
+    "comparison_stump": _comparison_stump(),
+    "diag_redundancy_stump": _redundancy_stump(),
+    "diag_learning_stump": _learning_stump(),
+    "diag_permutation_stump": _shuffled_stump(),
+    "diag_complexity_stump": _complexity_stump(),
+    "report_roundtrip_age": _comparison(),
+    "top_features_root": TABLES["boosted_root_gain"].replace("select feature, round(", "select row_number() over (order by gain desc, feature)::int as position, feature from (select feature, round(", 1)
+    + ") order by gain desc, feature limit 3",
+    "km_by_best_model_age": _best_age_curves(),
+    "prediction_roundtrip_stump": _predictions_stump(),
     "cox_age_table": _cox_table(),
     "cox_age_risk": _cox_risk(),
     "cox_age_effect": _cox_effect(),

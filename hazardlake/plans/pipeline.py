@@ -183,14 +183,17 @@ def curves_by_risk(spark: SparkSession, features: str, folder: str) -> DataFrame
     )
 
 
-def diagnose(split: DataFrame, folder: str, settings: dict | None = None) -> dict[str, DataFrame]:
-    """All five diagnostic tables, written as CSV."""
+def diagnose(
+    split: DataFrame, folder: str, settings: dict | None = None, models: Sequence[str] = compare.MODELS,
+    refit: Sequence[str] = diagnostics.REFIT, drop: Sequence[str] = ("age_group",), depths: Sequence[int] = (3, 5, 7, 10),
+) -> dict[str, DataFrame]:
+    """All five diagnostic tables, written as CSV; ``refit`` names the models fitted again on subsets and shuffled labels."""
     tables = {
-        "gap": diagnostics.train_test_gap(split, settings=settings),
-        "redundancy": diagnostics.feature_redundancy(split, settings=settings),
-        "complexity": diagnostics.complexity(split, settings=settings),
-        "learning_curves": diagnostics.learning_curves(split, settings=settings),
-        "permutation": diagnostics.permutation_test(split, settings=settings),
+        "gap": diagnostics.train_test_gap(split, models, settings),
+        "redundancy": diagnostics.feature_redundancy(split, drop, models, settings),
+        "complexity": diagnostics.complexity(split, depths, settings),
+        "learning_curves": diagnostics.learning_curves(split, models=refit, settings=settings),
+        "permutation": diagnostics.permutation_test(split, models=refit, settings=settings),
     }
     for name, table in tables.items():
         files.write_table(table, f"{folder}/reports/diagnostics/{name}.csv")

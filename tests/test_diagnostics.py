@@ -107,14 +107,16 @@ def test_report_files(split, tmp_path):
         assert back.columns == table.columns and back.count() > 0
 
 
-def test_registered_complexity_has_every_depth(monkeypatch):
-    grown = []
-    monkeypatch.setattr(catalog, "_split", lambda *a: None)
-    monkeypatch.setattr(diagnostics, "_encode", lambda split: ([], type("T", (), {"filter": lambda self, c: self})()))
-    monkeypatch.setattr(diagnostics, "fit_model", lambda name, train, features, fit, settings: grown.append(settings[name]))
-    monkeypatch.setattr(diagnostics, "score_model", lambda *a: None)
-    monkeypatch.setattr(diagnostics, "_tagged", lambda *a, **k: None)
-    monkeypatch.setattr(diagnostics, "_union", lambda parts: None)
-    monkeypatch.setattr(diagnostics, "_train_test", lambda *a: None)
-    catalog.diag_complexity(None, "")
-    assert [s["max_depth"] for s in grown] == [3, 5, 7, 10] and {s["rounds"] for s in grown} == {catalog.QUICK[fv.BOOSTED]["rounds"]}
+def test_registered_complexity_has_every_depth(spark):
+    table = catalog.diag_complexity(spark, "/root/testdata/sf0.001")
+    assert sorted(r.max_depth for r in table.collect()) == [3, 5, 7, 10]
+
+
+def test_depths_grow_together_as_alone(spark):
+    """Every depth of the joint fit equals a fit of its own."""
+    split = catalog._split(spark, "/root/testdata/sf0.001", "age_group")
+    options = {fv.BOOSTED: {"rounds": 2, "max_bins": 16}}
+    joint = {r.max_depth: r.c_index_train for r in diagnostics.complexity(split, (1, 4), options).collect()}
+    for depth in (1, 4):
+        alone = diagnostics.complexity(split, (depth,), options).first()
+        assert alone.max_depth == depth and abs(alone.c_index_train - joint[depth]) < 1e-12

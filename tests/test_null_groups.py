@@ -95,8 +95,9 @@ from hazardlake.session import local_session
 from hazardlake.operators import trees
 spark = local_session("elsewhere", 2)
 nodes = [trees.Node(0, 0, 0, feature=0, split_bin=1), trees.Node(0, 0, 1, value=-1.0), trees.Node(0, 0, 2, value=2.0)]
-df = spark.createDataFrame([([0],), ([1],)], "bins array<int>")
-print("sum", sum(r.risk for r in trees.add_total(df, trees.Ensemble(nodes), "risk").collect()))
+df = spark.createDataFrame([([],), ([1],)], "codes array<int>")
+model = trees.Ensemble(nodes, trees.Binner(["a"], [[0.5]]))
+print("sum", sum(r.risk for r in trees.add_total(df, model, "risk").collect()))
 """
     import os
 
