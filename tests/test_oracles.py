@@ -40,7 +40,7 @@ def _sorted(columns, rows):
     )
 
 
-_KIND = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string"}
+_KIND = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
 
 
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
