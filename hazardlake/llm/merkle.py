@@ -8,17 +8,25 @@ their 64-bit leaves measure how much two trees have in common.
 
 from __future__ import annotations
 
+import os
+from collections import Counter
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from hazardlake.session import materialize
 
 #: Phrases end at a mark of punctuation or a line end, and after 80 characters at the latest.
 PHRASE = r"[^.,;:!?|\n]{0,80}[.,;:!?|\n]|[^.,;:!?|\n]{1,80}"
 #: First hex digits of a paragraph's hash that end a section.
 SECTION_ENDS = "01"
-#: Rows that one window sorts.
-ROWS_PER_BUCKET = 8192
-#: Largest table of bucket borders that is broadcast (two numbers a row).
+#: Weight that one window sorts, and the characters for which a text weighs 1 more.
+BUCKET_WEIGHT, UNIT = 2048, 4096
+#: Cut points that come to the driver at most; buckets of larger tables grow.
+MOST_BUCKETS = 100_000
+#: Largest table of bucket borders that is broadcast (an id and three numbers a row).
 BROADCAST_IDS = 1_000_000
 
 
@@ -83,54 +91,100 @@ def locate_edits(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, Window]:
+def _leading(value: Column, skip: int = 0) -> Column:
+    """The six bytes of a string after the first ``skip`` as a number; it never falls as strings rise."""
+    some = F.hex(F.substring(F.encode(value, "UTF-8"), skip + 1, 6))
+    return F.conv(F.rpad(some, 12, "0"), 16, 10).cast("double")
+
+
+def _weight_of(text: Column) -> Column:
+    return (F.floor(F.length(text) / UNIT) + 1).cast("int")
+
+
+def _cuts(rows: DataFrame, key: str, parts: int) -> list[float]:
+    """Quantiles of ``key`` that cut ``rows`` into ``parts`` of about the same weight; they may repeat."""
+    if parts < 2:
+        return []
+    weighted = rows.select(key, F.explode(F.sequence(F.lit(1), _weight_of(F.col("text")))).alias("__unit"))
+    return sorted(weighted.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts))
+
+
+def _dealt(rows: DataFrame, key: str, cuts: list[float], name: str) -> DataFrame:
+    if not cuts:
+        return rows.withColumn(name, F.lit(0.0))
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    return Bucketizer(splits=splits, inputCol=key, outputCol=name, handleInvalid="keep").transform(rows)
+
+
+def with_next(docs: DataFrame, bucket_weight: int = BUCKET_WEIGHT) -> tuple[DataFrame, Window]:
     """Rows (bucket, edge, doc_id, text) and the window in whose order the next row follows.
 
     The order is by doc_id (null first), then text, and goes from the last row to the first.
-    doc_id is cut at quantiles into buckets of about ``rows_per_bucket`` rows; each bucket also
-    gets the first row of the bucket after it, marked ``edge``, to be dropped at the end.
+    doc_id may be of a numeric or text type. It is cut at quantiles into buckets of about
+    ``bucket_weight``; a text weighs 1, and 1 more for every ``UNIT`` characters. Rows without
+    doc_id, and those of an id that fills whole buckets, are cut by the first bytes of their texts
+    too. Only the cut points, at most ``MOST_BUCKETS``, come to the driver. Each bucket also
+    gets the first row of the bucket after it, marked ``edge``, to be dropped at the end. A window
+    sorts one bucket and spills what memory can't hold.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
-    buckets = max(1, -(-n // rows_per_bucket))
-    keyed = docs.withColumn("__k", F.col("doc_id").cast("double"))
-    cuts = []
-    if buckets > 1:
-        cuts = keyed.approxQuantile("__k", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
-    dealt = keyed.withColumn("bucket", F.lit(0))
-    if cuts:
-        splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-        dealt = Bucketizer(splits=splits, inputCol="__k", outputCol="bucket", handleInvalid="keep").transform(keyed)
-    dealt = dealt.select(
-        F.when(F.col("__k").isNull(), -1).otherwise(F.col("bucket")).cast("int").alias("bucket"), "doc_id", "text"
-    )
-    # One id per bucket comes to the driver, as many as there are cut points.
-    firsts = sorted((r.bucket, r.first) for r in dealt.groupBy("bucket").agg(F.min("doc_id").alias("first")).collect())
-    schema = f"to int, {docs.select('doc_id').schema.simpleString()[7:-1].replace(':', ' ', 1)}"
-    moves = [(firsts[i - 1][0], first) for i, (_, first) in enumerate(firsts)]
-    ids = docs.sparkSession.createDataFrame(moves, schema).withColumnRenamed("doc_id", "__id")
-    if len(moves) <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    own, weight = F.col("doc_id"), _weight_of(F.col("text")).cast("long")
+    total, without, least, largest = docs.agg(
+        F.sum(weight), F.sum(F.when(own.isNull(), weight)), F.min("doc_id"), F.max("doc_id")
+    ).first()
+    parts = max(1, min(MOST_BUCKETS, -(-(total or 0) // bucket_weight)))
+    if isinstance(docs.schema["doc_id"].dataType, StringType):
+        common = os.path.commonprefix([(least or "").encode(), (largest or "").encode()])
+        keyed = docs.withColumn("__k", _leading(own, len(common)))
+    else:
+        keyed = docs.withColumn("__k", own.cast("double"))
+    cuts = _cuts(keyed, "__k", parts)
+    # Of ids between which a quantile lies more than once, those that are one id and not several alike in the key.
+    full = {k: n for k, n in Counter(cuts).items() if n > 1}
+    single = []
+    if full:
+        ends = keyed.filter(F.col("__k").isin(list(full))).groupBy("__k").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+        single = [r.a for r in ends.filter("a = b").collect()]
+    hot = own.isNull() | own.isin(single) if single else own.isNull()
+    keyed = keyed.withColumn("__t", F.when(hot, _leading(F.col("text"))).otherwise(F.lit(0.0)))
+    inner = _cuts(keyed.filter(hot), "__t", min(parts, -(-(without or 0) // bucket_weight) + sum(full.values())))
+    placed = _dealt(_dealt(keyed, "__k", cuts, "__outer"), "__t", inner, "__inner")
+    outer = F.when(own.isNull(), 0).otherwise(F.col("__outer") + 1)
+    # A hot id begins its bucket; the other ids there follow it.
+    inside = F.when(hot, F.col("__inner")).otherwise(len(inner) + 1)
+    dealt = placed.select((outer * (len(inner) + 2) + inside).cast("long").alias("bucket"), "doc_id", "__t", "text")
+    # One row a bucket.
+    firsts = dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "__t")).alias("f"))
+    by = Window.orderBy("bucket")
+    last = F.last("bucket").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    moves = materialize(firsts.select(
+        F.col("bucket").alias("__b"), F.col("f.doc_id").alias("__id"), F.col("f.__t").alias("__first"),
+        F.coalesce(F.lag("bucket").over(by), last).alias("to"),
+    ), "moves")
+    buckets = moves.count()
+    meets = (F.col("bucket") == F.col("__b")) & own.eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__first"))
     edges = (
-        docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")))
+        dealt.join(F.broadcast(moves) if buckets <= BROADCAST_IDS else moves, meets)
         .groupBy("to", "doc_id").agg(F.min("text").alias("text"))
     )
     both = dealt.select("bucket", F.lit(False).alias("edge"), "doc_id", "text").union(
         edges.select(F.col("to").alias("bucket"), F.lit(True), "doc_id", "text")
     )
-    return both, Window.partitionBy("bucket").orderBy("edge", "doc_id", "text")
+    # Tasks grow in number with the table, not in size.
+    return both.repartition(max(1, -(-buckets // 2)), "bucket"), Window.partitionBy("bucket").orderBy("edge", "doc_id", "text")
 
 
-def compare_with_next(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def compare_with_next(docs: DataFrame, bucket_weight: int = BUCKET_WEIGHT) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness.
 
     The edited text is the text with its last ``floor(n_chars / 2)`` code points replaced by
     the first as many (or all) of the next document, by ascending doc_id, the first following
     the last. Every row comes back once; a null text is empty; a single row follows itself; rows
-    that share a doc_id follow each other by text. Extra columns are ignored; an empty table
-    gives an empty one. Likeness of two empty texts is 1.
+    that share a doc_id, or have none, follow each other by text. doc_id may be of a numeric or
+    text type. Extra columns are ignored; an empty table gives an empty one. Likeness of two empty
+    texts is 1.
     """
-    rows, window = with_next(docs, rows_per_bucket)
+    rows, window = with_next(docs, bucket_weight)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     ahead = rows.withColumn("__next", F.lead("text").over(window)).withColumn("__own", leaves(F.col("text")))

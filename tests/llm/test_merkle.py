@@ -42,9 +42,9 @@ def expected(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("rows_per_bucket", [1000, 3])
-def test_odd_rows(odd_docs, rows_per_bucket):
-    got = merkle.compare_with_next(odd_docs, rows_per_bucket).collect()
+@pytest.mark.parametrize("bucket_weight", [1000, 3])
+def test_odd_rows(odd_docs, bucket_weight):
+    got = merkle.compare_with_next(odd_docs, bucket_weight).collect()
     want = expected([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert [tuple(r)[:5] for r in sorted(map(tuple, got), key=str)] == [w[:5] for w in want]
     assert [r[5:] for r in sorted(map(tuple, got), key=str)] == [pytest.approx(w[5:]) for w in want]
@@ -58,6 +58,40 @@ def test_whole_table(spark, small):
     assert all(g[5:] == pytest.approx(w[5:]) for g, w in zip(got, want))
 
 
+def rows_and_wanted(spark, rows, kind, bucket_weight):
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5)
+    got = sorted(map(tuple, merkle.compare_with_next(docs, bucket_weight).collect()), key=str)
+    want = expected(rows)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert all(g[5:] == pytest.approx(w[5:]) for g, w in zip(got, want))
+
+
+@pytest.mark.parametrize("bucket_weight", [4, 1000])
+def test_hot_ids(spark, bucket_weight):
+    """Many rows without id, and many of one id: cut by their texts, in the right order."""
+    rows = [(None, f"{i * 37 % 101} without an id, {i}.") for i in range(40)] + [(None, "the same text")] * 5
+    rows += [(17, f"{i * 53 % 97} of a full id, {i}.") for i in range(40)] + [(17, "\u00e9t\u00e9"), (17, None), (17, "")]
+    rows += [(i, f"text of {i}, short.") for i in range(40)] + [(-5, "below"), (2**60, "far"), (2**60 + 1, "far too")]
+    rows_and_wanted(spark, rows, "long", bucket_weight)
+
+
+@pytest.mark.parametrize("bucket_weight", [4, 1000])
+def test_text_ids(spark, bucket_weight):
+    rows = [(f"doc-{i * 7919 % 1000:04d}", f"text number {i}; end") for i in range(60)]
+    rows += [("doc-", "short id"), ("doc-0500x", "longer id"), (None, "no id"), ("doc-0007", "an id twice"), ("doc-0007", None)]
+    rows_and_wanted(spark, rows, "string", bucket_weight)
+
+
+def test_buckets_by_length(spark):
+    """Long texts fill a bucket sooner than short ones, and a bucket's window sees no others."""
+    rows = [(i, "x" * (40_000 if i < 20 else 10)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, _ = merkle.with_next(docs, 50)
+    held = dealt.filter("not edge").groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).collect()
+    assert sum(r.n for r in held) == 400 and len(held) > 8
+    assert max(r["size"] for r in held) <= 400_000 and max(r.n for r in held) <= 100
+
+
 def test_empty_and_single(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert merkle.compare_with_next(empty).count() == 0
