@@ -33,8 +33,8 @@ REPLICAS, REPLICA_RATIO = 6, 1.3
 FIRST_LISTS = 6
 #: Queries whose hits one task ranks.
 QUERIES_PER_TASK = 1000
-#: Rows of a block of a list.
-BLOCK = 4096
+#: Rows of a block of a list, and queries of a list that one task scans a block for.
+BLOCK, QUERY_BLOCK = 4096, 4096
 
 
 class Index(NamedTuple):
@@ -323,10 +323,17 @@ def nearest(vectors: DataFrame, queries, k: int = 20, recall: float = 0.97, samp
     ranked = "query long, rep long, score double, r int"
 
     def read_lists(probing: DataFrame) -> DataFrame:
-        placed = probing.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        left = placed.select("list", "block", "rep", "embedding", "least").groupBy("list", "block")
-        right = dealt.select("list", "block", "rep", "embedding").groupBy("list", "block")
-        return left.cogroup(right).applyInArrow(scan, packed)
+        """Hits of (query, list) rows. A list's rows and its queries are both dealt into blocks, which meet two by two."""
+        probing = materialize(probing, "probes")
+        asks = probing.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("asks"))
+        # One row a list, no more than there are centroids.
+        meet = F.broadcast(materialize(blocks.join(asks, "list"), "meet"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = probing.join(meet, "list").withColumn("ask", F.pmod(F.xxhash64("rep"), F.col("asks")).cast("int"))
+        left = left.select("list", every("blocks").alias("block"), "ask", "rep", "embedding", "least")
+        right = dealt.drop("blocks").join(meet, "list").select("list", "block", every("asks").alias("ask"), "rep", "embedding")
+        keys = ["list", "block", "ask"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, packed)
 
     packed = "part int, query binary, rep binary, score binary"
     start = probes.withColumn("least", F.lit(float("-inf")))

@@ -70,6 +70,17 @@ def test_many_ties_go_to_the_smaller_ids(spark):
     same(got, exact(rows, 20, lambda i: i == 0))
 
 
+def test_lists_and_queries_in_blocks(spark, monkeypatch):
+    """Small blocks on both sides give the answers that whole lists give."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(i, rows[i % 7][1]) for i in range(300, 330)]
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 5)
+    got = answers(ann.nearest(frame(spark, rows), F.col("vec_id") % 2 == 0, sample=30))
+    same(got, exact(rows, 20, lambda i: i % 2 == 0))
+
+
 def test_few_and_none(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 1.0]), (7, [2.0, 2.0])]
     same(answers(ann.nearest(frame(spark, rows), F.col("vec_id") % 20 == 0)), exact(rows, 20, lambda i: i % 20 == 0))
