@@ -140,6 +140,18 @@ def step_audit(spark, sf_dir):
     return cl.step_audit(cohort.clinical_records(spark, sf_dir), cohort.SITES, cohort.SPARSE)
 
 
+def features_without_time(spark, sf_dir):
+    """Features of records of which some, with and without event, have no time; these go."""
+    records = cohort.partly_followed_records(spark, sf_dir)
+    table = cl.survival_features(records, cohort.IDS, cohort.SITES, cohort.SPARSE, ("age_group",))
+    return rounded(table, TIME, AGE)
+
+
+def audit_without_time(spark, sf_dir):
+    """Rows per cleaning step where some records have no time."""
+    return cl.step_audit(cohort.partly_followed_records(spark, sf_dir), cohort.SITES, cohort.SPARSE)
+
+
 def _consolidated(spark, sf_dir):
     return joining.consolidate(
         cohort.clinical_records(spark, sf_dir), cohort.sample_records(spark, sf_dir), fv.CASE_KEY
@@ -749,7 +761,8 @@ QUERIES = {
     for f in (
         ingest_tsv_roundtrip, csv_roundtrip, select_rename, site_filter, sparse_site_filter,
         numeric_coerce, event_flag, observed_time, age_bands, stage_group, display_columns,
-        recode_labels, value_replace, clean_feature_names, step_audit, inner_join_fanout,
+        recode_labels, value_replace, clean_feature_names, step_audit, features_without_time,
+        audit_without_time, inner_join_fanout,
         feature_table, preview_top10,
         count_by_stage, count_by_site, counts_sorted_by_stage, distinct_stages,
         mortality_by_age_band, status_share, histogram_age, histogram_time_by_event, kde_age,

@@ -95,6 +95,17 @@ def clinical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def partly_followed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``clinical_records`` where customers with an overdrawn account are not followed: their rows have no days."""
+    records = clinical_records(spark, sf_dir)
+    lost = F.col("`demographic.age_at_index`").cast("double") < 0
+    timed = ("diagnoses.days_to_last_follow_up", "demographic.days_to_death")
+    return records.select(*[
+        F.when(lost, F.lit(fv.MISSING_MARKER)).otherwise(F.col(f"`{c}`")).alias(c) if c in timed else F.col(f"`{c}`")
+        for c in records.columns
+    ])
+
+
 def sample_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw sample table: several rows per case key."""
     return _table(spark, sf_dir, "lineitem").select(

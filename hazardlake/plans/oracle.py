@@ -263,6 +263,19 @@ ORACLE = {
         union all select 'age_group_' || age_group, age_group from cohort where age_group is not null
         union all select 'age_at_index', 'age_at_index' from cohort)"""),
     "step_audit": _audit(),
+    "features_without_time": of_cohort(f"select {_FEATURES}, age_group from cohort where age_at_index >= 0 or age_at_index is null"),
+    "audit_without_time": raw(f"""select * from (
+    with f as (select *, age is null or age >= 0 as timed from timed where site in {_NINE}),
+    t as (select * from f where timed),
+    c as (select (select count(*) from timed) as n, (select count(*) from f) as n_site, count(*) as n_timed,
+        count(*) filter (raw_days <= 0) as clamped, count(*) filter (band is null) as noband, count(stage) as n_st,
+        count(stage) filter (site not in ('NATION_7','NATION_8')) as n_kept from t)
+    select 1::int as step_order, 'site filter' as step, n as rows_in, n_site as rows_out, n - n_site as affected from c
+    union all select 2, 'missing time', n_site, n_timed, n_site - n_timed from c
+    union all select 3, 'time clamp', n_timed, n_timed, clamped from c
+    union all select 4, 'age outside bands', n_timed, n_timed, noband from c
+    union all select 5, 'unmapped stage', n_timed, n_st, n_timed - n_st from c
+    union all select 6, 'sparse sites', n_st, n_kept, n_st - n_kept from c)"""),
     "inner_join_fanout": raw("""select row_id, l_linenumber as sample_number, l_returnflag as sample_type
         from raw join lineitem on l_orderkey = row_id"""),
     "feature_table": of_cohort("""select row_id, event_occurred, round(observed_time, 6) as observed_time,
