@@ -131,7 +131,7 @@ def scan(docs: DataFrame, vocabulary: str, pattern: str, ratio: float = RATIO) -
     doc_id too; extra columns are ignored. ``vocabulary`` is a file of ranks that every worker
     has, ``pattern`` its splitting rule. A run of more than ``WINDOW`` characters is tokenised in
     pieces of that length, as byte-pair merging takes the square of a run; a cut adds few tokens
-    to the thousand or more of a piece, so that only a ratio next to the limit could change.
+    to the 1,950 that a piece at the limit has, so that only a ratio next to it could change.
     """
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
