@@ -2,6 +2,7 @@
 
 import dense
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -476,3 +477,58 @@ def test_sparse_encoding_of_odd_values(spark):
     got = {r.id: list(r.flags) for r in encoder.transform(other, ["id"]).collect()}
     assert got == {1: [], 2: [0], 3: [1], 4: [], 5: []} and encoder.width == 2
     assert {r.place: r.feature for r in encoder.names().collect()} == {0: "k_b", 1: "k_c"}
+
+
+def test_levels_of_a_tree_split_like_single_nodes():
+    """All nodes of a level at once give the tree that node by node gives; missing values are among the codes."""
+    rng = np.random.default_rng(3)
+    bases = np.array([0, 9, 12, 14])
+    flat, row = [], []
+    for i in range(600):
+        for f in range(3):
+            b = int(rng.integers(-1, bases[f + 1] - bases[f]))
+            if b:
+                flat.append(bases[f] + max(b, 0))
+                row.append(i)
+    codes = trees.Codes(np.array(flat), np.array(row), 600)
+    g, h = rng.normal(size=600), rng.uniform(0.1, 1, 600)
+    find = trees.gradient_split(0.1, 0.05, 1.0)
+    want = {}
+    for node, split, (a, b) in trees.subtree(codes, (g, h), 0, 5, bases, lambda n, c, x, y: find(*c.sums(x, y), bases, x.sum(), y.sum())[0]):
+        want[node] = (*(split[:3] if split else (-1, 0, False)), round(split.gain if split else 0.0, 9), round(a.sum(), 9), round(b.sum(), 9))
+    levels = trees.gradient_levels(codes, g, h, 0, 5, bases, 0.1, 0.05, 1.0)
+    assert {n: (f, c, m, round(x, 9), round(a, 9), round(b, 9)) for n, f, c, m, x, a, b in levels} == want
+    assert len(want) > 20
+
+
+def test_totals_walk_equal_rows_once(monkeypatch, encoded, boosted_model):
+    fit = next(iter(boosted_model.ensemble.fits.values()))
+    rng = np.random.default_rng(1)
+    flat, row = np.sort(rng.integers(0, int(fit[0][-1]), 50)), np.arange(50)
+    codes = trees.Codes(np.tile(flat, 4), np.concatenate([row, row + 50, row + 100, row + 150]), 200)
+    totals, walked = trees.Totals(*fit), []
+    want = totals.walk(trees.dense(codes, fit[0], fit[1]))
+    walk = totals.walk
+    monkeypatch.setattr(totals, "walk", lambda x: walked.append(len(x)) or walk(x))
+    assert (totals.of(codes) == want).all() and (totals.of(codes) == want).all()
+    assert sum(walked) <= 50
+    monkeypatch.setattr(trees, "REMEMBERED", 3)
+    assert (totals.of(codes) == want).all() and (totals.of(codes) == want).all()
+    monkeypatch.setattr(trees, "row_keys", lambda *a: None)
+    assert (totals.of(codes) == want).all()
+
+
+@pytest.mark.parametrize("top,most", [(300, 5), (100_000, 1 << 40)])
+def test_bundles_keep_rows(top, most):
+    """A bundle is some 20 bytes a row, not a row of its own."""
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(0, 4, 100)
+    codes = trees.Codes(rng.integers(0, top, sizes.sum()), np.repeat(np.arange(100), sizes), 100)
+    t, e, m, key = rng.integers(1, 9, 100) / 2, rng.integers(0, 2, 100), rng.integers(1, most, 100), rng.integers(-(1 << 62), 1 << 62, 100)
+    first = np.arange(100) < 40
+    parts = [forest.bundle(codes.take(k), t[k], e[k], m[k], key[k], top) for k in (first, ~first)]
+    back = forest.unbundled(pa.table({c: [p[i] for p in parts] for i, c in enumerate(forest._COLUMNS)}))
+    order = np.argsort(t, kind="stable")
+    assert all((a == b[order]).all() for a, b in zip(back[1:], (t, e, m, key)))
+    listed = lambda c: [c.flat[c.row == i].tolist() for i in range(c.n)]
+    assert listed(back[0]) == [listed(codes)[i] for i in order]
