@@ -532,3 +532,17 @@ def test_bundles_keep_rows(top, most):
     assert all((a == b[order]).all() for a, b in zip(back[1:], (t, e, m, key)))
     listed = lambda c: [c.flat[c.row == i].tolist() for i in range(c.n)]
     assert listed(back[0]) == [listed(codes)[i] for i in order]
+
+
+def test_medians_work_out_crossed_blocks_only(monkeypatch, encoded, forest_model):
+    table, falls, asked = encoded[1].orderBy("row_id").limit(60), forest.ForestModel._falls, []
+    monkeypatch.setattr(forest, "DROPS_PER_BLOCK", 2000)
+    rows, points = forest_model.curves(table)
+    ids, curves = {r.row_id: r.curve_id for r in rows.collect()}, {}
+    for r in points.orderBy("curve_id", "t").collect():
+        curves.setdefault(r.curve_id, []).append((r.t, r.survival))
+    monkeypatch.setattr(forest.ForestModel, "_falls", lambda self, cells, steps: asked.append(cells) or falls(self, cells, steps))
+    got = forest_model.median_time(table).collect()
+    assert len(got) == 60 and sum(c.count() for c in asked) <= len(curves)
+    for r in got:
+        assert r.predicted_survival_time == next((t for t, s in curves[ids[r.row_id]] if s <= forest.HALF), forest_model.last_time[0])
