@@ -40,6 +40,39 @@ def test_toxicity_held_out(toxic):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.flagged == (r.score >= r.threshold) for r in rows)
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """A word that only the last documents in order of hashes have is learned too, whatever the partitions."""
+    rng = random.Random(2)
+    ids = spark.range(4400).selectExpr("id", "xxhash64(id) as h").orderBy("h")
+    rows = []
+    for place, r in enumerate(ids.collect()):
+        bad = r.id % 2 == 0
+        rows.append((r.id, words(rng, rng.randint(4, 12)) + (" idiot" if place < 3700 else " scum") * bad, "en", int(bad)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    docs, labels = table.drop("toxic"), table.select("doc_id", "toxic")
+    net = toxicity.fit(docs, labels)
+    asked = spark.createDataFrame([(0, "abc scum def"), (1, "abc idiot def"), (2, "abc def")], "doc_id long, text string")
+    assert [r.score >= 0.5 for r in toxicity.score(asked, net).orderBy("doc_id").collect()] == [True, True, False]
+    again = toxicity.fit(docs.repartition(5), labels.repartition(3))
+    assert net.offset == again.offset and (net.last == again.last).all() and (net.embeddings == again.embeddings).all()
+
+
+def test_toxicity_cuts(spark):
+    """Cuts of all rows and of each language against a plain search."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["en", "de", None]), y, round(rng.gauss(2 * y, 1), 2)) for y in rng.choices([0, 1], [5, 1], k=600)]
+    found = {r.lang: r.z for r in toxicity.cuts(spark.createDataFrame(rows, "lang string, y int, z double")).collect()}
+    assert set(found) == {None, "", "en", "de"}
+    for name, z in found.items():
+        mine = [r for r in rows if name is None or (r[0] or "") == name]
+
+        def f1(cut):
+            taken = [y for _, y, v in mine if v >= cut]
+            return 2 * sum(taken) / (len(taken) + sum(y for _, y, _ in mine))
+
+        assert f1(z) == pytest.approx(max(f1(v) for _, _, v in mine))
+
+
 def test_toxicity_scores_from_text_alone(toxic, odd_docs):
     docs, labels = toxic
     net = toxicity.fit(docs, labels)
