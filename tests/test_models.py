@@ -546,3 +546,45 @@ def test_medians_work_out_crossed_blocks_only(monkeypatch, encoded, forest_model
     assert len(got) == 60 and sum(c.count() for c in asked) <= len(curves)
     for r in got:
         assert r.predicted_survival_time == next((t for t, s in curves[ids[r.row_id]] if s <= forest.HALF), forest_model.last_time[0])
+
+
+def test_rows_by_their_cells(monkeypatch):
+    """Rows of equal codes are one cell, also where all hashes agree, and a bundle lists a cell and a time once."""
+    rng = np.random.default_rng(4)
+    kinds = [[], [3], [4], [1, 3], [1, 4, 9]]
+    lists = [kinds[i] for i in rng.integers(0, 5, 5000)]
+    codes = trees.Codes(np.array(sum(lists, [])), np.repeat(np.arange(5000), [len(x) for x in lists]), 5000)
+    t, e, m, key = rng.integers(1, 60, 5000) / 2, rng.integers(0, 2, 5000), rng.integers(1, 9, 5000), rng.integers(-(1 << 62), 1 << 62, 5000)
+    assert sum(map(len, forest.bundle(codes, t, e, m, key, 300))) < 15 * 5000
+    values, picked = (rng.random(5000), rng.random(5000)), rng.random(5000) < 0.5
+    for hashed in (forest._mix, np.zeros_like):
+        monkeypatch.setattr(forest, "_mix", hashed)
+        cells = forest.cells_of(codes)
+        assert cells.codes.n == (5 if hashed is not np.zeros_like else 5000)
+        for a, b in ((cells, codes), (cells.take(picked), codes.take(picked))):
+            assert (a.flat == b.flat).all() and (a.row == b.row).all() and a.n == b.n
+        for a, b in zip(cells.sums(*values), codes.sums(*values), strict=True):
+            assert a == pytest.approx(b)
+        split = trees.Split(1, 2, True, 0.0)
+        assert (cells.right(split, np.array([0, 3, 6, 12])) == codes.right(split, np.array([0, 3, 6, 12]))).all()
+
+
+def test_shares_of_trees_and_blocks_of_a_fit(spark, monkeypatch, encoded):
+    """Blocks are counted for one fit, however many run together, and are dealt into shares of the trees."""
+    from hazardlake.operators import prefix
+
+    columns, table = encoded
+    copies = table.withColumn("fit", F.explode(F.lit([0, 1, 2])))
+    one = table.count()
+    keyed = copies.withColumn("key", F.col("row_id"))
+    assert prefix.time_blocks(keyed, "observed_time", one // 4, one).select("block").distinct().count() <= 5
+    options = {"trees": 3, "max_depth": 2, "max_bins": 8}
+    small = forest.fit_forest(copies, columns, "fit", **options)
+    shares, wide = [], forest._Wide
+    monkeypatch.setattr(trees, "ENTRIES", 500)
+    monkeypatch.setattr(forest, "_Wide", lambda *a: shares.append(a[-1]) or wide(*a[:-1], 2))
+    large = forest.fit_forest(copies, columns, "fit", **options)
+    key = lambda n: (n.fit, n.tree, n.node)
+    for a, b in zip(sorted(large.nodes, key=key), sorted(small.nodes, key=key), strict=True):
+        assert (a.feature, a.split_bin, a.h) == (b.feature, b.split_bin, b.h) and a.value == pytest.approx(b.value, rel=1e-9)
+    assert len(shares) == 1
