@@ -10,22 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hazardlake.llm import mixing, ngram_join, packing, quality, queries, secret_scan
+from hazardlake.llm.words import bound_batches
 from hazardlake.session import materialize
 
+#: Rows of a batch that travels between Spark and Python, whose buffers an executor keeps from stage to stage.
+BATCH_ROWS = 500
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
+    bound_batches(spark, BATCH_ROWS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.resample(docs, labels).filter("kept").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    bound_batches(spark, BATCH_ROWS)
     return ngram_join.keep_one(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts masked and n_chars counted anew."""
+    bound_batches(spark, BATCH_ROWS)
     return secret_scan.redact(docs, **queries.rank_vocabulary())
 
 
@@ -36,6 +43,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of every token piece in sequences of at most 2048 tokens."""
+    bound_batches(spark, BATCH_ROWS)
     return packing.pack(materialize(packing.pieces(docs, queries.word_vocabulary()), "pieces"))
 
 

@@ -296,6 +296,7 @@ def pack(items: DataFrame, capacity: int = 2048, length: str = "length", slack:
                 [*(rows.field(i) for i in range(len(names))), pa.array(sequence), pa.array(offset)],
                 [*names, "sequence_id", "offset"],
             )
+        give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
     return closed.select("sequence_id", "members").mapInArrow(lay_out, f"{fields}, sequence_id long, offset long")

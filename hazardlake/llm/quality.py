@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardlake.llm.words import PUNCTUATED, batches, bound_batches, claim, find_words, mix
+from hazardlake.llm.words import PUNCTUATED, batches, bound_batches, claim, find_words, give_back, mix
 from hazardlake.session import materialize
 
 #: Hash buckets of the n-gram models.
@@ -77,6 +77,8 @@ def _counts(docs: DataFrame, drawn: DataFrame, n_buckets: int) -> tuple[np.ndarr
         yield pa.RecordBatch.from_arrays(
             [pa.array(some), pa.array(totals[0][some]), pa.array(totals[1][some])], ["bucket", "raw", "target"]
         )
+        del totals
+        give_back()
 
     parts = marked.select("text", "target").mapInArrow(run, "bucket long, raw long, target long")
     summed = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
@@ -100,6 +102,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 bucket, where = buckets(texts, len(values))
                 weight[first : first + len(texts)] = np.bincount(where, weights=values[bucket], minlength=len(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(weight)], [*names, "log_weight"])
+        give_back()
 
     return docs.mapInArrow(run, f"{fields}, log_weight double")
 

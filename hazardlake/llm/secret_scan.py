@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hazardlake.llm.words import bound_batches, kept
+from hazardlake.llm.words import bound_batches, give_back, kept
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -117,6 +117,7 @@ def _each(parts: Iterator[pa.RecordBatch], find, rows: int = 256):
             part = batch.slice(a, rows)
             texts = part.column("text").to_pylist()
             yield part, texts, [find(t or "") for t in texts]
+    give_back()
 
 
 def scan(docs: DataFrame, vocabulary: str, pattern: str, ratio: float = RATIO) -> DataFrame:

@@ -108,3 +108,23 @@ def test_odd_and_empty_rows(spark, odd_docs, tmp_path):
                 assert new.columns == docs.columns
             docs = new
         assert (docs.count() > 0) == (count > 0)
+
+
+def test_stages_keep_batches_small_and_give_memory_back(spark, monkeypatch):
+    """Executors live on between the stages, and so do the buffers of batches and what the workers hold."""
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "some words here", "en", "web", 15)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        for stage in (corpus_pipeline.near_duplicate_stage, corpus_pipeline.secret_stage, corpus_pipeline.packing_stage):
+            spark.conf.set(name, "10000")
+            stage(spark, docs, "")
+            assert int(spark.conf.get(name)) <= corpus_pipeline.BATCH_ROWS
+    finally:
+        spark.conf.set(name, before)
+    given = []
+    monkeypatch.setattr(secret_scan, "give_back", lambda: given.append(1))
+    assert len(list(secret_scan._each(iter([pa.RecordBatch.from_pydict({"text": ["a", None]})]), lambda text: []))) == 1
+    assert given == [1]
