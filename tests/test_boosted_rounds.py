@@ -39,7 +39,7 @@ def rounds_of(monkeypatch, query) -> list[int]:
     return found
 
 
-@pytest.mark.parametrize("name", ["importance_gain", "importance_split_count", "top_features", "model_comparison", "km_by_best_model"])
+@pytest.mark.parametrize("name", ["importance_gain", "importance_split_count", "top_features", "model_comparison", "km_by_best_model", "report_roundtrip"])
 def test_queries_fit_all_rounds(monkeypatch, name):
     assert rounds_of(monkeypatch, catalog.QUERIES[name]) == [200]
 
