@@ -172,7 +172,29 @@ def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def train(shards: DataFrame, params: list[np.ndarray], weights: np.ndarray, seed: int = 5) -> list[np.ndarray]:
+def train(texts: list[np.ndarray], y: np.ndarray, seed: int = 5, least_documents: int = LEAST_DOCUMENTS,
+          kept_words: int = KEPT_WORDS) -> Network:
+    """A network from the hashed words of each text and its label (0 or 1), trained like a single shard of these texts.
+
+    Words of fewer than ``least_documents`` texts are blank from the start, all but the ``kept_words`` most telling ones
+    in the end.
+    """
+    sets = [np.unique(t) for t in texts]
+    words, at = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    label = np.repeat(y, [len(s) for s in sets])
+    seen = np.stack([np.bincount(at[label == v], minlength=len(words)) for v in (0, 1)])
+    stay = seen.sum(0) >= least_documents
+    words, sizes = words[stay], np.bincount(y, minlength=2)
+    shares = (seen[:, stay] + 0.5) / (sizes[:, None] + 1)
+    params = start(len(words), np.log(shares[1] / shares[0]), seed)
+    places = [look_up(words, t).astype(np.uint64) for t in texts]
+    for number in range(EPOCHS):
+        epoch(params, places, y, sizes.sum() / np.maximum(2 * sizes, 1), seed * 1000 + number)
+    stay = most_telling(params, kept_words)
+    return network([params[0][stay], *params[1:]], words[stay])
+
+
+def train_shards(shards: DataFrame, params: list[np.ndarray], weights: np.ndarray, seed: int = 5) -> list[np.ndarray]:
     """The parameters after ``EPOCHS`` epochs over the shards (shard, y, sizes, places), labels weighted by ``weights``.
 
     A parameter moves by the mean of its changes over the shards that change it.
@@ -327,7 +349,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 0,
         return Network(np.zeros(0, np.uint64), np.zeros((0, DIM), np.float32), [], [], np.zeros(1, np.float32), -10.0, {})
     words, odds = known_words(use, least_documents, max(CANDIDATES, kept_words))
     # both labels weigh alike in all
-    params = train(materialize(dealt(use, words), "shards"), start(len(words), odds), sizes.sum() / (2 * sizes))
+    params = train_shards(materialize(dealt(use, words), "shards"), start(len(words), odds), sizes.sum() / (2 * sizes))
     stay = most_telling(params, kept_words)
     net = network([params[0][stay], *params[1:]], words[stay])
     check = texts.filter("spare") if {(True, 0), (True, 1)} <= set(seen) else use
